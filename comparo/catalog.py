@@ -151,3 +151,97 @@ def q_report_grouping_sets(spark, d):
     out = grouping_sets_sum(cube, GS_GRAINS, exclude={g: [L.TICKETS] for g in GS_PRODUCT})
     cols = list(dict.fromkeys(k for ks in GS_GRAINS.values() for k in ks))
     return out.select("grain", *cols, "year", "measure", F.col("value").cast("double").alias("value"))
+
+
+# -- growth policies -------------------------------------------------------------------
+
+def _store_family_long(spark, d):
+    from comparo.operators.growth import growth_table
+    cube = monthly.month_cube(measures(spark, d), X.register(spark, d), YEARS, MONTH)
+    return growth_table(cube, ["store", "family"], YEARS, measures=L.PRODUCT_MEASURES,
+                        resum=True).drop("growth")
+
+
+@query("growth_zero_policies")
+def q_growth_zero_policies(spark, d):
+    from comparo.functions.numeric import growth
+    t = _store_family_long(spark, d)
+    return t.select("store", "family", "measure", "base", "current",
+                    growth("base", "current", zero_base="inf").alias("growth_inf"),
+                    growth("base", "current", zero_base="null").alias("growth_null"),
+                    growth("base", "current", scale=1, digits=None, zero_base="zero")
+                    .alias("growth_zero"))
+
+
+@query("growth_rounding")
+def q_growth_rounding(spark, d):
+    from comparo.functions.numeric import growth
+    t = _store_family_long(spark, d)
+    return t.select("store", "family", "measure",
+                    growth("base", "current", digits=1).alias("pct_1"),
+                    growth("base", "current", digits=2).alias("pct_2"),
+                    growth("base", "current", scale=1, digits=3).alias("frac_3"),
+                    growth("base", "current", scale=1, digits=None).alias("frac"))
+
+
+# -- comparison series (RPT-4 / RPT-5) ---------------------------------------------------
+
+CMP_YEARS = X.HISTORY_YEARS
+CMP_PAIRS = X.PAIRS
+SELECTED_STORES = [f"{k}-Supplier#{k:09d}" for k in (1, 2, 3)]
+
+
+def _cmp(fn_name):
+    def fn(spark, d):
+        from comparo.plans import comparison as C
+        return getattr(C, fn_name)(measures(spark, d), X.register(spark, d), CMP_YEARS,
+                                   CMP_PAIRS, MONTH)
+    return fn
+
+
+query("comparison_total_series")(_cmp("total_series"))
+query("comparison_store_series")(_cmp("store_series"))
+query("comparison_union")(_cmp("comparison"))
+
+
+@query("comparison_selected")
+def q_comparison_selected(spark, d):
+    from comparo.plans import comparison as C
+    series = C.comparison(measures(spark, d), X.register(spark, d), CMP_YEARS, CMP_PAIRS, MONTH)
+    return C.selected(series, SELECTED_STORES, L.SALES)
+
+
+# -- store facts (RPT-6 / RPT-7) ------------------------------------------------------------
+
+def _store_fact(spark, d):
+    m = measures(spark, d)
+    return (m.groupBy("year", "month", "format", "store_id", "store", "measure")
+             .agg(F.sum("value").cast("double").alias("value")))
+
+
+@query("join_export_comparable")
+def q_join_export_comparable(spark, d):
+    from comparo.plans.store_facts import store_facts
+    return store_facts(_store_fact(spark, d), X.register_raw(spark, d), MONTH,
+                       comparable=True, as_of=X.AS_OF)
+
+
+@query("join_export_all")
+def q_join_export_all(spark, d):
+    from comparo.plans.store_facts import store_facts
+    return store_facts(_store_fact(spark, d), X.register_raw(spark, d), MONTH,
+                       comparable=False, as_of=X.AS_OF)
+
+
+@query("closure_buckets")
+def q_closure_buckets(spark, d):
+    from comparo.plans.store_facts import register_physical
+    reg = register_physical(X.register_raw(spark, d), order="row_order", as_of=X.AS_OF)
+    return reg.select("store_id", "name", "format", "close_date", "life")
+
+
+@query("register_first_per_key")
+def q_register_first_per_key(spark, d):
+    from comparo.operators.joins import first_per_key
+    raw = X.register_raw(spark, d).select("store_id", "name", "org", "row_order")
+    return first_per_key(raw, "store_id", "row_order").na.drop(subset=["store_id", "name"])

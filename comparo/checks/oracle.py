@@ -119,3 +119,86 @@ for _g, _keys in _GS:
     _branches.append(f"SELECT '{_g}' AS grain, {sel}, year, measure, "
                      f"CAST(sum(value) AS DOUBLE) AS value FROM cube WHERE {where} GROUP BY {by}")
 ORACLE["report_grouping_sets"] = with_(*BASE, YTD_CUBE) + "\nUNION ALL\n".join(_branches)
+
+# -- growth policies -----------------------------------------------------------------
+from comparo.checks.sqlparts import growth as _g  # noqa: E402
+
+_SF = with_(*BASE, MONTH_CUBE, "sf AS (" + growth_report(
+    ["store", "family"], Y, P, resum=True) + ")")
+ORACLE["growth_zero_policies"] = _SF + f"""SELECT store, family, measure, base, current,
+  {_g('base', 'current')} AS growth_inf,
+  {_g('base', 'current', zero_base='null')} AS growth_null,
+  {_g('base', 'current', scale=1, digits=None, zero_base='zero')} AS growth_zero FROM sf"""
+ORACLE["growth_rounding"] = _SF + f"""SELECT store, family,
+  measure, {_g('base', 'current', digits=1)} AS pct_1, {_g('base', 'current', digits=2)} AS pct_2,
+  {_g('base', 'current', scale=1, digits=3)} AS frac_3,
+  {_g('base', 'current', scale=1, digits=None)} AS frac FROM sf"""
+
+# -- comparison series -----------------------------------------------------------------
+HY = X.HISTORY_YEARS
+_CMP_CUBE = cube_cte(HY, MC, "TRUE")
+_MONTHS_ES = "['Enero', 'Febrero', 'Marzo', 'Abril', 'Mayo', 'Junio', 'Julio', 'Agosto', " \
+             "'Septiembre', 'Octubre', 'Noviembre', 'Diciembre']"
+
+
+def _series_sql(dims, trunc):
+    keys = ", ".join(["month", *dims, "measure"])
+    ycols = ", ".join(f"CAST(sum(value) FILTER (WHERE year = {y}) AS DOUBLE) AS y{y}" for y in HY)
+    ysel = ", ".join((f"CAST(CAST(trunc(y{y}) AS BIGINT) AS DOUBLE) AS y{y}" if trunc else f"y{y}")
+                     for y in HY)
+    arms = []
+    for b, c in X.PAIRS:
+        arms.append(f"SELECT {keys}, {ysel}, 'growth {c}' AS series, "
+                    f"{_g(f'y{b}', f'y{c}')} AS value, "
+                    f"lpad(CAST(month AS VARCHAR), 2, '0') || '-' || right('{c}', 2) AS period, "
+                    f"{_MONTHS_ES}[month] AS month_name FROM w")
+    store = "store, " if dims else "'Total Formato' AS store, "
+    body = "\nUNION ALL\n".join(arms)
+    return (f"(WITH w AS (SELECT {keys}, {ycols} FROM cube GROUP BY {keys}) "
+            f"SELECT {store}* EXCLUDE ({'store' if dims else 'month'}) "
+            f"{', month' if not dims else ''} FROM ({body}))")
+
+
+_TOTAL = _series_sql([], False)
+_STORE = _series_sql(["store"], True)
+_CMPB = with_(*BASE, _CMP_CUBE)
+ORACLE["comparison_total_series"] = _CMPB + f"SELECT * FROM {_TOTAL}"
+ORACLE["comparison_store_series"] = _CMPB + f"SELECT * FROM {_STORE}"
+ORACLE["comparison_union"] = _CMPB + f"SELECT * FROM {_STORE} UNION ALL BY NAME SELECT * FROM {_TOTAL}"
+_sel = in_list([f"{k}-Supplier#{k:09d}" for k in (1, 2, 3)] + ["Total Formato"])
+ORACLE["comparison_selected"] = _CMPB + f"""SELECT * FROM (SELECT * FROM {_STORE}
+  UNION ALL BY NAME SELECT * FROM {_TOTAL}) WHERE store IN ({_sel}) AND measure = 'VCT'"""
+
+# -- store facts -------------------------------------------------------------------------
+_REG_PHYS = """reg AS (
+  SELECT store_id, name, open_date, m_salon, province, jul, close_raw,
+         try_strptime(close_raw, '%m/%d/%Y')::DATE AS close_date,
+         CASE WHEN org = 'express' THEN 'proximidad' ELSE org END AS format
+  FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY row_order) AS rn
+        FROM (SELECT * REPLACE (lower(org) AS org) FROM register_raw)
+        WHERE org IN ('express', 'hipermercado', 'market', 'maxi'))
+  WHERE rn = 1 AND store_id IS NOT NULL AND name IS NOT NULL AND open_date IS NOT NULL)"""
+_AS_OF = f"DATE '{X.AS_OF}'"
+_LIFE = f"""CASE WHEN close_date IS NULL THEN 'Tienda Abierta'
+  WHEN {_AS_OF} - close_date > 1095 THEN 'Tienda cerrada por más de tres años'
+  WHEN {_AS_OF} - close_date > 730 THEN 'Tienda cerrada por más de dos años'
+  WHEN {_AS_OF} - close_date > 365 THEN 'Tienda cerrada por más de un año'
+  ELSE 'Tienda cerrada por menos de un año' END"""
+_FACTS = f"""SELECT f.year, f.month, f.format, f.store_id, f.store, f.measure, f.value,
+  strftime(r.open_date, '%d/%m/%Y') AS open_date, r.close_date,
+  CAST(r.m_salon AS DOUBLE) AS m_salon, r.province, r.jul AS surface,
+  coalesce(r.life, 'Tienda Abierta') AS life, {_MONTHS_ES}[f.month] AS month_name
+  FROM (SELECT year, month, lower(format) AS format, store_id, store, measure,
+               CAST(sum(value) AS DOUBLE) AS value FROM measures
+        GROUP BY year, month, lower(format), store_id, store, measure) f
+  LEFT JOIN (SELECT *, {_LIFE} AS life FROM reg) r
+    ON f.store_id = r.store_id AND f.format = r.format
+  WHERE f.format IN ('hipermercado', 'maxi', 'market', 'proximidad')"""
+ORACLE["join_export_all"] = with_(*BASE, REGISTER_RAW, _REG_PHYS) + _FACTS
+ORACLE["join_export_comparable"] = with_(*BASE, REGISTER_RAW, _REG_PHYS) + \
+    f"SELECT * FROM ({_FACTS}) WHERE surface = 'SC'"
+ORACLE["closure_buckets"] = with_(REGISTER, REGISTER_RAW, _REG_PHYS) + \
+    f"SELECT store_id, name, format, close_date, {_LIFE} AS life FROM reg"
+ORACLE["register_first_per_key"] = with_(REGISTER, REGISTER_RAW) + """SELECT store_id, name,
+  org FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY row_order) AS rn
+  FROM register_raw) WHERE rn = 1 AND store_id IS NOT NULL AND name IS NOT NULL"""

@@ -125,7 +125,7 @@ def cube_cte(years, month_col: str, where: str, cols=("province",)) -> str:
     c = "".join(f", r.{x}" for x in cols)
     return f"""cube AS (
   SELECT m.*{c} FROM measures m JOIN ({reg}) r ON m.store_id = r.store_id
-  WHERE m.year IN ({years[0]}, {years[1]}) AND {where})"""
+  WHERE m.year IN ({', '.join(str(y) for y in years)}) AND {where})"""
 
 
 def growth_report(dims, years, measures=("VCT", "VOL", "DEB"), resum=False, wide=None,
