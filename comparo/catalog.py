@@ -245,3 +245,100 @@ def q_register_first_per_key(spark, d):
     from comparo.operators.joins import first_per_key
     raw = X.register_raw(spark, d).select("store_id", "name", "org", "row_order")
     return first_per_key(raw, "store_id", "row_order").na.drop(subset=["store_id", "name"])
+
+
+# -- briefing (RPT-8) and rolling-period briefing (RPT-9) --------------------------------
+
+def _lower_measure(df):
+    return df.withColumn("measure", F.lower("measure"))
+
+
+def _brief_scope(df, rolling: bool):
+    from comparo.functions.dates import lit_date, month_start, period_split
+    if not rolling:
+        return df.filter((F.col("month") == X.BRIEF_MONTH) & F.col("year").isin(*X.BRIEF_YEARS))
+    ms = month_start("year", "month")
+    df = df.filter((ms >= lit_date(X.ROLLING_FROM)) & (ms < lit_date(X.AS_OF)))
+    return df.withColumn("period", period_split(ms, X.AS_OF, new=X.PERIOD_NEW, old=X.PERIOD_OLD))
+
+
+def brief_inputs(spark, d, rolling: bool = False):
+    """(store fact, sector fact, units-by-family fact) of the briefing period."""
+    lines = X.lines(spark, d)
+    m = _brief_scope(measures(spark, d), rolling)
+    keys = ["year", "month", "format", "store_id", "store"] + (["period"] if rolling else [])
+    store = _lower_measure(m.groupBy(*keys, "measure").agg(F.sum("value").alias("value")))
+    prod = m.filter(F.col("measure") != L.TICKETS)
+    sec = prod.groupBy(*keys, "sector", "measure").agg(F.sum("value").alias("value"))
+    tsec = _brief_scope(lines, rolling).groupBy(*keys, "sector").agg(
+        F.countDistinct("order_key").cast("decimal(38,6)").alias("value")).withColumn(
+        "measure", F.lit(L.TICKETS))
+    sector = _lower_measure(sec.unionByName(tsec))
+    family = _lower_measure(m.filter(F.col("measure") == L.UNITS))
+    return store, sector, family
+
+
+def _axis(rolling):
+    return ("period", (X.PERIOD_OLD, X.PERIOD_NEW)) if rolling else ("year", X.BRIEF_YEARS)
+
+
+def _brief(kind: str, comparable: bool = True, rolling: bool = False):
+    def fn(spark, d):
+        from comparo.plans import briefing as B
+        reg = X.register(spark, d)
+        store, sector, family = brief_inputs(spark, d, rolling)
+        if comparable:
+            store = B.comparable_slice(store, reg, X.BRIEF_MONTH)
+            sector = B.comparable_slice(sector, reg, X.BRIEF_MONTH)
+            family = B.comparable_slice(family, reg, X.BRIEF_MONTH)
+        axis, labels = _axis(rolling)
+        if kind == "store":
+            return B.store_growth(store, axis, labels)
+        if kind == "format":
+            return B.format_growth(store, axis, labels)
+        if kind == "store_sector":
+            return B.store_sector_growth(sector, axis, labels)
+        if kind == "format_sector":
+            return B.format_sector_matrix(sector, X.SECTORS, axis, labels)
+        if kind == "store_sector_matrix":
+            return B.store_sector_matrix(sector, store, X.SECTORS, axis, labels)
+        if kind == "consolidated":
+            return B.consolidated_matrix(sector, store, X.SECTORS, axis, labels)
+        if kind == "family":
+            return B.family_contribution(family, axis, labels)
+        if kind == "four_levels":
+            return B.four_levels(store, sector, axis, labels)
+        raise KeyError(kind)
+    return fn
+
+
+query("briefing_store_comparable")(_brief("store"))
+query("briefing_store_all")(_brief("store", comparable=False))
+query("briefing_format")(_brief("format"))
+query("briefing_format_all")(_brief("format", comparable=False))
+query("briefing_format_sector")(_brief("format_sector"))
+query("briefing_store_sector_matrix")(_brief("store_sector_matrix"))
+query("briefing_consolidated_matrix")(_brief("consolidated"))
+query("briefing_family_contribution")(_brief("family"))
+query("briefing_four_levels")(_brief("four_levels"))
+query("period_split_store")(_brief("store", rolling=True))
+query("period_split_format")(_brief("format", rolling=True))
+query("period_split_sector")(_brief("store_sector", rolling=True))
+query("period_split_family")(_brief("family", rolling=True))
+
+
+def _history(comparable: bool):
+    def fn(spark, d):
+        from comparo.plans import briefing as B
+        m = measures(spark, d)
+        hist = _lower_measure(m.filter(F.col("year").isin(*X.BRIEF_HISTORY_YEARS))
+                              .groupBy("year", "month", "format", "store_id", "store", "measure")
+                              .agg(F.sum("value").alias("value")))
+        reg = X.register(spark, d) if comparable else None
+        return B.history_growth(hist, X.BRIEF_HISTORY_YEARS, X.BRIEF_PAIRS, X.CURRENT_YEAR,
+                                X.BRIEF_MONTH, register=reg, month=X.BRIEF_MONTH)
+    return fn
+
+
+query("history_growth_comparable")(_history(True))
+query("history_growth_all")(_history(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from comparo.checks.sqlparts import (LINES, MEASURES, REGISTER, REGISTER_RAW, comparable_register,
+from comparo.checks.sqlparts import (LINES, MEASURES, REGISTER, REGISTER_RAW, comparable_register, lit,
                                      cube_cte, growth_report, in_list, measures_cte, with_)
 from comparo.sources import proxy as X
 
@@ -202,3 +202,144 @@ ORACLE["closure_buckets"] = with_(REGISTER, REGISTER_RAW, _REG_PHYS) + \
 ORACLE["register_first_per_key"] = with_(REGISTER, REGISTER_RAW) + """SELECT store_id, name,
   org FROM (SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY row_order) AS rn
   FROM register_raw) WHERE rn = 1 AND store_id IS NOT NULL AND name IS NOT NULL"""
+
+# -- briefing --------------------------------------------------------------------------
+from comparo.checks.sqlparts import growth_report as _gr  # noqa: E402
+
+BM3 = ("deb", "vct", "vol")
+_CREG = ("creg AS (SELECT store_id FROM register WHERE store_id IS NOT NULL AND name IS NOT NULL "
+         "AND jul IS NOT NULL AND jul = 'SC')")
+_CUT = "TIMESTAMP '2001-08-01 00:00:00' - INTERVAL 182 DAY - INTERVAL 12 HOUR"
+
+
+def _brief_ctes(rolling: bool, comparable: bool):
+    if rolling:
+        ms = "make_date(year, month, 1)"
+        scope = f"{ms} >= DATE '{X.ROLLING_FROM}' AND {ms} < DATE '{X.AS_OF}'"
+        per = (f", CASE WHEN CAST({ms} AS TIMESTAMP) > {_CUT} THEN '{X.PERIOD_NEW}' "
+               f"ELSE '{X.PERIOD_OLD}' END AS period")
+        k = "year, month, format, store_id, store, period"
+    else:
+        scope = f"month = {X.BRIEF_MONTH} AND year IN {tuple(X.BRIEF_YEARS)}"
+        per = ""
+        k = "year, month, format, store_id, store"
+    j = "JOIN creg USING (store_id)" if comparable else ""
+    return [
+        _CREG,
+        f"bm AS (SELECT *{per} FROM measures WHERE {scope})",
+        f"bl AS (SELECT *{per} FROM lines WHERE {scope})",
+        f"sf0 AS (SELECT {k}, lower(measure) AS measure, sum(value) AS value FROM bm "
+        f"GROUP BY {k}, lower(measure))",
+        f"sec0 AS (SELECT {k}, sector, lower(measure) AS measure, sum(value) AS value FROM bm "
+        f"WHERE measure <> 'DEB' GROUP BY {k}, sector, lower(measure) UNION ALL "
+        f"SELECT {k}, sector, 'deb', CAST(count(DISTINCT order_key) AS DECIMAL(38,6)) FROM bl "
+        f"GROUP BY {k}, sector)",
+        f"fam0 AS (SELECT * REPLACE (lower(measure) AS measure) FROM bm WHERE measure = 'VOL')",
+        f"store_x AS (SELECT sf0.* FROM sf0 {j})",
+        f"sector_x AS (SELECT sec0.* FROM sec0 {j})",
+        f"family_x AS (SELECT fam0.* FROM fam0 {j})",
+    ]
+
+
+def _brief_sql(kind, comparable=True, rolling=False):
+    axis, lab = (("period", (X.PERIOD_OLD, X.PERIOD_NEW)) if rolling else ("year", X.BRIEF_YEARS))
+    kw = dict(measures=BM3, digits=3, scale=1, axis=axis)
+    ctes = with_(LINES, REGISTER, MEASURES, *_brief_ctes(rolling, comparable))
+    store = _gr(["format", "store_id", "store"], lab, src="store_x", **kw)
+    fmt = _gr(["format"], lab, resum=True, require=("store_id", "store"), src="store_x", **kw)
+    ss = _gr(["format", "store_id", "store", "sector"], lab, src="sector_x", **kw)
+    fs = _gr(["format", "sector"], lab, resum=True, require=("store_id", "store"),
+             src="sector_x", **kw)
+    if kind == "store":
+        return ctes + store
+    if kind == "format":
+        return ctes + fmt
+    if kind == "store_sector":
+        return ctes + ss
+    if kind == "format_sector":
+        cols = ", ".join(f"coalesce(sum(growth) FILTER (WHERE sector = '{s}'), 0.0) AS {s}"
+                         for s in X.SECTORS)
+        return ctes + f"SELECT format, measure, {cols} FROM ({fs}) GROUP BY format, measure"
+    if kind == "store_sector_matrix":
+        cols = ", ".join(f"coalesce(sum(growth) FILTER (WHERE sector = '{s}'), 0.0) AS {s}"
+                         for s in X.SECTORS)
+        return ctes + f"""SELECT w.* EXCLUDE (store_id), t.format,
+          coalesce(t.growth, 0.0) AS total_store
+          FROM (SELECT store_id, store, measure, {cols} FROM ({ss})
+                GROUP BY store_id, store, measure) w
+          LEFT JOIN ({store}) t ON w.store_id = t.store_id AND w.measure = t.measure"""
+    if kind == "consolidated":
+        keys = [f"{m}_{s}" for m in BM3 for s in [*X.SECTORS, "Total"]]
+        cols = ", ".join(
+            f"CASE WHEN count(*) FILTER (WHERE k = '{k}') > 0 THEN "
+            f"coalesce(sum(growth) FILTER (WHERE k = '{k}'), 0.0) END AS {k}" for k in keys)
+        return ctes + f"""SELECT format, store, {cols} FROM (
+          SELECT format, store, measure || '_' || sector AS k, growth FROM ({ss})
+          UNION ALL SELECT format, store, measure || '_Total', growth FROM ({store}))
+          GROUP BY format, store"""
+    if kind == "family":
+        b = f"sum(value) FILTER (WHERE {axis} = {lit(lab[0])})"
+        c = f"CAST(sum(value) FILTER (WHERE {axis} = {lit(lab[1])}) AS DOUBLE)"
+        return ctes + f"""SELECT format, family, section, measure, CAST(b AS DOUBLE) AS base,
+          current, current - CAST(b AS DOUBLE) AS gap,
+          CASE WHEN current IS NULL THEN 0.0
+               WHEN b = 0 THEN CASE WHEN current < 0 THEN CAST('-inf' AS DOUBLE) ELSE 0.0 END
+               ELSE current / CAST(b AS DOUBLE) - 1 END AS growth,
+          CASE WHEN current IS NULL THEN 0.0
+               WHEN tot = 0 THEN CASE WHEN current - CAST(b AS DOUBLE) > 0 THEN CAST('inf' AS DOUBLE)
+                                      WHEN current - CAST(b AS DOUBLE) < 0 THEN CAST('-inf' AS DOUBLE)
+                                      ELSE 0.0 END
+               ELSE (current - CAST(b AS DOUBLE)) / CAST(tot AS DOUBLE) END AS contribution
+          FROM (SELECT *, sum(b) OVER (PARTITION BY format) AS tot FROM (
+                  SELECT format, family, section, measure,
+                         coalesce({b}, CAST(0 AS DECIMAL(38,6))) AS b, {c} AS current
+                  FROM family_x WHERE {axis} IN ({lit(lab[0])}, {lit(lab[1])})
+                    AND format IS NOT NULL AND family IS NOT NULL AND section IS NOT NULL
+                    AND measure IS NOT NULL
+                  GROUP BY format, family, section, measure))"""
+    if kind == "four_levels":
+        def sel(q, level, has_store, has_sector):
+            sid = "store_id" if has_store else "CAST(NULL AS BIGINT) AS store_id"
+            st = "store" if has_store else "CAST(NULL AS VARCHAR) AS store"
+            sec = "sector" if has_sector else "CAST(NULL AS VARCHAR) AS sector"
+            return (f"SELECT '{level}' AS level, format, {sid}, {st}, measure, {sec}, "
+                    f"base, current, growth FROM ({q})")
+        return ctes + "\nUNION ALL\n".join([
+            sel(store, "tienda", True, False), sel(fmt, "formato", False, False),
+            sel(ss, "tienda_sector", True, True), sel(fs, "formato_sector", False, True)])
+    raise KeyError(kind)
+
+
+for _k, _args in {
+    "briefing_store_comparable": ("store",), "briefing_store_all": ("store", False),
+    "briefing_format": ("format",), "briefing_format_all": ("format", False),
+    "briefing_format_sector": ("format_sector",),
+    "briefing_store_sector_matrix": ("store_sector_matrix",),
+    "briefing_consolidated_matrix": ("consolidated",),
+    "briefing_family_contribution": ("family",), "briefing_four_levels": ("four_levels",),
+    "period_split_store": ("store", True, True), "period_split_format": ("format", True, True),
+    "period_split_sector": ("store_sector", True, True),
+    "period_split_family": ("family", True, True),
+}.items():
+    ORACLE[_k] = _brief_sql(*_args)
+
+
+def _history_sql(comparable):
+    hy = X.BRIEF_HISTORY_YEARS
+    j = "JOIN creg USING (store_id)" if comparable else ""
+    ycols = ", ".join(f"CAST(sum(value) FILTER (WHERE year = {y}) AS DOUBLE) AS y{y}" for y in hy)
+    gcols = ", ".join(f"{_g(f'y{b}', f'y{c}', scale=1, digits=3)} AS growth_{c}"
+                      for b, c in X.BRIEF_PAIRS)
+    return with_(LINES, REGISTER, MEASURES, _CREG) + f"""SELECT format, month, measure,
+      {', '.join(f'y{y}' for y in hy)}, {gcols}, {_MONTHS_ES}[month] AS month_name FROM (
+      SELECT format, month, measure, {ycols} FROM (
+        SELECT h.* FROM (SELECT year, month, format, store_id, store, lower(measure) AS measure,
+                                sum(value) AS value FROM measures WHERE year IN {tuple(hy)}
+                         GROUP BY year, month, format, store_id, store, lower(measure)) h {j})
+      WHERE make_date(year, month, 1) <= DATE '{X.CURRENT_YEAR}-{X.BRIEF_MONTH:02d}-01'
+        AND format IS NOT NULL AND month IS NOT NULL AND measure IS NOT NULL
+      GROUP BY format, month, measure)"""
+
+
+ORACLE["history_growth_comparable"] = _history_sql(True)
+ORACLE["history_growth_all"] = _history_sql(False)

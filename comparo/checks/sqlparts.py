@@ -128,21 +128,27 @@ def cube_cte(years, month_col: str, where: str, cols=("province",)) -> str:
   WHERE m.year IN ({', '.join(str(y) for y in years)}) AND {where})"""
 
 
+def lit(v) -> str:
+    return f"'{v}'" if isinstance(v, str) else str(v)
+
+
 def growth_report(dims, years, measures=("VCT", "VOL", "DEB"), resum=False, wide=None,
-                  digits=1, fill=None, require=(), src="cube") -> str:
+                  digits=1, fill=None, require=(), src="cube", axis="year", scale=100) -> str:
     """Two-step growth table: long (dims, measure) sums with growth, then an
     optional pivot of measures into <measure>_<metric> columns."""
     dims = list(dims)
     keys = dims + ["measure"]
     notnull = " AND ".join(f"{k} IS NOT NULL" for k in dict.fromkeys(keys + list(require)))
     by = ", ".join(keys)
-    b = f"CAST(sum(value) FILTER (WHERE year = {years[0]}) AS DOUBLE)"
-    c = f"CAST(sum(value) FILTER (WHERE year = {years[1]}) AS DOUBLE)"
+    b = f"CAST(sum(value) FILTER (WHERE {axis} = {lit(years[0])}) AS DOUBLE)"
+    c = f"CAST(sum(value) FILTER (WHERE {axis} = {lit(years[1])}) AS DOUBLE)"
     if resum:
         b, c = f"coalesce({b}, 0.0)", f"coalesce({c}, 0.0)"
-    long = (f"SELECT {by}, base, current, {growth('base', 'current', digits=digits)} AS growth "
+    long = (f"SELECT {by}, base, current, "
+            f"{growth('base', 'current', scale=scale, digits=digits)} AS growth "
             f"FROM (SELECT {by}, {b} AS base, {c} AS current FROM {src} "
-            f"WHERE year IN ({years[0]}, {years[1]}) AND measure IN ({in_list(measures)}) "
+            f"WHERE {axis} IN ({lit(years[0])}, {lit(years[1])}) "
+            f"AND measure IN ({in_list(measures)}) "
             f"AND {notnull} GROUP BY {by})")
     if wide is None:
         if fill is not None:

@@ -139,3 +139,13 @@ def register_raw(spark: SparkSession, d: str) -> DataFrame:
                .withColumn("name", F.lit(None).cast("string"))
                .withColumn("row_order", key * 2 - 1))
     return orig.unionByName(later).unionByName(earlier)
+
+# Briefing: one month of two years, sectors of the proxy, monthly history.
+BRIEF_YEARS = (2000, 2001)
+BRIEF_MONTH = 7
+SECTORS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+BRIEF_HISTORY_YEARS = (1999, 2000, 2001)
+BRIEF_PAIRS = ((1999, 2000), (2000, 2001))
+# Rolling-period briefing: the twelve months before AS_OF, split at AS_OF - 182.5 days.
+ROLLING_FROM = "2000-08-01"
+PERIOD_OLD, PERIOD_NEW = "periodo viejo", "periodo nuevo"
