@@ -342,3 +342,65 @@ def _history(comparable: bool):
 
 query("history_growth_comparable")(_history(True))
 query("history_growth_all")(_history(False))
+
+
+# -- Sunday extended hours (RPT-10) ------------------------------------------------------
+
+def _slots(spark, d):
+    from comparo.plans import hours as H
+    return H.slot_sales(X.slot_sales_wide(spark, d))
+
+
+@query("unpivot_stores")
+def q_unpivot_stores(spark, d):
+    return _slots(spark, d).withColumn("vct", F.col("vct").cast("double"))
+
+
+@query("sundays_per_month")
+def q_sundays_per_month(spark, d):
+    from comparo.plans import hours as H
+    return H.sundays_per_month(H.sundays(_slots(spark, d)))
+
+
+@query("outside_hours_sales")
+def q_outside_hours_sales(spark, d):
+    from comparo.plans import hours as H
+    hl = H.monthly_long(X.authorised_hours_wide(spark, d), "horas")
+    return H.outside_hours_sales(H.sundays(_slots(spark, d)), H.opening(hl))
+
+
+@query("hours_metrics")
+def q_hours_metrics(spark, d):
+    from comparo.plans import hours as H
+    hl = H.monthly_long(X.authorised_hours_wide(spark, d), "horas")
+    return H.hours_metrics(hl, H.sundays_per_month(H.sundays(_slots(spark, d))))
+
+
+@query("baseline_hours")
+def q_baseline_hours(spark, d):
+    from comparo.plans import hours as H
+    return H.baseline_hours(H.monthly_long(X.authorised_hours_wide(spark, d), "horas"))
+
+
+@query("margin_ratio")
+def q_margin_ratio(spark, d):
+    from comparo.plans import hours as H
+    return H.margin(X.margin_long(spark, d))
+
+
+def _operating(spark, d):
+    from comparo.plans import hours as H
+    return H.operating_result(X.slot_sales_wide(spark, d), X.staff_cost_wide(spark, d),
+                              X.authorised_hours_wide(spark, d), X.margin_long(spark, d))
+
+
+@query("operating_result")
+def q_operating_result(spark, d):
+    return _operating(spark, d)
+
+
+@query("hours_wide")
+def q_hours_wide(spark, d):
+    from comparo.plans import hours as H
+    months = H.MONTHS_LOWER
+    return H.order_by_last_month(H.hours_wide(_operating(spark, d), months), months)

@@ -343,3 +343,112 @@ def _history_sql(comparable):
 
 ORACLE["history_growth_comparable"] = _history_sql(True)
 ORACLE["history_growth_all"] = _history_sql(False)
+
+# -- Sunday extended hours -----------------------------------------------------------
+_N = X.N_SLOT_STORES
+_SLOTS = f"""slots AS (
+  SELECT user_id % {_N} AS store_id,
+         CAST(user_id % {_N} AS VARCHAR) || ' Supplier#' || lpad(CAST(user_id % {_N} AS VARCHAR), 9, '0')
+           AS store_label,
+         CAST(ts AS DATE) AS date, ((hour(ts) * 60 + minute(ts)) // 30) * 30 AS slot_start,
+         sum(CAST(value AS DECIMAL(12,2))) AS vct
+  FROM events WHERE event_type = 'purchase' GROUP BY ALL)"""
+_SPM = """spm AS (SELECT lower(monthname(date)) AS month, count(DISTINCT date) AS cantidad_domingos
+  FROM slots WHERE dayofweek(date) = 0 GROUP BY 1)"""
+_IDS = """ids AS (
+  SELECT s.s_suppkey AS no, s.s_name AS nombre, n.n_name AS localidad, r.r_name AS zona,
+         'GR ' || CAST(n.n_regionkey AS VARCHAR) AS "gerente regional", 'SI' AS domingos,
+         lpad(CAST(s.s_suppkey % 3 + 8 AS VARCHAR), 2, '0') || ':00 a '
+           || lpad(CAST(s.s_suppkey % 2 + 20 AS VARCHAR), 2, '0') || ':00' AS horario_anterior
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+                  JOIN region r ON n.n_regionkey = r.r_regionkey)"""
+_HOURS = """hours AS (
+  SELECT * EXCLUDE (m), lower(monthname(make_date(2024, m, 1))) AS mes,
+         CAST(((no + m) % 5) * 4 + 8 AS DOUBLE) AS horas,
+         -CAST(no % 50 + 100 + m AS DOUBLE) AS costo_hora_hombre
+  FROM (SELECT *, unnest(range(1, 13)) AS m FROM ids))"""
+_BASE_H = """bh AS (SELECT no, round_even(avg(horas) / 4.0, 2) AS horas_promedio_abril_y_mayo
+  FROM hours WHERE mes IN ('april', 'may') GROUP BY no)"""
+_HM = """hm AS (
+  SELECT h.* EXCLUDE (costo_hora_hombre), sm.cantidad_domingos,
+         round_even(h.horas / sm.cantidad_domingos, 1) AS horas_por_domingo,
+         b.horas_promedio_abril_y_mayo
+  FROM hours h LEFT JOIN spm sm ON h.mes = sm.month LEFT JOIN bh b ON h.no = b.no),
+hm2 AS (
+  SELECT *, round_even(horas_por_domingo / horas_promedio_abril_y_mayo - 1, 2)
+              AS crecimiento_horas_domingo,
+         horas_por_domingo - horas_promedio_abril_y_mayo AS horas_adicionales_por_domingo,
+         (horas_por_domingo - horas_promedio_abril_y_mayo) * cantidad_domingos
+              AS horas_adicionales_total_mes
+  FROM hm)"""
+
+
+def _mins(x):
+    return (f"(CAST(split_part({x}, ':', 1) AS INTEGER) * 60 "
+            f"+ CAST(split_part({x}, ':', 2) AS INTEGER))")
+
+
+_OPEN = f"""op AS (SELECT no, {_mins("split_part(horario_anterior, ' ', 1)")} AS open_min,
+  {_mins("split_part(horario_anterior, ' ', 3)")} AS close_min
+  FROM (SELECT DISTINCT no, horario_anterior FROM hours))"""
+_EXT = """ext AS (SELECT s.store_id AS no, lower(monthname(s.date)) AS month,
+  CAST(sum(s.vct) AS DOUBLE) AS vct
+  FROM slots s JOIN op o ON s.store_id = o.no
+  WHERE dayofweek(s.date) = 0 AND o.open_min IS NOT NULL
+    AND (s.slot_start < o.open_min OR s.slot_start >= o.close_min)
+  GROUP BY 1, 2)"""
+_MARGIN = f"""mg0 AS (SELECT strftime(ts, '%Y%m') AS Periodo, user_id % {_N} AS Tienda,
+  CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS sales,
+  CAST(sum(CAST(value AS DECIMAL(12,2))) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS margin
+  FROM events GROUP BY 1, 2),
+mg AS (SELECT CAST(Tienda AS BIGINT) AS no,
+  lower(monthname(strptime(Periodo, '%Y%m'))) AS mes,
+  coalesce(round_even(margin, 2), 0.0) AS margen_comercial,
+  round_even(coalesce(sales, 0.0), 2) AS venta_sin_tasa,
+  coalesce(CASE WHEN round_even(coalesce(sales, 0.0), 2) = 0 THEN NULL
+                ELSE round_even(round_even(margin, 2) / round_even(coalesce(sales, 0.0), 2), 2) END,
+           0.0) AS ratio_margen
+  FROM mg0)"""
+_HCTES = (_SLOTS, _SPM, _IDS, _HOURS, _BASE_H, _HM, _OPEN, _EXT, _MARGIN)
+
+ORACLE["unpivot_stores"] = with_(_SLOTS) + """SELECT store_id, store_label, date, slot_start,
+  CAST(vct AS DOUBLE) AS vct, dayname(date) AS weekday, lower(monthname(date)) AS month FROM slots"""
+ORACLE["sundays_per_month"] = with_(_SLOTS, _SPM) + "SELECT * FROM spm"
+ORACLE["outside_hours_sales"] = with_(*_HCTES) + "SELECT * FROM ext"
+ORACLE["hours_metrics"] = with_(*_HCTES) + "SELECT * FROM hm2"
+ORACLE["baseline_hours"] = with_(*_HCTES) + "SELECT * FROM bh"
+ORACLE["margin_ratio"] = with_(*_HCTES) + "SELECT * FROM mg"
+
+_H_METRICS = ["horas_autorizadas", "cantidad_domingos", "horas_por_domingo",
+              "horas_promedio_abril_y_mayo", "crecimiento_horas_domingo",
+              "horas_adicionales_por_domingo", "horas_adicionales_total_mes", "vct", "vst",
+              "ratio_margen", "margen", "gastos_variables", "costo_hora_hombre",
+              "gasto_de_personal", "roc"]
+_RES = """res AS (
+  SELECT no, nombre, localidad, zona, "gerente regional", domingos AS horario_domingo,
+         horario_anterior, mes, horas AS horas_autorizadas, cantidad_domingos, horas_por_domingo,
+         horas_promedio_abril_y_mayo, crecimiento_horas_domingo, horas_adicionales_por_domingo,
+         horas_adicionales_total_mes, vct, vst, ratio_margen, margen, gastos_variables,
+         costo_hora_hombre, gasto_de_personal,
+         round_even(margen + gastos_variables + gasto_de_personal, 2) AS roc
+  FROM (SELECT *, horas_adicionales_total_mes * costo_hora_hombre AS gasto_de_personal
+        FROM (SELECT x.*, round_even(x.vst * m.ratio_margen, 2) AS margen,
+                     -x.vst * 0.02 AS gastos_variables, c.costo_hora_hombre, m.ratio_margen
+              FROM (SELECT hm2.*, coalesce(e.vct, 0.0) AS vct,
+                           coalesce(e.vct, 0.0) * (1 - 0.2650) AS vst
+                    FROM hm2 LEFT JOIN ext e ON hm2.no = e.no AND hm2.mes = e.month) x
+              LEFT JOIN mg m ON x.no = m.no AND x.mes = m.mes
+              LEFT JOIN hours c ON x.no = c.no AND x.mes = c.mes)))"""
+_rounded = ", ".join(
+    f"round_even(CAST({m} AS DOUBLE), {2 if m in ('ratio_margen', 'crecimiento_horas_domingo') else 1})"
+    f" AS {m}" for m in _H_METRICS)
+_RES_FINAL = ("resf AS (SELECT no, nombre, localidad, zona, \"gerente regional\", horario_domingo, "
+              f"horario_anterior, mes, {_rounded} FROM res)")
+ORACLE["operating_result"] = with_(*_HCTES, _RES, _RES_FINAL) + "SELECT * FROM resf"
+_months = [m.lower() for m in ("January February March April May June July August September "
+                               "October November December").split()]
+_wide = ", ".join(f"sum({me}) FILTER (WHERE mes = '{mo}') AS {me}_{mo}"
+                  for me in _H_METRICS for mo in _months)
+ORACLE["hours_wide"] = with_(*_HCTES, _RES, _RES_FINAL) + f"""SELECT no, nombre, localidad, zona,
+  "gerente regional", horario_domingo, horario_anterior, {_wide} FROM resf
+  GROUP BY no, nombre, localidad, zona, "gerente regional", horario_domingo, horario_anterior"""

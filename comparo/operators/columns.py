@@ -37,20 +37,27 @@ def present_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[present_name(c) for c in df.columns])
 
 
-def month_header(value, translate: bool = True) -> str:
-    """Date-typed header -> '<Month> <year>' (PRJ-4); text headers unchanged."""
+def month_header(value, translate: bool = True, style: str = "month_year") -> str:
+    """Date-typed header -> '<Month> <year>' (PRJ-4), or with
+    ``style='month_lower'`` the lower-case English month ('january');
+    text headers are kept (month names translated to Spanish)."""
     if isinstance(value, (_dt.date, _dt.datetime)):
+        if style == "month_lower":
+            return L.MONTHS_EN[value.month - 1].lower()
         names = L.MONTHS_ES if translate else L.MONTHS_EN
         return f"{names[value.month - 1]} {value.year}"
     s = str(value)
     m = re.fullmatch(r"(\d{4})-(\d{2})-\d{2}(?:[ T]00:00:00)?", s.strip())
     if m:
-        return month_header(_dt.date(int(m.group(1)), int(m.group(2)), 1), translate)
+        return month_header(_dt.date(int(m.group(1)), int(m.group(2)), 1), translate, style)
+    if style == "month_lower":
+        return s.strip().lower()
     if translate:
         for en, es in zip(L.MONTHS_EN, L.MONTHS_ES):
             s = re.sub(rf"\b{en}\b", es, s)
     return s
 
 
-def rename_month_headers(df: DataFrame, translate: bool = True) -> DataFrame:
-    return df.toDF(*[month_header(c, translate) for c in df.columns])
+def rename_month_headers(df: DataFrame, translate: bool = True,
+                         style: str = "month_year") -> DataFrame:
+    return df.toDF(*[month_header(c, translate, style) for c in df.columns])

@@ -149,3 +149,100 @@ BRIEF_PAIRS = ((1999, 2000), (2000, 2001))
 # Rolling-period briefing: the twelve months before AS_OF, split at AS_OF - 182.5 days.
 ROLLING_FROM = "2000-08-01"
 PERIOD_OLD, PERIOD_NEW = "periodo viejo", "periodo nuevo"
+
+# Extended hours: stores of the half-hour report are user_id % N_SLOT_STORES;
+# staff cost / authorised hours / opening hours per supplier; 2024 months.
+HOURS_YEAR = 2024
+HOURS_IDS = ["no", "nombre", "localidad", "zona", "gerente regional", "domingos", "horario_anterior"]
+
+
+def slot_store_label(key: Column) -> Column:
+    return store_label(key, sep=" ")
+
+
+def slot_sales_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Half-hour sales report, wide: year, date_text ('5 de Enero de 2024'),
+    slot_text ('Desde 07:30 Hasta 08:00') and one locale-text column per store;
+    one 'Total' row per day."""
+    from comparo.functions.text import format_locale_decimal
+    from comparo.operators.pivots import pivot_values
+
+    ev = table(spark, d, "events").filter(F.col("event_type") == "purchase")
+    ev = ev.select(F.to_date("ts").alias("date"),
+                   ((F.hour("ts") * 60 + F.minute("ts")) / 30).cast("int").alias("slot"),
+                   (F.col("user_id") % N_SLOT_STORES).alias("store"),
+                   F.col("value").cast("decimal(12,2)").alias("v"))
+    agg = ev.groupBy("date", "slot", "store").agg(F.sum("v").alias("v"))
+    names = [f"{i} Supplier#{i:09d}" for i in range(N_SLOT_STORES)]
+    wide = pivot_values(agg, ["date", "slot"], "store", list(range(N_SLOT_STORES)), "v", names=names)
+    totals = agg.groupBy("date").agg(F.sum("v").alias("total"))
+
+    def hhmm(minutes):
+        return F.concat(F.lpad((minutes / 60).cast("int").cast("string"), 2, "0"), F.lit(":"),
+                        F.lpad((minutes % 60).cast("string"), 2, "0"))
+
+    month_es = F.get(F.array(*[F.lit(m) for m in L.MONTHS_ES]), F.month("date") - 1)
+    date_text = F.concat_ws(" ", F.dayofmonth("date").cast("string"), F.lit("de"), month_es,
+                            F.lit("de"), F.year("date").cast("string"))
+    slot_text = F.concat(F.lit("Desde "), hhmm(F.col("slot") * 30), F.lit(" Hasta "),
+                         hhmm(F.col("slot") * 30 + 30))
+    body = wide.select(F.year("date").cast("string").alias("year"), date_text.alias("date_text"),
+                       slot_text.alias("slot_text"),
+                       *[format_locale_decimal(F.col(f"`{n}`")).alias(n) for n in names])
+    tot = totals.select(F.lit("Total").alias("year"), date_text.alias("date_text"),
+                        F.lit(None).cast("string").alias("slot_text"),
+                        *[F.lit(None).cast("string").alias(n) for n in names])
+    return body.unionByName(tot)
+
+
+def _hours_ids(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    n = table(spark, d, "nation")
+    r = table(spark, d, "region")
+    j = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    k = F.col("s_suppkey")
+    opening = F.concat(F.lpad((k % 3 + 8).cast("string"), 2, "0"), F.lit(":00 a "),
+                       F.lpad((k % 2 + 20).cast("string"), 2, "0"), F.lit(":00"))
+    return j.select(k.alias("no"), F.col("s_name").alias("nombre"),
+                    F.col("n_name").alias("localidad"), F.col("r_name").alias("zona"),
+                    F.concat(F.lit("GR "), F.col("n_regionkey").cast("string")).alias("gerente regional"),
+                    F.lit("SI").alias("domingos"), opening.alias("horario_anterior"),
+                    F.when(k % 2 == 0, F.lit(None).cast("string")).otherwise(F.lit("x")).alias("notes"))
+
+
+def _month_headers():
+    return [f"{HOURS_YEAR}-{m:02d}-01 00:00:00" for m in range(1, 13)]
+
+
+def staff_cost_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Staff cost per hour, one date-headed column per month (+ a column
+    with gaps that the clean-up drops)."""
+    ids = _hours_ids(spark, d)
+    k = F.col("no")
+    return ids.select("*", *[(k % 50 + 100 + m).cast("double").alias(h)
+                             for m, h in enumerate(_month_headers(), start=1)])
+
+
+def authorised_hours_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Authorised Sunday hours per store, one date-headed column per month."""
+    ids = _hours_ids(spark, d)
+    k = F.col("no")
+    return ids.select("*", *[((k + m) % 5 * 4 + 8).cast("double").alias(h)
+                             for m, h in enumerate(_month_headers(), start=1)])
+
+
+def margin_long(spark: SparkSession, d: str) -> DataFrame:
+    """Margin export: Periodo 'YYYYMM', Tienda, heading, amount with decimal comma."""
+    ev = table(spark, d, "events")
+    g = ev.groupBy(F.date_format("ts", "yyyyMM").alias("Periodo"),
+                   (F.col("user_id") % N_SLOT_STORES).alias("Tienda")).agg(
+        F.sum(F.col("value").cast("decimal(12,2)")).alias("sales"),
+        F.sum(F.when(F.col("event_type") == "purchase", F.col("value").cast("decimal(12,2)")))
+        .alias("margin"))
+    rows = g.select("Periodo", F.col("Tienda").cast("string").alias("Tienda"),
+                    F.inline(F.array(
+                        F.struct(F.lit("VENTA SIN TASA").alias("rubro"),
+                                 F.replace(F.col("sales").cast("string"), F.lit("."), F.lit(",")).alias("importe")),
+                        F.struct(F.lit("MARGEN COMERCIAL").alias("rubro"),
+                                 F.replace(F.col("margin").cast("string"), F.lit("."), F.lit(",")).alias("importe")))))
+    return rows.filter(F.col("importe").isNotNull())
