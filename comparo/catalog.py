@@ -404,3 +404,41 @@ def q_hours_wide(spark, d):
     from comparo.plans import hours as H
     months = H.MONTHS_LOWER
     return H.order_by_last_month(H.hours_wide(_operating(spark, d), months), months)
+
+
+# -- weekday (RPT-11), market share (RPT-12), register clean-up (RPT-13) -------------------
+
+@query("weekday_enrich")
+def q_weekday_enrich(spark, d):
+    from comparo.plans.weekday import weekday_enrich
+    return weekday_enrich(X.daily_report(spark, d, with_store=False))
+
+
+@query("weekday_with_flag")
+def q_weekday_with_flag(spark, d):
+    from comparo.plans.weekday import weekday_enrich
+    return weekday_enrich(X.daily_report(spark, d), X.register(spark, d), MONTH)
+
+
+@query("share_long")
+def q_share_long(spark, d):
+    from comparo.plans.share import share_long
+    return share_long(X.share_panel(spark, d), X.OWN_BRAND)
+
+
+@query("share_last_closed_month")
+def q_share_last_closed_month(spark, d):
+    from comparo.plans.share import share_last_closed_month
+    return share_last_closed_month(X.share_panel(spark, d), X.OWN_BRAND, X.AS_OF)
+
+
+@query("share_labels")
+def q_share_labels(spark, d):
+    from comparo.plans.share import IDS, share_labels
+    return share_labels(X.share_panel(spark, d), X.OWN_BRAND).select(*IDS).dropDuplicates()
+
+
+@query("register_clean")
+def q_register_clean(spark, d):
+    from comparo.plans.register import clean_register
+    return clean_register(X.register_full(spark, d), X.AS_OF)

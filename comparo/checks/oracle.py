@@ -452,3 +452,107 @@ _wide = ", ".join(f"sum({me}) FILTER (WHERE mes = '{mo}') AS {me}_{mo}"
 ORACLE["hours_wide"] = with_(*_HCTES, _RES, _RES_FINAL) + f"""SELECT no, nombre, localidad, zona,
   "gerente regional", horario_domingo, horario_anterior, {_wide} FROM resf
   GROUP BY no, nombre, localidad, zona, "gerente regional", horario_domingo, horario_anterior"""
+
+# -- weekday, share, register clean-up ---------------------------------------------------
+_WD_ES = ("CASE dayname(date) WHEN 'Monday' THEN 'Lunes' WHEN 'Tuesday' THEN 'Martes' "
+          "WHEN 'Wednesday' THEN 'Miercoles' WHEN 'Thursday' THEN 'Jueves' "
+          "WHEN 'Friday' THEN 'Viernes' WHEN 'Saturday' THEN 'Sabado' "
+          "WHEN 'Sunday' THEN 'Domingo' END")
+
+
+def _weekday_sql(with_store):
+    sk = ", l.l_suppkey AS store" if with_store else ""
+    gb = "1, 2" if with_store else "1"
+    dia = (f"CAST(day(date) AS VARCHAR) || ' de ' || {_MONTHS_ES}[month(date)] || ' de ' "
+           f"|| CAST(year(date) AS VARCHAR)")
+    base = f"""dr AS (SELECT CAST(o.o_orderdate AS DATE) AS date{sk},
+      CAST(sum(CAST(l.l_extendedprice AS DECIMAL(12,2))) AS DOUBLE) AS ventas
+      FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey GROUP BY {gb})"""
+    cols = (f"{dia} AS dia, CAST(ventas AS DOUBLE) AS ventas, CAST(year(date) AS VARCHAR) AS year, "
+            f"{_MONTHS_ES}[month(date)] AS month_name, CAST(day(date) AS VARCHAR) AS day, date, "
+            f"dayname(date) AS weekday, {_WD_ES} AS weekday_es")
+    if not with_store:
+        return with_(base) + f"SELECT {cols} FROM dr"
+    return with_(REGISTER, base) + f"""SELECT {cols},
+      CAST(store AS VARCHAR) || ' Supplier#' || lpad(CAST(store AS VARCHAR), 9, '0') AS punto_operacional,
+      store AS no, r.jul
+      FROM dr LEFT JOIN (SELECT store_id, upper(jul) AS jul FROM register
+                         WHERE store_id IS NOT NULL AND name IS NOT NULL AND jul IS NOT NULL) r
+        ON dr.store = r.store_id"""
+
+
+ORACLE["weekday_enrich"] = _weekday_sql(False)
+ORACLE["weekday_with_flag"] = _weekday_sql(True)
+
+from comparo.checks.sqlparts import case_mod  # noqa: E402
+
+_OWN = X.OWN_BRAND
+_SP = f"""sp AS (
+  SELECT r.r_name AS area, n.n_name AS region, c.c_mktsegment AS subregion,
+    CASE WHEN c.c_nationkey % 5 = 0 THEN '3'
+         ELSE '1-' || CAST((c.c_nationkey % 3 + 1) * 200 AS VARCHAR) || '-'
+              || CAST((c.c_nationkey % 3 + 1) * 500 AS VARCHAR) END AS fm2raw,
+    CASE WHEN c.c_nationkey % 3 = 0 THEN '{_OWN}' ELSE '{X.OTHER_BRAND}' END AS marca,
+    CASE WHEN c.c_nationkey % 3 = 0 THEN '{_OWN}' ELSE '{X.OTHER_BRAND}' END || ' '
+      || {case_mod('c.c_custkey', ['EXPRESS', 'HIPER', 'MARKET', 'MAXI'])} AS fmt_raw,
+    CASE WHEN c.c_nationkey % 3 = 0 THEN CAST(c.c_nationkey AS DOUBLE) END AS succad,
+    CAST(month(o.o_orderdate) AS INTEGER) AS m,
+    CAST(sum(CAST(o.o_totalprice AS DECIMAL(14,2))) AS DOUBLE) AS v
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+       JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+  WHERE year(o.o_orderdate) = {X.SHARE_YEAR}
+  GROUP BY ALL),
+spl AS (
+  SELECT area, region, subregion,
+    CASE WHEN strpos(fm2raw, '-') > 0 THEN replace(substr(fm2raw, strpos(fm2raw, '-') + 1), '-', 'a')
+    END AS formato_m2,
+    marca,
+    CASE WHEN fmt_raw IN ({in_list([f'{_OWN} {f}' for f in ['EXPRESS', 'HIPER', 'MARKET', 'MAXI']])})
+         THEN split_part(fmt_raw, ' ', 2) ELSE fmt_raw END AS formato,
+    coalesce(nullif(CAST(CAST(trunc(succad) AS BIGINT) AS VARCHAR), '0'), 'RESTO') AS numero_operacional,
+    m, v FROM sp)"""
+
+
+_SHARE = f"""SELECT area, region, subregion, formato_m2, marca, formato, numero_operacional,
+  {_MONTHS_ES}[m] AS mes, '{X.SHARE_YEAR}' AS anio, CAST(trunc(v) AS BIGINT) AS ventas_con_tasa,
+  round_even(CAST(CAST(trunc(v) AS BIGINT) AS DOUBLE) / 1000000.0, 2) AS ventas_con_tasa_millones,
+  make_date({X.SHARE_YEAR}, m, 1) AS fecha_final
+  FROM spl WHERE v IS NOT NULL AND v <> 0"""
+ORACLE["share_long"] = with_(_SP) + _SHARE
+ORACLE["share_last_closed_month"] = with_(_SP) + f"""SELECT * FROM ({_SHARE})
+  WHERE fecha_final = CAST(date_trunc('month', DATE '{X.AS_OF}' - INTERVAL 28 DAY) AS DATE)"""
+ORACLE["share_labels"] = with_(_SP) + """SELECT DISTINCT area, region, subregion, formato_m2, marca,
+  formato, numero_operacional FROM spl"""
+
+
+def _cell_sql(i):
+    k = f"(s.s_suppkey + {i})"
+    return (f"CASE WHEN {k} % 6 = 0 THEN 0 WHEN {k} % 6 IN (1, 2, 3, 4) THEN 0 "
+            f"ELSE s.s_suppkey * 10 + {i} END")
+
+
+_M2 = ["m² pgc", "m² pft", "m² bazar", "m² electro", "m² textil", "m² pls", "m² galerias",
+       "m² parcking", "cajas"]
+_cells = {c: _cell_sql(i) for i, c in enumerate(_M2)}
+_ORGS6 = ["HIPERMERCADO", "MAXI", "Market", "Express", "E-Commerce", "Mayorista"]
+ORACLE["register_clean"] = with_(REGISTER) + f"""SELECT * FROM (
+  SELECT s.s_name AS nombre, s.s_suppkey AS "id tienda", g.open_date AS "fecha apertura",
+    {case_mod('s.s_suppkey', _ORGS6)} AS "organización",
+    'DE ' || r.r_name AS "director explotación", 'DO ' || r.r_name AS "director operacional",
+    'GR ' || n.n_name AS "director gerente regional", r.r_name AS "sub region",
+    'GT ' || s.s_name AS "director gerente tienda",
+    CASE WHEN upper(trim(CASE WHEN s.s_suppkey % 9 = 0 THEN ' Neuquén ' ELSE n.n_name END)) = 'NEUQUÉN'
+         THEN 'NEUQUEN'
+         ELSE upper(trim(CASE WHEN s.s_suppkey % 9 = 0 THEN ' Neuquén ' ELSE n.n_name END)) END
+      AS "provincia tableau",
+    g.m_salon AS "m² salón",
+    {', '.join(f'CAST({_cells[c]} AS BIGINT) AS "{c}"' for c in _M2[:7])},
+    CAST(s.s_suppkey + 1000 AS VARCHAR) AS "cod postal",
+    CAST({_cells['cajas']} AS BIGINT) AS cajas, CAST({_cells['m² parcking']} AS BIGINT) AS "m² parcking",
+    CASE WHEN g.close_raw = '-' THEN 'Activa' ELSE 'Cerrada' END AS estado,
+    '01/08/2001' AS modificacion
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey
+       JOIN region r ON n.n_regionkey = r.r_regionkey
+       JOIN register g ON s.s_suppkey = g.store_id
+  WHERE s.s_name IS NOT NULL AND g.open_date IS NOT NULL)
+  WHERE "organización" IN ('HIPERMERCADO', 'MAXI', 'Market', 'Express', 'E-Commerce')"""

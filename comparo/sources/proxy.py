@@ -246,3 +246,102 @@ def margin_long(spark: SparkSession, d: str) -> DataFrame:
                         F.struct(F.lit("MARGEN COMERCIAL").alias("rubro"),
                                  F.replace(F.col("margin").cast("string"), F.lit("."), F.lit(",")).alias("importe")))))
     return rows.filter(F.col("importe").isNotNull())
+
+# Weekday report: daily sales per store from orders.
+def daily_report(spark: SparkSession, d: str, with_store: bool = True) -> DataFrame:
+    """Daily report: 'Dia' ('5 de Enero de 1998'), optional 'Punto Operacional'
+    ('12 Supplier#...'), 'Ventas' (sales with tax)."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice")
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    dt = F.to_date("o_orderdate")
+    keys = [dt.alias("date")] + ([F.col("l_suppkey").alias("store")] if with_store else [])
+    g = j.groupBy(*keys).agg(F.sum(F.col("l_extendedprice").cast("decimal(12,2)")).alias("ventas"))
+    month_es = F.get(F.array(*[F.lit(m) for m in L.MONTHS_ES]), F.month("date") - 1)
+    dia = F.concat_ws(" ", F.dayofmonth("date").cast("string"), F.lit("de"), month_es, F.lit("de"),
+                      F.year("date").cast("string"))
+    cols = [dia.alias("Dia")]
+    if with_store:
+        cols.append(store_label(F.col("store"), sep=" ").alias("Punto Operacional"))
+    return g.select(*cols, F.col("ventas").cast("double").alias("Ventas"))
+
+
+# Market share panel: one row per (area, region, subregion, size, brand, format,
+# store), one date-headed column per month of SHARE_YEAR, plus two YTD totals.
+SHARE_YEAR = 2001
+OWN_BRAND = "PROPIA"
+OTHER_BRAND = "COMPETENCIA"
+
+
+def share_panel(spark: SparkSession, d: str) -> DataFrame:
+    from comparo.operators.pivots import pivot_values
+
+    o = table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    n = table(spark, d, "nation")
+    r = table(spark, d, "region")
+    j = (o.join(c, o.o_custkey == c.c_custkey).join(n, c.c_nationkey == n.n_nationkey)
+          .join(r, n.n_regionkey == r.r_regionkey))
+    own = F.col("c_nationkey") % 3 == 0
+    brand = F.when(own, F.lit(OWN_BRAND)).otherwise(F.lit(OTHER_BRAND))
+    fmt = F.concat(brand, F.lit(" "), by_mod(F.col("c_custkey"), L.SHARE_FORMATS))
+    size = F.when(F.col("c_nationkey") % 5 == 0, F.lit("3")).otherwise(
+        F.concat(F.lit("1-"), ((F.col("c_nationkey") % 3 + 1) * 200).cast("string"), F.lit("-"),
+                 ((F.col("c_nationkey") % 3 + 1) * 500).cast("string")))
+    succad = F.when(own, F.col("c_nationkey").cast("double"))
+    keyed = j.select(F.col("r_name").alias("AREA1_RS"), F.col("n_name").alias("AREA_SCENTIA_RS"),
+                     F.col("c_mktsegment").alias("MERCADO REPORTE"), size.alias("FORMATO_M2_RS"),
+                     brand.alias(f"MDO {OWN_BRAND}"), fmt.alias(f"BANDERA {OWN_BRAND}"),
+                     succad.alias("SUCCAD"), F.year("o_orderdate").alias("y"),
+                     F.month("o_orderdate").alias("m"), F.col("o_totalprice").cast("decimal(14,2)").alias("v"))
+    ids = ["AREA1_RS", "AREA_SCENTIA_RS", "MERCADO REPORTE", "FORMATO_M2_RS", f"MDO {OWN_BRAND}",
+           f"BANDERA {OWN_BRAND}", "SUCCAD"]
+    cur = keyed.filter(F.col("y") == SHARE_YEAR)
+    heads = [f"{SHARE_YEAR}-{m:02d}-01 00:00:00" for m in range(1, 13)]
+    wide = pivot_values(cur, ids, "m", list(range(1, 13)), "v", names=heads, drop_null=False)
+    wide = wide.select(*[F.col(f"`{c}`") for c in ids],
+                       *[F.col(f"`{h}`").cast("double").alias(h) for h in heads])
+    ytd = (keyed.filter(F.col("y").isin(SHARE_YEAR - 1, SHARE_YEAR))
+           .groupBy(*[F.col(f"`{c}`") for c in ids])
+           .agg(F.sum(F.when(F.col("y") == SHARE_YEAR - 1, F.col("v"))).cast("double").alias("YTD24"),
+                F.sum(F.when(F.col("y") == SHARE_YEAR, F.col("v"))).cast("double").alias("YTD25")))
+    return wide.join(ytd, on=ids, how="left")
+
+
+# Full store register for the clean-up (text cells with sentinels).
+REGISTER_FULL_ORGS = ["HIPERMERCADO", "MAXI", "Market", "Express", "E-Commerce", "Mayorista"]
+
+
+def _cell(key: Column, i: int) -> Column:
+    k = key + F.lit(i)
+    return (F.when(k % 6 == 0, F.lit("-")).when(k % 6 == 1, F.lit("sd"))
+            .when(k % 6 == 2, F.lit("SD")).when(k % 6 == 3, F.lit(""))
+            .when(k % 6 == 4, F.lit(None).cast("string"))
+            .otherwise((key * 10 + F.lit(i)).cast("string")))
+
+
+def register_full(spark: SparkSession, d: str) -> DataFrame:
+    s = table(spark, d, "supplier")
+    n = table(spark, d, "nation")
+    r = table(spark, d, "region")
+    j = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    k = F.col("s_suppkey")
+    reg = register(spark, d).select("store_id", "open_date", "close_raw", "m_salon")
+    j = j.join(reg, j.s_suppkey == reg.store_id)
+    m2 = ["M² PGC", "M² PFT", "M² BAZAR", "M² Electro", "M² Textil", "M² Pls", "M² GALERIAS",
+          "M² Parcking", "CAJAS"]
+    return j.select(
+        k.alias("GSX"), F.col("s_name").alias("NOMBRE"), F.col("open_date").alias("Fecha apertura"),
+        F.col("close_raw").alias("FIN DE CIERRE"),
+        by_mod(k, REGISTER_FULL_ORGS).alias("ORGANIZACIÓN "),
+        F.concat(F.lit("DE "), F.col("r_name")).alias("DIRECTOR EXPLOTACIÓN"),
+        F.concat(F.lit("DO "), F.col("r_name")).alias("DIRECTOR OPERACIONAL"),
+        F.concat(F.lit("GR "), F.col("n_name")).alias("DIRECTOR / GERENTE REGIONAL"),
+        F.col("r_name").alias("SUB REGION"),
+        F.concat(F.lit("GT "), F.col("s_name")).alias("DIRECTOR/ GERENTE TIENDA"),
+        F.col("n_name").alias("Provincia Tableau"),
+        F.col("m_salon").alias("M² SALÓN"),
+        *[_cell(k, i).alias(c) for i, c in enumerate(m2)],
+        F.when(k % 9 == 0, F.lit(" Neuquén ")).otherwise(F.col("n_name")).alias("PROVINCIA"),
+        (k + 1000).alias("COD.POSTAL"),
+    )
