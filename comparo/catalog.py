@@ -442,3 +442,160 @@ def q_share_labels(spark, d):
 def q_register_clean(spark, d):
     from comparo.plans.register import clean_register
     return clean_register(X.register_full(spark, d), X.AS_OF)
+
+
+# -- scalar functions over the tables --------------------------------------------------------
+
+@query("parse_locale_decimal")
+def q_parse_locale_decimal(spark, d):
+    from comparo.functions.text import format_locale_decimal, parse_locale_decimal
+    li = X.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(12,2)").alias("p"))
+    text = format_locale_decimal(F.col("p"))
+    return li.select("l_orderkey", "l_linenumber", text.alias("text"),
+                     parse_locale_decimal(text).cast("double").alias("value"),
+                     parse_locale_decimal(F.concat(text, F.lit("x"))).cast("double").alias("bad"))
+
+
+@query("parse_locale_int")
+def q_parse_locale_int(spark, d):
+    from comparo.functions.text import (format_locale_decimal, parse_locale_int,
+                                        parse_thousands)
+    li = X.table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("decimal(12,2)").alias("p"))
+    text = format_locale_decimal(F.col("p"))
+    tick = F.translate(F.format_number(F.col("l_orderkey") * 37, 0), ",", ".")
+    return li.select("l_orderkey", "l_linenumber",
+                     parse_locale_int(text).alias("truncated"),
+                     parse_locale_int(text, truncate=False).cast("double").alias("kept"),
+                     tick.alias("tickets_text"), parse_thousands(tick).alias("tickets"))
+
+
+@query("store_id_dash")
+def q_store_id_dash(spark, d):
+    from comparo.functions.text import store_id
+    li = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    label = X.store_label(F.col("l_suppkey"), "-")
+    return li.select("l_orderkey", "l_linenumber", label.alias("store"),
+                     store_id(label, "-").alias("store_id"))
+
+
+@query("store_id_space")
+def q_store_id_space(spark, d):
+    from comparo.functions.text import store_id
+    li = X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    label = X.store_label(F.col("l_suppkey"), " ")
+    return li.select("l_orderkey", "l_linenumber", label.alias("store"),
+                     store_id(label, " ").alias("store_id"))
+
+
+@query("month_token")
+def q_month_token(spark, d):
+    from comparo.functions.dates import month_from_name
+    from comparo.functions.text import token
+    o = X.table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    month_es = F.get(F.array(*[F.lit(m) for m in L.MONTHS_ES]), F.month("o_orderdate") - 1)
+    label = F.concat_ws(" ", month_es, F.year("o_orderdate").cast("string"))
+    return o.select("o_orderkey", label.alias("period"),
+                    month_from_name(token(label, 0)).alias("month"),
+                    token(label, 1).alias("year"), token(label, 5).alias("missing"))
+
+
+@query("period_label")
+def q_period_label(spark, d):
+    from comparo.functions.text import period_label
+    o = X.table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    return o.select("o_orderkey", period_label(F.month("o_orderdate"), F.year("o_orderdate"))
+                    .alias("period"))
+
+
+@query("time_minutes")
+def q_time_minutes(spark, d):
+    from comparo.functions.dates import opening_hours, time_minutes
+    from comparo.functions.text import slot_start
+    ev = X.table(spark, d, "events").select("event_id", "ts")
+    hhmm = F.date_format("ts", "HH:mm")
+    slot = F.concat(F.lit("Desde "), hhmm, F.lit(" Hasta 23:59"))
+    hours = F.concat(hhmm, F.lit(" a 23:30"))
+    o, c = opening_hours(hours)
+    return ev.select("event_id", hhmm.alias("hhmm"), time_minutes(hhmm).alias("minutes"),
+                     time_minutes(slot_start(slot)).alias("slot_start"),
+                     o.alias("open_min"), c.alias("close_min"))
+
+
+@query("date_parse")
+def q_date_parse(spark, d):
+    from comparo.functions.dates import format_date, parse_date
+    reg = X.register(spark, d)
+    return reg.select("store_id", "close_raw", parse_date("close_raw", "MM/dd/yyyy").alias("close_date"),
+                      format_date("open_date", "dd/MM/yyyy").alias("open_text"))
+
+
+@query("drop_null_columns")
+def q_drop_null_columns(spark, d):
+    from comparo.operators.filters import drop_null_columns
+    return drop_null_columns(X.staff_cost_wide(spark, d))
+
+
+@query("distinct_pairs")
+def q_distinct_pairs(spark, d):
+    from comparo.operators.joins import distinct_pairs
+    from comparo.plans import hours as H
+    return distinct_pairs(H.monthly_long(X.authorised_hours_wide(spark, d), "horas"),
+                          ["no", "horario_anterior"])
+
+
+# -- sources and sinks: write to the shared checkpoint folder, read back -----------------------
+
+def _scratch(spark, name):
+    import uuid
+
+    from comparo.session import checkpoint_dir
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query("csv_utf16_roundtrip")
+def q_csv_utf16_roundtrip(spark, d):
+    from comparo.functions.text import parse_locale_decimal
+    from comparo.sources.readers import read_report_csv
+    from comparo.sources.writers import write_locale_csv
+    rep = QUERIES["ytd_format"](spark, d)
+    path = write_locale_csv(rep, _scratch(spark, "csv"), title="Acumulado por formato")
+    back = read_report_csv(spark, path, rep.columns)
+    return back.select("format", "measure",
+                       *[parse_locale_decimal(c, dtype="double").alias(c)
+                         for c in ("base", "current", "growth")])
+
+
+@query("report_set_roundtrip")
+def q_report_set_roundtrip(spark, d):
+    from comparo.sources.writers import write_report_set
+    reps = monthly.monthly_reports(measures(spark, d), X.register(spark, d), YEARS, MONTH,
+                                   sort=False)
+    paths = write_report_set(reps, _scratch(spark, "reports"))
+    return spark.read.parquet(paths["store"])
+
+
+@query("append_month_idempotent")
+def q_append_month_idempotent(spark, d):
+    from comparo.plans.share import share_last_closed_month
+    from comparo.streaming.incremental import append_month
+    month = share_last_closed_month(X.share_panel(spark, d), X.OWN_BRAND, X.AS_OF)
+    path = _scratch(spark, "share")
+    append_month(month, path, "fecha_final")
+    append_month(month, path, "fecha_final")
+    back = spark.read.parquet(path)
+    return back.select(*month.columns)
+
+
+@query("overwrite_table")
+def q_overwrite_table(spark, d):
+    from comparo.plans.register import clean_register
+    from comparo.sources.writers import save_table
+    reg = clean_register(X.register_full(spark, d), X.AS_OF)
+    safe = reg.toDF(*[c.replace(" ", "_") for c in reg.columns])
+    path = _scratch(spark, "register")
+    save_table(safe, path)
+    save_table(safe, path)
+    back = spark.read.parquet(path)
+    return back.toDF(*reg.columns)

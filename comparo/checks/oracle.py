@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from comparo.checks.sqlparts import (LINES, MEASURES, REGISTER, REGISTER_RAW, comparable_register, lit,
+from comparo.checks.sqlparts import (LINES, MEASURES, REGISTER, REGISTER_RAW, comparable_register, lit, store_label,
                                      cube_cte, growth_report, in_list, measures_cte, with_)
 from comparo.sources import proxy as X
 
@@ -556,3 +556,42 @@ ORACLE["register_clean"] = with_(REGISTER) + f"""SELECT * FROM (
        JOIN register g ON s.s_suppkey = g.store_id
   WHERE s.s_name IS NOT NULL AND g.open_date IS NOT NULL)
   WHERE "organización" IN ('HIPERMERCADO', 'MAXI', 'Market', 'Express', 'E-Commerce')"""
+
+# -- scalar functions ------------------------------------------------------------------------
+_LOC = "translate(format('{:,.2f}', CAST(l_extendedprice AS DECIMAL(12,2))), ',.', '.,')"
+ORACLE["parse_locale_decimal"] = f"""SELECT l_orderkey, l_linenumber, {_LOC} AS text,
+  CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) AS value, CAST(NULL AS DOUBLE) AS bad
+  FROM lineitem"""
+ORACLE["parse_locale_int"] = """SELECT l_orderkey, l_linenumber,
+  CAST(trunc(CAST(l_extendedprice AS DECIMAL(12,2))) AS BIGINT) AS truncated,
+  CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS DOUBLE) AS kept,
+  replace(format('{:,d}', l_orderkey * 37), ',', '.') AS tickets_text, l_orderkey * 37 AS tickets
+  FROM lineitem"""
+ORACLE["store_id_dash"] = f"""SELECT l_orderkey, l_linenumber, {store_label('l_suppkey', '-')} AS store,
+  l_suppkey AS store_id FROM lineitem"""
+ORACLE["store_id_space"] = f"""SELECT l_orderkey, l_linenumber, {store_label('l_suppkey', ' ')} AS store,
+  l_suppkey AS store_id FROM lineitem"""
+ORACLE["month_token"] = f"""SELECT o_orderkey,
+  {_MONTHS_ES}[month(o_orderdate)] || ' ' || CAST(year(o_orderdate) AS VARCHAR) AS period,
+  CAST(month(o_orderdate) AS INTEGER) AS month, CAST(year(o_orderdate) AS VARCHAR) AS year,
+  CAST(NULL AS VARCHAR) AS missing FROM orders"""
+ORACLE["period_label"] = """SELECT o_orderkey,
+  lpad(CAST(month(o_orderdate) AS VARCHAR), 2, '0') || '-' || right(CAST(year(o_orderdate) AS VARCHAR), 2)
+  AS period FROM orders"""
+ORACLE["time_minutes"] = """SELECT event_id, strftime(ts, '%H:%M') AS hhmm,
+  CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS minutes,
+  CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS slot_start,
+  CAST(hour(ts) * 60 + minute(ts) AS INTEGER) AS open_min, 1410 AS close_min FROM events"""
+ORACLE["date_parse"] = with_(REGISTER) + """SELECT store_id, close_raw,
+  CAST(try_strptime(close_raw, '%m/%d/%Y') AS DATE) AS close_date,
+  strftime(open_date, '%d/%m/%Y') AS open_text FROM register"""
+_heads = ", ".join(f"""CAST(no % 50 + 100 + {m} AS DOUBLE) AS "2024-{m:02d}-01 00:00:00\""""
+                   for m in range(1, 13))
+ORACLE["drop_null_columns"] = with_(_IDS) + f"SELECT *, {_heads} FROM ids"
+ORACLE["distinct_pairs"] = with_(_IDS) + "SELECT DISTINCT no, horario_anterior FROM ids"
+
+# -- sources and sinks: the round trip must give back the source query ------------------------
+ORACLE["csv_utf16_roundtrip"] = ORACLE["ytd_format"]
+ORACLE["report_set_roundtrip"] = ORACLE["yoy_store"]
+ORACLE["append_month_idempotent"] = ORACLE["share_last_closed_month"]
+ORACLE["overwrite_table"] = ORACLE["register_clean"]

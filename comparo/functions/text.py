@@ -130,5 +130,5 @@ def as_text(c) -> Column:
 
 def format_locale_decimal(c, digits: int = 2) -> Column:
     """Number -> '1.234,50' (thousands dot, decimal comma)."""
-    s = F.format_number(as_col(c).cast("double"), digits)  # '1,234.50'
+    s = F.format_number(as_col(c), digits)  # '1,234.50'
     return F.translate(s, ",.", ".,")
