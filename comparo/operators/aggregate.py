@@ -57,11 +57,15 @@ def grouping_sets_sum(df: DataFrame, grains: dict, always=("year", "measure"),
 
 
 def partition_total(df: DataFrame, value: str, by, out: str = "total",
-                    max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Attach Σ value over the ``by`` partition to every row (AGG-5/WIN-1)."""
+                    broadcast: str = "auto", max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Attach Σ value over the ``by`` partition to every row (AGG-5/WIN-1).
+
+    A grouped sum joined back instead of a window: the sum aggregates
+    map-side, so a partition holding a third of all rows never lands in one
+    task. ``broadcast='bounded'`` when ``by`` has a fixed small domain."""
     by = [by] if isinstance(by, str) else list(by)
     totals = df.groupBy(*by).agg(F.sum(value).alias(out))
-    return attach(df, totals, on=by, how="left", max_rows=max_rows)
+    return attach(df, totals, on=by, how="left", broadcast=broadcast, max_rows=max_rows)
 
 
 def count_distinct_by(df: DataFrame, col: str, by, out: str = "n") -> DataFrame:

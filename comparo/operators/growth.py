@@ -101,7 +101,7 @@ def contribution(df: DataFrame, by, base: str = "base", gap_col: str = "gap",
     """
     from comparo.operators.aggregate import partition_total
 
-    with_total = partition_total(df, base, by, out="_total")
+    with_total = partition_total(df, base, by, out="_total", broadcast="bounded")
     return with_total.withColumn(
         out, F.coalesce(F.try_divide(F.col(gap_col).cast("double"),
                                      F.col("_total").cast("double")), F.lit(0.0))

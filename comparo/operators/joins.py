@@ -1,9 +1,17 @@
 """Joins and de-duplication.
 
-Broadcast policy: a side is broadcast only after a bounded probe proves it
-has at most ``max_rows`` rows (``limit(max_rows + 1).count()`` reads at most
-that many rows). Beyond the bound the plain join is left to the planner
-(shuffle hash / sort-merge join with AQE skew splitting).
+Broadcast policy (``broadcast=`` argument):
+
+* ``'probe'``   – dimension tables (the store register): broadcast only after
+  a bounded probe proves at most ``max_rows`` rows
+  (``limit(max_rows + 1).count()`` reads at most that many rows); beyond the
+  bound the plain join is planned.
+* ``'bounded'`` – the caller proves the size by the key domain (one row per
+  month, per store format): broadcast without a probe.
+* ``'auto'``    – intermediate results whose size grows with the data: plain
+  join. The planner broadcasts only below the static threshold, and AQE
+  re-plans to a broadcast join from the measured shuffle size at run time;
+  otherwise a shuffle join with AQE skew splitting.
 """
 
 from __future__ import annotations
@@ -25,8 +33,18 @@ def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> Da
     return F.broadcast(df) if has_at_most(df, max_rows) else df
 
 
+def _side(df: DataFrame, broadcast: str, max_rows: int) -> DataFrame:
+    if broadcast == "probe":
+        return sized_broadcast(df, max_rows)
+    if broadcast == "bounded":
+        return F.broadcast(df)
+    if broadcast == "auto":
+        return df
+    raise ValueError(f"broadcast must be probe, bounded or auto, got {broadcast!r}")
+
+
 def with_register(fact: DataFrame, register: DataFrame, on=("store_id",),
-                  how: str = "left", cols=None,
+                  how: str = "left", cols=None, broadcast: str = "probe",
                   max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """Fact ⟕ register on the store key (JN-1/2/3). ``cols`` limits the
     register columns carried over (the keys are always kept)."""
@@ -34,15 +52,14 @@ def with_register(fact: DataFrame, register: DataFrame, on=("store_id",),
     reg = register
     if cols is not None:
         reg = reg.select(*on, *[c for c in cols if c not in on])
-    return fact.join(sized_broadcast(reg, max_rows), on=on, how=how)
+    return fact.join(_side(reg, broadcast, max_rows), on=on, how=how)
 
 
-def attach(df: DataFrame, other: DataFrame, on, how: str = "left",
+def attach(df: DataFrame, other: DataFrame, on, how: str = "left", broadcast: str = "auto",
            max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """Generic attribute attach (JN-4/5/6): small sides broadcast after the
-    size probe."""
+    """Attribute attach (JN-4/5/6) under the broadcast policy above."""
     on = [on] if isinstance(on, str) else list(on)
-    return df.join(sized_broadcast(other, max_rows), on=on, how=how)
+    return df.join(_side(other, broadcast, max_rows), on=on, how=how)
 
 
 def first_per_key(df: DataFrame, key, order: str, cols=None) -> DataFrame:

@@ -119,7 +119,7 @@ def family_contribution(units_fact: DataFrame, axis: str = "year", labels=(2000,
         F.sum(F.when(F.col(axis) == labels[1], F.col("value"))).alias("_c"))
     # the format total is summed exactly (DECIMAL) before the division
     agg = agg.withColumn("_b", F.coalesce(F.col("_b"), F.lit(0).cast("decimal(38,6)")))
-    agg = partition_total(agg, "_b", "format", out="_total")
+    agg = partition_total(agg, "_b", "format", out="_total", broadcast="bounded")
     b, c = F.col("_b").cast("double"), F.col("_c").cast("double")
     growth = (F.when(c.isNull(), F.lit(0.0))
               .when(b == 0, F.when(c < 0, NEG_INF()).otherwise(F.lit(0.0)))

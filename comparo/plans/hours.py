@@ -111,7 +111,8 @@ def baseline_hours(hours_long: DataFrame, months=("april", "may"), weeks: int =
 
 def hours_metrics(hours_long: DataFrame, n_sundays: DataFrame) -> DataFrame:
     """Hours per Sunday, baseline, hour growth and extra hours (MET-4, JN-5)."""
-    h = attach(hours_long, n_sundays.withColumnRenamed("month", "mes"), on="mes")
+    h = attach(hours_long, n_sundays.withColumnRenamed("month", "mes"), on="mes",
+               broadcast="bounded")          # at most one row per month
     h = h.withColumn("horas_por_domingo",
                      F.bround(F.try_divide(F.col("horas"), F.col("cantidad_domingos")), 1))
     h = attach(h, baseline_hours(hours_long), on="no")

@@ -42,11 +42,25 @@ N_SLOT_STORES = 16
 SLOT_YEAR, SLOT_MONTH = 2024, 1
 
 
-def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+_READERS: dict = {}
 
 
-def by_mod(key: Column, labels) -> Column:
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    """Parquet reader of a driver table, created once per session and path
+    (the footer/schema read is not repeated for every query plan)."""
+    key = (id(spark), spark.sparkContext.applicationId, d, name)
+    df = _READERS.get(key)
+    if df is None:
+        df = spark.read.parquet(f"{d}/{name}.parquet")
+        _READERS[key] = df
+    return df
+
+
+def by_mod(key: str | Column, labels) -> Column:
+    """labels[key % n] as one SQL CASE expression."""
+    if isinstance(key, str):
+        whens = " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(labels))
+        return F.expr(f"CASE `{key}` % {len(labels)} {whens} END")
     return map_values(key % len(labels), {i: v for i, v in enumerate(labels)})
 
 
@@ -70,7 +84,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     return j.select(
         F.year("o_orderdate").alias("year"),
         F.month("o_orderdate").alias("month"),
-        by_mod(F.col("l_suppkey"), FORMATS).alias("format"),
+        by_mod("l_suppkey", FORMATS).alias("format"),
         F.col("l_suppkey").alias("store_id"),
         store_label(F.col("l_suppkey")).alias("store"),
         F.col("p_type").alias("sector"),
@@ -92,12 +106,10 @@ def tickets(spark: SparkSession, d: str, by_sector: bool = False) -> DataFrame:
             .agg(F.countDistinct("order_key").alias("tickets")))
 
 
-def _flag(key: Column, m: int) -> Column:
-    k = key + F.lit(m)
-    return (F.when(k % 13 == 0, F.lit(None).cast("string"))
-            .when(k % 5 == 0, F.lit("NSC"))
-            .when(k % 11 == 0, F.lit("sc"))
-            .otherwise(F.lit("SC")))
+def _flag(key: str, m: int) -> Column:
+    k = f"(`{key}` + {m})"
+    return F.expr(f"CASE WHEN {k} % 13 = 0 THEN CAST(NULL AS STRING) WHEN {k} % 5 = 0 THEN 'NSC' "
+                  f"WHEN {k} % 11 = 0 THEN 'sc' ELSE 'SC' END")
 
 
 def register(spark: SparkSession, d: str) -> DataFrame:
@@ -115,13 +127,13 @@ def register(spark: SparkSession, d: str) -> DataFrame:
         key.alias("store_id"),
         F.col("s_name").alias("name"),
         F.date_add(F.lit("1990-01-01").cast("date"), ((key * 53) % 3000).cast("int")).alias("open_date"),
-        by_mod(key, ORGS).alias("org"),
+        by_mod("s_suppkey", ORGS).alias("org"),
         F.col("n_name").alias("province"),
         F.col("r_name").alias("region"),
         F.abs(F.col("s_acctbal")).cast("decimal(12,2)").alias("m_salon"),
         F.when(closed, F.date_format(close_date, "MM/dd/yyyy")).otherwise(F.lit("-")).alias("close_raw"),
         close_date.alias("close_date"),
-        *[_flag(key, i + 1).alias(c) for i, c in enumerate(L.MONTH_COLUMNS)],
+        *[_flag("s_suppkey", i + 1).alias(c) for i, c in enumerate(L.MONTH_COLUMNS)],
     )
 
 
