@@ -599,3 +599,14 @@ def q_overwrite_table(spark, d):
     save_table(safe, path)
     back = spark.read.parquet(path)
     return back.toDF(*reg.columns)
+
+
+# -- text reports -> long fact ------------------------------------------------------------------
+
+@query("report_ingest")
+def q_report_ingest(spark, d):
+    """Locale-formatted text reports parsed back into the long fact."""
+    from comparo.plans.ingest import lines_from_report, tickets_from_report
+    lines = lines_from_report(X.sales_report_text(spark, d))
+    tickets = tickets_from_report(X.tickets_report_text(spark, d))
+    return _double(to_measures(lines, tickets, packaging=X.PACKAGING))

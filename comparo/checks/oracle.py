@@ -595,3 +595,4 @@ ORACLE["csv_utf16_roundtrip"] = ORACLE["ytd_format"]
 ORACLE["report_set_roundtrip"] = ORACLE["yoy_store"]
 ORACLE["append_month_idempotent"] = ORACLE["share_last_closed_month"]
 ORACLE["overwrite_table"] = ORACLE["register_clean"]
+ORACLE["report_ingest"] = ORACLE["measures_long"]

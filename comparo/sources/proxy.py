@@ -357,3 +357,28 @@ def register_full(spark: SparkSession, d: str) -> DataFrame:
         F.when(k % 9 == 0, F.lit(" Neuquén ")).otherwise(F.col("n_name")).alias("PROVINCIA"),
         (k + 1000).alias("COD.POSTAL"),
     )
+
+
+def sales_report_text(spark: SparkSession, d: str) -> DataFrame:
+    """The product lines written as the exported text report."""
+    from comparo.functions.text import format_locale_decimal
+
+    month_es = F.get(F.array(*[F.lit(m) for m in L.MONTHS_ES]), F.col("month") - 1)
+    return lines(spark, d).select(
+        F.col("year").cast("string").alias("Año"),
+        F.concat_ws(" ", month_es, F.col("year").cast("string")).alias("Mes"),
+        F.col("format").alias("Direccion"), F.col("store").alias("Punto Operacional"),
+        F.col("sector").alias("Sector"), F.col("section").alias("Seccion"),
+        F.col("family").alias("Grupo de Familia"),
+        format_locale_decimal(F.col("sales"), 6).alias("Ventas c/impuesto"),
+        format_locale_decimal(F.col("units"), 2).alias("Venta en Unidades"))
+
+
+def tickets_report_text(spark: SparkSession, d: str) -> DataFrame:
+    month_es = F.get(F.array(*[F.lit(m) for m in L.MONTHS_ES]), F.col("month") - 1)
+    return tickets(spark, d).select(
+        F.col("year").cast("string").alias("Año"),
+        F.concat_ws(" ", month_es, F.col("year").cast("string")).alias("Mes"),
+        F.col("format").alias("Direccion"), F.col("store").alias("Punto Operacional"),
+        F.lit("Cant. Tickets").alias("Indicadores"),
+        F.translate(F.format_number(F.col("tickets"), 0), ",", ".").alias("Cant. Tickets por Local"))
