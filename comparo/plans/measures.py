@@ -21,7 +21,8 @@ from comparo.operators.pivots import stack_measures
 STORE_KEYS = ["year", "month", "format", "store_id", "store"]
 PRODUCT_KEYS = ["sector", "section", "family"]
 LEAF_KEYS = STORE_KEYS + PRODUCT_KEYS
-VALUE_TYPE = "decimal(38,6)"
+VALUE_TYPE = "decimal(38,6)"     # summed values
+ROW_TYPE = "decimal(18,6)"       # one line: long-backed, fast to add
 
 
 def to_measures(lines: DataFrame, tickets: DataFrame | None = None, *,
@@ -33,7 +34,8 @@ def to_measures(lines: DataFrame, tickets: DataFrame | None = None, *,
     form a group); NULL product keys are kept for store-level totals."""
     keys = list(keys)
     store_keys = [k for k in keys if k not in PRODUCT_KEYS]
-    long = stack_measures(lines, keys, {L.SALES: sales, L.UNITS: units})
+    long = stack_measures(lines, keys, {L.SALES: F.col(sales).cast(ROW_TYPE),
+                                        L.UNITS: F.col(units).cast(ROW_TYPE)})
     long = long.filter(F.col("value").isNotNull())
     long = exclude_packaging(long, "family", measure=L.UNITS,
                              families=packaging, contains=packaging_token)

@@ -18,6 +18,8 @@ Nothing is sampled: every row of the source tables flows into the inputs.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,9 +80,12 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_name")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-    sales = (F.col("l_extendedprice").cast("decimal(12,2)")
-             * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
-             * (F.lit(1) + F.col("l_tax").cast("decimal(4,2)"))).cast("decimal(24,6)")
+    # Exact and long-backed: decimal(8,2) x decimal(4,2) x decimal(4,2) = decimal(18,6)
+    # (a line price is quantity x retail price, below 10^6 at every scale factor).
+    one = F.lit(Decimal("1.00"))
+    sales = (F.col("l_extendedprice").cast("decimal(8,2)")
+             * (one - F.col("l_discount").cast("decimal(3,2)"))
+             * (one + F.col("l_tax").cast("decimal(3,2)")))
     return j.select(
         F.year("o_orderdate").alias("year"),
         F.month("o_orderdate").alias("month"),
@@ -91,7 +96,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
         F.col("p_brand").alias("section"),
         F.upper("p_name").alias("family"),
         sales.alias("sales"),
-        F.col("l_quantity").cast("decimal(12,2)").alias("units"),
+        F.col("l_quantity").cast("decimal(10,2)").alias("units"),
         F.col("l_orderkey").alias("order_key"),
     )
 
