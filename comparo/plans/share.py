@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from comparo.functions import labels as L
 from comparo.functions.dates import last_closed_month, month_start
 from comparo.functions.numeric import in_millions
-from comparo.functions.text import map_values, rest_label, size_range, token
+from comparo.functions.text import map_values, rest_label, size_range
 from comparo.operators.columns import rename_month_headers
 from comparo.operators.filters import nonzero
 from comparo.operators.pivots import unpivot
@@ -47,7 +47,10 @@ def share_long(panel: DataFrame, brand: str, drop=("ytd24", "ytd25")) -> DataFra
     long = unpivot(df.select(*[F.col(f"`{c}`") for c in IDS + months]), IDS, months, "fecha",
                    "ventas_con_tasa")
     long = nonzero(long, "ventas_con_tasa")
-    mes, anio = token("fecha", 0), token("fecha", 1)
+    # '<mes> <year>' header: first and last word (plain substrings keep the
+    # projection inside whole-stage codegen)
+    mes = F.substring_index(F.col("fecha"), " ", 1)
+    anio = F.substring_index(F.col("fecha"), " ", -1)
     month_no = map_values(F.initcap(mes), {m: i + 1 for i, m in enumerate(L.MONTHS_ES)})
     v = F.col("ventas_con_tasa").cast("bigint")
     return long.select(*IDS, mes.alias("mes"), anio.alias("anio"), v.alias("ventas_con_tasa"),
