@@ -18,7 +18,7 @@ from comparo.operators.aggregate import grouping_sets_sum
 from comparo.operators.filters import comparable_predicate, exclude_packaging, physical_formats
 from comparo.operators.joins import with_register
 from comparo.plans import monthly, ytd
-from comparo.plans.measures import comparable_cube, to_measures
+from comparo.plans.measures import LEAF_KEYS, STORE_KEYS, comparable_cube, to_measures
 from comparo.sources import proxy as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,13 +34,24 @@ def query(name: str):
     return deco
 
 
-def measures(spark: SparkSession, d: str, *, contains: bool = False) -> DataFrame:
+GRAINS = {"leaf": LEAF_KEYS, "store": STORE_KEYS, "sector": STORE_KEYS + ["sector"]}
+
+
+def measures(spark: SparkSession, d: str, *, contains: bool = False,
+             grain: str = "leaf") -> DataFrame:
+    """The long fact aggregated straight from the lines at the coarsest grain
+    a report needs ('store' reports never pay for the product-leaf groups)."""
     lines = X.lines(spark, d)
     tickets = (lines.groupBy(*X.STORE_KEYS)
                .agg(F.countDistinct("order_key").alias("tickets")))
+    keys = GRAINS[grain]
     if contains:
-        return to_measures(lines, tickets, packaging_token=X.PACKAGING_TOKEN)
-    return to_measures(lines, tickets, packaging=X.PACKAGING)
+        return to_measures(lines, tickets, packaging_token=X.PACKAGING_TOKEN, keys=keys)
+    return to_measures(lines, tickets, packaging=X.PACKAGING, keys=keys)
+
+
+def _grain_for(dims) -> str:
+    return "leaf" if set(dims) & {"sector", "section", "family"} else "store"
 
 
 def _double(df: DataFrame, col: str = "value") -> DataFrame:
@@ -79,13 +90,13 @@ def _store_grain(m: DataFrame) -> DataFrame:
 @query("register_join_left")
 def q_register_join_left(spark, d):
     reg = X.register(spark, d).select("store_id", "province", F.col("jul").alias("flag"))
-    return _double(with_register(_store_grain(measures(spark, d)), reg, how="left"))
+    return _double(with_register(_store_grain(measures(spark, d, grain="store")), reg, how="left"))
 
 
 @query("register_join_store_format")
 def q_register_join_store_format(spark, d):
     from comparo.plans.store_facts import register_physical
-    fact = _store_grain(measures(spark, d)).withColumn("format", F.lower("format"))
+    fact = _store_grain(measures(spark, d, grain="store")).withColumn("format", F.lower("format"))
     fact = fact.filter(F.col("format").isin(*L.REPORT_FORMATS))
     reg = register_physical(X.register(spark, d)).select("store_id", "format", "province", "m_salon")
     out = with_register(fact, reg, on=["store_id", "format"], how="left")
@@ -94,7 +105,8 @@ def q_register_join_store_format(spark, d):
 
 @query("comparable_filter")
 def q_comparable_filter(spark, d):
-    cube = comparable_cube(_store_grain(measures(spark, d)), X.register(spark, d), MONTH)
+    cube = comparable_cube(_store_grain(measures(spark, d, grain="store")), X.register(spark, d),
+                           MONTH)
     return _double(cube)
 
 
@@ -111,8 +123,11 @@ def q_comparable_case_policy(spark, d):
 # -- monthly (RPT-1) ------------------------------------------------------------
 
 def _monthly(name):
+    grain = "leaf" if name == "leaf" else _grain_for(monthly.SPEC[name].dims)
+
     def fn(spark, d):
-        return monthly.monthly_report(measures(spark, d), X.register(spark, d), name, YEARS, MONTH)
+        return monthly.monthly_report(measures(spark, d, grain=grain), X.register(spark, d), name,
+                                      YEARS, MONTH)
     return fn
 
 
@@ -123,8 +138,12 @@ for _n in [s.name for s in monthly.SPECS] + ["leaf"]:
 # -- year to date (RPT-2 / RPT-3) -------------------------------------------------
 
 def _ytd(name):
+    spec = ytd.SINGLE_FORMAT_SPEC if name == "measure_single_format" else ytd.SPEC[name]
+    grain = _grain_for(spec.dims)
+
     def fn(spark, d):
-        return ytd.ytd_report(measures(spark, d), X.register(spark, d), name, YEARS, MONTH)
+        return ytd.ytd_report(measures(spark, d, grain=grain), X.register(spark, d), name,
+                              YEARS, MONTH)
     return fn
 
 
@@ -194,7 +213,7 @@ SELECTED_STORES = [f"{k}-Supplier#{k:09d}" for k in (1, 2, 3)]
 def _cmp(fn_name):
     def fn(spark, d):
         from comparo.plans import comparison as C
-        return getattr(C, fn_name)(measures(spark, d), X.register(spark, d), CMP_YEARS,
+        return getattr(C, fn_name)(measures(spark, d, grain="store"), X.register(spark, d), CMP_YEARS,
                                    CMP_PAIRS, MONTH)
     return fn
 
@@ -207,14 +226,15 @@ query("comparison_union")(_cmp("comparison"))
 @query("comparison_selected")
 def q_comparison_selected(spark, d):
     from comparo.plans import comparison as C
-    series = C.comparison(measures(spark, d), X.register(spark, d), CMP_YEARS, CMP_PAIRS, MONTH)
+    series = C.comparison(measures(spark, d, grain="store"), X.register(spark, d), CMP_YEARS,
+                          CMP_PAIRS, MONTH)
     return C.selected(series, SELECTED_STORES, L.SALES)
 
 
 # -- store facts (RPT-6 / RPT-7) ------------------------------------------------------------
 
 def _store_fact(spark, d):
-    m = measures(spark, d)
+    m = measures(spark, d, grain="store")
     return (m.groupBy("year", "month", "format", "store_id", "store", "measure")
              .agg(F.sum("value").cast("double").alias("value")))
 
@@ -267,9 +287,9 @@ def brief_inputs(spark, d, rolling: bool = False):
     lines = X.lines(spark, d)
     m = _brief_scope(measures(spark, d), rolling)
     keys = ["year", "month", "format", "store_id", "store"] + (["period"] if rolling else [])
-    store = _lower_measure(m.groupBy(*keys, "measure").agg(F.sum("value").alias("value")))
-    prod = m.filter(F.col("measure") != L.TICKETS)
-    sec = prod.groupBy(*keys, "sector", "measure").agg(F.sum("value").alias("value"))
+    store = _lower_measure(_brief_scope(measures(spark, d, grain="store"), rolling))
+    prod = _brief_scope(measures(spark, d, grain="sector"), rolling)
+    sec = prod.filter(F.col("measure") != L.TICKETS)
     tsec = _brief_scope(lines, rolling).groupBy(*keys, "sector").agg(
         F.countDistinct("order_key").cast("decimal(38,6)").alias("value")).withColumn(
         "measure", F.lit(L.TICKETS))
@@ -330,7 +350,7 @@ query("period_split_family")(_brief("family", rolling=True))
 def _history(comparable: bool):
     def fn(spark, d):
         from comparo.plans import briefing as B
-        m = measures(spark, d)
+        m = measures(spark, d, grain="store")
         hist = _lower_measure(m.filter(F.col("year").isin(*X.BRIEF_HISTORY_YEARS))
                               .groupBy("year", "month", "format", "store_id", "store", "measure")
                               .agg(F.sum("value").alias("value")))
