@@ -15,7 +15,7 @@ from comparo.functions.text import as_col
 __all__ = [
     "half_even", "to_number", "to_bigint", "to_double", "growth", "gap",
     "in_millions", "net_of_tax", "margin_ratio", "POS_INF", "NEG_INF",
-    "variable_cost",
+    "variable_cost", "growth_sql",
 ]
 
 def POS_INF() -> Column:
@@ -42,6 +42,26 @@ def to_bigint(c) -> Column:
     return as_col(c).try_cast("bigint")
 
 
+def growth_sql(base: str, current: str, scale: float = 100, digits: int | None = 1,
+               zero_base: str = "inf") -> str:
+    """SQL text of :func:`growth` over two column names (one expression, one
+    parse: cheap to build for wide tables)."""
+    b, c = f"CAST(`{base}` AS DOUBLE)", f"CAST(`{current}` AS DOUBLE)"
+    ratio = f"((try_divide({c}, {b}) - 1.0) * {float(scale)!r})"
+    value = f"bround({ratio}, {digits})" if digits is not None else ratio
+    if zero_base == "inf":
+        at_zero = (f"CASE WHEN {c} > 0 THEN CAST('Infinity' AS DOUBLE) "
+                   f"WHEN {c} < 0 THEN CAST('-Infinity' AS DOUBLE) ELSE CAST(NULL AS DOUBLE) END")
+    elif zero_base == "null":
+        at_zero = "CAST(NULL AS DOUBLE)"
+    elif zero_base == "zero":
+        at_zero = "0.0D"
+    else:
+        raise ValueError(f"zero_base must be inf, null or zero, got {zero_base!r}")
+    return (f"CASE WHEN {b} IS NULL OR {c} IS NULL THEN CAST(NULL AS DOUBLE) "
+            f"WHEN {b} = 0 THEN {at_zero} ELSE {value} END")
+
+
 def growth(base, current, scale: float = 100, digits: int | None = 1,
            zero_base: str = "inf") -> Column:
     """(current / base - 1) * scale, half-even rounded to ``digits``.
@@ -51,6 +71,8 @@ def growth(base, current, scale: float = 100, digits: int | None = 1,
       (0/0 -> NULL); ``'null'`` gives NULL; ``'zero'`` gives 0 for every
       non-finite result (+inf, -inf and 0/0).
     """
+    if isinstance(base, str) and isinstance(current, str):
+        return F.expr(growth_sql(base, current, scale, digits, zero_base))
     b = as_col(base).cast("double")
     c = as_col(current).cast("double")
     ratio = (F.try_divide(c, b) - F.lit(1.0)) * F.lit(float(scale))

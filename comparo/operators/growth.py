@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from comparo.functions.numeric import growth
+from comparo.functions.numeric import growth, growth_sql
 from comparo.operators.filters import drop_null_keys
 
 METRICS = ("base", "current", "growth")
@@ -36,47 +36,55 @@ def growth_table(df: DataFrame, dims, years, *, measures=("VCT", "VOL", "DEB"),
     src = df.filter(F.col(year).isin(base_y, cur_y))
     src = src.filter(F.col(measure).isin(*measures))
     src = drop_null_keys(src, list(dict.fromkeys(dims + [measure] + list(require))))
-    yv = F.col(year)
+    lit = (lambda v: f"'{v}'") if isinstance(base_y, str) else str
+    dsel = [f"`{d}`" for d in dims]
 
     def g(b, c):
-        return growth(b, c, scale=scale, digits=digits, zero_base=zero_base)
+        return growth_sql(b, c, scale=scale, digits=digits, zero_base=zero_base)
+
+    def sums(cond, alias):
+        return f"sum(CASE WHEN {cond} THEN `{value}` END) AS `{alias}`"
 
     if wide is None:
         agg = src.groupBy(*dims, measure).agg(
-            F.sum(F.when(yv == base_y, F.col(value))).alias("_b"),
-            F.sum(F.when(yv == cur_y, F.col(value))).alias("_c"))
-        b, c = F.col("_b").cast("double"), F.col("_c").cast("double")
+            F.expr(sums(f"`{year}` = {lit(base_y)}", "_b")),
+            F.expr(sums(f"`{year}` = {lit(cur_y)}", "_c")))
         if resum:
-            b, c = F.coalesce(b, F.lit(0.0)), F.coalesce(c, F.lit(0.0))
-        out = agg.select(*dims, measure, b.alias("base"), c.alias("current"),
-                         g(b, c).alias("growth"))
+            b, c = "coalesce(CAST(`_b` AS DOUBLE), 0.0D)", "coalesce(CAST(`_c` AS DOUBLE), 0.0D)"
+        else:
+            b, c = "CAST(`_b` AS DOUBLE)", "CAST(`_c` AS DOUBLE)"
+        out = agg.selectExpr(*dsel, f"`{measure}`", f"{b} AS base", f"{c} AS current")
+        out = out.withColumn("growth", F.expr(g("base", "current")))
         if fill is not None:
             out = out.na.fill(fill, subset=list(METRICS))
         return out
 
     if wide not in ("mean", "sum"):
         raise ValueError(f"wide must be None, 'mean' or 'sum', got {wide!r}")
-    mv = F.col(measure)
     aggs = []
     for m in measures:
-        aggs += [F.sum(F.when((mv == m) & (yv == base_y), F.col(value))).alias(f"_{m}_b"),
-                 F.sum(F.when((mv == m) & (yv == cur_y), F.col(value))).alias(f"_{m}_c"),
-                 F.max(mv == m).alias(f"_{m}_has")]
-    agg = src.groupBy(*dims).agg(*aggs)
-    cols = []
+        is_m = f"`{measure}` = '{m}'"
+        aggs += [sums(f"{is_m} AND `{year}` = {lit(base_y)}", f"_{m}_b"),
+                 sums(f"{is_m} AND `{year}` = {lit(cur_y)}", f"_{m}_c"),
+                 f"max({is_m}) AS `_{m}_has`"]
+    agg = src.groupBy(*dims).agg(*[F.expr(a) for a in aggs])
+    step = []
     for m in measures:
-        has = F.coalesce(F.col(f"_{m}_has"), F.lit(False))
-        b, c = F.col(f"_{m}_b").cast("double"), F.col(f"_{m}_c").cast("double")
+        b, c = f"CAST(`_{m}_b` AS DOUBLE)", f"CAST(`_{m}_c` AS DOUBLE)"
         if resum:
-            b, c = F.coalesce(b, F.lit(0.0)), F.coalesce(c, F.lit(0.0))
-        gr = g(b, c)
+            b, c = f"coalesce({b}, 0.0D)", f"coalesce({c}, 0.0D)"
+        step += [f"{b} AS `_{m}_bb`", f"{c} AS `_{m}_cc`", f"coalesce(`_{m}_has`, false) AS `_{m}_h`"]
+    mid = agg.selectExpr(*dsel, *step)
+    cols = []
+    for m in measures:
+        gr = g(f"_{m}_bb", f"_{m}_cc")
+        b, c = f"`_{m}_bb`", f"`_{m}_cc`"
         if wide == "sum":
-            b, c, gr = (F.coalesce(x, F.lit(0.0)) for x in (b, c, gr))
-        none = F.lit(None).cast("double")
-        cols += [F.when(has, b).otherwise(none).alias(f"{m}_base"),
-                 F.when(has, c).otherwise(none).alias(f"{m}_current"),
-                 F.when(has, gr).otherwise(none).alias(f"{m}_growth")]
-    out = agg.select(*dims, *cols)
+            b, c, gr = (f"coalesce({x}, 0.0D)" for x in (b, c, gr))
+        cols += [f"CASE WHEN `_{m}_h` THEN {b} END AS `{m}_base`",
+                 f"CASE WHEN `_{m}_h` THEN {c} END AS `{m}_current`",
+                 f"CASE WHEN `_{m}_h` THEN {gr} END AS `{m}_growth`"]
+    out = mid.selectExpr(*dsel, *cols)
     if fill is not None:
         out = out.na.fill(fill, subset=[f"{m}_{k}" for m in measures for k in METRICS])
     return out

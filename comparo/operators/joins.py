@@ -24,8 +24,20 @@ from pyspark.sql import functions as F
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
+_PROVEN: dict = {}
+
+
 def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Bounded probe: reads at most ``max_rows + 1`` rows. A bound proven for
+    a plan is remembered for the session (keyed by the plan's semantic hash);
+    readers are created once per session, so the same plan reads the same
+    files."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+    hit = _PROVEN.get(key)
+    if hit is None:
+        hit = df.limit(max_rows + 1).count() <= max_rows
+        _PROVEN[key] = hit
+    return hit
 
 
 def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
