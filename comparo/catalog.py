@@ -38,10 +38,11 @@ GRAINS = {"leaf": LEAF_KEYS, "store": STORE_KEYS, "sector": STORE_KEYS + ["secto
 
 
 def measures(spark: SparkSession, d: str, *, contains: bool = False,
-             grain: str = "leaf") -> DataFrame:
+             grain: str = "leaf", ranges=None) -> DataFrame:
     """The long fact aggregated straight from the lines at the coarsest grain
-    a report needs ('store' reports never pay for the product-leaf groups)."""
-    lines = X.lines(spark, d)
+    a report needs ('store' reports never pay for the product-leaf groups);
+    ``ranges`` are the report's date ranges, pushed into the orders scan."""
+    lines = X.lines(spark, d, ranges)
     tickets = (lines.groupBy(*X.STORE_KEYS)
                .agg(F.countDistinct("order_key").alias("tickets")))
     keys = GRAINS[grain]
@@ -50,6 +51,21 @@ def measures(spark: SparkSession, d: str, *, contains: bool = False,
     return to_measures(lines, tickets, packaging=X.PACKAGING, keys=keys)
 
 
+def month_ranges(years, month):
+    """[start, end) of one month in each year."""
+    nxt = lambda y: (y + 1, 1) if month == 12 else (y, month + 1)
+    return [(f"{y}-{month:02d}-01", "{}-{:02d}-01".format(*nxt(y))) for y in years]
+
+
+def ytd_ranges(years, month):
+    """[January 1st, first day after the limit month) in each year."""
+    return [(f"{y}-01-01", r[1]) for y, r in zip(years, month_ranges(years, month))]
+
+
+MONTH_RANGES = month_ranges(YEARS, MONTH)
+YTD_RANGES = ytd_ranges(YEARS, MONTH)
+
+
 def _grain_for(dims) -> str:
     return "leaf" if set(dims) & {"sector", "section", "family"} else "store"
 
@@ -126,8 +142,8 @@ def _monthly(name):
     grain = "leaf" if name == "leaf" else _grain_for(monthly.SPEC[name].dims)
 
     def fn(spark, d):
-        return monthly.monthly_report(measures(spark, d, grain=grain), X.register(spark, d), name,
-                                      YEARS, MONTH)
+        return monthly.monthly_report(measures(spark, d, grain=grain, ranges=MONTH_RANGES),
+                                      X.register(spark, d), name, YEARS, MONTH)
     return fn
 
 
@@ -142,8 +158,10 @@ def _ytd(name):
     grain = _grain_for(spec.dims)
 
     def fn(spark, d):
-        return ytd.ytd_report(measures(spark, d, grain=grain), X.register(spark, d), name,
-                              YEARS, MONTH)
+        limit = name not in ("total", "province_format")   # see ytd.ytd_report(limit_total=)
+        rng = YTD_RANGES if limit else [(f"{y}-01-01", f"{y + 1}-01-01") for y in YEARS]
+        return ytd.ytd_report(measures(spark, d, grain=grain, ranges=rng), X.register(spark, d),
+                              name, YEARS, MONTH)
     return fn
 
 
@@ -153,7 +171,8 @@ for _n in [s.name for s in ytd.SPECS] + ["measure_single_format"]:
 
 @query("leaf_detail")
 def q_leaf_detail(spark, d):
-    return ytd.leaf_detail(measures(spark, d), X.register(spark, d), YEARS, MONTH)
+    return ytd.leaf_detail(measures(spark, d, ranges=YTD_RANGES), X.register(spark, d), YEARS,
+                           MONTH)
 
 
 GS_GRAINS = {
@@ -166,7 +185,7 @@ GS_PRODUCT = ("sector", "section", "family")
 
 @query("report_grouping_sets")
 def q_report_grouping_sets(spark, d):
-    cube = ytd.ytd_cube(measures(spark, d), X.register(spark, d), YEARS, MONTH)
+    cube = ytd.ytd_cube(measures(spark, d, ranges=YTD_RANGES), X.register(spark, d), YEARS, MONTH)
     out = grouping_sets_sum(cube, GS_GRAINS, exclude={g: [L.TICKETS] for g in GS_PRODUCT})
     cols = list(dict.fromkeys(k for ks in GS_GRAINS.values() for k in ks))
     return out.select("grain", *cols, "year", "measure", F.col("value").cast("double").alias("value"))
@@ -176,7 +195,8 @@ def q_report_grouping_sets(spark, d):
 
 def _store_family_long(spark, d):
     from comparo.operators.growth import growth_table
-    cube = monthly.month_cube(measures(spark, d), X.register(spark, d), YEARS, MONTH)
+    cube = monthly.month_cube(measures(spark, d, ranges=MONTH_RANGES), X.register(spark, d),
+                              YEARS, MONTH)
     return growth_table(cube, ["store", "family"], YEARS, measures=L.PRODUCT_MEASURES,
                         resum=True).drop("growth")
 
@@ -208,12 +228,14 @@ def q_growth_rounding(spark, d):
 CMP_YEARS = X.HISTORY_YEARS
 CMP_PAIRS = X.PAIRS
 SELECTED_STORES = [f"{k}-Supplier#{k:09d}" for k in (1, 2, 3)]
+CMP_RANGES = [(f"{CMP_YEARS[0]}-01-01", f"{CMP_YEARS[-1] + 1}-01-01")]
 
 
 def _cmp(fn_name):
     def fn(spark, d):
         from comparo.plans import comparison as C
-        return getattr(C, fn_name)(measures(spark, d, grain="store"), X.register(spark, d), CMP_YEARS,
+        return getattr(C, fn_name)(measures(spark, d, grain="store", ranges=CMP_RANGES),
+                                   X.register(spark, d), CMP_YEARS,
                                    CMP_PAIRS, MONTH)
     return fn
 
@@ -226,8 +248,8 @@ query("comparison_union")(_cmp("comparison"))
 @query("comparison_selected")
 def q_comparison_selected(spark, d):
     from comparo.plans import comparison as C
-    series = C.comparison(measures(spark, d, grain="store"), X.register(spark, d), CMP_YEARS,
-                          CMP_PAIRS, MONTH)
+    series = C.comparison(measures(spark, d, grain="store", ranges=CMP_RANGES),
+                          X.register(spark, d), CMP_YEARS, CMP_PAIRS, MONTH)
     return C.selected(series, SELECTED_STORES, L.SALES)
 
 
@@ -284,11 +306,12 @@ def _brief_scope(df, rolling: bool):
 
 def brief_inputs(spark, d, rolling: bool = False):
     """(store fact, sector fact, units-by-family fact) of the briefing period."""
-    lines = X.lines(spark, d)
-    m = _brief_scope(measures(spark, d), rolling)
+    rng = [(X.ROLLING_FROM, X.AS_OF)] if rolling else month_ranges(X.BRIEF_YEARS, X.BRIEF_MONTH)
+    lines = X.lines(spark, d, rng)
+    m = _brief_scope(measures(spark, d, ranges=rng), rolling)
     keys = ["year", "month", "format", "store_id", "store"] + (["period"] if rolling else [])
-    store = _lower_measure(_brief_scope(measures(spark, d, grain="store"), rolling))
-    prod = _brief_scope(measures(spark, d, grain="sector"), rolling)
+    store = _lower_measure(_brief_scope(measures(spark, d, grain="store", ranges=rng), rolling))
+    prod = _brief_scope(measures(spark, d, grain="sector", ranges=rng), rolling)
     sec = prod.filter(F.col("measure") != L.TICKETS)
     tsec = _brief_scope(lines, rolling).groupBy(*keys, "sector").agg(
         F.countDistinct("order_key").cast("decimal(38,6)").alias("value")).withColumn(
@@ -350,7 +373,8 @@ query("period_split_family")(_brief("family", rolling=True))
 def _history(comparable: bool):
     def fn(spark, d):
         from comparo.plans import briefing as B
-        m = measures(spark, d, grain="store")
+        rng = [(f"{X.BRIEF_HISTORY_YEARS[0]}-01-01", f"{X.CURRENT_YEAR}-{X.BRIEF_MONTH + 1:02d}-01")]
+        m = measures(spark, d, grain="store", ranges=rng)
         hist = _lower_measure(m.filter(F.col("year").isin(*X.BRIEF_HISTORY_YEARS))
                               .groupBy("year", "month", "format", "store_id", "store", "measure")
                               .agg(F.sum("value").alias("value")))

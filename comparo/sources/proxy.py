@@ -71,13 +71,27 @@ def store_label(key: Column, sep: str = "-") -> Column:
     return F.concat(k, F.lit(sep + "Supplier#"), F.lpad(k, 9, "0"))
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
+def date_ranges(col: str, ranges) -> Column | None:
+    """OR of half-open [start, end) date ranges on a timestamp column: a
+    predicate Parquet can push into the scan (row-group min/max pruning)."""
+    cond = None
+    for start, end in ranges or ():
+        c = ((F.col(col) >= F.lit(start).cast("timestamp_ntz"))
+             & (F.col(col) < F.lit(end).cast("timestamp_ntz")))
+        cond = c if cond is None else cond | c
+    return cond
+
+
+def lines(spark: SparkSession, d: str, ranges=None) -> DataFrame:
     """Typed product lines: year, month, format, store_id, store, sector,
-    section, family, sales decimal, units decimal, order_key."""
+    section, family, sales decimal, units decimal, order_key. ``ranges``
+    limits the order dates to the report period(s) at the scan."""
     li = table(spark, d, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax")
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
+    if ranges:
+        o = o.filter(date_ranges("o_orderdate", ranges))
     p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_name")
     j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
     # Exact and long-backed: decimal(8,2) x decimal(4,2) x decimal(4,2) = decimal(18,6)
@@ -104,10 +118,10 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
 STORE_KEYS = ["year", "month", "format", "store_id", "store"]
 
 
-def tickets(spark: SparkSession, d: str, by_sector: bool = False) -> DataFrame:
+def tickets(spark: SparkSession, d: str, by_sector: bool = False, ranges=None) -> DataFrame:
     """Distinct orders per store-month (or store-sector-month)."""
     keys = STORE_KEYS + (["sector"] if by_sector else [])
-    return (lines(spark, d).groupBy(*keys)
+    return (lines(spark, d, ranges).groupBy(*keys)
             .agg(F.countDistinct("order_key").alias("tickets")))
 
 
