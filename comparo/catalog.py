@@ -336,9 +336,9 @@ def _brief(kind: str, comparable: bool = True, rolling: bool = False):
             family = B.comparable_slice(family, reg, X.BRIEF_MONTH)
         axis, labels = _axis(rolling)
         if kind == "store":
-            return B.store_growth(store, axis, labels)
+            return B.store_growth(store, axis, labels, sort=True)
         if kind == "format":
-            return B.format_growth(store, axis, labels)
+            return B.format_growth(store, axis, labels, sort=True)
         if kind == "store_sector":
             return B.store_sector_growth(sector, axis, labels)
         if kind == "format_sector":

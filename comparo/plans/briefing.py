@@ -29,6 +29,7 @@ from comparo.operators.growth import growth_pairs, growth_table
 from comparo.operators.joins import attach, with_register
 from comparo.operators.pivots import pivot_years
 from comparo.operators.sets import union_levels
+from comparo.operators.sorts import order_by
 
 STORE = ["format", "store_id", "store"]
 TOTAL = "Total"
@@ -51,14 +52,20 @@ def _measures(df):
     return ("deb", "vct", "vol")
 
 
-def store_growth(fact: DataFrame, axis: str = "year", labels=(2000, 2001)) -> DataFrame:
-    """Per store and measure: base, current, growth (absent side -> NULL)."""
-    return _g(fact, STORE, axis, labels)
+def store_growth(fact: DataFrame, axis: str = "year", labels=(2000, 2001),
+                 sort: bool = False) -> DataFrame:
+    """Per store and measure: base, current, growth (absent side -> NULL);
+    ``sort``: growth descending (SRT-5)."""
+    out = _g(fact, STORE, axis, labels)
+    return order_by(out, "growth", ties=STORE + ["measure"]) if sort else out
 
 
-def format_growth(fact: DataFrame, axis: str = "year", labels=(2000, 2001)) -> DataFrame:
-    """Per format: store figures re-summed (absent side counts 0)."""
-    return _g(drop_null_keys(fact, STORE), ["format"], axis, labels, resum=True)
+def format_growth(fact: DataFrame, axis: str = "year", labels=(2000, 2001),
+                  sort: bool = False) -> DataFrame:
+    """Per format: store figures re-summed (absent side counts 0); ``sort``:
+    by measure."""
+    out = _g(drop_null_keys(fact, STORE), ["format"], axis, labels, resum=True)
+    return out.orderBy("measure", "format") if sort else out
 
 
 def store_sector_growth(sector_fact: DataFrame, axis: str = "year", labels=(2000, 2001)) -> DataFrame:
@@ -90,7 +97,7 @@ def store_sector_matrix(sector_fact: DataFrame, fact: DataFrame, sectors, axis:
     tot = store_growth(fact, axis, labels).select(
         "store_id", "measure", "format", F.col("growth").alias("total_store"))
     out = attach(wide, tot, on=["store_id", "measure"], how="left")
-    return out.na.fill(0.0).drop("store_id")
+    return order_by(out.na.fill(0.0).drop("store_id"), "total_store", ties=["store", "measure"])
 
 
 def consolidated_matrix(sector_fact: DataFrame, fact: DataFrame, sectors,
@@ -130,8 +137,9 @@ def family_contribution(units_fact: DataFrame, axis: str = "year", labels=(2000,
                .when(t == 0, F.when(gap > 0, POS_INF()).when(gap < 0, NEG_INF())
                      .otherwise(F.lit(0.0)))
                .otherwise(gap / t))
-    return agg.select(*dims, b.alias("base"), c.alias("current"), gap.alias("gap"),
-                      growth.alias("growth"), contrib.alias("contribution"))
+    out = agg.select(*dims, b.alias("base"), c.alias("current"), gap.alias("gap"),
+                     growth.alias("growth"), contrib.alias("contribution"))
+    return order_by(out, "contribution", ties=dims)             # SRT-5
 
 
 def four_levels(fact: DataFrame, sector_fact: DataFrame, axis: str = "year",
@@ -161,5 +169,6 @@ def history_growth(hist: DataFrame, years, pairs, bound_year: int, bound_month:
                                                          F.lit(1)))
     wide = pivot_years(src, ["format", "month", "measure"], years)
     wide = growth_pairs(wide, pairs, scale=1, digits=3, out="growth_{c}")
-    return wide.withColumn("month_name", F.get(F.array(*[F.lit(m) for m in L.MONTHS_ES]),
+    wide = wide.withColumn("month_name", F.get(F.array(*[F.lit(m) for m in L.MONTHS_ES]),
                                                F.col("month") - 1))
+    return wide.orderBy("format", "measure", "month")          # calendar order (SRT-4)

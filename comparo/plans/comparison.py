@@ -41,7 +41,7 @@ def comparison(measures: DataFrame, register: DataFrame, years, pairs, month) ->
     stores = _series(cube, ["store"], years, pairs)
     stores = stores.withColumns({f"y{y}": F.col(f"y{y}").cast("bigint").cast("double")
                                  for y in years})
-    return union_all(stores, total)
+    return union_all(stores, total).orderBy("store", "measure", "month", "series")  # SRT-4
 
 
 def total_series(measures, register, years, pairs, month) -> DataFrame:

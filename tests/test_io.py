@@ -35,3 +35,20 @@ def test_month_batches_idempotent(spark):
                        f"{base}/out", "fecha_final", f"{base}/ckpt2", availableNow=True)
     q2.awaitTermination(120)
     assert spark.read.parquet(f"{base}/out").count() == 4   # replay replaces the partition
+
+
+def test_read_delimited_and_read_any(spark, tmp_path):
+    import pytest
+
+    from comparo.plans.hours import margin
+    from comparo.sources.readers import read_any, read_delimited
+    path = str(tmp_path / "margen.csv")
+    with open(path, "w", encoding="utf-8") as f:
+        f.write("Periodo;Tienda;RUBRO_CONCAT (grupo) 1;Importe Ars\n"
+                "202504;12;MARGEN COMERCIAL;300,5\n202504;12;VENTA SIN TASA;1000\n")
+    raw = read_delimited(spark, path, "Periodo string, Tienda string, rubro string, importe string")
+    r = margin(raw).first()
+    assert (r.no, r.mes, r.margen_comercial, r.venta_sin_tasa, r.ratio_margen) == \
+        (12, "april", 300.5, 1000.0, 0.3)
+    with pytest.raises(ValueError):
+        read_any(spark, path, "xlsx")
