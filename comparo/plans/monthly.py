@@ -71,7 +71,7 @@ def monthly_reports(measures: DataFrame, register: DataFrame, years, month: int,
     it as well."""
     cube = materialize(month_cube(measures, register, years, month), reuse)
     if one_pass:
-        out = run_specs_one_pass(cube, SPECS, years, sort=sort)
+        out = run_specs_one_pass(cube, SPECS, years, sort=sort, reuse=reuse)
     else:
         out = {s.name: run_spec(cube, s, years, sort=sort) for s in SPECS}
     out["leaf"] = leaf_pivot(cube, years)

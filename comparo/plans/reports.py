@@ -18,6 +18,7 @@ from comparo.operators.aggregate import grouping_sets_sum
 from comparo.operators.growth import growth_table
 from comparo.plans.measures import LEAF_KEYS
 from comparo.operators.sorts import order_by_growth
+from comparo.session import materialize
 
 
 @dataclass(frozen=True)
@@ -54,11 +55,13 @@ def order_spec(df: DataFrame, spec: Spec) -> DataFrame:
                            ties=[c for c in spec.dims if c not in spec.lead])
 
 
-def run_specs_one_pass(cube: DataFrame, specs, years, *, sort: bool = True) -> dict:
+def run_specs_one_pass(cube: DataFrame, specs, years, *, sort: bool = True,
+                       reuse: str = "cache") -> dict:
     """All specs from one GROUPING SETS aggregation of the cube.
 
-    The cube is scanned and shuffled once; each report then reads the
-    small multi-grain result. Product grains leave tickets out; grains with
+    The cube is scanned and shuffled once; the multi-grain result (already
+    aggregated) is materialised (``reuse``: 'cache' or 'checkpoint') and each
+    report reads it. Product grains leave tickets out; grains with
     ``require`` sum only rows whose leaf keys are all present.
     """
     grains = {s.name: list(s.dims) for s in specs}
@@ -71,6 +74,7 @@ def run_specs_one_pass(cube: DataFrame, specs, years, *, sort: bool = True) -> d
         "value_leaf", F.when(leaf_ok, F.col("value")))
     multi = grouping_sets_sum(src, grains, value="value", exclude=exclude,
                               extra={"value_leaf": F.sum("value_leaf")})
+    multi = materialize(multi, reuse)
     out = {}
     for s in specs:
         part = multi.filter(F.col("grain") == s.name)

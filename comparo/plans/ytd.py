@@ -79,7 +79,7 @@ def ytd_reports(measures: DataFrame, register: DataFrame, years, month_limit: in
         specs = [SINGLE_FORMAT_SPEC] + [s for s in specs
                                         if s.name not in ("total", "format", "province_format")]
     if one_pass:
-        out = run_specs_one_pass(cube, specs, years, sort=sort)
+        out = run_specs_one_pass(cube, specs, years, sort=sort, reuse=reuse)
     else:
         out = {s.name: run_spec(cube, s, years, sort=sort) for s in specs}
     return out
