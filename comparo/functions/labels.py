@@ -38,6 +38,11 @@ CLOSED_OVER_3Y = "Tienda cerrada por más de tres años"
 ACTIVE = "Activa"
 CLOSED = "Cerrada"
 
+# Market-share export: identifier headers (lower-cased) and their names here;
+# the brand-specific headers are "mdo <brand>" -> marca, "bandera <brand>" -> formato.
+SHARE_HEADERS = {"area1_rs": "area", "area_scentia_rs": "region", "mercado reporte": "subregion",
+                 "formato_m2_rs": "formato_m2", "succad": "numero_operacional"}
+SHARE_YTD_COLUMNS = ["ytd24", "ytd25"]
 # Share table: "<brand> <format>" labels of the own brand become "<format>".
 SHARE_FORMATS = ["EXPRESS", "HIPER", "MARKET", "MAXI"]
 REST_LABEL = "RESTO"

@@ -29,9 +29,8 @@ def share_labels(panel: DataFrame, brand: str) -> DataFrame:
     """Identifier columns renamed and cleaned."""
     named = rename_month_headers(panel.toDF(*[c.lower() if not c[:4].isdigit() else c
                                               for c in panel.columns]))
-    renames = {"area1_rs": "area", "area_scentia_rs": "region", "mercado reporte": "subregion",
-               "formato_m2_rs": "formato_m2", f"mdo {brand.lower()}": "marca",
-               f"bandera {brand.lower()}": "formato", "succad": "numero_operacional"}
+    renames = {**L.SHARE_HEADERS, f"mdo {brand.lower()}": "marca",
+               f"bandera {brand.lower()}": "formato"}
     df = named.withColumnsRenamed(renames)
     own = {f"{brand} {f}": f for f in L.SHARE_FORMATS}
     return df.withColumns({
@@ -41,7 +40,7 @@ def share_labels(panel: DataFrame, brand: str) -> DataFrame:
     })
 
 
-def share_long(panel: DataFrame, brand: str, drop=("ytd24", "ytd25")) -> DataFrame:
+def share_long(panel: DataFrame, brand: str, drop=tuple(L.SHARE_YTD_COLUMNS)) -> DataFrame:
     df = share_labels(panel, brand).drop(*drop)
     months = [c for c in df.columns if c not in IDS]
     long = unpivot(df.select(*[F.col(f"`{c}`") for c in IDS + months]), IDS, months, "fecha",

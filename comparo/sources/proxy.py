@@ -320,13 +320,13 @@ def share_panel(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("1-"), ((F.col("c_nationkey") % 3 + 1) * 200).cast("string"), F.lit("-"),
                  ((F.col("c_nationkey") % 3 + 1) * 500).cast("string")))
     succad = F.when(own, F.col("c_nationkey").cast("double"))
-    keyed = j.select(F.col("r_name").alias("AREA1_RS"), F.col("n_name").alias("AREA_SCENTIA_RS"),
-                     F.col("c_mktsegment").alias("MERCADO REPORTE"), size.alias("FORMATO_M2_RS"),
+    area, region, subregion, size_h, store_h = [k.upper() for k in L.SHARE_HEADERS]
+    keyed = j.select(F.col("r_name").alias(area), F.col("n_name").alias(region),
+                     F.col("c_mktsegment").alias(subregion), size.alias(size_h),
                      brand.alias(f"MDO {OWN_BRAND}"), fmt.alias(f"BANDERA {OWN_BRAND}"),
-                     succad.alias("SUCCAD"), F.year("o_orderdate").alias("y"),
+                     succad.alias(store_h), F.year("o_orderdate").alias("y"),
                      F.month("o_orderdate").alias("m"), F.col("o_totalprice").cast("decimal(14,2)").alias("v"))
-    ids = ["AREA1_RS", "AREA_SCENTIA_RS", "MERCADO REPORTE", "FORMATO_M2_RS", f"MDO {OWN_BRAND}",
-           f"BANDERA {OWN_BRAND}", "SUCCAD"]
+    ids = [area, region, subregion, size_h, f"MDO {OWN_BRAND}", f"BANDERA {OWN_BRAND}", store_h]
     cur = keyed.filter(F.col("y") == SHARE_YEAR)
     heads = [f"{SHARE_YEAR}-{m:02d}-01 00:00:00" for m in range(1, 13)]
     wide = pivot_values(cur, ids, "m", list(range(1, 13)), "v", names=heads, drop_null=False)
