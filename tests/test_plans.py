@@ -77,3 +77,37 @@ def test_filters_reach_the_scan(spark, sf_small):
     df.explain("formatted") if os.environ.get("SHOW_PLANS") else None
     p = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in p or "FileScan" in p
+
+
+def test_ytd_limit_total_switch(spark, sf_small):
+    m, reg = measures(spark, sf_small, grain="store"), X.register(spark, sf_small)
+    limited = {r.measure: r.current for r in
+               ytd.ytd_report(m, reg, "total", YEARS, MONTH).collect()}
+    whole = {r.measure: r.current for r in
+             ytd.ytd_report(m, reg, "total", YEARS, MONTH, limit_total=False).collect()}
+    assert all(whole[k] >= limited[k] for k in limited)
+    assert any(whole[k] > limited[k] for k in limited)        # Aug 2001 exists in the data
+
+
+def test_leaf_detail_skip_format(spark, sf_small):
+    m, reg = measures(spark, sf_small), X.register(spark, sf_small)
+    out = ytd.leaf_detail(m, reg, YEARS, MONTH, skip_format="proximidad")
+    assert out.filter(F.upper("format") == "PROXIMIDAD").count() == 0
+    assert out.count() > 0
+
+
+def test_unknown_month_raises():
+    import pytest
+
+    from comparo.functions.labels import month_column, month_number
+    assert month_column("Julio") == "jul" and month_column(12) == "dic"
+    assert month_number("SEPTIEMBRE") == 9
+    with pytest.raises(ValueError):
+        month_column("Juli")
+
+
+def test_hours_ordered_by_last_month(spark, sf_small):
+    df = QUERIES["hours_wide"](spark, sf_small)
+    last = [r["roc_december"] for r in df.select("roc_december").collect()]
+    present = [x for x in last if x is not None]
+    assert present == sorted(present)
