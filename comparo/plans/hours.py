@@ -20,7 +20,7 @@ from comparo.functions.numeric import net_of_tax, variable_cost
 from comparo.functions.text import parse_locale_decimal, slot_start, store_id, token
 from comparo.operators.aggregate import count_distinct_by
 from comparo.operators.columns import rename_month_headers
-from comparo.operators.filters import drop_null_columns, on_weekday, outside_hours
+from comparo.operators.filters import drop_null_columns, drop_totals, on_weekday, outside_hours
 from comparo.operators.joins import attach, distinct_pairs
 from comparo.operators.pivots import pivot_values, unpivot
 
@@ -45,7 +45,8 @@ def slot_sales(wide: DataFrame, id_cols=("year", "date_text", "slot_text")) -> D
     (FLT-8, UNP-2, STR-1/5/7/8, DAT-1/4)."""
     ids = list(id_cols)
     stores = [c for c in wide.columns if c not in ids]
-    body = wide.filter(F.col("year").rlike(r"^\d{4}$"))       # sub-header and 'Total' rows
+    body = drop_totals(wide, ["year"])                          # 'Total' rows (FLT-8)
+    body = body.filter(F.col("year").rlike(r"^\d{4}$"))       # the sub-header row
     long = unpivot(body.select(*ids, *[F.col(f"`{c}`").alias(c) for c in stores]), ids, stores,
                    "store_label", "vct_text", drop_nulls=True)
     date = date_of(token("date_text", 4), month_from_name(token("date_text", 2)),

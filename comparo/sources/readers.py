@@ -93,8 +93,7 @@ def read_wide(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame
 
 def land(df: DataFrame, path: str, partition_by=None) -> DataFrame:
     """Write a (text) source once to Parquet and return the Parquet reader."""
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    from comparo.sources.writers import write_table
+
+    write_table(df, path, partition_by=partition_by)
     return df.sparkSession.read.parquet(path)

@@ -52,3 +52,17 @@ def test_read_delimited_and_read_any(spark, tmp_path):
         (12, "april", 300.5, 1000.0, 0.3)
     with pytest.raises(ValueError):
         read_any(spark, path, "xlsx")
+
+
+def test_land_and_present_columns(spark):
+    import uuid
+
+    from comparo.operators.columns import normalize_columns, present_columns
+    from comparo.sources.readers import land
+    df = spark.createDataFrame([(2024, "x")], "`Año` int, `Punto Operacional` string")
+    norm = normalize_columns(df)
+    assert norm.columns == ["año", "punto_operacional"]
+    assert present_columns(norm).columns == ["Año", "Punto operacional"]
+    path = f"{checkpoint_dir(spark)}/land-{uuid.uuid4().hex}"
+    back = land(norm, path, partition_by=["año"])
+    assert back.count() == 1 and set(back.columns) == {"año", "punto_operacional"}
