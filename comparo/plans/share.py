@@ -50,7 +50,8 @@ def share_long(panel: DataFrame, brand: str, drop=tuple(L.SHARE_YTD_COLUMNS)) ->
     # projection inside whole-stage codegen)
     mes = F.substring_index(F.col("fecha"), " ", 1)
     anio = F.substring_index(F.col("fecha"), " ", -1)
-    month_no = map_values(F.initcap(mes), {m: i + 1 for i, m in enumerate(L.MONTHS_ES)})
+    month_no = F.nullif(F.array_position(F.array(*[F.lit(m) for m in L.MONTHS_ES]),
+                                         F.initcap(mes)), F.lit(0)).cast("int")
     v = F.col("ventas_con_tasa").cast("bigint")
     return long.select(*IDS, mes.alias("mes"), anio.alias("anio"), v.alias("ventas_con_tasa"),
                        in_millions(v).alias("ventas_con_tasa_millones"),
