@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from comparo.functions import labels as L
 from comparo.functions.labels import month_column
 from comparo.operators.aggregate import grouping_sets_sum
-from comparo.operators.filters import comparable_predicate, exclude_packaging, physical_formats
+from comparo.operators.filters import comparable_predicate, exclude_packaging
 from comparo.operators.joins import with_register
 from comparo.plans import monthly, ytd
 from comparo.plans.measures import LEAF_KEYS, STORE_KEYS, comparable_cube, to_measures

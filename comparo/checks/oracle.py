@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from comparo.checks.sqlparts import (LINES, MEASURES, REGISTER, REGISTER_RAW, comparable_register, lit, store_label,
-                                     cube_cte, growth_report, in_list, measures_cte, with_)
+                                     cube_cte, growth_report, in_list, with_)
 from comparo.sources import proxy as X
 
 Y = (X.BASE_YEAR, X.CURRENT_YEAR)
