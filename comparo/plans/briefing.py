@@ -172,3 +172,37 @@ def history_growth(hist: DataFrame, years, pairs, bound_year: int, bound_month:
     wide = wide.withColumn("month_name", F.get(F.array(*[F.lit(m) for m in L.MONTHS_ES]),
                                                F.col("month") - 1))
     return wide.orderBy("format", "measure", "month")          # calendar order (SRT-4)
+
+
+def briefing_reports(store_fact: DataFrame, sector_fact: DataFrame, units_fact: DataFrame,
+                     register: DataFrame, month, sectors, *, axis: str = "year",
+                     labels=(2000, 2001), history: DataFrame | None = None,
+                     history_years=None, history_pairs=None, bound=None) -> dict:
+    """Every briefing table (RPT-8; RPT-9 with ``axis='period'``) as a dict.
+
+    ``store_fact`` / ``sector_fact`` / ``units_fact``: long facts with
+    lower-case measures at store, store x sector and product-leaf grain for
+    the briefing period; ``history``: store-grain monthly facts. Write the
+    dict with ``write_report_set(..., partition_by=['format'])`` to get one
+    output per format as the original per-format workbooks.
+    """
+    c_store = comparable_slice(store_fact, register, month)
+    c_sector = comparable_slice(sector_fact, register, month)
+    c_units = comparable_slice(units_fact, register, month)
+    out = {
+        "store_comparable": store_growth(c_store, axis, labels, sort=True),
+        "store_all": store_growth(store_fact, axis, labels, sort=True),
+        "format_comparable": format_growth(c_store, axis, labels, sort=True),
+        "format_all": format_growth(store_fact, axis, labels, sort=True),
+        "format_sector": format_sector_matrix(c_sector, sectors, axis, labels),
+        "store_sector_matrix": store_sector_matrix(c_sector, c_store, sectors, axis, labels),
+        "consolidated_matrix": consolidated_matrix(c_sector, c_store, sectors, axis, labels),
+        "family_contribution": family_contribution(c_units, axis, labels),
+        "four_levels": four_levels(c_store, c_sector, axis, labels),
+    }
+    if history is not None:
+        by, bm = bound
+        out["history_comparable"] = history_growth(history, history_years, history_pairs, by, bm,
+                                                   register=register, month=month)
+        out["history_all"] = history_growth(history, history_years, history_pairs, by, bm)
+    return out

@@ -182,3 +182,11 @@ def hours_wide(result: DataFrame, months=REPORT_MONTHS) -> DataFrame:
 def order_by_last_month(wide: DataFrame, months=REPORT_MONTHS, metric: str = "roc") -> DataFrame:
     """Ascending by the metric of the chronologically last month (SRT-6)."""
     return wide.orderBy(F.asc_nulls_last(f"{metric}_{months[-1]}"), F.asc("no"))
+
+
+def extended_hours(wide_slots: DataFrame, staff_wide: DataFrame, hours_wide_sheet: DataFrame,
+                   margin_export: DataFrame, months=REPORT_MONTHS) -> DataFrame:
+    """The whole report (RPT-10): one row per store, 15 metrics x month,
+    ordered by the last month's ROC."""
+    result = operating_result(wide_slots, staff_wide, hours_wide_sheet, margin_export)
+    return order_by_last_month(hours_wide(result, months), months)

@@ -65,3 +65,28 @@ def tickets_from_report(raw: DataFrame, *, sep: str = "-", on_error: str = "rais
     if by_sector:
         cols.append(F.col("sector"))
     return df.select(*cols, parse_thousands(F.col(value), on_error=on_error).alias("tickets"))
+
+
+def history_from_reports(sales_raw: DataFrame, units_raw: DataFrame, tickets_raw: DataFrame,
+                         *, sep: str = " ") -> DataFrame:
+    """Monthly history reports (sales, units, tickets at store grain) -> one
+    long store-grain fact with lower-case measures ('vct', 'vol', 'deb')."""
+    def part(raw, value_col, measure, parse):
+        df = normalize_columns(raw, drop_suffix=None)
+        return df.select(
+            F.col("año").try_cast("int").alias("year"),
+            month_from_name(token("mes", 0)).alias("month"),
+            F.col("direccion").alias("format"),
+            store_id("punto_operacional", sep).alias("store_id"),
+            F.col("punto_operacional").alias("store"),
+            F.lit(measure).alias("measure"),
+            parse(F.col(f"`{value_col}`")).cast("decimal(38,6)").alias("value"))
+
+    keys = ["year", "month", "format", "store_id", "store", "measure"]
+    both = (part(sales_raw, "ventas_c/impuesto", "vct",
+                 lambda c: parse_locale_decimal(c, dtype="decimal(24,6)"))
+            .unionByName(part(units_raw, "volumen", "vol",
+                              lambda c: parse_locale_decimal(c, dtype="decimal(24,6)")))
+            .unionByName(part(tickets_raw, "cant._tickets_por_local", "deb", parse_thousands)))
+    return (both.filter(F.col("value").isNotNull()).na.drop(subset=keys[:5])
+            .groupBy(*keys).agg(F.sum("value").cast("decimal(38,6)").alias("value")))

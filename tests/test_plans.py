@@ -111,3 +111,48 @@ def test_hours_ordered_by_last_month(spark, sf_small):
     last = [r["roc_december"] for r in df.select("roc_december").collect()]
     present = [x for x in last if x is not None]
     assert present == sorted(present)
+
+
+def test_briefing_reports_dict(spark, sf_small):
+    from comparo.catalog import brief_inputs
+    from comparo.plans.briefing import briefing_reports
+    store, sector, family = brief_inputs(spark, sf_small)
+    reps = briefing_reports(store, sector, family, X.register(spark, sf_small), X.BRIEF_MONTH,
+                            X.SECTORS, labels=X.BRIEF_YEARS)
+    expect = {"store_comparable": "briefing_store_comparable", "format_all": "briefing_format_all",
+              "family_contribution": "briefing_family_contribution",
+              "consolidated_matrix": "briefing_consolidated_matrix"}
+    for name, key in expect.items():
+        q = QUERIES[key](spark, sf_small)
+        assert reps[name].exceptAll(q.select(*reps[name].columns)).count() == 0, name
+
+
+def test_extended_hours_and_history_ingest(spark, sf_small):
+    from comparo.plans.hours import MONTHS_LOWER, extended_hours
+    out = extended_hours(X.slot_sales_wide(spark, sf_small), X.staff_cost_wide(spark, sf_small),
+                         X.authorised_hours_wide(spark, sf_small), X.margin_long(spark, sf_small),
+                         months=MONTHS_LOWER)
+    assert out.count() == QUERIES["hours_wide"](spark, sf_small).count()
+
+    from comparo.functions.text import format_locale_decimal
+    from comparo.plans.ingest import history_from_reports
+    m = measures(spark, sf_small, grain="store")
+    month_es = F.get(F.array(*[F.lit(x) for x in
+                                ["Enero", "Febrero", "Marzo", "Abril", "Mayo", "Junio", "Julio",
+                                 "Agosto", "Septiembre", "Octubre", "Noviembre", "Diciembre"]]),
+                     F.col("month") - 1)
+    def text(measure, header, fmt):
+        return m.filter(F.col("measure") == measure).select(
+            F.col("year").cast("string").alias("Año"),
+            F.concat_ws(" ", month_es, F.col("year").cast("string")).alias("Mes"),
+            F.col("format").alias("Direccion"),
+            F.concat(F.col("store_id").cast("string"), F.lit(" X")).alias("Punto Operacional"),
+            fmt(F.col("value")).alias(header))
+    hist = history_from_reports(
+        text("VCT", "Ventas c/impuesto", lambda c: format_locale_decimal(c, 6)),
+        text("VOL", "VOLUMEN", lambda c: format_locale_decimal(c, 2)),
+        text("DEB", "Cant. Tickets por Local",
+             lambda c: F.translate(F.format_number(c.cast("bigint"), 0), ",", ".")))
+    a = hist.groupBy("measure").agg(F.sum("value").alias("v"))
+    b = m.groupBy(F.lower("measure").alias("measure")).agg(F.sum("value").alias("v"))
+    assert a.exceptAll(b).count() == 0
