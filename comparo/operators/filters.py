@@ -19,16 +19,20 @@ def drop_null_keys(df: DataFrame, keys) -> DataFrame:
     return df.na.drop(how="any", subset=keys) if keys else df
 
 
+def is_packaging(family: str = "family", families=None, contains: str | None = None) -> Column:
+    """True for a packaging family (exact list or substring); NULL family -> False."""
+    fam = F.col(family)
+    if contains is not None:
+        return F.coalesce(fam.contains(contains), F.lit(False))
+    return F.coalesce(fam.isin(*(families or L.PACKAGING_FAMILIES)), F.lit(False))
+
+
 def exclude_packaging(df: DataFrame, family: str = "family", measure: str | None = None,
                       families=None, contains: str | None = None) -> DataFrame:
     """Drop packaging families (FLT-3a exact list / FLT-3b substring).
     A NULL family is kept. With ``measure`` given, only rows of that measure
     are subject to the filter (units lose packaging, sales keep it)."""
-    fam = F.col(family)
-    if contains is not None:
-        is_pack = F.coalesce(fam.contains(contains), F.lit(False))
-    else:
-        is_pack = F.coalesce(fam.isin(*(families or L.PACKAGING_FAMILIES)), F.lit(False))
+    is_pack = is_packaging(family, families, contains)
     if measure is not None:
         is_pack = is_pack & (F.col("measure") == F.lit(measure))
     return df.filter(~is_pack)

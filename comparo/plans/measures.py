@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from comparo.functions import labels as L
 from comparo.functions.labels import month_column
-from comparo.operators.filters import comparable_predicate, drop_null_keys, exclude_packaging
+from comparo.operators.filters import comparable_predicate, drop_null_keys, is_packaging
 from comparo.operators.joins import DEFAULT_BROADCAST_ROWS, with_register
 from comparo.operators.pivots import stack_measures
 
@@ -34,14 +34,16 @@ def to_measures(lines: DataFrame, tickets: DataFrame | None = None, *,
     form a group); NULL product keys are kept for store-level totals."""
     keys = list(keys)
     store_keys = [k for k in keys if k not in PRODUCT_KEYS]
-    long = stack_measures(lines, keys, {L.SALES: F.col(sales).cast(ROW_TYPE),
-                                        L.UNITS: F.col(units).cast(ROW_TYPE)})
-    long = long.filter(F.col("value").isNotNull())
-    long = exclude_packaging(long, "family", measure=L.UNITS,
-                             families=packaging, contains=packaging_token)
-    long = drop_null_keys(long, store_keys)
-    agg = (long.groupBy(*keys, "measure")
-               .agg(F.sum("value").cast(VALUE_TYPE).alias("value")))
+    src = drop_null_keys(lines, store_keys)
+    units_kept = F.when(~is_packaging("family", packaging, packaging_token), F.col(units))
+    # both measures summed in the same row (half the rows through the hash
+    # aggregation), stacked afterwards; a measure with no value forms no row
+    wide = src.groupBy(*keys).agg(
+        F.sum(F.col(sales).cast(ROW_TYPE)).alias("_sales"),
+        F.sum(units_kept.cast(ROW_TYPE)).alias("_units"))
+    agg = (stack_measures(wide, keys, {L.SALES: "_sales", L.UNITS: "_units"})
+           .filter(F.col("value").isNotNull())
+           .withColumn("value", F.col("value").cast(VALUE_TYPE)))
     if tickets is None:
         return agg
     t = drop_null_keys(tickets.filter(F.col(tick).isNotNull()), store_keys)
