@@ -151,3 +151,15 @@ def test_broadcast_probe(spark):
     plan = sized_broadcast(small, 100).join(spark.range(1000), "id")._jdf.queryExecution() \
         .executedPlan().toString()
     assert "Broadcast" in plan
+
+
+def test_skew_safe_plans(spark):
+    """Keep-first and partition totals aggregate map-side; no window sorts a
+    whole key group inside one task."""
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("o"),
+                                  (F.col("id") * 2).alias("v"))
+    kf = first_per_key(df, "k", "o")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in kf
+    assert "partial_min_by" in kf
+    pt = partition_total(df, "v", "k")._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in pt and "partial_sum" in pt
