@@ -350,7 +350,7 @@ _SLOTS = f"""slots AS (
   SELECT user_id % {_N} AS store_id,
          CAST(user_id % {_N} AS VARCHAR) || ' Supplier#' || lpad(CAST(user_id % {_N} AS VARCHAR), 9, '0')
            AS store_label,
-         CAST(ts AS DATE) AS date, ((hour(ts) * 60 + minute(ts)) // 30) * 30 AS slot_start,
+         CAST(ts AS DATE) AS date, CAST(((hour(ts) * 60 + minute(ts)) // 30) * 30 AS INTEGER) AS slot_start,
          sum(CAST(value AS DECIMAL(12,2))) AS vct
   FROM events WHERE event_type = 'purchase' GROUP BY ALL)"""
 _SPM = """spm AS (SELECT lower(monthname(date)) AS month, count(DISTINCT date) AS cantidad_domingos
