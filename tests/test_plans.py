@@ -156,3 +156,14 @@ def test_extended_hours_and_history_ingest(spark, sf_small):
     a = hist.groupBy("measure").agg(F.sum("value").alias("v"))
     b = m.groupBy(F.lower("measure").alias("measure")).agg(F.sum("value").alias("v"))
     assert a.exceptAll(b).count() == 0
+
+
+def test_report_set_with_checkpoint(spark, sf_small):
+    """The lineage-cutting path (checkpoint in spark.checkpoint.dir) gives the
+    same tables as the cached one."""
+    m, reg = measures(spark, sf_small), X.register(spark, sf_small)
+    a = ytd.ytd_reports(m, reg, YEARS, MONTH, reuse="checkpoint", sort=False)
+    b = ytd.ytd_reports(m, reg, YEARS, MONTH, reuse="cache", sort=False)
+    for name in ("store", "family", "province_format"):
+        assert a[name].exceptAll(b[name]).count() == 0, name
+    assert spark.sparkContext.getCheckpointDir()
