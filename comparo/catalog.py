@@ -256,9 +256,8 @@ def q_comparison_selected(spark, d):
 # -- store facts (RPT-6 / RPT-7) ------------------------------------------------------------
 
 def _store_fact(spark, d):
-    m = measures(spark, d, grain="store")
-    return (m.groupBy("year", "month", "format", "store_id", "store", "measure")
-             .agg(F.sum("value").cast("double").alias("value")))
+    """The long fact at store grain (already one row per store, month and measure)."""
+    return _double(measures(spark, d, grain="store"))
 
 
 @query("join_export_comparable")
