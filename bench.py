@@ -71,6 +71,10 @@ def main() -> None:
 
     extra = {"monthly_set_one_pass": report_set(True),
              "monthly_set_separate": report_set(False)}
+    from comparo.checks.plans import summary
+    shape = summary(QUERIES["ytd_store"](spark, sf_dir))
+    flagship_plan = {k: shape[k] for k in ("shuffles", "broadcasts", "smj", "windows", "python")}
+    flagship_plan["range_filter_in_scan"] = any("GreaterThan" in p for p in shape["pushed"])
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({
         "metric": "headline_total_warm_median",
@@ -79,6 +83,7 @@ def main() -> None:
         "queries": times,
         "cold": cold,
         "report_set": extra,
+        "flagship_plan": flagship_plan,
         "sf": float(sf) if sf.replace(".", "").isdigit() else sf,
         "cpus": int(cpus),
     }))
