@@ -3,9 +3,20 @@
 from __future__ import annotations
 
 from comparo.llm.kd_sharding import op6_kd_tree_shards
+from comparo.llm.tables import ship
+from comparo.llm.wu_manber import op5_wu_manber
 
-QUERIES = {
+
+def _shipped(query):
+    def run(spark, sf_dir: str):
+        ship(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {name: _shipped(query) for name, query in {
+    "op5_wu_manber": op5_wu_manber,
     "op6_kd_tree_shards": op6_kd_tree_shards,
-}
+}.items()}
 
 ORACLE: dict[str, str] = {}
