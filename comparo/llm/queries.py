@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from comparo.llm.kd_sharding import op6_kd_tree_shards
+from comparo.llm.nb_toxicity import op9_nb_toxicity
 from comparo.llm.tables import ship
 from comparo.llm.wu_manber import op5_wu_manber
 
@@ -17,6 +18,7 @@ def _shipped(query):
 QUERIES = {name: _shipped(query) for name, query in {
     "op5_wu_manber": op5_wu_manber,
     "op6_kd_tree_shards": op6_kd_tree_shards,
+    "op9_nb_toxicity": op9_nb_toxicity,
 }.items()}
 
 ORACLE: dict[str, str] = {}
