@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from comparo.llm.kd_sharding import op6_kd_tree_shards
 from comparo.llm.nb_toxicity import op9_nb_toxicity
+from comparo.llm.segment_topk import SQL as TOPK_SQL, op2_segment_topk
 from comparo.llm.tables import ship
 from comparo.llm.wu_manber import op5_wu_manber
 
@@ -16,9 +17,12 @@ def _shipped(query):
 
 
 QUERIES = {name: _shipped(query) for name, query in {
+    "op2_segment_topk": op2_segment_topk,
     "op5_wu_manber": op5_wu_manber,
     "op6_kd_tree_shards": op6_kd_tree_shards,
     "op9_nb_toxicity": op9_nb_toxicity,
 }.items()}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_segment_topk": TOPK_SQL,
+}
