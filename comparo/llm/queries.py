@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from comparo.llm.jaccard_skip import op8_jaccard_skip
 from comparo.llm.kd_sharding import op6_kd_tree_shards
 from comparo.llm.nb_toxicity import op9_nb_toxicity
 from comparo.llm.segment_topk import SQL as TOPK_SQL, op2_segment_topk
@@ -20,6 +21,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op2_segment_topk": op2_segment_topk,
     "op5_wu_manber": op5_wu_manber,
     "op6_kd_tree_shards": op6_kd_tree_shards,
+    "op8_jaccard_skip": op8_jaccard_skip,
     "op9_nb_toxicity": op9_nb_toxicity,
 }.items()}
 
