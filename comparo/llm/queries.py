@@ -6,6 +6,7 @@ from comparo.llm.jaccard_skip import op8_jaccard_skip
 from comparo.llm.kd_sharding import op6_kd_tree_shards
 from comparo.llm.nb_toxicity import op9_nb_toxicity
 from comparo.llm.segment_topk import SQL as TOPK_SQL, op2_segment_topk
+from comparo.llm.source_mix import op3_source_mix
 from comparo.llm.tables import ship
 from comparo.llm.wu_manber import op5_wu_manber
 
@@ -19,6 +20,7 @@ def _shipped(query):
 
 QUERIES = {name: _shipped(query) for name, query in {
     "op2_segment_topk": op2_segment_topk,
+    "op3_source_mix": op3_source_mix,
     "op5_wu_manber": op5_wu_manber,
     "op6_kd_tree_shards": op6_kd_tree_shards,
     "op8_jaccard_skip": op8_jaccard_skip,
