@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from comparo.llm.doubling_dedup import op4_doubling_dedup
 from comparo.llm.jaccard_skip import op8_jaccard_skip
 from comparo.llm.kd_sharding import op6_kd_tree_shards
 from comparo.llm.nb_toxicity import op9_nb_toxicity
@@ -21,6 +22,7 @@ def _shipped(query):
 QUERIES = {name: _shipped(query) for name, query in {
     "op2_segment_topk": op2_segment_topk,
     "op3_source_mix": op3_source_mix,
+    "op4_doubling_dedup": op4_doubling_dedup,
     "op5_wu_manber": op5_wu_manber,
     "op6_kd_tree_shards": op6_kd_tree_shards,
     "op8_jaccard_skip": op8_jaccard_skip,

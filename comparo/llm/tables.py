@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -57,3 +58,9 @@ def ship(spark: SparkSession) -> None:
             z.write(source, source.relative_to(package.parent))
     sc.addPyFile(str(target))
     sc._comparo_shipped = True
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not at the driver's next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
