@@ -8,6 +8,7 @@ from comparo.llm.kd_sharding import op6_kd_tree_shards
 from comparo.llm.nb_toxicity import op9_nb_toxicity
 from comparo.llm.segment_topk import SQL as TOPK_SQL, op2_segment_topk
 from comparo.llm.source_mix import op3_source_mix
+from comparo.llm.suffix_merge import op7_suffix_merge
 from comparo.llm.tables import ship
 from comparo.llm.warc_derive import op10_warc_derivatives
 from comparo.llm.wu_manber import op5_wu_manber
@@ -26,6 +27,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op4_doubling_dedup": op4_doubling_dedup,
     "op5_wu_manber": op5_wu_manber,
     "op6_kd_tree_shards": op6_kd_tree_shards,
+    "op7_suffix_merge": op7_suffix_merge,
     "op8_jaccard_skip": op8_jaccard_skip,
     "op9_nb_toxicity": op9_nb_toxicity,
     "op10_warc_derivatives": op10_warc_derivatives,
