@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from comparo.llm.backoff_lm import SQL as BACKOFF_SQL, op1_backoff_lm
 from comparo.llm.doubling_dedup import op4_doubling_dedup
 from comparo.llm.jaccard_skip import op8_jaccard_skip
 from comparo.llm.kd_sharding import op6_kd_tree_shards
@@ -22,6 +23,7 @@ def _shipped(query):
 
 
 QUERIES = {name: _shipped(query) for name, query in {
+    "op1_backoff_lm": op1_backoff_lm,
     "op2_segment_topk": op2_segment_topk,
     "op3_source_mix": op3_source_mix,
     "op4_doubling_dedup": op4_doubling_dedup,
@@ -34,5 +36,6 @@ QUERIES = {name: _shipped(query) for name, query in {
 }.items()}
 
 ORACLE: dict[str, str] = {
+    "op1_backoff_lm": BACKOFF_SQL,
     "op2_segment_topk": TOPK_SQL,
 }
