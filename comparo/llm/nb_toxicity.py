@@ -131,34 +131,48 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
         got["weights"], np.float64)
 
 
+def _probabilities(column: pa.Array, w: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
+    z = np.full(len(column), w[-1])
+    data, bounds = W.text_column(column)
+    for i, j in W.chunks(bounds):
+        total, sums = np.zeros(j - i), np.zeros(j - i)
+        for hashed, first, last in grams(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i], orders, bits):
+            full = last > first
+            if full.any():
+                edges = np.stack([first[full], last[full]], 1).ravel()
+                sums[full] += np.add.reduceat(np.append(w[hashed], 0.0), edges)[::2]
+            total[full] += last[full] - first[full]
+        z[i:j] += sums / np.sqrt(np.maximum(total, 1))
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
 def score(docs: DataFrame, weights: np.ndarray, *, orders: tuple[int, ...] = ORDERS,
           bits: int = BITS) -> DataFrame:
     """(doc_id, score) of every row; score is the probability of the label."""
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    intercept = float(weights[-1])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = shared.value
         for batch in rows:
-            z = np.full(batch.num_rows, intercept)
-            data, bounds = W.text_column(batch.column(1))
-            for i, j in W.chunks(bounds):
-                total, sums = np.zeros(j - i), np.zeros(j - i)
-                for hashed, first, last in grams(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i],
-                                                 orders, bits):
-                    full = last > first
-                    if full.any():
-                        edges = np.stack([first[full], last[full]], 1).ravel()
-                        sums[full] += np.add.reduceat(np.append(w[hashed], 0.0), edges)[::2]
-                    total[full] += last[full] - first[full]
-                z[i:j] += sums / np.sqrt(np.maximum(total, 1))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["doc_id", "score"])
+                [batch.column(0), pa.array(_probabilities(batch.column(1), shared.value, orders, bits))],
+                names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
         run, "doc_id long, score double")
 
 
+def without_toxic(docs: DataFrame, weights: np.ndarray, *, threshold: float = 0.5,
+                  orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> DataFrame:
+    """The rows of `docs`, all columns, whose score is below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            yield batch.filter(pa.array(_probabilities(batch.column("text"), shared.value, orders, bits) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op9_nb_toxicity(spark, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")

@@ -172,14 +172,15 @@ def seeded_choice(rows: DataFrame, goals: dict[int, int]) -> dict[int, list[tupl
 
 
 def mixed(docs: DataFrame, members: Column, *, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE,
-          repeats: int = REPEATS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, sources, sizes, targets, copies, taken, *keep) of every row.
+          repeats: int = REPEATS, seed: int = SEED, keep: bool = False) -> DataFrame:
+    """(doc_id, size, sources, sizes, targets, copies, taken) of every row, and the row itself, `kept`, if asked for.
 
     `members` is the array of a document's sources; `sources` comes back as their numbers (in code
     point order, null last) with the sizes and targets of each. `copies` is how often the mix takes
     the document, `taken` the words this makes.
     """
-    rows = docs.select("doc_id", words_of(F.col("text")).alias("size"), members.alias("members"), *keep)
+    kept = [F.struct(*docs.columns).alias("kept")] if keep else []
+    rows = docs.select("doc_id", words_of(F.col("text")).alias("size"), members.alias("members"), *kept)
     rows = materialize(rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 2)), "rows")
     sizes = (rows.select("size", F.explode(F.array_distinct("members")).alias("source"))
              .groupBy("source").agg(F.sum("size").alias("size")).collect())
@@ -209,7 +210,13 @@ def mixed(docs: DataFrame, members: Column, *, weights: tuple[int, ...] = WEIGHT
     rows = rows.join(cuts, "pattern", "left").withColumn("copies", F.when(
         F.col("size") == 0, F.lit(0)).otherwise(F.col("full") + again.cast("long")).cast("long"))
     return rows.select("doc_id", "size", "sources", "sizes", "targets", "copies",
-                       (F.col("size") * F.col("copies")).alias("taken"), *keep)
+                       (F.col("size") * F.col("copies")).alias("taken"), *["kept"] * keep)
+
+
+def mixture(docs: DataFrame, members: Column, **options) -> DataFrame:
+    """The rows of `docs`, all columns, each as often as the mix takes it."""
+    rows = mixed(docs, members, keep=True, **options).where("copies > 0")
+    return rows.select("kept", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("kept.*")
 
 
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:

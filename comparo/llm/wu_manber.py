@@ -164,25 +164,49 @@ def _pass(docs: DataFrame, tables, keep_text: bool) -> DataFrame:
     return docs.mapInArrow(search, _DDL)
 
 
+def _pattern_blocks(benchmark: DataFrame, n: int, patterns_per_pass: int) -> Iterator:
+    """Search tables of the benchmark's windows, a bounded number at a time, each broadcast."""
+    spark = benchmark.sparkSession
+    windows = materialize(windows_of(benchmark, n).distinct(), "windows")
+    blocks = max(1, -(-windows.count() // (patterns_per_pass * 3 // 4)))
+    of = F.pmod(F.xxhash64("window"), F.lit(blocks))
+    for b in range(blocks):
+        own = windows.where(of == b).collect()       # about patterns_per_pass rows
+        yield spark.sparkContext.broadcast(_tables(own)), b == blocks - 1
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, n: int = 10,
                   patterns_per_pass: int = PATTERNS_PER_PASS) -> DataFrame:
     """Per document row: doc_id, n_words, hit (a bit for each word inside an occurrence, most
     significant first; empty if none), items (ids of the items with occurring windows, sorted)."""
-    windows = materialize(windows_of(benchmark, n).distinct(), "windows")
-    n_blocks = max(1, -(-windows.count() // (patterns_per_pass * 3 // 4)))
-    block = F.pmod(F.xxhash64("window"), F.lit(n_blocks))
     out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"),
                       F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"),
                       F.array().cast("array<long>").alias("items"))
-    for b in range(n_blocks):
-        own = windows.where(block == b).collect()       # about patterns_per_pass rows
-        tables = docs.sparkSession.sparkContext.broadcast(_tables(own))
-        out = _pass(out, tables, keep_text=b < n_blocks - 1)
-        if b < n_blocks - 1:
-            out = materialize(out, f"pass{b}")
+    for tables, last in _pattern_blocks(benchmark, n, patterns_per_pass):
+        out = _pass(out, tables, keep_text=not last)
+        if not last:
+            out = materialize(out, "pass")
     return out.drop("text")
 
 
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, n: int = 10,
+                         patterns_per_pass: int = PATTERNS_PER_PASS) -> DataFrame:
+    """The rows of `docs`, all columns, that hold no window of the benchmark."""
+    def cleaned(tables):
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in rows:
+                clean = np.ones(batch.num_rows, bool)
+                for i, _, w in W.batches(batch.column("text"), W.ALPHANUMERIC, lower=True):
+                    hashes, of_doc = w.hashes(), w.doc_of_word()
+                    for p in tables.value:
+                        clean[i + of_doc[p.occurrences(w, hashes)[0]]] = False
+                yield batch.filter(pa.array(clean))
+        return run
+    for tables, _ in _pattern_blocks(benchmark, n, patterns_per_pass):
+        docs = docs.mapInArrow(cleaned(tables), docs.schema)
+    return docs
+
+
 def op5_wu_manber(spark, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in 10-word windows of the benchmark."""
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
