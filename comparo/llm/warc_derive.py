@@ -72,7 +72,7 @@ def page_metadata(page: str) -> dict:
         for name in ("href", "src", "action"):
             if name in own:
                 links.append({"path": f"{tag.upper()}@/{name}", "url": own[name]})
-    return {"Title": _SPACE.sub(" ", html.unescape(title[1])).strip() if title else None,
+    return {"Title": " ".join(html.unescape(title[1]).split()) if title else None,
             "Metas": [m for m in map(_attributes, _META.findall(page)) if m], "Links": links}
 
 
