@@ -2,8 +2,9 @@
 
 The engine never sets cluster-wide knobs on a session it did not create:
 ``get_spark`` is for tests, benches and scripts. ``checkpoint_dir`` reads
-``spark.checkpoint.dir`` from the running session and only falls back to a
-fresh local folder when nothing is configured (local tests).
+``spark.checkpoint.dir`` from the running session; a local master (tests) may
+leave it unset and gets a folder of its own, anything else must name a folder
+that driver and executors share.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, configuring the context from
-    ``spark.checkpoint.dir``; a private temp folder only when it is unset."""
+    ``spark.checkpoint.dir``; a private folder only on a local master."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
@@ -44,6 +45,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get(
         "spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         conf_dir = tempfile.mkdtemp(prefix="comparo-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir

@@ -82,35 +82,36 @@ def date_ranges(col: str, ranges) -> Column | None:
     return cond
 
 
-def lines(spark: SparkSession, d: str, ranges=None) -> DataFrame:
+def lines(spark: SparkSession, d: str, ranges=None, product: bool = True) -> DataFrame:
     """Typed product lines: year, month, format, store_id, store, sector,
     section, family, sales decimal, units decimal, order_key. ``ranges``
-    limits the order dates to the report period(s) at the scan."""
+    limits the order dates to the report period(s) at the scan; without
+    ``product`` the part table is not read and its columns are left out."""
     li = table(spark, d, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax")
     o = table(spark, d, "orders").select("o_orderkey", "o_orderdate")
     if ranges:
         o = o.filter(date_ranges("o_orderdate", ranges))
-    p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_name")
-    j = li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-    # Exact and long-backed: decimal(8,2) x decimal(4,2) x decimal(4,2) = decimal(18,6)
-    # (a line price is quantity x retail price, below 10^6 at every scale factor).
+    j = li.join(o, li.l_orderkey == o.o_orderkey)
+    if product:
+        p = table(spark, d, "part").select("p_partkey", "p_type", "p_brand", "p_name")
+        j = j.join(p, li.l_partkey == p.p_partkey)
     one = F.lit(Decimal("1.00"))
-    sales = (F.col("l_extendedprice").cast("decimal(8,2)")
-             * (one - F.col("l_discount").cast("decimal(3,2)"))
-             * (one + F.col("l_tax").cast("decimal(3,2)")))
+    sales = (F.col("l_extendedprice").cast("decimal(18,2)")
+             * (one - F.col("l_discount").cast("decimal(4,2)"))
+             * (one + F.col("l_tax").cast("decimal(4,2)")))
+    named = [F.col("p_type").alias("sector"), F.col("p_brand").alias("section"),
+             F.upper("p_name").alias("family")] if product else []
     return j.select(
         F.year("o_orderdate").alias("year"),
         F.month("o_orderdate").alias("month"),
         by_mod("l_suppkey", FORMATS).alias("format"),
         F.col("l_suppkey").alias("store_id"),
         store_label(F.col("l_suppkey")).alias("store"),
-        F.col("p_type").alias("sector"),
-        F.col("p_brand").alias("section"),
-        F.upper("p_name").alias("family"),
+        *named,
         sales.alias("sales"),
-        F.col("l_quantity").cast("decimal(10,2)").alias("units"),
+        F.col("l_quantity").cast("decimal(12,2)").alias("units"),
         F.col("l_orderkey").alias("order_key"),
     )
 
@@ -121,7 +122,7 @@ STORE_KEYS = ["year", "month", "format", "store_id", "store"]
 def tickets(spark: SparkSession, d: str, by_sector: bool = False, ranges=None) -> DataFrame:
     """Distinct orders per store-month (or store-sector-month)."""
     keys = STORE_KEYS + (["sector"] if by_sector else [])
-    return (lines(spark, d, ranges).groupBy(*keys)
+    return (lines(spark, d, ranges, product=by_sector).groupBy(*keys)
             .agg(F.countDistinct("order_key").alias("tickets")))
 
 
@@ -401,3 +402,14 @@ def tickets_report_text(spark: SparkSession, d: str) -> DataFrame:
         F.col("format").alias("Direccion"), F.col("store").alias("Punto Operacional"),
         F.lit("Cant. Tickets").alias("Indicadores"),
         F.translate(F.format_number(F.col("tickets"), 0), ",", ".").alias("Cant. Tickets por Local"))
+
+
+def register_sheet(spark: SparkSession, d: str) -> DataFrame:
+    """The register as a sheet export: every cell text, ids as '13.0' for every second
+    store, two blocks of month flags under the same headers, some rows nearly empty."""
+    reg = register(spark, d)
+    k = F.col("store_id")
+    ids = F.when(k % 2 == 0, F.concat(k.cast("string"), F.lit(".0"))).otherwise(k.cast("string"))
+    return reg.select(ids.alias("GSX"), F.when(k % 10 != 0, F.col("name")).alias("NOMBRE"),
+                      F.when(k % 10 != 0, F.col("ene")).alias("ENE"), F.when(k % 10 != 0, F.col("feb")).alias("FEB"),
+                      F.when(k % 10 != 0, F.col("jul")).alias("ENE.1"), F.when(k % 10 != 0, F.col("dic")).alias("FEB.1"))

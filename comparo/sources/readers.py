@@ -17,29 +17,43 @@ def _string_schema(n: int) -> StructType:
     return StructType([StructField(f"_c{i}", StringType(), True) for i in range(n)])
 
 
+def _below_header(raw: DataFrame, header: list[str], path: str) -> DataFrame:
+    """Rows below the header of their file, the header being the first row that equals it.
+
+    Every text file is read by one task in file order, so the row id tells above
+    from below; the rows above are dropped whatever they hold, the rows below are
+    kept whatever they lack. A part file without a header (a report written in
+    several parts has it in the first) is all data; no header anywhere raises.
+    """
+    columns = raw.columns
+    tagged = raw.withColumns({"_file": F.col("_metadata.file_path"),
+                              "_row": F.monotonically_increasing_id()})
+    equal = F.lit(True)
+    for c, h in zip(columns, header):
+        equal = equal & F.trim(F.col(f"`{c}`")).eqNullSafe(F.lit(h.strip()))
+    heads = (tagged.filter(equal).groupBy("_file").agg(F.min("_row").alias("_head")))
+    if heads.isEmpty():
+        raise ValueError(f"no header row {header!r} in {path}")
+    below = F.col("_head").isNull() | (F.col("_row") > F.col("_head"))
+    # the cells depend on the join, so that no later predicate is tried on the rows above
+    return (tagged.join(heads, "_file", "left").filter(below)
+            .select(*[F.when(below, F.col(f"`{c}`")).alias(c) for c in columns]))
+
+
 def read_report_csv(spark: SparkSession, path: str, columns, *, encoding: str = "UTF-16",
-                    sep: str = ",", title_rows: int = 1, usecols=None) -> DataFrame:
-    """Read a report whose header row follows ``title_rows`` title lines.
+                    sep: str = ",", usecols=None) -> DataFrame:
+    """Read a report whose header row follows any number of title lines.
 
-    ``columns`` is the header, in file order (the schema is never inferred).
-    Title and header lines are removed by content (a line equal to the header,
-    or a title line with a single non-empty field), so the read stays
-    distributed. ``usecols`` keeps a subset (SRC-2).
+    ``columns`` is the header, in file order (the schema is never inferred); the
+    rows above it are dropped, all rows below it are kept. ``usecols`` keeps a
+    subset (SRC-2).
     """
     columns = list(columns)
     raw = (spark.read.schema(_string_schema(len(columns)))
            .option("encoding", encoding).option("multiLine", True).option("sep", sep)
            .option("quote", '"').option("escape", '"').option("header", False)
            .csv(path))
-    df = raw.toDF(*columns)
-    is_header = F.lit(True)
-    for c in columns:
-        is_header = is_header & (F.trim(F.col(f"`{c}`")) == F.lit(c.strip()))
-    rest_empty = F.lit(True)
-    for c in columns[1:]:
-        rest_empty = rest_empty & F.col(f"`{c}`").isNull()
-    is_title = rest_empty if title_rows else F.lit(False)
-    out = df.filter(~F.coalesce(is_header, F.lit(False)) & ~F.coalesce(is_title, F.lit(False)))
+    out = _below_header(raw, columns, path).toDF(*columns)
     if usecols is not None:
         out = out.select(*[F.col(f"`{c}`") for c in usecols])
     return out
@@ -52,11 +66,6 @@ def read_delimited(spark: SparkSession, path: str, schema: StructType | str, sep
             .option("encoding", encoding).csv(path))
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet (SRC-3)."""
-    return spark.read.parquet(path)
-
-
 def read_any(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:
     """Dispatch on the format name; unknown formats raise (SRC-4). The CSV
     branch reads every field as text (numbers use a decimal comma)."""
@@ -69,12 +78,12 @@ def read_any(spark: SparkSession, path: str, fmt: str, **options) -> DataFrame:
     raise ValueError(f"unsupported format: {fmt!r}")
 
 
-def read_register(spark: SparkSession, path: str, columns, *, header_row: int = 17,
-                  encoding: str = "UTF-8", sep: str = ",") -> DataFrame:
-    """Store register export whose header is on row ``header_row`` (0-based);
-    repeated month headers are disambiguated 'X', 'X.1', 'X.2' like the
-    spreadsheet reader does (SRC-6). Rows above the header carry free text
-    and are removed because their first field is not a store number."""
+def read_register(spark: SparkSession, path: str, columns, *, encoding: str = "UTF-8",
+                  sep: str = ",") -> DataFrame:
+    """Store register export below lines of free text (SRC-6). ``columns`` is
+    the header as it stands in the file; repeated month headers are
+    disambiguated 'X', 'X.1', 'X.2' like the spreadsheet reader does. All rows
+    below the header are kept."""
     names, seen = [], {}
     for c in columns:
         k = seen.get(c, 0)
@@ -82,8 +91,7 @@ def read_register(spark: SparkSession, path: str, columns, *, header_row: int =
         seen[c] = k + 1
     raw = (spark.read.schema(_string_schema(len(names))).option("encoding", encoding)
            .option("sep", sep).option("header", False).option("multiLine", True).csv(path))
-    df = raw.toDF(*names)
-    return df.filter(F.trim(F.col(f"`{names[0]}`")).rlike(r"^\d+$"))
+    return _below_header(raw, list(columns), path).toDF(*names)
 
 
 def read_wide(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -38,10 +38,12 @@ def locale_text(c, dtype) -> F.Column:
 
 
 def write_locale_csv(df: DataFrame, path: str, encoding: str = "UTF-16",
-                     title: str | None = None, mode: str = "overwrite") -> str:
+                     title: str | None = None, header=None,
+                     mode: str = "overwrite") -> str:
     """CSV with a decimal comma (SNK-2). With ``title`` the first part file
     starts with the title line and the header line, as in the exported
-    reports; otherwise every part file has a plain header."""
+    reports (``header``: its names, which may repeat); otherwise every part
+    file has a plain header."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -53,11 +55,11 @@ def write_locale_csv(df: DataFrame, path: str, encoding: str = "UTF-16",
     text = df.select(*cols)
     if title is not None:
         schema = StructType([StructField(c, StringType(), True) for c in df.columns])
-        header = df.sparkSession.createDataFrame(
-            [[title] + [None] * (len(df.columns) - 1), df.columns], schema)
+        top = df.sparkSession.createDataFrame(
+            [[title] + [None] * (len(df.columns) - 1), list(header or df.columns)], schema)
         # a union keeps the partition order: the one-partition header lands in the
         # first part file, the report rows keep their partitioning (no sort, no shuffle)
-        text = header.coalesce(1).unionByName(text)
+        text = top.coalesce(1).unionByName(text)
         (text.write.mode(mode).option("encoding", encoding).option("header", False)
          .option("quoteAll", True).csv(path))
     else:

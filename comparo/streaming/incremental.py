@@ -3,7 +3,8 @@
 The table is partitioned by the month column and written with dynamic
 partition overwrite: loading a month replaces that month's partition only,
 so running the same load twice leaves one copy (a plain append would
-duplicate it). Works the same from a batch job or a ``foreachBatch`` sink.
+duplicate it). A load holds the whole month. The mode is an option of the
+writer, so parallel writes of the session do not see it.
 """
 
 from __future__ import annotations
@@ -12,24 +13,6 @@ from pyspark.sql import DataFrame
 
 
 def append_month(df: DataFrame, path: str, month_col: str, fmt: str = "parquet") -> str:
-    spark = df.sparkSession
-    key = "spark.sql.sources.partitionOverwriteMode"
-    previous = spark.conf.get(key, "static")
-    spark.conf.set(key, "dynamic")
-    try:
-        df.write.mode("overwrite").format(fmt).partitionBy(month_col).save(path)
-    finally:
-        spark.conf.set(key, previous)
+    (df.write.mode("overwrite").format(fmt).option("partitionOverwriteMode", "dynamic")
+     .partitionBy(month_col).save(path))
     return path
-
-
-def month_batches(stream_df: DataFrame, path: str, month_col: str, checkpoint: str, **trigger):
-    """Structured-streaming form: each micro-batch is loaded with
-    ``append_month`` (exactly-once per month partition). Returns the query."""
-    def load(batch: DataFrame, _epoch: int) -> None:
-        append_month(batch, path, month_col)
-
-    w = stream_df.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
-    if trigger:
-        w = w.trigger(**trigger)
-    return w.start()

@@ -1,45 +1,76 @@
-"""Register reader and the structured-streaming form of the monthly append."""
+"""Report and register readers, the monthly append, landing."""
 
 import datetime as dt
+import uuid
+
+import pytest
 
 from comparo.session import checkpoint_dir
 
 
-def test_read_register_positional(spark, tmp_path):
+def test_read_register_keeps_every_row_below_the_header(spark, tmp_path):
     from comparo.sources.readers import read_register
     path = str(tmp_path / "padron.csv")
-    junk = "".join(f"free text line {i},,,\n" for i in range(17))
+    junk = "".join(f"{i},free text,,\n" for i in range(17))
     with open(path, "w", encoding="utf-8") as f:
-        f.write(junk + "GSX,NOMBRE,ENE,ENE\n12,Store A,SC,NSC\n13,Store B,sc,SC\n")
+        f.write(junk + "GSX,NOMBRE,ENE,ENE\n12,Store A,SC,NSC\n13.0,Store B,sc,SC\n,no id,SC,SC\n14,,,\n")
     df = read_register(spark, path, ["GSX", "NOMBRE", "ENE", "ENE"])
     assert df.columns == ["GSX", "NOMBRE", "ENE", "ENE.1"]
-    assert sorted(r["ENE.1"] for r in df.collect()) == ["NSC", "SC"]
-
-
-def test_month_batches_idempotent(spark):
-    import uuid
-
-    from comparo.streaming.incremental import month_batches
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    src = spark.createDataFrame(
-        [(dt.date(2025, 12, 1), "A", 1), (dt.date(2025, 12, 1), "B", 2)],
-        "fecha_final date, k string, v int")
-    src.write.parquet(f"{base}/in/batch1")
-    src.write.mode("append").parquet(f"{base}/in/batch1")       # the same month delivered twice
-    stream = spark.readStream.schema(src.schema).parquet(f"{base}/in/batch1")
-    q = month_batches(stream, f"{base}/out", "fecha_final", f"{base}/ckpt", availableNow=True)
-    q.awaitTermination(120)
-    out = spark.read.parquet(f"{base}/out")
-    assert out.count() == 4          # one load of the month = what arrived, no duplicate reload
-    q2 = month_batches(spark.readStream.schema(src.schema).parquet(f"{base}/in/batch1"),
-                       f"{base}/out", "fecha_final", f"{base}/ckpt2", availableNow=True)
-    q2.awaitTermination(120)
-    assert spark.read.parquet(f"{base}/out").count() == 4   # replay replaces the partition
+    assert sorted((r.GSX or "") for r in df.collect()) == ["", "12", "13.0", "14"]
+    with pytest.raises(ValueError):
+        read_register(spark, path, ["GSX", "OTHER", "ENE", "ENE"])
 
 
-def test_read_delimited_and_read_any(spark, tmp_path):
-    import pytest
+def test_report_reader_keeps_sparse_rows_and_titles_with_commas(spark, tmp_path):
+    from comparo.sources.readers import read_report_csv
+
+    def write(name, text):
+        with open(tmp_path / name, "w", encoding="utf-16") as f:
+            f.write(text)
+        return str(tmp_path / name)
+    path = write("a.csv", 'Ventas, por tienda, 2024\n"a","b","c"\n1,x,y\n2,,\n3,,z\n')
+    assert sorted(r.a for r in read_report_csv(spark, path, ["a", "b", "c"]).collect()) == ["1", "2", "3"]
+    path = write("b.csv", "Title\nonly\n1\n2\n")
+    assert sorted(r.only for r in read_report_csv(spark, path, ["only"]).collect()) == ["1", "2"]
+    path = write("c.csv", "a,b\n1,2\n")
+    assert [tuple(r) for r in read_report_csv(spark, path, ["a", "b"], usecols=["b"]).collect()] == [("2",)]
+    with pytest.raises(ValueError):
+        read_report_csv(spark, path, ["x", "y"])
+
+
+def test_append_month_replaces_its_month_only(spark):
+    from comparo.streaming.incremental import append_month
+    path = f"{checkpoint_dir(spark)}/append-{uuid.uuid4().hex}"
+    schema = "fecha_final date, k string, v int"
+    november = spark.createDataFrame([(dt.date(2025, 11, 1), "A", 1)], schema)
+    december = spark.createDataFrame([(dt.date(2025, 12, 1), "A", 2), (dt.date(2025, 12, 1), "B", 3)], schema)
+    mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
+    for month in (november, december, december):
+        append_month(month, path, "fecha_final")
+    assert sorted((r.k, r.v) for r in spark.read.parquet(path).collect()) == [("A", 1), ("A", 2), ("B", 3)]
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == mode
+
+
+def test_shared_folder_is_required_off_a_local_master(spark, monkeypatch):
+    from comparo import session
 
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+    with pytest.raises(ValueError):
+        session.checkpoint_dir(Session())
+
+
+def test_read_delimited_and_read_any(spark, tmp_path):
     from comparo.plans.hours import margin
     from comparo.sources.readers import read_any, read_delimited
     path = str(tmp_path / "margen.csv")
@@ -55,8 +86,6 @@ def test_read_delimited_and_read_any(spark, tmp_path):
 
 
 def test_land_and_present_columns(spark):
-    import uuid
-
     from comparo.operators.columns import normalize_columns, present_columns
     from comparo.sources.readers import land
     df = spark.createDataFrame([(2024, "x")], "`Año` int, `Punto Operacional` string")
