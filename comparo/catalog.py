@@ -18,7 +18,8 @@ from comparo.operators.aggregate import grouping_sets_sum
 from comparo.operators.filters import comparable_predicate, exclude_packaging
 from comparo.operators.joins import with_register
 from comparo.plans import monthly, ytd
-from comparo.plans.measures import LEAF_KEYS, STORE_KEYS, comparable_cube, to_measures
+from comparo.plans.measures import (LEAF_KEYS, STORE_KEYS, comparable_cube, register_for_month,
+                                    to_measures)
 from comparo.sources import proxy as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,18 +38,19 @@ def query(name: str):
 GRAINS = {"leaf": LEAF_KEYS, "store": STORE_KEYS, "sector": STORE_KEYS + ["sector"]}
 
 
-def measures(spark: SparkSession, d: str, *, contains: bool = False,
-             grain: str = "leaf", ranges=None) -> DataFrame:
+def measures(spark: SparkSession, d: str, *, contains: bool = False, grain: str = "leaf",
+             ranges=None, comparable: int | None = None) -> DataFrame:
     """The long fact aggregated straight from the lines at the coarsest grain
     a report needs ('store' reports never pay for the product-leaf groups);
-    ``ranges`` are the report's date ranges, pushed into the orders scan."""
-    lines = X.lines(spark, d, ranges)
-    tickets = (lines.groupBy(*X.STORE_KEYS)
-               .agg(F.countDistinct("order_key").alias("tickets")))
+    ``ranges`` are the report's date ranges, pushed into the orders scan;
+    ``comparable`` keeps the like-for-like stores of that month before anything
+    is aggregated. Tickets do not read the part table."""
     keys = GRAINS[grain]
-    if contains:
-        return to_measures(lines, tickets, packaging_token=X.PACKAGING_TOKEN, keys=keys)
-    return to_measures(lines, tickets, packaging=X.PACKAGING, keys=keys)
+    stores = None if comparable is None else register_for_month(
+        X.register(spark, d), comparable, cols=())
+    packaging = {"packaging_token": X.PACKAGING_TOKEN} if contains else {"packaging": X.PACKAGING}
+    return to_measures(X.lines(spark, d, ranges), X.tickets(spark, d, ranges=ranges), keys=keys,
+                       stores=stores, **packaging)
 
 
 def month_ranges(years, month):
@@ -74,6 +76,12 @@ def _double(df: DataFrame, col: str = "value") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("double"))
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Row numbers of a sorted report, taken from the order it arrives in."""
+    tagged = df.withColumn("_at", F.monotonically_increasing_id())
+    return tagged.withColumn("row_no", F.expr("row_number() over (order by _at)").cast("bigint")).drop("_at")
+
+
 # -- long fact, packaging, register join, comparability ---------------------------
 
 @query("measures_long")
@@ -142,7 +150,8 @@ def _monthly(name):
     grain = "leaf" if name == "leaf" else _grain_for(monthly.SPEC[name].dims)
 
     def fn(spark, d):
-        return monthly.monthly_report(measures(spark, d, grain=grain, ranges=MONTH_RANGES),
+        return monthly.monthly_report(measures(spark, d, grain=grain, ranges=MONTH_RANGES,
+                                               comparable=MONTH),
                                       X.register(spark, d), name, YEARS, MONTH)
     return fn
 
@@ -151,6 +160,9 @@ for _n in [s.name for s in monthly.SPECS] + ["leaf"]:
     query("leaf_pivot" if _n == "leaf" else f"yoy_{_n}")(_monthly(_n))
 
 
+SINGLE_FORMAT, NO_LEAF_FORMAT = "MARKET", "PROXIMIDAD"
+
+
 # -- year to date (RPT-2 / RPT-3) -------------------------------------------------
 
 def _ytd(name):
@@ -158,10 +170,10 @@ def _ytd(name):
     grain = _grain_for(spec.dims)
 
     def fn(spark, d):
-        limit = name not in ("total", "province_format")   # see ytd.ytd_report(limit_total=)
-        rng = YTD_RANGES if limit else [(f"{y}-01-01", f"{y + 1}-01-01") for y in YEARS]
-        return ytd.ytd_report(measures(spark, d, grain=grain, ranges=rng), X.register(spark, d),
-                              name, YEARS, MONTH)
+        m = measures(spark, d, grain=grain, ranges=YTD_RANGES, comparable=MONTH)
+        if name == "measure_single_format":       # RPT-3: the input holds one format
+            m = m.filter(F.col("format") == SINGLE_FORMAT)
+        return ytd.ytd_report(m, X.register(spark, d), name, YEARS, MONTH)
     return fn
 
 
@@ -171,10 +183,20 @@ for _n in [s.name for s in ytd.SPECS] + ["measure_single_format"]:
 
 @query("leaf_detail")
 def q_leaf_detail(spark, d):
-    return ytd.leaf_detail(measures(spark, d, ranges=YTD_RANGES), X.register(spark, d), YEARS,
+    return ytd.leaf_detail(measures(spark, d, ranges=YTD_RANGES, comparable=MONTH), X.register(spark, d), YEARS,
                            MONTH)
 
 
+def _leaf_single(fmt):
+    def fn(spark, d):
+        m = measures(spark, d, ranges=YTD_RANGES, comparable=MONTH).filter(F.col("format") == fmt)
+        return ytd.leaf_detail(m, X.register(spark, d), YEARS, MONTH, skip_format=NO_LEAF_FORMAT)
+    return fn
+
+
+query("leaf_detail_single_format")(_leaf_single(SINGLE_FORMAT))
+query("leaf_detail_left_out")(_leaf_single(NO_LEAF_FORMAT))
+
 GS_GRAINS = {
     "total": [], "format": ["format"], "province": ["province"],
     "province_format": ["format", "province"], "store": ["format", "store"],
@@ -185,7 +207,8 @@ GS_PRODUCT = ("sector", "section", "family")
 
 @query("report_grouping_sets")
 def q_report_grouping_sets(spark, d):
-    cube = ytd.ytd_cube(measures(spark, d, ranges=YTD_RANGES), X.register(spark, d), YEARS, MONTH)
+    cube = ytd.ytd_cube(measures(spark, d, ranges=YTD_RANGES, comparable=MONTH), X.register(spark, d),
+                        YEARS, MONTH)
     out = grouping_sets_sum(cube, GS_GRAINS, exclude={g: [L.TICKETS] for g in GS_PRODUCT})
     cols = list(dict.fromkeys(k for ks in GS_GRAINS.values() for k in ks))
     return out.select("grain", *cols, "year", "measure", F.col("value").cast("double").alias("value"))
@@ -195,7 +218,7 @@ def q_report_grouping_sets(spark, d):
 
 def _store_family_long(spark, d):
     from comparo.operators.growth import growth_table
-    cube = monthly.month_cube(measures(spark, d, ranges=MONTH_RANGES), X.register(spark, d),
+    cube = monthly.month_cube(measures(spark, d, ranges=MONTH_RANGES, comparable=MONTH), X.register(spark, d),
                               YEARS, MONTH)
     return growth_table(cube, ["store", "family"], YEARS, measures=L.PRODUCT_MEASURES,
                         resum=True).drop("growth")
@@ -234,7 +257,7 @@ CMP_RANGES = [(f"{CMP_YEARS[0]}-01-01", f"{CMP_YEARS[-1] + 1}-01-01")]
 def _cmp(fn_name):
     def fn(spark, d):
         from comparo.plans import comparison as C
-        return getattr(C, fn_name)(measures(spark, d, grain="store", ranges=CMP_RANGES),
+        return getattr(C, fn_name)(measures(spark, d, grain="store", ranges=CMP_RANGES, comparable=MONTH),
                                    X.register(spark, d), CMP_YEARS,
                                    CMP_PAIRS, MONTH)
     return fn
@@ -248,7 +271,7 @@ query("comparison_union")(_cmp("comparison"))
 @query("comparison_selected")
 def q_comparison_selected(spark, d):
     from comparo.plans import comparison as C
-    series = C.comparison(measures(spark, d, grain="store", ranges=CMP_RANGES),
+    series = C.comparison(measures(spark, d, grain="store", ranges=CMP_RANGES, comparable=MONTH),
                           X.register(spark, d), CMP_YEARS, CMP_PAIRS, MONTH)
     return C.selected(series, SELECTED_STORES, L.SALES)
 
@@ -367,12 +390,16 @@ query("period_split_store")(_brief("store", rolling=True))
 query("period_split_format")(_brief("format", rolling=True))
 query("period_split_sector")(_brief("store_sector", rolling=True))
 query("period_split_family")(_brief("family", rolling=True))
+query("period_split_format_sector")(_brief("format_sector", rolling=True))
+query("period_split_store_sector_matrix")(_brief("store_sector_matrix", rolling=True))
+query("period_split_consolidated_matrix")(_brief("consolidated", rolling=True))
+query("period_split_four_levels")(_brief("four_levels", rolling=True))
 
 
 def _history(comparable: bool):
     def fn(spark, d):
         from comparo.plans import briefing as B
-        rng = [(f"{X.BRIEF_HISTORY_YEARS[0]}-01-01", f"{X.CURRENT_YEAR}-{X.BRIEF_MONTH + 1:02d}-01")]
+        rng = [(f"{X.BRIEF_HISTORY_YEARS[0]}-01-01", month_ranges([X.CURRENT_YEAR], X.BRIEF_MONTH)[0][1])]
         m = measures(spark, d, grain="store", ranges=rng)
         hist = _lower_measure(m.filter(F.col("year").isin(*X.BRIEF_HISTORY_YEARS))
                               .groupBy("year", "month", "format", "store_id", "store", "measure")
@@ -445,8 +472,15 @@ def q_operating_result(spark, d):
 @query("hours_wide")
 def q_hours_wide(spark, d):
     from comparo.plans import hours as H
-    months = H.MONTHS_LOWER
-    return H.order_by_last_month(H.hours_wide(_operating(spark, d), months), months)
+    return H.hours_wide(_operating(spark, d), H.MONTHS_LOWER)
+
+
+@query("extended_hours_report")
+def q_extended_hours_report(spark, d):
+    """The whole report as presented, with its row numbers."""
+    from comparo.plans import hours as H
+    return _numbered(H.extended_hours(X.slot_sales_wide(spark, d), X.staff_cost_wide(spark, d),
+                                      X.authorised_hours_wide(spark, d), X.margin_long(spark, d)))
 
 
 # -- weekday (RPT-11), market share (RPT-12), register clean-up (RPT-13) -------------------
@@ -613,7 +647,8 @@ def q_csv_utf16_roundtrip(spark, d):
 @query("report_set_roundtrip")
 def q_report_set_roundtrip(spark, d):
     from comparo.sources.writers import write_report_set
-    reps = monthly.monthly_reports(measures(spark, d), X.register(spark, d), YEARS, MONTH,
+    reps = monthly.monthly_reports(measures(spark, d, ranges=MONTH_RANGES, comparable=MONTH),
+                                   X.register(spark, d), YEARS, MONTH,
                                    sort=False)
     paths = write_report_set(reps, _scratch(spark, "reports"))
     return spark.read.parquet(paths["store"])
@@ -644,6 +679,46 @@ def q_overwrite_table(spark, d):
     return back.toDF(*reg.columns)
 
 
+# -- final orders (SRT-1..5): the sorted reports with their row numbers ---------------------------
+
+for _k in ("yoy_store", "yoy_family", "yoy_store_family", "comparison_union",
+           "briefing_store_comparable", "briefing_family_contribution"):
+    query(f"order_{_k}")(lambda spark, d, k=_k: _numbered(QUERIES[k](spark, d)))
+
+
+# -- report files: written, read back, parsed ----------------------------------------------------
+
+@query("report_file_ingest")
+def q_report_file_ingest(spark, d):
+    """UTF-16 report files (title line with a comma, empty cells) back into the long fact."""
+    from comparo.plans.ingest import SALES_REPORT, TICKETS_REPORT, lines_from_report, tickets_from_report
+    from comparo.sources.readers import land, read_report_csv
+    from comparo.sources.writers import write_locale_csv
+    paths = [write_locale_csv(rep.select(*[F.col(f"`{c}`") for c in cols]), _scratch(spark, name), title=f"Informe, {name}")
+             for rep, cols, name in ((X.sales_report_text(spark, d), SALES_REPORT, "ventas"),
+                                     (X.tickets_report_text(spark, d), TICKETS_REPORT, "tickets"))]
+    sales = land(read_report_csv(spark, paths[0], SALES_REPORT).toDF(
+        *[c.replace(" ", "_") for c in SALES_REPORT]), _scratch(spark, "landed"))
+    lines = lines_from_report(sales.toDF(*SALES_REPORT))
+    tickets = tickets_from_report(read_report_csv(spark, paths[1], TICKETS_REPORT))
+    return _double(to_measures(lines, tickets, packaging=X.PACKAGING))
+
+
+@query("register_file_ingest")
+def q_register_file_ingest(spark, d):
+    """A register sheet below free text, with ids like '13.0' and repeated month headers."""
+    from comparo.sources.readers import read_register
+    from comparo.sources.writers import write_locale_csv
+    sheet = X.register_sheet(spark, d)
+    header = ["GSX", "NOMBRE", "ENE", "FEB", "ENE", "FEB"]
+    path = write_locale_csv(sheet, _scratch(spark, "padron"), encoding="UTF-8", title="Padron, tiendas",
+                            header=header)
+    back = read_register(spark, path, header)
+    return back.select(F.col("GSX").try_cast("double").cast("bigint").alias("store_id"),
+                       F.col("NOMBRE").alias("name"), F.col("ENE").alias("ene"), F.col("FEB").alias("feb"),
+                       F.col("`ENE.1`").alias("ene_1"), F.col("`FEB.1`").alias("feb_1"))
+
+
 # -- text reports -> long fact ------------------------------------------------------------------
 
 @query("report_ingest")

@@ -98,12 +98,18 @@ _ytd = {
 }
 for _k, _sql in _ytd.items():
     ORACLE[f"ytd_{_k}"] = with_(*BASE, YTD_CUBE) + _sql
+# one format alone (RPT-3)
+_ONE = cube_cte(Y, MC, f"m.month <= {M} AND m.format = 'MARKET'")
+ORACLE["ytd_measure_single_format"] = with_(*BASE, _ONE) + _ytd["measure_single_format"]
 
 _ld = ("year", "month", "format", "store", "sector", "section", "family", "measure")
 ORACLE["leaf_detail"] = with_(*BASE, YTD_CUBE) + f"""SELECT {', '.join(_ld)},
   CAST(sum(value) AS DOUBLE) AS value FROM cube
   WHERE measure IN ('VCT', 'VOL') AND {' AND '.join(f'{c} IS NOT NULL' for c in _ld)}
   GROUP BY {', '.join(_ld)}"""
+ORACLE["leaf_detail_single_format"] = f"SELECT * FROM ({ORACLE['leaf_detail']}) WHERE format = 'MARKET'"
+ORACLE["leaf_detail_left_out"] = f"SELECT * FROM ({ORACLE['leaf_detail']}) WHERE false"
+
 
 _GS = [("total", []), ("format", ["format"]), ("province", ["province"]),
        ("province_format", ["format", "province"]), ("store", ["format", "store"]),
@@ -295,7 +301,7 @@ def _brief_sql(kind, comparable=True, rolling=False):
                          coalesce({b}, CAST(0 AS DECIMAL(38,6))) AS b, {c} AS current
                   FROM family_x WHERE {axis} IN ({lit(lab[0])}, {lit(lab[1])})
                     AND format IS NOT NULL AND family IS NOT NULL AND section IS NOT NULL
-                    AND measure IS NOT NULL
+                    AND measure IS NOT NULL AND sector IS NOT NULL
                   GROUP BY format, family, section, measure))"""
     if kind == "four_levels":
         def sel(q, level, has_store, has_sector):
@@ -320,6 +326,10 @@ for _k, _args in {
     "period_split_store": ("store", True, True), "period_split_format": ("format", True, True),
     "period_split_sector": ("store_sector", True, True),
     "period_split_family": ("family", True, True),
+    "period_split_format_sector": ("format_sector", True, True),
+    "period_split_store_sector_matrix": ("store_sector_matrix", True, True),
+    "period_split_consolidated_matrix": ("consolidated", True, True),
+    "period_split_four_levels": ("four_levels", True, True),
 }.items():
     ORACLE[_k] = _brief_sql(*_args)
 
@@ -447,12 +457,27 @@ _RES_FINAL = ("resf AS (SELECT no, nombre, localidad, zona, \"gerente regional\"
 ORACLE["operating_result"] = with_(*_HCTES, _RES, _RES_FINAL) + "SELECT * FROM resf"
 _months = [m.lower() for m in ("January February March April May June July August September "
                                "October November December").split()]
-_wide = ", ".join(f"sum({me}) FILTER (WHERE mes = '{mo}') AS {me}_{mo}"
+_wide = ", ".join(f"sum(coalesce({me}, 0.0)) FILTER (WHERE mes = '{mo}') AS {me}_{mo}"
                   for me in _H_METRICS for mo in _months)
 ORACLE["hours_wide"] = with_(*_HCTES, _RES, _RES_FINAL) + f"""SELECT no, nombre, localidad, zona,
   "gerente regional", horario_domingo, horario_anterior, {_wide} FROM resf
   GROUP BY no, nombre, localidad, zona, "gerente regional", horario_domingo, horario_anterior"""
 
+# the report: April to December, Spanish headers, by the ROC of the last month with Sunday sales
+_es = dict(zip(_months, ("Enero Febrero Marzo Abril Mayo Junio Julio Agosto Septiembre Octubre "
+                         "Noviembre Diciembre").split()))
+_cap = lambda x: x.replace("_", " ").capitalize()
+_rep = ", ".join(f"sum(coalesce({me}, 0.0)) FILTER (WHERE mes = '{mo}') AS \"{_cap(me)} {_es[mo]}\""
+                 for me in _H_METRICS for mo in _months[3:])
+_last = "CASE coalesce((SELECT max(month(date)) FROM slots WHERE dayofweek(date) = 0 AND month(date) > 3), 12) " + \
+    " ".join(f"WHEN {i + 1} THEN \"Roc {_es[mo]}\"" for i, mo in enumerate(_months) if i > 2) + " END"
+ORACLE["extended_hours_report"] = with_(*_HCTES, _RES, _RES_FINAL) + f"""SELECT *,
+  row_number() OVER (ORDER BY {_last} ASC NULLS LAST, "No") AS row_no FROM (
+  SELECT no AS "No", nombre AS "Nombre", localidad AS "Localidad", zona AS "Zona",
+  "gerente regional" AS "Gerente regional", horario_domingo AS "Horario domingo",
+  horario_anterior AS "Horario anterior", {_rep} FROM resf
+  GROUP BY no, nombre, localidad, zona, "gerente regional", horario_domingo, horario_anterior)"""
+
 # -- weekday, share, register clean-up ---------------------------------------------------
 _WD_ES = ("CASE dayname(date) WHEN 'Monday' THEN 'Lunes' WHEN 'Tuesday' THEN 'Martes' "
           "WHEN 'Wednesday' THEN 'Miercoles' WHEN 'Thursday' THEN 'Jueves' "
@@ -596,3 +621,20 @@ ORACLE["report_set_roundtrip"] = ORACLE["yoy_store"]
 ORACLE["append_month_idempotent"] = ORACLE["share_last_closed_month"]
 ORACLE["overwrite_table"] = ORACLE["register_clean"]
 ORACLE["report_ingest"] = ORACLE["measures_long"]
+ORACLE["report_file_ingest"] = ORACLE["report_ingest"]
+ORACLE["register_file_ingest"] = with_(REGISTER) + """SELECT CAST(store_id AS BIGINT) AS store_id,
+  CASE WHEN store_id % 10 <> 0 THEN name END AS name, CASE WHEN store_id % 10 <> 0 THEN ene END AS ene,
+  CASE WHEN store_id % 10 <> 0 THEN feb END AS feb, CASE WHEN store_id % 10 <> 0 THEN jul END AS ene_1,
+  CASE WHEN store_id % 10 <> 0 THEN dic END AS feb_1 FROM register"""
+
+# -- final orders ---------------------------------------------------------------------
+for _k, _by in {
+    "yoy_store": "format DESC, VOL_growth DESC NULLS LAST, store ASC",
+    "yoy_family": "VOL_growth DESC NULLS LAST, family ASC",
+    "yoy_store_family": "format DESC, store DESC, family DESC, VOL_growth DESC NULLS LAST",
+    "comparison_union": "store, measure, month, series",
+    "briefing_store_comparable": "growth DESC NULLS LAST, format, store_id, store, measure",
+    "briefing_family_contribution": "contribution DESC NULLS LAST, format, family, section, measure",
+}.items():
+    ORACLE[f"order_{_k}"] = f"""SELECT *, row_number() OVER (ORDER BY {_by}) AS row_no
+  FROM ({ORACLE[_k]})"""

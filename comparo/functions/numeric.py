@@ -13,8 +13,8 @@ from comparo.functions.labels import VARIABLE_COST_RATE, VAT_RATE
 from comparo.functions.text import as_col
 
 __all__ = [
-    "half_even", "to_number", "to_bigint", "to_double", "growth", "gap",
-    "in_millions", "net_of_tax", "margin_ratio", "POS_INF", "NEG_INF",
+    "to_bigint", "to_double", "growth", "contribution_of",
+    "in_millions", "net_of_tax", "POS_INF", "NEG_INF",
     "variable_cost", "growth_sql",
 ]
 
@@ -26,14 +26,6 @@ def NEG_INF() -> Column:
     return F.lit(float("-inf"))
 
 
-def half_even(c, digits: int) -> Column:
-    return F.bround(as_col(c), digits)
-
-
-def to_number(c) -> Column:
-    return as_col(c).try_cast("double")
-
-
 def to_double(c) -> Column:
     return as_col(c).cast("double")
 
@@ -91,11 +83,6 @@ def growth(base, current, scale: float = 100, digits: int | None = 1,
             .otherwise(value))
 
 
-def gap(base, current) -> Column:
-    """current - base, a missing base counting as 0."""
-    return as_col(current) - F.coalesce(as_col(base), F.lit(0))
-
-
 def in_millions(c, digits: int = 2) -> Column:
     return F.bround(as_col(c).cast("double") / F.lit(1_000_000.0), digits)
 
@@ -109,5 +96,7 @@ def variable_cost(net_sales, rate: str = VARIABLE_COST_RATE) -> Column:
     return -as_col(net_sales) * F.lit(rate).cast("decimal(6,4)")
 
 
-def margin_ratio(margin, sales, digits: int = 2) -> Column:
-    return F.bround(F.try_divide(as_col(margin).cast("double"), as_col(sales).cast("double")), digits)
+def contribution_of(gap: Column, total: Column) -> Column:
+    """gap / total; a zero total gives ±inf by the sign of the gap, 0 / 0 and NULL give 0 (GRW-6)."""
+    at_zero = F.when(gap > 0, POS_INF()).when(gap < 0, NEG_INF()).otherwise(F.lit(0.0))
+    return F.when(gap.isNull() | total.isNull(), F.lit(0.0)).when(total == 0, at_zero).otherwise(gap / total)

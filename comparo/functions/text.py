@@ -15,7 +15,7 @@ __all__ = [
     "as_col", "parse_locale_decimal", "parse_locale_int", "parse_thousands",
     "store_id", "token", "period_label", "size_range", "slot_start",
     "clean_sentinels", "dash_to_null", "rest_label", "map_values", "unify",
-    "as_text", "format_locale_decimal",
+    "format_locale_decimal",
 ]
 
 
@@ -124,10 +124,6 @@ def unify(c, mapping: dict | None = None, case: str = "lower") -> Column:
     return map_values(x, mapping or {}, keep_unmapped=True)
 
 
-def as_text(c) -> Column:
-    return as_col(c).cast("string")
-
-
 def format_locale_decimal(c, digits: int = 2) -> Column:
     """Number -> '1.234,50' (thousands dot, decimal comma)."""
     s = F.format_number(as_col(c), digits)  # '1,234.50'

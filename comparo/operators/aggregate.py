@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comparo.operators.filters import drop_null_keys
-from comparo.operators.joins import DEFAULT_BROADCAST_ROWS, attach
+from comparo.operators.joins import attach
 
 
 def cube_sum(df: DataFrame, dims, value: str = "value", out: str | None = None,
@@ -57,7 +57,7 @@ def grouping_sets_sum(df: DataFrame, grains: dict, always=("year", "measure"),
 
 
 def partition_total(df: DataFrame, value: str, by, out: str = "total",
-                    broadcast: str = "auto", max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    broadcast: str = "auto") -> DataFrame:
     """Attach Σ value over the ``by`` partition to every row (AGG-5/WIN-1).
 
     A grouped sum joined back instead of a window: the sum aggregates
@@ -65,7 +65,7 @@ def partition_total(df: DataFrame, value: str, by, out: str = "total",
     task. ``broadcast='bounded'`` when ``by`` has a fixed small domain."""
     by = [by] if isinstance(by, str) else list(by)
     totals = df.groupBy(*by).agg(F.sum(value).alias(out))
-    return attach(df, totals, on=by, how="left", broadcast=broadcast, max_rows=max_rows)
+    return attach(df, totals, on=by, how="left", broadcast=broadcast)
 
 
 def count_distinct_by(df: DataFrame, col: str, by, out: str = "n") -> DataFrame:

@@ -61,11 +61,6 @@ def ytd(df: DataFrame, month_limit: int, month: str = "month") -> DataFrame:
     return df.filter(F.col(month) <= F.lit(month_limit))
 
 
-def until(df: DataFrame, year: int, month: int, date_col: str = "month_start") -> DataFrame:
-    """Upper bound on the month-start date (FLT-7)."""
-    return df.filter(F.col(date_col) <= F.make_date(F.lit(year), F.lit(month), F.lit(1)))
-
-
 def drop_totals(df: DataFrame, cols, total: str = "Total") -> DataFrame:
     """Drop sub-header / total rows: any of ``cols`` equal to 'Total' or NULL."""
     cond = reduce(lambda a, b: a & b,
@@ -73,11 +68,6 @@ def drop_totals(df: DataFrame, cols, total: str = "Total") -> DataFrame:
     return df.filter(cond)
 
 
-def last_closed(df: DataFrame, date_col: str, as_of) -> DataFrame:
-    """Rows of the last closed month = month of (as_of - 28 days) (FLT-9)."""
-    return df.filter(F.col(date_col) == _last_closed(as_of))
-
-
 def nonzero(df: DataFrame, col: str) -> DataFrame:
     """Measure non-NULL and non-zero (FLT-10)."""
     return df.filter(F.col(col).isNotNull() & (F.col(col) != 0))
@@ -108,7 +98,3 @@ def drop_null_columns(df: DataFrame) -> DataFrame:
     counts = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in df.columns]).first()
     keep = [c for c in df.columns if counts[c] == 0]
     return df.select(*keep)
-
-
-def first_of_month_date(year: int, month: int):
-    return lit_date(f"{year:04d}-{month:02d}-01")

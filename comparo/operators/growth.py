@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from comparo.functions.numeric import growth, growth_sql
+from comparo.functions.numeric import contribution_of, growth, growth_sql
 from comparo.operators.filters import drop_null_keys
 
 METRICS = ("base", "current", "growth")
@@ -101,7 +101,7 @@ def growth_pairs(df: DataFrame, pairs, scale: float = 1, digits: int | None = 3,
 
 def contribution(df: DataFrame, by, base: str = "base", gap_col: str = "gap",
                  out: str = "contribution") -> DataFrame:
-    """gap / Σ base within ``by`` (GRW-6), NULL -> 0.
+    """gap / Σ base within ``by`` (GRW-6).
 
     The partition total is a grouped sum joined back (map-side partial
     aggregation) rather than a window, so a format holding a third of all
@@ -109,8 +109,6 @@ def contribution(df: DataFrame, by, base: str = "base", gap_col: str = "gap",
     """
     from comparo.operators.aggregate import partition_total
 
-    with_total = partition_total(df, base, by, out="_total", broadcast="bounded")
-    return with_total.withColumn(
-        out, F.coalesce(F.try_divide(F.col(gap_col).cast("double"),
-                                     F.col("_total").cast("double")), F.lit(0.0))
-    ).drop("_total")
+    with_total = partition_total(df, base, by, out="_total")
+    return with_total.withColumn(out, contribution_of(
+        F.col(gap_col).cast("double"), F.col("_total").cast("double"))).drop("_total")

@@ -2,16 +2,13 @@
 
 Broadcast policy (``broadcast=`` argument):
 
-* ``'probe'``   – dimension tables (the store register): broadcast only after
-  a bounded probe proves at most ``max_rows`` rows
-  (``limit(max_rows + 1).count()`` reads at most that many rows); beyond the
-  bound the plain join is planned.
-* ``'bounded'`` – the caller proves the size by the key domain (one row per
-  month, per store format): broadcast without a probe.
-* ``'auto'``    – intermediate results whose size grows with the data: plain
-  join. The planner broadcasts only below the static threshold, and AQE
-  re-plans to a broadcast join from the measured shuffle size at run time;
-  otherwise a shuffle join with AQE skew splitting.
+* ``'auto'``    – no hint. The planner broadcasts a side whose size in bytes,
+  known from its files, is below ``spark.sql.autoBroadcastJoinThreshold``, and
+  AQE does so from the measured shuffle size at run time; otherwise it is a
+  shuffle join with AQE skew splitting. The store register and every
+  intermediate result are joined this way.
+* ``'bounded'`` – the key domain proves the size (one row per month, per store
+  format): broadcast.
 """
 
 from __future__ import annotations
@@ -19,59 +16,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A store register has thousands of rows; 2M narrow rows stay far below
-# the broadcast limits of an executor.
-DEFAULT_BROADCAST_ROWS = 2_000_000
 
-
-_PROVEN: dict = {}
-
-
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """Bounded probe: reads at most ``max_rows + 1`` rows. A bound proven for
-    a plan is remembered for the session (keyed by the plan's semantic hash);
-    readers are created once per session, so the same plan reads the same
-    files."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
-    hit = _PROVEN.get(key)
-    if hit is None:
-        hit = df.limit(max_rows + 1).count() <= max_rows
-        _PROVEN[key] = hit
-    return hit
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when ``df`` provably has <= ``max_rows`` rows."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
-
-
-def _side(df: DataFrame, broadcast: str, max_rows: int) -> DataFrame:
-    if broadcast == "probe":
-        return sized_broadcast(df, max_rows)
+def _side(df: DataFrame, broadcast: str) -> DataFrame:
     if broadcast == "bounded":
         return F.broadcast(df)
     if broadcast == "auto":
         return df
-    raise ValueError(f"broadcast must be probe, bounded or auto, got {broadcast!r}")
+    raise ValueError(f"broadcast must be bounded or auto, got {broadcast!r}")
 
 
 def with_register(fact: DataFrame, register: DataFrame, on=("store_id",),
-                  how: str = "left", cols=None, broadcast: str = "probe",
-                  max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                  how: str = "left", cols=None) -> DataFrame:
     """Fact ⟕ register on the store key (JN-1/2/3). ``cols`` limits the
     register columns carried over (the keys are always kept)."""
     on = [on] if isinstance(on, str) else list(on)
     reg = register
     if cols is not None:
         reg = reg.select(*on, *[c for c in cols if c not in on])
-    return fact.join(_side(reg, broadcast, max_rows), on=on, how=how)
+    return fact.join(reg, on=on, how=how)
 
 
-def attach(df: DataFrame, other: DataFrame, on, how: str = "left", broadcast: str = "auto",
-           max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def attach(df: DataFrame, other: DataFrame, on, how: str = "left", broadcast: str = "auto") -> DataFrame:
     """Attribute attach (JN-4/5/6) under the broadcast policy above."""
     on = [on] if isinstance(on, str) else list(on)
-    return df.join(_side(other, broadcast, max_rows), on=on, how=how)
+    return df.join(_side(other, broadcast), on=on, how=how)
 
 
 def first_per_key(df: DataFrame, key, order: str, cols=None) -> DataFrame:

@@ -58,11 +58,3 @@ def stack_measures(df: DataFrame, keys, measures: dict) -> DataFrame:
     pairs = [F.struct(F.lit(k).alias("measure"), (F.col(c) if isinstance(c, str) else c)
                       .alias("value")) for k, c in measures.items()]
     return (df.select(*keys, F.inline(F.array(*pairs))))
-
-
-def cond_sum(value: str | Column, *conds: Column) -> Column:
-    v = F.col(value) if isinstance(value, str) else value
-    cond = conds[0]
-    for c in conds[1:]:
-        cond = cond & c
-    return F.sum(F.when(cond, v))

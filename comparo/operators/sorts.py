@@ -16,11 +16,6 @@ def order_by_growth(df: DataFrame, measure: str = "VOL", lead=(), ties=(),
                       *[F.asc(c) for c in ties])
 
 
-def order_by_levels(df: DataFrame, keys, growth_col: str) -> DataFrame:
-    """All keys descending, then growth descending (SRT-3)."""
-    return df.orderBy(*[F.desc(c) for c in keys], F.desc_nulls_last(growth_col))
-
-
 def order_by(df: DataFrame, cols, desc: bool = True, ties=()) -> DataFrame:
     cols = [cols] if isinstance(cols, str) else list(cols)
     first = [F.desc_nulls_last(c) if desc else F.asc_nulls_last(c) for c in cols]

@@ -22,10 +22,9 @@ from pyspark.sql import functions as F
 from comparo.functions import labels as L
 from comparo.functions.dates import month_start
 from comparo.functions.labels import month_column
-from comparo.functions.numeric import NEG_INF, POS_INF
-from comparo.operators.aggregate import partition_total
+from comparo.functions.numeric import NEG_INF
 from comparo.operators.filters import drop_null_keys
-from comparo.operators.growth import growth_pairs, growth_table
+from comparo.operators.growth import contribution, growth_pairs, growth_table
 from comparo.operators.joins import attach, with_register
 from comparo.operators.pivots import pivot_years
 from comparo.operators.sets import union_levels
@@ -120,25 +119,21 @@ def family_contribution(units_fact: DataFrame, axis: str = "year", labels=(2000,
     gap, unrounded growth (+inf and 0/0 -> 0) and contribution = gap / Σ
     base of the format (NULL -> 0) (GRW-5/6/8, AGG-5)."""
     dims = ["format", "family", "section", "measure"]
-    src = drop_null_keys(units_fact.filter(F.col(axis).isin(*labels)), dims)
+    keys = dims + [c for c in ("sector",) if c in units_fact.columns]
+    src = drop_null_keys(units_fact.filter(F.col(axis).isin(*labels)), keys)
     agg = src.groupBy(*dims).agg(
         F.sum(F.when(F.col(axis) == labels[0], F.col("value"))).alias("_b"),
         F.sum(F.when(F.col(axis) == labels[1], F.col("value"))).alias("_c"))
     # the format total is summed exactly (DECIMAL) before the division
     agg = agg.withColumn("_b", F.coalesce(F.col("_b"), F.lit(0).cast("decimal(38,6)")))
-    agg = partition_total(agg, "_b", "format", out="_total", broadcast="bounded")
+    agg = agg.withColumn("_gap", F.col("_c").cast("double") - F.col("_b").cast("double"))
+    agg = contribution(agg, "format", base="_b", gap_col="_gap")
     b, c = F.col("_b").cast("double"), F.col("_c").cast("double")
     growth = (F.when(c.isNull(), F.lit(0.0))
               .when(b == 0, F.when(c < 0, NEG_INF()).otherwise(F.lit(0.0)))
               .otherwise(c / b - F.lit(1.0)))
-    gap = c - b
-    t = F.col("_total").cast("double")
-    contrib = (F.when(gap.isNull(), F.lit(0.0))
-               .when(t == 0, F.when(gap > 0, POS_INF()).when(gap < 0, NEG_INF())
-                     .otherwise(F.lit(0.0)))
-               .otherwise(gap / t))
-    out = agg.select(*dims, b.alias("base"), c.alias("current"), gap.alias("gap"),
-                     growth.alias("growth"), contrib.alias("contribution"))
+    out = agg.select(*dims, b.alias("base"), c.alias("current"), F.col("_gap").alias("gap"),
+                     growth.alias("growth"), "contribution")
     return order_by(out, "contribution", ties=dims)             # SRT-5
 
 

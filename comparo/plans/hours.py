@@ -24,10 +24,11 @@ from comparo.operators.filters import drop_null_columns, drop_totals, on_weekday
 from comparo.operators.joins import attach, distinct_pairs
 from comparo.operators.pivots import pivot_values, unpivot
 
+# FIXED VALUES: id columns and metrics of the report, in its order.
 IDS = ["no", "nombre", "localidad", "zona", "gerente regional", "domingos", "horario_anterior"]
 MONTHS_LOWER = [m.lower() for m in L.MONTHS_EN]
 # Months of the final table, calendar order, as in the original report.
-REPORT_MONTHS = MONTHS_LOWER[3:]
+REPORT_MONTHS = MONTHS_LOWER[3:12]
 METRICS = ["horas_autorizadas", "cantidad_domingos", "horas_por_domingo",
            "horas_promedio_abril_y_mayo", "crecimiento_horas_domingo",
            "horas_adicionales_por_domingo", "horas_adicionales_total_mes", "vct", "vst",
@@ -171,22 +172,39 @@ def operating_result(wide_slots: DataFrame, staff_wide: DataFrame, hours_wide: D
 
 def hours_wide(result: DataFrame, months=REPORT_MONTHS) -> DataFrame:
     """One row per store, ``<metric>_<month>`` columns in calendar order
-    (PIV-8); months outside ``months`` are left out."""
+    (PIV-8); months outside ``months`` are left out. A store-month that is
+    there without a value sums to 0.0, one that is not there stays NULL."""
     keys = ["no", "nombre", "localidad", "zona", "gerente regional", "horario_domingo",
             "horario_anterior"]
-    aggs = [F.sum(F.when(F.col("mes") == mo, F.col(me))).alias(f"{me}_{mo}")
+    aggs = [F.sum(F.when(F.col("mes") == mo, F.coalesce(F.col(me), F.lit(0.0)))).alias(f"{me}_{mo}")
             for me in METRICS for mo in months]
     return result.groupBy(*[F.col(f"`{k}`") for k in keys]).agg(*aggs)
 
 
-def order_by_last_month(wide: DataFrame, months=REPORT_MONTHS, metric: str = "roc") -> DataFrame:
-    """Ascending by the metric of the chronologically last month (SRT-6)."""
-    return wide.orderBy(F.asc_nulls_last(f"{metric}_{months[-1]}"), F.asc("no"))
+def last_sales_month(sunday_slots: DataFrame, months=REPORT_MONTHS) -> str:
+    """The latest of ``months`` with sales (one row to the driver: it names the
+    column the report is sorted by); the last of them if none has any."""
+    day = sunday_slots.filter(F.col("month").isin(*months)).agg(F.max("date")).first()[0]
+    return months[-1] if day is None else MONTHS_LOWER[day.month - 1]
+
+
+def order_by_last_month(wide: DataFrame, month: str, metric: str = "roc") -> DataFrame:
+    """Ascending by the metric of the last month (SRT-6)."""
+    return wide.orderBy(F.asc_nulls_last(f"{metric}_{month}"), F.asc("no"))
+
+
+def presented(wide: DataFrame, months=REPORT_MONTHS) -> DataFrame:
+    """Report headers: metric, then the Spanish month (PRJ-5), capitals first."""
+    spanish = dict(zip(MONTHS_LOWER, L.MONTHS_ES))
+    months_of = {f"{me}_{mo}": (me, f" {spanish[mo]}") for me in METRICS for mo in months}
+    parts = [months_of.get(c, (c, "")) for c in wide.columns]
+    return wide.toDF(*[name.replace("_", " ").capitalize() + month for name, month in parts])
 
 
 def extended_hours(wide_slots: DataFrame, staff_wide: DataFrame, hours_wide_sheet: DataFrame,
                    margin_export: DataFrame, months=REPORT_MONTHS) -> DataFrame:
     """The whole report (RPT-10): one row per store, 15 metrics x month,
-    ordered by the last month's ROC."""
+    ordered by the ROC of the last month with sales, Spanish headers."""
     result = operating_result(wide_slots, staff_wide, hours_wide_sheet, margin_export)
-    return order_by_last_month(hours_wide(result, months), months)
+    last = last_sales_month(sundays(slot_sales(wide_slots)), months)
+    return presented(order_by_last_month(hours_wide(result, months), last), months)

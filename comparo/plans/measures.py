@@ -15,25 +15,29 @@ from pyspark.sql import functions as F
 from comparo.functions import labels as L
 from comparo.functions.labels import month_column
 from comparo.operators.filters import comparable_predicate, drop_null_keys, is_packaging
-from comparo.operators.joins import DEFAULT_BROADCAST_ROWS, with_register
+from comparo.operators.joins import with_register
 from comparo.operators.pivots import stack_measures
 
 STORE_KEYS = ["year", "month", "format", "store_id", "store"]
 PRODUCT_KEYS = ["sector", "section", "family"]
 LEAF_KEYS = STORE_KEYS + PRODUCT_KEYS
 VALUE_TYPE = "decimal(38,6)"     # summed values
-ROW_TYPE = "decimal(18,6)"       # one line: long-backed, fast to add
+ROW_TYPE = VALUE_TYPE            # one line: as wide as the sums, so no amount is too large
 
 
 def to_measures(lines: DataFrame, tickets: DataFrame | None = None, *,
                 packaging=None, packaging_token: str | None = None,
                 sales: str = "sales", units: str = "units", tick: str = "tickets",
-                keys=LEAF_KEYS) -> DataFrame:
+                keys=LEAF_KEYS, stores: DataFrame | None = None) -> DataFrame:
     """Wide sales/units rows + ticket rows -> one long fact (UNP-5, FLT-3,
-    AGG-1, SET-1). Rows whose store keys are NULL are dropped (they never
+    AGG-1, SET-1). ``stores`` (store_id) keeps the rows of those stores, before
+    anything is aggregated. Rows whose store keys are NULL are dropped (they never
     form a group); NULL product keys are kept for store-level totals."""
     keys = list(keys)
     store_keys = [k for k in keys if k not in PRODUCT_KEYS]
+    if stores is not None:
+        lines = lines.join(stores, "store_id", "left_semi")
+        tickets = None if tickets is None else tickets.join(stores, "store_id", "left_semi")
     src = drop_null_keys(lines, store_keys)
     units_kept = F.when(~is_packaging("family", packaging, packaging_token), F.col(units))
     # both measures summed in the same row (half the rows through the hash
@@ -67,19 +71,9 @@ def register_for_month(register: DataFrame, month, *, case_sensitive: bool = Fal
 
 
 def comparable_cube(measures: DataFrame, register: DataFrame, month, *,
-                    case_sensitive: bool = False, cols=("province",),
-                    max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+                    case_sensitive: bool = False, cols=("province",)) -> DataFrame:
     """measures ⟕ register then keep 'SC' rows == inner join with the SC
-    slice of the register (JN-1 + FLT-4), the register side broadcast after
-    the size probe."""
+    slice of the register (JN-1 + FLT-4). Give the same slice to
+    ``to_measures(stores=)`` so that other stores are never aggregated."""
     reg = register_for_month(register, month, case_sensitive=case_sensitive, cols=cols)
-    return with_register(measures, reg, how="inner", max_rows=max_rows)
-
-
-def with_flag(measures: DataFrame, register: DataFrame, month, *, flag_as: str = "flag",
-              cols=("province",), max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """measures ⟕ register keeping every fact row, the month flag attached
-    (JN-1 / JN-3 before a separate comparable filter)."""
-    flag = month_column(month)
-    reg = register.select("store_id", *cols, F.col(flag).alias(flag_as))
-    return with_register(measures, reg, how="left", max_rows=max_rows)
+    return with_register(measures, reg, how="inner")

@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 from comparo.functions.dates import format_date, lit_date, store_state
 from comparo.functions.text import clean_sentinels, dash_to_null, unify
 
+# FIXED VALUES: organisations, surface columns and output names as in the register.
 ORGS = ["HIPERMERCADO", "MAXI", "Market", "Express", "E-Commerce"]
 SURFACES = ["m² pgc", "m² pft", "m² bazar", "m² electro", "m² textil", "m² pls", "m² galerias",
             "cajas", "m² parcking"]

@@ -8,7 +8,7 @@ aggregation of the cube.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +31,8 @@ class Spec:
     digits: int = 1
     fill: float | None = None
     require: tuple = ()
-    limit: bool = True          # apply the month limit (YTD only)
     lead: tuple = ()            # descending lead keys of the final order
     levels: bool = False        # order by all keys desc (store x product)
-    extra: dict = field(default_factory=dict)
 
 
 def run_spec(cube: DataFrame, spec: Spec, years, *, value: str = "value",

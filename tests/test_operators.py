@@ -8,7 +8,7 @@ from comparo.operators.aggregate import grouping_sets_sum, partition_total
 from comparo.operators.filters import (comparable, drop_null_columns, exclude_packaging,
                                        outside_hours)
 from comparo.operators.growth import contribution, growth_table
-from comparo.operators.joins import first_per_key, has_at_most, sized_broadcast
+from comparo.operators.joins import first_per_key
 from comparo.operators.pivots import unpivot
 from comparo.operators.sets import union_levels
 from comparo.plans.briefing import family_contribution
@@ -123,6 +123,10 @@ def test_partition_total_and_contribution(spark):
     out = contribution(df, "format").collect()
     s = {(r.format, r.base): r.contribution for r in out}
     assert s[("F", 10.0)] == 1.0 / 40.0 and s[("G", 5.0)] == 1.0
+    zero = spark.createDataFrame([("Z", 0.0, 2.0), ("Z", 0.0, -2.0), ("Z", 0.0, 0.0), ("Z", 0.0, None)],
+                                 "format string, base double, gap double")
+    assert {r.gap: r.contribution for r in contribution(zero, "format").collect()} == {
+        2.0: float("inf"), -2.0: float("-inf"), 0.0: 0.0, None: 0.0}
     assert {r.total for r in partition_total(df, "base", "format").collect()} == {40.0, 5.0}
 
 
@@ -145,14 +149,6 @@ def test_outside_hours(spark):  # E7
     assert sorted(r.slot_start for r in outside_hours(df).collect()) == [450, 1260]
 
 
-def test_broadcast_probe(spark):
-    small = spark.range(10)
-    assert has_at_most(small, 10) and not has_at_most(small, 9)
-    plan = sized_broadcast(small, 100).join(spark.range(1000), "id")._jdf.queryExecution() \
-        .executedPlan().toString()
-    assert "Broadcast" in plan
-
-
 def test_skew_safe_plans(spark):
     """Keep-first and partition totals aggregate map-side; no window sorts a
     whole key group inside one task."""
