@@ -14,7 +14,7 @@ returns at most k rows for a query. A last ranking keeps k of those.
 Defined results: vectors that are null, hold a null or non-finite component or have no id take no
 part; vectors are compared with those of as many components; rows with the query's own id are the
 query's own row; ties go to the smaller id; repeated rows are candidates of their own; a query
-without candidates has no rows; other columns pass by unread.
+without candidates has no rows; scores beyond 64 bits count as the nearest long; other columns pass by unread.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ QUERIES = 512          # vectors of a query block
 SPARSE = 0.25          # below this share of survivors, pairs are evaluated one by one
 
 
-def _pack(key: dict, rows: pa.Table) -> pa.Table:
+def _pack(rows: pa.Table) -> pa.Table:
     """A block as one row: ids in order and the values, 32-bit integers if they fit."""
     rows = rows.sort_by("vec_id")
     ids = rows["vec_id"].to_numpy()
@@ -50,7 +50,7 @@ def blocks(vectors: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     n = max(1, -(-vectors.count() // size))
 
     def pack(rows: pa.Table) -> pa.Table:
-        out = _pack({}, rows)
+        out = _pack(rows)
         return pa.table({"dim": rows["dim"][:1], "block": rows["block"][:1], **{c: out[c] for c in out.column_names}})
 
     cut = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
@@ -84,14 +84,14 @@ def _dot(q: np.ndarray, c: np.ndarray):
     if bound >= 2 ** 53:  # beyond doubles; beyond longs Python's integers overflow on the way out
         kind = np.int64 if bound < 2 ** 62 else object
         q, c = (np.array([[int(v) for v in r] for r in x], kind).reshape(x.shape) for x in (q, c))
-    return lambda i=None, j=None: q @ c.T if i is None else (q[i] * c[j]).sum(1)
+    return lambda i=None, j=None: q @ c.T if i is None else (np.atleast_2d(q[i]) * np.atleast_2d(c[j])).sum(1)
 
 
 def best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple:
     """(query row, candidate row, score): the k best candidates of every query in a pair of blocks."""
     dot = _dot(q, c)
     own = qid[:, None] == cid[None, :]
-    if len(cid) <= 2 * k or q.shape[1] == 0:
+    if len(cid) <= 2 * k or q.shape[1] == 0 or dot(0, 0).dtype == object:
         at = np.nonzero(~own)
         score = dot()[at]
     else:
@@ -113,9 +113,21 @@ def best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
                 alive[i, j] = (a[i] * b[j]).sum(1) + slack >= floor[i]
             else:
                 alive &= (a @ b.T) + slack >= floor[:, None]
-        at = np.nonzero(alive)
-        score = dot(*at) if alive.mean() < SPARSE else dot()[at]
-    order = np.lexsort((cid[at[1]], -score, at[0]))
+        if alive.mean() < SPARSE:
+            at = np.nonzero(alive)
+            score = dot(*at)
+        else:      # of many survivors, those that reach the k-th best score of the block
+            whole = dot()
+            least = -np.inf if whole.dtype == np.float64 else -(1 << 63)
+            whole = np.where(alive, whole, least)
+            reach = np.partition(whole, len(cid) - k, axis=1)[:, len(cid) - k]
+            at = np.nonzero(alive & (whole >= reach[:, None]))
+            score = whole[at]
+    if score.dtype == object:
+        score = np.array([min(max(s, -(1 << 63)), (1 << 63) - 1) for s in score], object)
+        order = np.array(sorted(range(len(score)), key=lambda x: (at[0][x], -score[x], cid[at[1][x]])), np.int64)
+    else:
+        order = np.lexsort((cid[at[1]], -score, at[0]))
     i, j, score = at[0][order], at[1][order], score[order]
     start = np.searchsorted(i, np.arange(len(qid)))
     keep = np.arange(len(i)) - start[i] < k
