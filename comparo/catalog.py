@@ -19,7 +19,7 @@ from comparo.operators.filters import comparable_predicate, exclude_packaging
 from comparo.operators.joins import with_register
 from comparo.plans import monthly, ytd
 from comparo.plans.measures import (LEAF_KEYS, STORE_KEYS, comparable_cube, register_for_month,
-                                    to_measures)
+                                    rolled_up, to_measures)
 from comparo.sources import proxy as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -327,20 +327,20 @@ def _brief_scope(df, rolling: bool):
 
 
 def brief_inputs(spark, d, rolling: bool = False):
-    """(store fact, sector fact, units-by-family fact) of the briefing period."""
+    """(store fact, sector fact, units-by-family fact) of the briefing period.
+
+    The store-sector rows, tickets included, come from one pass over the lines;
+    store sales and units are rolled up from them, store tickets are the second pass.
+    """
     rng = [(X.ROLLING_FROM, X.AS_OF)] if rolling else month_ranges(X.BRIEF_YEARS, X.BRIEF_MONTH)
-    lines = X.lines(spark, d, rng)
-    m = _brief_scope(measures(spark, d, ranges=rng), rolling)
-    keys = ["year", "month", "format", "store_id", "store"] + (["period"] if rolling else [])
-    store = _lower_measure(_brief_scope(measures(spark, d, grain="store", ranges=rng), rolling))
-    prod = _brief_scope(measures(spark, d, grain="sector", ranges=rng), rolling)
-    sec = prod.filter(F.col("measure") != L.TICKETS)
-    tsec = _brief_scope(lines, rolling).groupBy(*keys, "sector").agg(
-        F.countDistinct("order_key").cast("decimal(38,6)").alias("value")).withColumn(
-        "measure", F.lit(L.TICKETS))
-    sector = _lower_measure(sec.unionByName(tsec))
-    family = _lower_measure(m.filter(F.col("measure") == L.UNITS))
-    return store, sector, family
+    lines, tickets = X.lines(spark, d, rng), X.tickets(spark, d, ranges=rng)
+    sector = to_measures(lines, keys=GRAINS["sector"], packaging=X.PACKAGING, ticket_key="order_key")
+    counts = tickets.select(*STORE_KEYS, F.lit(L.TICKETS).alias("measure"),
+                            F.col("tickets").cast("decimal(38,6)").alias("value"))
+    store = rolled_up(sector, STORE_KEYS).unionByName(counts)
+    leaf = to_measures(lines, packaging=X.PACKAGING)
+    family = leaf.filter(F.col("measure") == L.UNITS)
+    return tuple(_lower_measure(_brief_scope(f, rolling)) for f in (store, sector, family))
 
 
 def _axis(rolling):

@@ -17,7 +17,7 @@ from comparo.operators.filters import comparison_series
 from comparo.operators.growth import growth_pairs
 from comparo.operators.pivots import pivot_years, unpivot
 from comparo.operators.sets import union_all
-from comparo.plans.measures import comparable_cube
+from comparo.plans.measures import VALUE_TYPE, comparable_cube
 
 TOTAL_LABEL = "Total Formato"
 
@@ -36,9 +36,13 @@ def _series(cube: DataFrame, dims, years, pairs) -> DataFrame:
 
 
 def comparison(measures: DataFrame, register: DataFrame, years, pairs, month) -> DataFrame:
+    """Both series from one aggregate: the total is a roll-up of the store rows, whose
+    shuffle both read."""
     cube = comparable_cube(measures.filter(F.col("year").isin(*years)), register, month)
-    total = _series(cube, [], years, pairs).withColumn("store", F.lit(TOTAL_LABEL))
-    stores = _series(cube, ["store"], years, pairs)
+    by_store = cube.groupBy("year", "month", "store", "measure").agg(
+        F.sum("value").cast(VALUE_TYPE).alias("value"))
+    total = _series(by_store, [], years, pairs).withColumn("store", F.lit(TOTAL_LABEL))
+    stores = _series(by_store, ["store"], years, pairs)
     stores = stores.withColumns({f"y{y}": F.col(f"y{y}").cast("bigint").cast("double")
                                  for y in years})
     return union_all(stores, total).orderBy("store", "measure", "month", "series")  # SRT-4

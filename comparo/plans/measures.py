@@ -28,10 +28,12 @@ ROW_TYPE = VALUE_TYPE            # one line: as wide as the sums, so no amount i
 def to_measures(lines: DataFrame, tickets: DataFrame | None = None, *,
                 packaging=None, packaging_token: str | None = None,
                 sales: str = "sales", units: str = "units", tick: str = "tickets",
-                keys=LEAF_KEYS, stores: DataFrame | None = None) -> DataFrame:
+                keys=LEAF_KEYS, stores: DataFrame | None = None,
+                ticket_key: str | None = None) -> DataFrame:
     """Wide sales/units rows + ticket rows -> one long fact (UNP-5, FLT-3,
     AGG-1, SET-1). ``stores`` (store_id) keeps the rows of those stores, before
-    anything is aggregated. Rows whose store keys are NULL are dropped (they never
+    anything is aggregated; ``ticket_key`` counts its distinct values at the
+    grain of ``keys`` in the same pass, as tickets. Rows whose store keys are NULL are dropped (they never
     form a group); NULL product keys are kept for store-level totals."""
     keys = list(keys)
     store_keys = [k for k in keys if k not in PRODUCT_KEYS]
@@ -44,8 +46,10 @@ def to_measures(lines: DataFrame, tickets: DataFrame | None = None, *,
     # aggregation), stacked afterwards; a measure with no value forms no row
     wide = src.groupBy(*keys).agg(
         F.sum(F.col(sales).cast(ROW_TYPE)).alias("_sales"),
-        F.sum(units_kept.cast(ROW_TYPE)).alias("_units"))
-    agg = (stack_measures(wide, keys, {L.SALES: "_sales", L.UNITS: "_units"})
+        F.sum(units_kept.cast(ROW_TYPE)).alias("_units"),
+        *([F.countDistinct(ticket_key).cast(ROW_TYPE).alias("_tickets")] if ticket_key else []))
+    stacked = {L.SALES: "_sales", L.UNITS: "_units"} | ({L.TICKETS: "_tickets"} if ticket_key else {})
+    agg = (stack_measures(wide, keys, stacked)
            .filter(F.col("value").isNotNull())
            .withColumn("value", F.col("value").cast(VALUE_TYPE)))
     if tickets is None:
@@ -77,3 +81,9 @@ def comparable_cube(measures: DataFrame, register: DataFrame, month, *,
     ``to_measures(stores=)`` so that other stores are never aggregated."""
     reg = register_for_month(register, month, case_sensitive=case_sensitive, cols=cols)
     return with_register(measures, reg, how="inner")
+
+
+def rolled_up(measures: DataFrame, keys) -> DataFrame:
+    """Sales and units at a coarser grain, from rows already aggregated (tickets do not add up)."""
+    return (measures.filter(F.col("measure") != L.TICKETS).groupBy(*keys, "measure")
+            .agg(F.sum("value").cast(VALUE_TYPE).alias("value")))

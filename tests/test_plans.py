@@ -197,3 +197,20 @@ def test_report_set_with_checkpoint(spark, sf_small):
     for name in ("store", "family", "province_format"):
         assert a[name].exceptAll(b[name]).count() == 0, name
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_few_passes_over_the_lines(spark, sf_small):
+    """Scans of the line items with shuffle joins only, reused shuffles counted once."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        for key, most in {"briefing_consolidated_matrix": 2, "comparison_union": 2, "briefing_family_contribution": 2,
+                          "briefing_four_levels": 4, "ytd_store": 2}.items():
+            plan = _plan(QUERIES[key](spark, sf_small))
+            scans = sum("FileScan" in x and "lineitem.parquet" in x for x in plan.splitlines())
+            assert 1 <= scans <= most, (key, scans)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
