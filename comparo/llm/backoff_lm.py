@@ -36,7 +36,7 @@ from comparo.llm.tables import drop, materialize, release, table
 ORDER = 3
 MIN_COUNT = 2          # n-grams of two words and more that come less often are backed off from
 BACKOFF = 0.4
-BLOCK_BYTES = 4 << 20  # text of a block
+BLOCK_BYTES = 8 << 20  # text of a block
 BUCKET_HASHES = 2_000_000  # hashes that one bucket adds up, about
 _BITS = 56
 
@@ -68,7 +68,7 @@ def pack(ids: pa.Array, data: np.ndarray, bounds: np.ndarray) -> bytes:
     known = ids.is_valid().to_numpy(zero_copy_only=False)
     head = np.array([len(ids)], np.int64).tobytes()
     return zlib.compress(head + known.tobytes() + ids.fill_null(0).to_numpy().tobytes()
-                         + bounds.astype(np.int64).tobytes() + data.tobytes(), 1)
+                         + bounds.astype(np.int64).tobytes() + data.tobytes(), 6)
 
 
 def unpack(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
@@ -94,18 +94,21 @@ def ngrams(words: W.Words, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def planes(values: np.ndarray) -> bytes:
-    """Unsigned integers byte plane by byte plane, the empty upper planes left out."""
-    bytes_ = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+def planes(values: np.ndarray, even: bool = False) -> bytes:
+    """Unsigned integers byte plane by byte plane, empty upper planes left out. Of evenly spread values only
+    the highest plane is worth compressing, of counts all are."""
     n = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([n]) + bytes_[:, :n].T.tobytes()
+    grid = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n].T
+    raw = n - 1 if even else 0
+    return bytes([n, raw]) + len(values).to_bytes(4, "big") + grid[:raw].tobytes() + zlib.compress(grid[raw:].tobytes(), 1)
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    n = data[0]
-    grid = np.frombuffer(data, np.uint8, offset=1).reshape(n, -1)
-    out = np.zeros((grid.shape[1], 8), np.uint8)
-    out[:, :n] = grid.T
+    n, raw, size = data[0], data[1], int.from_bytes(data[2:6], "big")
+    lower = 6 + size * raw
+    out = np.zeros((size, 8), np.uint8)
+    out[:, :raw] = np.frombuffer(data, np.uint8, size * raw, 6).reshape(raw, size).T
+    out[:, raw:n] = np.frombuffer(zlib.decompress(data[lower:]), np.uint8).reshape(n - raw, size).T
     return out.reshape(-1).view("<u8")
 
 
@@ -133,7 +136,7 @@ def sent(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
                 hashes = hashes[begin]
                 cut = np.append(np.searchsorted(hashes, borders), len(hashes))
                 full = np.flatnonzero(np.diff(cut)).tolist()
-                packed = [planes(np.diff(hashes[cut[b]:cut[b + 1]], prepend=borders[b])) for b in full]
+                packed = [planes(np.diff(hashes[cut[b]:cut[b + 1]], prepend=borders[b]), even=True) for b in full]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(full, pa.int32()), pa.array([r["block"]] * len(full), pa.int64()), pa.array(packed, pa.binary()),
                      pa.array([planes(counts[cut[b]:cut[b + 1]]) for b in full], pa.binary())],
@@ -213,8 +216,8 @@ def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, *, order: i
     size = blocks.agg(F.coalesce(F.sum("n_words"), F.lit(0)).alias("all"),
                       F.coalesce(F.sum(F.when(F.col("counted"), F.col("n_words"))), F.lit(0)).alias("corpus")).first()
     buckets = size["all"] * order // BUCKET_HASHES + 1
-    answers = materialize(totals(sent(blocks, order, buckets), buckets), "totals", "lz4")
-    release(spark)
+    answers = materialize(totals(sent(blocks, order, buckets), buckets), "totals", "none")
+    release(spark, 6)
     out = materialize(scores(blocks, answers, order, size["corpus"], min_count, backoff), "scores")
     drop(spark, blocks)
     drop(spark, answers)

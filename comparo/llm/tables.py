@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -60,7 +61,27 @@ def ship(spark: SparkSession) -> None:
     sc._comparo_shipped = True
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not at the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def release(spark: SparkSession, rounds: int = 3) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not at the driver's next collection.
+
+    Python, plans and stages hold a step in turn, so it takes some rounds; Spark's cleaner works in
+    the background between them.
+    """
+    for _ in range(rounds):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once a session, whatever their search path holds."""
+    sc = spark.sparkContext
+    if getattr(sc, "_comparo_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="comparo-")) / "comparo.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for source in sorted(package.rglob("*.py")):
+            z.write(source, source.relative_to(package.parent))
+    sc.addPyFile(str(target))
+    sc._comparo_shipped = True
