@@ -34,6 +34,7 @@ ORDERS = (5,)         # lengths of the n-grams
 BITS = 19             # hashed buckets: 1 << BITS
 STEPS = 100           # steps of the fit
 RATE, PENALTY = 1.0, 1e-5
+STRETCH = 2_000_000   # entries that a step of the fit works on at once
 FOLDS = 5
 
 
@@ -65,7 +66,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, orders: tuple[int, ...], bits: int)
     weights[size] = np.log(prior / (1 - prior))
     if toxic.all() or not toxic.any():
         return weights
-    columns, counts, rows, total = [], [], [], np.zeros(len(toxic))
+    columns, counts, total = [], [], np.zeros(len(toxic))
     data, bounds = W.text_column(texts)
     for i, j in W.chunks(bounds):
         parts = grams(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i], orders, bits)
@@ -74,29 +75,40 @@ def fit(texts: pa.Array, toxic: np.ndarray, orders: tuple[int, ...], bits: int)
                                return_counts=True)
             columns.append(own)
             counts.append(n.astype(np.float32))
-            rows.append(np.full(len(own), i + d, np.int32))
             total[i + d] = n.sum()
-    columns, value, rows = np.concatenate(columns), np.concatenate(counts), np.concatenate(rows)
-    is_toxic = toxic[rows]
-    p = 1 + np.bincount(columns[is_toxic], value[is_toxic], size)
-    q = 1 + np.bincount(columns[~is_toxic], value[~is_toxic], size)
+    # entries of the documents one after the other, worked on in stretches of documents
+    length = np.array([len(c) for c in columns])
+    begin = np.concatenate([[0], np.cumsum(length)])
+    columns, value = np.concatenate(columns), np.concatenate(counts)
+    stretches = [(i, j, slice(begin[i], begin[j])) for i, j in W.chunks(begin, STRETCH)]
+    p, q = np.ones(size), np.ones(size)
+    for i, j, own in stretches:
+        of = np.repeat(toxic[i:j], length[i:j])
+        p += np.bincount(columns[own][of], value[own][of], size)
+        q += np.bincount(columns[own][~of], value[own][~of], size)
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    value *= ratio[columns].astype(np.float32)
-    value /= np.sqrt(np.maximum(total, 1))[rows].astype(np.float32)
-    scale = 1 / np.sqrt(max(np.dot(value, value) / len(toxic), 1e-12))
+    squares = 0.0
+    for i, j, own in stretches:
+        root = np.repeat(1 / np.sqrt(np.maximum(total[i:j], 1)), length[i:j])
+        value[own] *= (ratio[columns[own]] * root).astype(np.float32)
+        squares += float(np.dot(value[own], value[own]))
+    scale = 1 / np.sqrt(max(squares / len(toxic), 1e-12))
     value *= np.float32(scale)
     # Adam on the penalised logistic loss of the whole sample
     w, bias = np.zeros(size), weights[size]
     m, v = np.zeros(size), np.zeros(size)
     for step in range(1, STEPS + 1):
-        z = np.bincount(rows, value * w[columns], len(toxic)) + bias
-        error = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - toxic
-        slope = np.bincount(columns, value * error[rows], size) / len(toxic) + PENALTY * w
+        slope, miss = PENALTY * w, 0.0
+        for i, j, own in stretches:
+            z = np.bincount(np.repeat(np.arange(j - i), length[i:j]), value[own] * w[columns[own]], j - i) + bias
+            error = 1 / (1 + np.exp(-np.clip(z, -50, 50))) - toxic[i:j]
+            slope += np.bincount(columns[own], value[own] * np.repeat(error, length[i:j]), size) / len(toxic)
+            miss += error.sum()
         m = 0.9 * m + 0.1 * slope
         v = 0.999 * v + 0.001 * slope * slope
         rate = RATE * (1 - step / (STEPS + 1))
         w -= rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
-        bias -= rate * error.mean()
+        bias -= rate * miss / len(toxic)
     weights[:size] = w * ratio * scale
     weights[size] = bias
     return weights
