@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+SLICE_ROWS = 512
 
 _rng = np.random.default_rng(20240901)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -123,11 +124,15 @@ def split(data: np.ndarray, bounds: np.ndarray, members: np.ndarray = NOT_SPACE)
 
 
 def batches(column, members: np.ndarray = NOT_SPACE, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
-    """(first row, row after the last, their words) of each chunk of a text column."""
-    data, bounds = text_column(column)
-    for i, j in chunks(bounds):
-        part = data[bounds[i]:bounds[j]]
-        yield i, j, split(LOWER[part] if lower else part, bounds[i:j + 1] - bounds[i], members)
+    """(first row, row after the last, their words) of each chunk of a text column, which is read a few
+    rows at a time, so that no second copy of it is made."""
+    for at in range(0, len(column), SLICE_ROWS):
+        data, bounds = text_column(column.slice(at, SLICE_ROWS))
+        for i, j in chunks(bounds):
+            part = data[bounds[i]:bounds[j]]
+            yield at + i, at + j, split(LOWER[part] if lower else part, bounds[i:j + 1] - bounds[i], members)
+        del data
+    pa.default_memory_pool().release_unused()
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
