@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against brute force on the smallest tables."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -94,3 +95,24 @@ def test_empty_documents(llm, sf_small, tmp_path):
     for _, stage in P.STAGES:
         docs = stage(llm, docs, f"file://{tmp_path}")
     assert docs.collect() == []
+
+
+def test_one_row_of_each_group_stays(frame, llm):
+    """Rows without id, repeated rows and an id with two texts, decided row by row."""
+    rnd = random.Random(4)
+    text = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    hot, named, lone, shared = text(80), text(60), text(50), text(70)
+    rows = [(None, hot, f"s{i % 2}") for i in range(30)] + [(None, f"{hot} {i}") for i in range(10)]
+    rows += [(None, named), (12, named), (11, named), (11, named), (11, named.upper()), (12, named + " x")]
+    rows += [(20, shared), (21, shared), (21, text(40)), (30, lone), (30, lone), (30, text(45)), (None, text(30))]
+    rows += [(None, ""), (None, ""), (40, None), (40, None)]
+    group = {i: c for i, _, c in brute_components([(i, r[1]) for i, r in enumerate(rows)])}
+    of = {}
+    for i, r in enumerate(rows):
+        of.setdefault(group[i], []).append(r)
+    after = [(r.doc_id, r.text) for r in P.near_duplicates(llm, frame(rows), "").collect()]
+    assert len(after) == len(of)
+    for members in of.values():
+        ids = [r[0] for r in members if r[0] is not None]
+        texts = {r[1] for r in members if r[0] == (min(ids) if ids else None)}
+        assert sum((min(ids) if ids else None, t) in after for t in texts) == 1
