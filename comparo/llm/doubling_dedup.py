@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comparo.llm import words as W
-from comparo.llm.tables import drop, materialize, release, table
+from comparo.llm.tables import drop, materialize, release, table, texts_of
 from comparo.llm.winnow import least_positions
 
 MIN_WORDS = 50
@@ -69,8 +69,8 @@ def _steps(words: W.Words, starts: np.ndarray, hashes: np.ndarray) -> np.ndarray
 
 
 def measured(docs: DataFrame, length: int, min_words: int) -> DataFrame:
-    """(doc_id, n_words, sha: of the words joined by a space, windows: hashes of the first level)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()),
+    """(doc_id, h: hash of the text, n_words, sha: of the words joined by a space, windows: hashes of the first level)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_words", pa.int64()), ("sha", pa.binary()),
                         ("windows", pa.list_(pa.int64()))])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,10 +81,11 @@ def measured(docs: DataFrame, length: int, min_words: int) -> DataFrame:
                 starts, hashes = _choices(w, length, min_words)
                 values, edges = _cut(hashes, starts, w.first, _steps(w, starts, hashes))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(np.diff(w.first).astype(np.int64)), pa.array(sha, pa.binary()),
+                    [batch.column(0)[i:j], batch.column(2)[i:j], pa.array(np.diff(w.first).astype(np.int64)), pa.array(sha, pa.binary()),
                      _lists(values.view(np.int64), edges)], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, sha binary, windows array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(
+        run, "doc_id long, h long, n_words long, sha binary, windows array<long>")
 
 
 def _alive(batch: pa.RecordBatch, length: int, min_words: int) -> Iterator[tuple]:
@@ -127,9 +128,9 @@ def _repeated(rows: DataFrame) -> DataFrame:
         "lowest < highest").select("window", "lowest")
 
 
-def _survivors(rows: DataFrame) -> DataFrame:
-    """(did, sha, windows) with the repeated windows of each document."""
-    return rows.join(_repeated(rows).select("window"), "window").groupBy("did", "sha").agg(
+def _survivors(rows: DataFrame, *more: str) -> DataFrame:
+    """(did, sha, windows) with the repeated windows of each document, and its columns `more`."""
+    return rows.join(_repeated(rows).select("window"), "window").groupBy("did", "sha", *more).agg(
         F.collect_set("window").alias("windows"))
 
 
@@ -142,13 +143,12 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, base: int = B
     did = F.coalesce(F.col("doc_id"), F.lit(_LAST_ID))
     whole = materialize(measured(docs, lengths[0], min_words).withColumn("did", did), "whole")
     classes = materialize(whole.where(F.col("n_words") >= min_words).groupBy("sha").agg(
-        F.min("did").alias("first")), "classes")
-    stand = whole.join(classes.select(F.col("sha"), F.col("first").alias("did")), ["sha", "did"])
-    rows = stand.dropDuplicates(["sha", "did"]).select("did", "sha", F.explode("windows").alias("window"))
-    kept = materialize(_survivors(rows), "level")
+        F.min(F.struct("did", "h")).alias("least")).selectExpr("sha", "least.did as first", "least.h as h"), "classes")
+    stand = whole.join(classes.select("sha", F.col("first").alias("did"), "h"), ["sha", "did", "h"])
+    rows = stand.dropDuplicates(["sha", "did"]).select("did", "sha", "h", F.explode("windows").alias("window"))
+    kept = materialize(_survivors(rows, "h"), "level")
     release(spark)
-    alive = docs.withColumn("did", did).join(kept, "did").where(F.col("text").isNotNull())
-    alive = materialize(_same(alive), "alive")
+    alive = materialize(_same(texts_of(docs.withColumn("did", did), kept)), "alive")
     release(spark)
     for length, longer in zip(lengths[:-1], lengths[1:]):
         found = extended(alive, length, longer, min_words)
@@ -167,7 +167,7 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, base: int = B
     drop(spark, rows)
     release(spark)
     out = (whole.select("doc_id", "did", "sha", "n_words")
-           .join(classes, "sha", "left").join(cut.dropDuplicates(["did", "sha"]), ["did", "sha"], "left"))
+           .join(classes.drop("h"), "sha", "left").join(cut.dropDuplicates(["did", "sha"]), ["did", "sha"], "left"))
     copy = F.col("first") < F.col("did")
     empty = hashlib.sha256(b"").hexdigest()
     return out.select(
@@ -178,7 +178,7 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, base: int = B
 
 
 def _same(rows: DataFrame) -> DataFrame:
-    """Rows whose text has the word sequence `sha` (a doc_id may come with several texts)."""
+    """Rows whose text has the word sequence `sha`."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, sha = batch.column("text"), batch.column("sha").to_pylist()

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comparo.llm import words as W
-from comparo.llm.tables import drop, materialize, release, table
+from comparo.llm.tables import drop, materialize, release, table, texts_of
 from comparo.llm.winnow import least_positions
 
 LENGTH = 400
@@ -68,8 +68,8 @@ def _anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int) -> tu
 
 
 def measured(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc_id, n_bytes, sha, rid: a key of the text, grams: hashes at its anchors)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("rid", pa.int64()),
+    """(doc_id, h: hash of the text, n_bytes, sha, rid: a key of the text, grams: hashes at its anchors)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.binary()), ("rid", pa.int64()),
                         ("grams", pa.list_(pa.int64()))])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,15 +82,16 @@ def measured(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 _, _, anchor, grams = _anchors(own, at, length, gram)
                 edges = np.searchsorted(anchor, at).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[i:j], pa.array(np.diff(at).astype(np.int64)), pa.array(sha, pa.binary()),
+                    [batch.column(0)[i:j], batch.column(2)[i:j], pa.array(np.diff(at).astype(np.int64)), pa.array(sha, pa.binary()),
                      pa.array([_row_key(s) for s in sha], pa.int64()),
                      pa.ListArray.from_arrays(pa.array(edges), pa.array(grams.view(np.int64)))], schema=schema)
 
-    return docs.mapInArrow(run, "doc_id long, n_bytes long, sha binary, rid long, grams array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(
+        run, "doc_id long, h long, n_bytes long, sha binary, rid long, grams array<long>")
 
 
 def _checked(rows: DataFrame) -> DataFrame:
-    """Rows whose text is the one of their key (a doc_id may come with several texts)."""
+    """Rows whose text is the one of their key."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             same = [_row_key(hashlib.sha256(t.as_buffer()).digest()) == r
@@ -388,11 +389,11 @@ def remove_repeated_bytes(docs: DataFrame, *, length: int = LENGTH, gram: int =
     classes = materialize(whole.where(F.col("n_bytes") >= length).groupBy("rid").agg(
         F.min("did").alias("did"), F.count(F.lit(1)).alias("copies")), "classes")
     stand = whole.join(classes.select("rid", "did"), ["rid", "did"]).dropDuplicates(["rid"])
-    rows = stand.select("rid", "did", F.explode("grams").alias("gram"))
+    rows = stand.select("rid", "did", "h", F.explode("grams").alias("gram"))
     repeated = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    kept = materialize(rows.join(repeated, "gram").groupBy("rid", "did").agg(F.collect_set("gram").alias("grams")), "grams")
+    kept = materialize(rows.join(repeated, "gram").groupBy("rid", "did", "h").agg(F.collect_set("gram").alias("grams")), "grams")
     release(spark)
-    alive = docs.withColumn("did", did).join(kept, "did").select("rid", "text", "grams")
+    alive = texts_of(docs.withColumn("did", did), kept).select("rid", "text", "grams")
     alive = materialize(_checked(alive), "alive")
     release(spark)
     entries = materialize(contexts(alive, length, gram).distinct(), "entries")

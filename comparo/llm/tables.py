@@ -10,6 +10,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,12 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(write(df, name, codec))
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of `docs` (did, text) joined to `wanted` by (did, h), h being the hash of the text: a did with many
+    texts, as that of all rows without id, gives each its own text only."""
+    return docs.withColumn("h", F.xxhash64("text")).join(wanted, ["did", "h"])
+
+
 def drop(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a table that :func:`materialize` made and nobody reads any more."""
     jvm = spark.sparkContext._jvm

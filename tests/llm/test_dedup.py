@@ -4,10 +4,13 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from comparo.llm import doubling_dedup, jaccard_skip, suffix_merge
 from comparo.llm.doubling_dedup import level_lengths, remove_repeats
 from comparo.llm.jaccard_skip import jaccard_components
 from comparo.llm.suffix_merge import common_prefix, front_coded, merge_runs, remove_repeated_bytes, splitters_of
+from comparo.llm.tables import texts_of
 
 from .corpus import corpus
 
@@ -159,3 +162,36 @@ def test_empty_tables(frame):
     assert jaccard_components(frame([])).collect() == []
     assert remove_repeats(frame([])).collect() == []
     assert remove_repeated_bytes(frame([])).collect() == []
+
+
+def test_texts_are_fetched_by_id_and_hash(frame):
+    """Rows without id share one did; each wanted text comes once a row that has it."""
+    rows = [(None, f"text {i}") for i in range(40)] + [(7, "a"), (7, "b"), (7, "b")]
+    docs = frame(rows).select(F.coalesce("doc_id", F.lit(LARGE)).alias("did"), "text")
+    wanted = docs.select("did", F.xxhash64("text").alias("h"), F.col("text").alias("asked")).where("text <> 'a'").distinct()
+    out = texts_of(docs, wanted).collect()
+    assert all(r.text == r.asked for r in out)
+    assert sorted(r.text for r in out) == sorted(t for _, t in rows if t != "a")
+
+
+@pytest.mark.parametrize("operator", ["op4", "op7", "op8"])
+def test_no_pairs_of_rows_without_id(frame, operator, monkeypatch):
+    """The rows that an operator fetches texts into do not grow with the square of the rows without id."""
+    rnd = random.Random(8)
+    passage = " ".join(f"w{rnd.randrange(10**6)}" for _ in range(90))
+    rows = [(None, f"{passage} {i} {rnd.random()}") for i in range(50)] + [(3, passage)] * 3 + [(3, passage + " x")]
+    module = {"op4": doubling_dedup, "op7": suffix_merge, "op8": jaccard_skip}[operator]
+    fetched = []
+
+    def counted(docs, wanted):
+        out = texts_of(docs, wanted)
+        fetched.append(out.count())
+        return out
+    monkeypatch.setattr(module, "texts_of", counted)
+    if operator == "op4":
+        assert got(remove_repeats(frame(rows)), "doc_id", "n_words", "n_removed", "kept_sha256") == brute_repeats(rows)
+    elif operator == "op7":
+        assert got(remove_repeated_bytes(frame(rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_bytes(rows, 400)
+    else:
+        assert got(jaccard_components(frame(rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert fetched and max(fetched) <= len(rows)
