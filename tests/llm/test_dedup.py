@@ -195,3 +195,30 @@ def test_no_pairs_of_rows_without_id(frame, operator, monkeypatch):
     else:
         assert got(jaccard_components(frame(rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
     assert fetched and max(fetched) <= len(rows)
+
+
+def test_open_lists_whose_comparisons_are_known_are_answered(frame, monkeypatch):
+    """Hybrids of a boilerplate and a passage, twice each. The first depth leaves all of a centre's members to
+    one list more, whose comparisons are all known by then."""
+    rnd = random.Random(5)
+    text = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    boilerplates, passages = [text(48) for _ in range(5)], [text(72) for _ in range(3)]
+    texts = [f"{b} {p} {text(2)}" for b in boilerplates for p in passages for _ in range(2)]
+    rows = list(enumerate(texts))
+    outside, level, left = jaccard_skip.outside_lists, jaccard_skip.level_pairs, [True, True]
+
+    def outside_lists(members):
+        if not left[0]:
+            return outside(members)
+        left[0] = False
+        own = members.selectExpr("x", "0L as token", "y as sid", "n", "o", "component")
+        centres = members.selectExpr("x", "0L as token", "x as sid", "n_x as n", "n_x as o", "centre_component as component")
+        return own.unionByName(centres).distinct().selectExpr("*", "1000L as m")
+
+    def level_pairs(members, percent):
+        first, left[1] = left[1], False
+        return level(members, percent).where(F.lit(not first))
+    monkeypatch.setattr(jaccard_skip, "outside_lists", outside_lists)
+    monkeypatch.setattr(jaccard_skip, "level_pairs", level_pairs)
+    assert got(jaccard_components(frame(rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert left == [False, False]
