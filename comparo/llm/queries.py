@@ -11,6 +11,7 @@ from comparo.llm.segment_topk import SQL as TOPK_SQL, op2_segment_topk
 from comparo.llm.source_mix import op3_source_mix
 from comparo.llm.suffix_merge import op7_suffix_merge
 from comparo.llm.tables import ship
+from comparo.llm.token_files import op13_bit_planes
 from comparo.llm.warc_derive import op10_warc_derivatives
 from comparo.llm.wu_manber import op5_wu_manber
 
@@ -33,6 +34,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op8_jaccard_skip": op8_jaccard_skip,
     "op9_nb_toxicity": op9_nb_toxicity,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op13_bit_planes": op13_bit_planes,
 }.items()}
 
 ORACLE: dict[str, str] = {
