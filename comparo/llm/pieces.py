@@ -8,6 +8,7 @@ So the ids of a text are those of its pieces, and most pieces of a text have bee
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -70,10 +71,11 @@ class Pieces:
 
 
 class Ids:
-    """Ids of texts by their pieces; `encode` takes a list of texts and returns their lists of ids."""
+    """Ids of texts by their pieces (or, if not `at_blanks`, of whole texts); `encode` takes a list of texts
+    and returns their lists of ids."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = KNOWN):
-        self.encode = encode
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = KNOWN, at_blanks: bool = True):
+        self.encode, self.at_blanks = encode, at_blanks
         self.pieces = Pieces(self._learn, self._forget, limit)
         self._forget()
 
@@ -88,7 +90,7 @@ class Ids:
 
     def of(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, where each document's begin and the end)."""
-        starts = cuts(data, bounds)
+        starts = cuts(data, bounds) if self.at_blanks else bounds[:-1][bounds[:-1] < bounds[1:]]
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(bounds), np.int64)
         numbers = self.pieces.of(data, starts)
@@ -115,6 +117,15 @@ def byte_bpe(vocabulary: str, special_as_text: bool = False):
     return made
 
 
+def splits_at_blanks(made) -> bool:
+    """Whether a tokenizer's splitting puts every blank before a word into that word's part, whatever stands around."""
+    rules = json.loads(made.to_str())
+    split = rules["pre_tokenizer"] or {}
+    return (split.get("type") == "ByteLevel" and split.get("use_regex") is True
+            and not split.get("add_prefix_space") and rules["normalizer"] is None
+            and not any(" " in t["content"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in rules["added_tokens"]))
+
+
 def encoder(vocabulary: str, special_as_text: bool = False) -> Callable[[list[str]], list[list[int]]]:
     made = byte_bpe(vocabulary, special_as_text)
     return lambda texts: [x.ids for x in made.encode_batch_fast(texts, add_special_tokens=False)]

@@ -12,6 +12,7 @@ from comparo.llm.source_mix import op3_source_mix
 from comparo.llm.suffix_merge import op7_suffix_merge
 from comparo.llm.tables import ship
 from comparo.llm.token_files import op13_bit_planes
+from comparo.llm.token_links import op11_token_links
 from comparo.llm.warc_derive import op10_warc_derivatives
 from comparo.llm.wu_manber import op5_wu_manber
 
@@ -34,6 +35,7 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op8_jaccard_skip": op8_jaccard_skip,
     "op9_nb_toxicity": op9_nb_toxicity,
     "op10_warc_derivatives": op10_warc_derivatives,
+    "op11_token_links": op11_token_links,
     "op13_bit_planes": op13_bit_planes,
 }.items()}
 

@@ -1,5 +1,6 @@
 """Operators 11 and 13 against the tokenizers themselves."""
 
+import hashlib
 import zlib
 
 import numpy as np
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 
 from comparo.llm import pieces as P
 from comparo.llm import token_files as T
+from comparo.llm import token_links as L
 from comparo.llm.words import text_column
 
 from .corpus import corpus
@@ -110,3 +112,120 @@ def test_empty_table(frame, tmp_path):
     path = f"file://{tmp_path}/ids"
     T.write_ids(frame([]), path)
     assert T.read_lengths(frame([]).sparkSession, path).collect() == []
+
+
+# ---- operator 11 ----
+
+def _brute_tokens(text):
+    """Token ids and byte strings of space + text under both vocabularies, whole; None where they don't spell it."""
+    if not text:
+        return None
+    va, vb = L.vocabulary_a(L.VOCABULARY_A), L.vocabulary_b(L.VOCABULARY_B)
+    a, b = va.encode([" " + text])[0], vb.encode([text])[0]
+    spell = lambda v, ids: [v.data[v.edges[i]:v.edges[i + 1]].tobytes() for i in ids]
+    sa, sb = spell(va, a), spell(vb, b)
+    if b"".join(sa) != (" " + text).encode() or b"".join(sb) != (" " + text).encode():
+        return None
+    return a, sa, b, sb
+
+
+def brute_alignment(rows):
+    made, held = [], {}
+    for d, t in rows:
+        tokens = _brute_tokens(t)
+        if tokens is None:
+            made.append((d, None))
+            continue
+        a, sa, b, sb = tokens
+        spans = lambda parts: [(sum(map(len, parts[:0])) if not k else e[k - 1], e[k]) for e in [np.cumsum([len(p) for p in parts]).tolist()] for k in range(len(parts))]
+        xa, xb = spans(sa), spans(sb)
+        links, j = [], 0
+        for i, (p, q) in enumerate(xa):
+            while xb[j][1] <= p:
+                j += 1
+            k = j
+            while k < len(xb) and xb[k][0] < q:
+                links.append((i, k, min(q, xb[k][1]) - max(p, xb[k][0])))
+                k += 1
+        ends = sorted({q for _, q in xa} & {q for _, q in xb})
+        group = lambda q: next(g for g, e in enumerate(ends) if q <= e)
+        parts = [([], []) for _ in ends]
+        for side, (ids, xs) in enumerate(((a, xa), (b, xb))):
+            for i, (_, q) in zip(ids, xs):
+                parts[group(q)][side].append(i)
+        text = ";".join(",".join(map(str, p)) + "|" + ",".join(map(str, q)) for p, q in parts)
+        pairs = [(a[i], b[k]) for i, k, _ in links]
+        for p in set(pairs):
+            held[p] = held.get(p, 0) + 1
+        made.append((d, (len(a), len(b), len(ends), pairs, text, links)))
+    best = {}
+    for (i, _), n in held.items():
+        best[i] = max(best.get(i, 0), n)
+    out = []
+    for d, x in made:
+        if x is None:
+            out.append((d, 0, 0, 0, 0, 0, 0, ""))
+        else:
+            n_a, n_b, n_g, pairs, text, _ = x
+            out.append((d, n_a, n_b, n_g, len(pairs), sum(held[p] == best[p[0]] for p in pairs), sum(held[p] for p in pairs),
+                        hashlib.sha256(text.encode()).hexdigest()))
+    return out
+
+
+COLUMNS = ("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+SHORT = [(d, (t or "")[:160] if t is not None else None) for d, t in corpus()]
+LINKED = SHORT + [(4000 + i, t) for i, t in enumerate(ODD)] + [(None, None), (None, "x y"), (4000, "x y")]
+
+
+def test_alignment(frame):
+    got = L.alignment(frame(LINKED, extra=True), block_bytes=3000)
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in got.collect()), key=str) == sorted(brute_alignment(LINKED), key=str)
+
+
+def test_alignment_of_long_texts(frame):
+    rows = [(1, "b" * 3000), (2, "it is a text of some words, " * 45_000), (3, "the end"), (4, "a ▁ " * 50 + "the end")]
+    got = {r.doc_id: r for r in L.alignment(frame(rows)).collect()}
+    tokens = _brute_tokens(rows[1][1])
+    assert (got[2].n_a, got[2].n_b) == (len(tokens[0]), len(tokens[2])) and got[2].n_links >= got[2].n_a
+    assert got[4].n_a == 0 and got[4].groups_sha256 == "" and got[3].n_best > 0
+    assert (got[1].n_a, got[1].n_b) == tuple(len(_brute_tokens(rows[0][1])[k]) for k in (0, 2))
+
+
+def test_alignment_of_empty_table_and_of_no_tokens(frame):
+    assert L.alignment(frame([])).collect() == []
+    assert [tuple(r) for r in L.alignment(frame([(1, None), (1, "")])).collect()] == [(1, 0, 0, 0, 0, 0, 0, "")] * 2
+
+
+def test_links_of_every_document(frame):
+    rows = [(i, t) for i, (_, t) in enumerate(LINKED)]
+    got = {r.doc_id: r for r in L.token_links(frame(rows)).collect()}
+    for d, t in rows:
+        tokens = _brute_tokens(t)
+        if tokens is None:
+            assert not got[d].a_ids and not got[d].overlap and not got[d].shared
+            continue
+        a, sa, b, sb = tokens
+        ea, eb = np.cumsum([len(x) for x in sa]), np.cumsum([len(x) for x in sb])
+        shared = lambda i, k: min(ea[i], eb[k]) - max(ea[i] - len(sa[i]), eb[k] - len(sb[k]))  # noqa: E731, B023
+        assert (got[d].a_ids, got[d].b_ids) == (a, b)
+        assert {(x.a, x.b): x.bytes for x in got[d].overlap} == {
+            (i, k): shared(i, k) for i in range(len(a)) for k in range(len(b)) if shared(i, k) > 0}
+        ends = np.intersect1d(ea, eb)
+        groups = np.searchsorted(ends, ea), np.searchsorted(ends, eb)
+        assert sorted((x.a, x.b, x.group) for x in got[d].shared) == [
+            (i, k, groups[0][i]) for i in range(len(a)) for k in range(len(b)) if groups[0][i] == groups[1][k]]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 4), max_size=5), max_size=5), st.lists(st.lists(st.integers(0, 3), max_size=4), min_size=5, max_size=5))
+def test_sparse_product(x, y):
+    dense = lambda rows, n: np.array([[sum(v == c for v in r) for c in range(n)] for r in rows], int).reshape(len(rows), n)
+    make = lambda rows, n: L.csr(np.cumsum([0] + [len(r) for r in rows]), np.array([v for r in rows for v in sorted(r)], int), n)
+    got = L.product(make(x, 5), make(y, 4))
+    out = np.zeros((len(x), 4), int)
+    np.add.at(out, (got.rows(), got.indices), got.values)
+    assert (out == dense(x, 5) @ dense(y, 4)).all()
+    back = L.transpose(make(y, 4))
+    out = np.zeros((4, 5), int)
+    np.add.at(out, (back.rows(), back.indices), back.values)
+    assert (out == dense(y, 4).T).all()
