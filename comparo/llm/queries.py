@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from comparo.llm.backoff_lm import SQL as BACKOFF_SQL, op1_backoff_lm
+from comparo.llm.collocations import SQL as COLLOCATIONS_SQL, op12_collocations
 from comparo.llm.doubling_dedup import op4_doubling_dedup
 from comparo.llm.jaccard_skip import op8_jaccard_skip
 from comparo.llm.kd_sharding import op6_kd_tree_shards
@@ -36,10 +37,12 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op9_nb_toxicity": op9_nb_toxicity,
     "op10_warc_derivatives": op10_warc_derivatives,
     "op11_token_links": op11_token_links,
+    "op12_collocations": op12_collocations,
     "op13_bit_planes": op13_bit_planes,
 }.items()}
 
 ORACLE: dict[str, str] = {
     "op1_backoff_lm": BACKOFF_SQL,
     "op2_segment_topk": TOPK_SQL,
+    "op12_collocations": COLLOCATIONS_SQL,
 }
