@@ -136,7 +136,7 @@ def write_ids(docs: DataFrame, path: str, *, vocabulary: str = VOCABULARY, end_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
-        ids, held, names, lengths = P.Ids(P.encoder(vocabulary), at_blanks=P.splits_at_blanks(P.byte_bpe(vocabulary))), [], [], []
+        ids, held, names, lengths = P.ids_of(vocabulary), [], [], []
 
         def closed() -> pa.RecordBatch:
             nonlocal made

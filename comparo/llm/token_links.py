@@ -123,7 +123,7 @@ def vocabulary_a(name: str) -> Vocabulary:
     tokens = [b""] * made.get_vocab_size()
     for token, number in made.get_vocab().items():
         tokens[number] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
-    return _vocabulary(tokens, P.encoder(name, special_as_text=True), P.splits_at_blanks(made))
+    return _vocabulary(tokens, P.encoder(name, special_as_text=True), P.splits_at_blanks(name))
 
 
 @lru_cache(maxsize=2)

@@ -21,8 +21,8 @@ ODD = ["", " ", "  a", "a  b", "a \n b", "it's  'twas 's", "a  b", "a  b", "
        "\U0001f600 \U0001f600a", "tab\tand  \t blank ", "trailing  ", "\r\n \r\n"]
 
 
-def _ids(texts, encode, limit=P.KNOWN):
-    made = P.Ids(encode, limit)
+def _ids(texts, limit=P.KNOWN, special_as_text=False):
+    made = P.Ids(T.VOCABULARY, special_as_text, limit)
     out = []
     for _, _, data, bounds in P.chunks_of(pa.array(texts, pa.string())):
         values, edges = made.of(data, bounds)
@@ -30,24 +30,31 @@ def _ids(texts, encode, limit=P.KNOWN):
     return out
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet=st.sampled_from(list(" \n\taé's1. 　▁<|>\u0085x")), max_size=12), max_size=6))
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.text(alphabet=list(" \n\taé's1.,!?:\u3000▁<|>\u0085\u00a0\u2028x"), max_size=14), min_size=1, max_size=6))
 def test_pieces_encode_as_whole_texts(texts):
-    encode = P.encoder(T.VOCABULARY)
-    assert _ids(texts, encode) == encode(texts) if texts else True
+    texts = [t.replace("x", "<|endoftext|>") for t in texts]
+    for special_as_text in (False, True):
+        assert _ids(texts, special_as_text=special_as_text) == P.encoder(T.VOCABULARY, special_as_text)(texts)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(max_size=30), min_size=1, max_size=4))
+def test_pieces_of_any_text(texts):
+    assert _ids(texts) == P.encoder(T.VOCABULARY)(texts)
 
 
 def test_odd_texts_and_a_small_memory():
     encode = P.encoder(T.VOCABULARY)
     texts = ODD + [t or "" for _, t in corpus()]
-    assert _ids(texts, encode) == encode(texts)
-    assert _ids(texts, encode, limit=3) == encode(texts)
+    assert _ids(texts) == encode(texts)
+    assert _ids(texts, limit=3) == encode(texts)
 
 
 def test_long_text_of_one_piece_and_of_many():
     encode = P.encoder(T.VOCABULARY)
     texts = ["ab" * 5000, "some words of a text " * 70_000, None, "x"]
-    assert _ids(texts, encode) == encode([t or "" for t in texts])
+    assert _ids(texts) == encode([t or "" for t in texts])
 
 
 @pytest.mark.parametrize("width", [1, 8])
