@@ -24,7 +24,7 @@ _AHEAD = W._table([*range(0x21, 0x80), *range(0xC3, 0xE1), *range(0xE4, 0xF5)])
 _SIGNS = ".,;:!?"
 _SIGN = W._table(_SIGNS.encode())
 _ALNUM = W._table([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B)])
-KNOWN = 1 << 19     # distinct pieces that a task remembers at most; then it begins anew
+KNOWN = 1 << 20     # distinct pieces that a task remembers at most; then it begins anew
 CHUNK_BYTES = 4 << 20
 CHUNK_ROWS = 2048
 JOINED = 1 << 18    # bytes of new pieces that are encoded as one text
@@ -77,12 +77,45 @@ class Pieces:
         numbers = list(map(self.known.get, own))
         new = [p for p, k in zip(own, numbers) if k is None]
         if new:
+            fresh = iter(range(len(self.known), len(self.known) + len(new)))
+            numbers = [next(fresh) if k is None else k for k in numbers]
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
             self.learn(new)
-            numbers = list(map(self.known.__getitem__, own))
         return np.array(numbers, np.int64)[distinct.indices.to_numpy()]
 
 
+def encoded(pieces: list[bytes], encode: Callable[[list[str]], list[list[int]]],
+            bytes_of: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all pieces, where each piece's begin and the end).
+
+    With `bytes_of`, the bytes that each id of a byte-level vocabulary stands for, pieces that begin as a word does are
+    encoded side by side as one text: they part where they meet.
+    """
+    joined = np.array([bytes_of is not None and len(p) > 1 and p[0] in b" \n" and bool(_AHEAD[p[1]]) for p in pieces], bool)
+    ids, n = [], np.zeros(len(pieces), np.int64)
+    at = np.flatnonzero(joined)
+    ends = np.cumsum([len(pieces[k]) for k in at], dtype=np.int64)
+    done = 0
+    while done < len(at):
+        start = int(ends[done - 1]) if done else 0
+        last = max(done + 1, int(np.searchsorted(ends, start + JOINED)))
+        own = np.array(encode([b"".join([pieces[k] for k in at[done:last]]).decode()])[0], np.uint32)
+        spelled = np.cumsum(bytes_of[own]) + start
+        n[at[done:last]] = np.diff(np.searchsorted(spelled, ends[done:last]) + 1, prepend=0)
+        ids.append(own)
+        done = last
+    alone = np.flatnonzero(~joined)
+    lists = encode([pieces[k].decode() for k in alone]) if len(alone) else []
+    n[alone] = [len(x) for x in lists]
+    ids += [np.array(x, np.uint32) for x in lists]
+    order = np.concatenate([at, alone])
+    begin = np.zeros(len(pieces), np.int64)     # of each piece among the ids as they were made
+    begin[order] = np.concatenate([np.zeros(1, np.int64), np.cumsum(n[order])])[:-1]
+    first = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+    flat = np.concatenate([np.zeros(0, np.uint32), *ids])
+    return flat[np.repeat(begin - first[:-1], n) + np.arange(first[-1])], first
+
+
 class Ids:
     """Ids of texts by their pieces (or, where the tokenizer does not part texts there, of whole texts)."""
 
@@ -97,33 +130,9 @@ class Ids:
         self.values, self.edges = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _learn(self, new: list[bytes]) -> None:
-        """New pieces that begin as a word does are encoded side by side as one text: they part where they meet."""
-        joined = np.array([self.at_blanks and len(p) > 1 and p[0] in b" \n" and bool(_AHEAD[p[1]]) for p in new], bool)
-        ids, n = [], np.zeros(len(new), np.int64)
-        at = np.flatnonzero(joined)
-        ends = np.cumsum([len(new[k]) for k in at], dtype=np.int64)
-        first = 0
-        while first < len(at):
-            last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + JOINED)))
-            part = b"".join([new[k] for k in at[first:last]])
-            own = np.array(self.encode([part.decode()])[0], np.uint32)
-            spelled = np.cumsum(self.bytes_of[own]) + (ends[first - 1] if first else 0)
-            n[at[first:last]] = np.diff(np.searchsorted(spelled, ends[first:last]) + 1, prepend=0)
-            ids.append(own)
-            first = last
-        alone = np.flatnonzero(~joined)
-        lists = self.encode([new[k].decode() for k in alone]) if len(alone) else []
-        n[alone] = [len(x) for x in lists]
-        ids += [np.array(x, np.uint32) for x in lists]
-        order = np.concatenate([at, alone])
-        starts = np.zeros(len(new) + 1, np.int64)   # of each piece in the order that was encoded
-        begin = np.zeros(len(new), np.int64)
-        begin[order] = np.concatenate([np.zeros(1, np.int64), np.cumsum(n[order])])[:-1]
-        starts[1:] = np.cumsum(n)
-        flat = np.concatenate([np.zeros(0, np.uint32), *ids])
-        own = flat[np.repeat(begin - starts[:-1], n) + np.arange(starts[-1])]
-        self.values = np.concatenate([self.values, own])
-        self.edges = np.concatenate([self.edges, starts[1:] + self.edges[-1]])
+        values, first = encoded(new, self.encode, self.bytes_of)
+        self.values = np.concatenate([self.values, values])
+        self.edges = np.concatenate([self.edges, first[1:] + self.edges[-1]])
 
     def of(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all documents, where each document's begin and the end)."""

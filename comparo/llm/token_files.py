@@ -49,19 +49,21 @@ FOOTER = struct.Struct("<QQQQQQQIIBB6x8s")
 
 def planes_of(ids: np.ndarray, planes: int, width: int) -> list[bytes]:
     """The ids of a chunk, transposed: `planes` planes of `width` bits (1 or 8) of each id."""
+    rows = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
     if width == 8:
-        rows = np.ascontiguousarray(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T)
         return [rows[b].tobytes() for b in range(planes)]
-    return [np.packbits((ids >> np.uint32(b)).astype(np.uint8) & 1, bitorder="little").tobytes() for b in range(planes)]
+    return [np.packbits(rows[b >> 3] & np.uint8(1 << (b & 7)), bitorder="little").tobytes() for b in range(planes)]
 
 
 def ids_of(planes: list[bytes], n: int, width: int) -> np.ndarray:
-    out = np.zeros(n, np.uint32)
+    rows = np.zeros((4, n), np.uint8)
     for b, plane in enumerate(planes):
         raw = np.frombuffer(plane, np.uint8)
-        own = raw if width == 8 else np.unpackbits(raw, count=n, bitorder="little")
-        out |= own.astype(np.uint32) << np.uint32(b * width)
-    return out
+        if width == 8:
+            rows[b] = raw
+        else:
+            rows[b >> 3] |= np.unpackbits(raw, count=n, bitorder="little") << np.uint8(b & 7)
+    return np.ascontiguousarray(rows.T).view("<u4").ravel().astype(np.uint32)
 
 
 def pack(part: int, segment: int, doc_ids: pa.Array, lengths: np.ndarray, ids: np.ndarray, *,
