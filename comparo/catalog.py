@@ -49,6 +49,8 @@ def measures(spark: SparkSession, d: str, *, contains: bool = False, grain: str
     stores = None if comparable is None else register_for_month(
         X.register(spark, d), comparable, cols=())
     packaging = {"packaging_token": X.PACKAGING_TOKEN} if contains else {"packaging": X.PACKAGING}
+    if grain == "store":     # tickets counted in the same pass
+        return to_measures(X.lines(spark, d, ranges), keys=keys, stores=stores, ticket_key="order_key", **packaging)
     return to_measures(X.lines(spark, d, ranges), X.tickets(spark, d, ranges=ranges), keys=keys,
                        stores=stores, **packaging)
 

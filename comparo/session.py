@@ -10,6 +10,8 @@ that driver and executors share.
 from __future__ import annotations
 
 import tempfile
+import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,12 +54,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
-def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
+@contextmanager
+def freed_shuffles(spark: SparkSession):
+    """Within it, the shuffle files of an action go when it ends: what it wrote is all that is read again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, how: str = "table", name: str = "table") -> DataFrame:
     """Cut lineage of a DataFrame that several reports reuse.
 
-    ``checkpoint`` writes to the shared checkpoint folder (survives executor
-    loss without recomputation); ``cache`` keeps it in executor memory/disk.
+    ``table`` writes Parquet to the shared folder and reads it back: a lost executor loses
+    nothing, no executor memory is held, and the planner knows its size. :func:`discard` deletes
+    it. ``checkpoint`` writes rows to the checkpoint folder; ``cache`` keeps them in executor
+    memory until the caller unpersists the result; ``none`` returns the plan as it is.
     """
+    if how == "table":
+        path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        with freed_shuffles(df.sparkSession):
+            df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)
     if how == "checkpoint":
         checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)
@@ -66,3 +87,11 @@ def materialize(df: DataFrame, how: str = "checkpoint") -> DataFrame:
     if how == "none":
         return df
     raise ValueError(f"unknown materialization {how!r}")
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a DataFrame that ``materialize(how='table')`` returned."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)

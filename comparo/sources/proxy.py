@@ -19,12 +19,14 @@ Nothing is sampled: every row of the source tables flows into the inputs.
 from __future__ import annotations
 
 from decimal import Decimal
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comparo.functions import labels as L
 from comparo.functions.text import map_values
+from comparo.sources.fact import in_months, landed, signature
 
 # Parameters of the proxy calendar (orders run 1995-01 .. 2001-08-01).
 BASE_YEAR, CURRENT_YEAR = 2000, 2001
@@ -44,18 +46,18 @@ N_SLOT_STORES = 16
 SLOT_YEAR, SLOT_MONTH = 2024, 1
 
 
-_READERS: dict = {}
+#: Per session, the schemas of driver tables by path and state, so that plans need no footer job.
+_SCHEMAS: WeakKeyDictionary = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """Parquet reader of a driver table, created once per session and path
-    (the footer/schema read is not repeated for every query plan)."""
-    key = (id(spark), spark.sparkContext.applicationId, d, name)
-    df = _READERS.get(key)
-    if df is None:
-        df = spark.read.parquet(f"{d}/{name}.parquet")
-        _READERS[key] = df
-    return df
+    """A driver table; its files are listed anew for every plan."""
+    path = f"{d.rstrip('/')}/{name}.parquet"
+    known = _SCHEMAS.setdefault(spark, {})
+    state = signature(spark, path)
+    if state not in known:
+        known[state] = spark.read.parquet(path).schema
+    return spark.read.schema(known[state]).parquet(path)
 
 
 def by_mod(key: str | Column, labels) -> Column:
@@ -82,7 +84,7 @@ def date_ranges(col: str, ranges) -> Column | None:
     return cond
 
 
-def lines(spark: SparkSession, d: str, ranges=None, product: bool = True) -> DataFrame:
+def derived_lines(spark: SparkSession, d: str, ranges=None, product: bool = True) -> DataFrame:
     """Typed product lines: year, month, format, store_id, store, sector,
     section, family, sales decimal, units decimal, order_key. ``ranges``
     limits the order dates to the report period(s) at the scan; without
@@ -119,6 +121,16 @@ def lines(spark: SparkSession, d: str, ranges=None, product: bool = True) -> Dat
 STORE_KEYS = ["year", "month", "format", "store_id", "store"]
 
 
+def lines(spark: SparkSession, d: str, ranges=None, product: bool = True) -> DataFrame:
+    """The lines of :func:`derived_lines`, landed by year and month; ``ranges`` picks the months to read."""
+    inputs = [f"{d.rstrip('/')}/{t}.parquet" for t in ("lineitem", "orders", "part")]
+    fact = landed(spark, "fact", inputs, lambda: derived_lines(spark, d))
+    if ranges:
+        fact = fact.filter(in_months(ranges))
+    columns = [*STORE_KEYS, "sector", "section", "family", "sales", "units", "order_key"]
+    return fact.select(*[c for c in columns if product or c not in ("sector", "section", "family")])
+
+
 def tickets(spark: SparkSession, d: str, by_sector: bool = False, ranges=None) -> DataFrame:
     """Distinct orders per store-month (or store-sector-month)."""
     keys = STORE_KEYS + (["sector"] if by_sector else [])
