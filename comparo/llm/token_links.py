@@ -40,6 +40,8 @@ VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
 BLOCK_BYTES = 8 << 20       # text of a block
 BLOCK_ROWS = 1 << 14        # documents of a block
+KNOWN = 1 << 18             # distinct pieces that a task remembers at most
+LEARNT = 1 << 13            # pieces whose matrices are multiplied at once
 
 
 # ---- sparse matrices ----
@@ -94,7 +96,7 @@ def product(a: Csr, b: Csr) -> Csr:
 # ---- tokenizers ----
 
 class Vocabulary(NamedTuple):
-    encode: object          # list of texts -> list of lists of ids
+    encode: object          # list of texts, as bytes with a blank before each -> (ids, where each text's begin)
     data: np.ndarray        # bytes of all tokens, by id
     edges: np.ndarray
     at_blanks: bool         # whether texts can be encoded piece by piece
@@ -123,7 +125,9 @@ def vocabulary_a(name: str) -> Vocabulary:
     tokens = [b""] * made.get_vocab_size()
     for token, number in made.get_vocab().items():
         tokens[number] = bytes(signs[c] for c in token) if all(c in signs for c in token) else token.encode()
-    return _vocabulary(tokens, P.encoder(name, special_as_text=True), P.splits_at_blanks(name))
+    encode, at_blanks = P.encoder(name, special_as_text=True), P.splits_at_blanks(name)
+    bytes_of = P.byte_lengths(name) if at_blanks else None
+    return _vocabulary(tokens, lambda texts: P.encoded(texts, encode, bytes_of), at_blanks)
 
 
 @lru_cache(maxsize=2)
@@ -135,7 +139,13 @@ def vocabulary_b(name: str) -> Vocabulary:
     tokens = [bytes([int(e[3:5], 16)]) if made.is_byte(k) else e.replace("▁", " ").encode()
               for k, e in enumerate(entries)]
     at_blanks = not any("▁" in e.lstrip("▁") for e in entries)
-    return _vocabulary(tokens, lambda texts: made.encode(texts, num_threads=1), at_blanks)
+
+    def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = made.encode([t[1:].decode() for t in texts], num_threads=1)
+        first = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in ids], dtype=np.int64)])
+        return np.array([i for x in ids for i in x], np.int64), first
+
+    return _vocabulary(tokens, encode, at_blanks)
 
 
 # ---- links of pieces ----
@@ -155,11 +165,6 @@ class Links(NamedTuple):
     g_first: np.ndarray
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    first = np.concatenate([np.zeros(1, np.int64), np.cumsum([len(x) for x in lists], dtype=np.int64)])
-    return np.array([i for x in lists for i in x], np.int64), first
-
-
 def _kept(ids: np.ndarray, first: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = np.where(keep, np.diff(first), 0)
     return ids[np.repeat(keep, np.diff(first))], np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
@@ -173,9 +178,8 @@ def _spells(voc: Vocabulary, ids: np.ndarray, first: np.ndarray, texts: list[byt
 
 def links_of(texts: list[bytes], va: Vocabulary, vb: Vocabulary) -> Links:
     """Links of texts that begin with a blank each."""
-    plain = [t.decode() for t in texts]
-    a, a_first = _flat(va.encode(plain))
-    b, b_first = _flat(vb.encode([t[1:] for t in plain]))
+    (a, a_first), (b, b_first) = va.encode(texts), vb.encode(texts)
+    a = a.astype(np.int64)
     spelled = _spells(va, a, a_first, texts) & _spells(vb, b, b_first, texts)
     if not spelled.all():
         (a, a_first), (b, b_first) = _kept(a, a_first, spelled), _kept(b, b_first, spelled)
@@ -191,11 +195,11 @@ def links_of(texts: list[bytes], va: Vocabulary, vb: Vocabulary) -> Links:
 
 def group_texts(x: Links) -> list[bytes]:
     """`a1,a2|b1;a3|b2,b3` of each text."""
-    n = int(x.g_first[-1])
-    a_at = np.searchsorted(x.a_group, np.arange(n + 1)).tolist()
-    b_at = np.searchsorted(x.b_group, np.arange(n + 1)).tolist()
+    numbers = np.arange(int(x.g_first[-1]) + 1)
+    a_at, b_at = np.searchsorted(x.a_group, numbers).tolist(), np.searchsorted(x.b_group, numbers).tolist()
     a, b = list(map(str, x.a.tolist())), list(map(str, x.b.tolist()))
-    groups = [f"{','.join(a[a_at[g]:a_at[g + 1]])}|{','.join(b[b_at[g]:b_at[g + 1]])}" for g in range(n)]
+    groups = [f"{a[i]}|{b[k]}" if j == i + 1 and m == k + 1 else f"{','.join(a[i:j])}|{','.join(b[k:m])}"
+              for i, j, k, m in zip(a_at, a_at[1:], b_at, b_at[1:])]
     first = x.g_first.tolist()
     return [";".join(groups[i:j]).encode() for i, j in zip(first[:-1], first[1:])]
 
@@ -203,7 +207,7 @@ def group_texts(x: Links) -> list[bytes]:
 class Known:
     """Links of the distinct pieces of a task: numbers of tokens, groups and links, id pairs, groups as text."""
 
-    def __init__(self, va: Vocabulary, vb: Vocabulary, limit: int = P.KNOWN):
+    def __init__(self, va: Vocabulary, vb: Vocabulary, limit: int = KNOWN):
         self.va, self.vb = va, vb
         self.pieces = P.Pieces(self._learn, self._forget, limit)
         self._forget()
@@ -215,14 +219,22 @@ class Known:
         self.texts: list[bytes] = []
 
     def _learn(self, new: list[bytes]) -> None:
-        x = links_of(new, self.va, self.vb)
-        edges = x.overlap.indptr[x.a_first]
-        self.counts = np.concatenate([self.counts, np.stack(
-            [np.diff(x.a_first), np.diff(x.b_first), np.diff(x.g_first), np.diff(edges)], 1)])
-        self.spelled = np.concatenate([self.spelled, x.spelled])
-        self.pairs = np.concatenate([self.pairs, x.a[x.overlap.rows()] * self.vb.size + x.b[x.overlap.indices]])
-        self.edges = np.concatenate([self.edges, edges[1:] + self.edges[-1]])
-        self.texts += group_texts(x)
+        made = [(self.counts, self.spelled, self.pairs, self.edges)]
+        end = self.edges[-1]
+        for k in range(0, len(new), LEARNT):    # the products of some pieces at a time
+            x = links_of(new[k:k + LEARNT], self.va, self.vb)
+            edges = x.overlap.indptr[x.a_first]
+            made.append((np.stack([np.diff(x.a_first), np.diff(x.b_first), np.diff(x.g_first), np.diff(edges)], 1), x.spelled,
+                         x.a[x.overlap.rows()] * self.vb.size + x.b[x.overlap.indices], edges[1:] + end))
+            end = made[-1][3][-1]
+            self.texts += group_texts(x)
+        self.counts, self.spelled, self.pairs, self.edges = (np.concatenate(column) for column in zip(*made))
+
+
+@lru_cache(maxsize=2)
+def known_pieces(a: str, b: str) -> Known:
+    """One for all tasks of a worker, so a task starts with the pieces of those before it."""
+    return Known(vocabulary_a(a), vocabulary_b(b))
 
 
 class Docs(NamedTuple):
@@ -314,8 +326,8 @@ def _block(number: int, names: list[pa.Array], docs: list[Docs]) -> pa.RecordBat
 
 def _blocks(docs: DataFrame, a: str, b: str, block_bytes: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        va, vb = vocabulary_a(a), vocabulary_b(b)
-        known, whole = Known(va, vb), not (va.at_blanks and vb.at_blanks)
+        known = known_pieces(a, b)
+        whole = not (known.va.at_blanks and known.vb.at_blanks)
         number, names, made, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
             for i, j, data, bounds in P.chunks_of(batch.column("text")):

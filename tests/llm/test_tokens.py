@@ -128,7 +128,7 @@ def _brute_tokens(text):
     if not text:
         return None
     va, vb = L.vocabulary_a(L.VOCABULARY_A), L.vocabulary_b(L.VOCABULARY_B)
-    a, b = va.encode([" " + text])[0], vb.encode([text])[0]
+    a, b = (v.encode([b" " + text.encode()])[0].tolist() for v in (va, vb))
     spell = lambda v, ids: [v.data[v.edges[i]:v.edges[i + 1]].tobytes() for i in ids]
     sa, sb = spell(va, a), spell(vb, b)
     if b"".join(sa) != (" " + text).encode() or b"".join(sb) != (" " + text).encode():
