@@ -64,7 +64,7 @@ def main() -> None:
         t0 = time.perf_counter()
         reps = monthly.monthly_reports(measures(spark, sf_dir, ranges=MONTH_RANGES),
                                        X.register(spark, sf_dir),
-                                       YEARS, MONTH, one_pass=one_pass, reuse="cache")
+                                       YEARS, MONTH, one_pass=one_pass, reuse="table")
         for df in reps.values():
             run(df)
         return round(time.perf_counter() - t0, 3)

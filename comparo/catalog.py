@@ -17,9 +17,12 @@ from comparo.functions.labels import month_column
 from comparo.operators.aggregate import grouping_sets_sum
 from comparo.operators.filters import comparable_predicate, exclude_packaging
 from comparo.operators.joins import with_register
+from comparo.operators.lattice import rollup_sums
+from comparo.operators.sorts import numbered
 from comparo.plans import monthly, ytd
-from comparo.plans.measures import (LEAF_KEYS, STORE_KEYS, comparable_cube, register_for_month,
-                                    rolled_up, to_measures)
+from comparo.plans.measures import (LEAF_KEYS, STORE_KEYS, comparable_cube, measures_of, register_for_month,
+                                    to_measures, with_first_sector)
+from comparo.session import materialize
 from comparo.sources import proxy as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,12 +81,6 @@ def _double(df: DataFrame, col: str = "value") -> DataFrame:
     return df.withColumn(col, F.col(col).cast("double"))
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Row numbers of a sorted report, taken from the order it arrives in."""
-    tagged = df.withColumn("_at", F.monotonically_increasing_id())
-    return tagged.withColumn("row_no", F.expr("row_number() over (order by _at)").cast("bigint")).drop("_at")
-
-
 # -- long fact, packaging, register join, comparability ---------------------------
 
 @query("measures_long")
@@ -216,6 +213,17 @@ def q_report_grouping_sets(spark, d):
     return out.select("grain", *cols, "year", "measure", F.col("value").cast("double").alias("value"))
 
 
+@query("report_rollup")
+def q_report_rollup(spark, d):
+    """The same tables, each grain from the smallest computed one."""
+    from comparo.plans.reports import HUBS
+    cube = ytd.ytd_cube(measures(spark, d, ranges=YTD_RANGES, comparable=MONTH), X.register(spark, d),
+                        YEARS, MONTH)
+    out = rollup_sums(cube, GS_GRAINS, HUBS, exclude={g: [L.TICKETS] for g in GS_PRODUCT})
+    cols = list(dict.fromkeys(k for ks in GS_GRAINS.values() for k in ks))
+    return out.select("grain", *cols, "year", "measure", F.col("value").cast("double").alias("value"))
+
+
 # -- growth policies -------------------------------------------------------------------
 
 def _store_family_long(spark, d):
@@ -328,21 +336,28 @@ def _brief_scope(df, rolling: bool):
     return df.withColumn("period", period_split(ms, X.AS_OF, new=X.PERIOD_NEW, old=X.PERIOD_OLD))
 
 
+def _brief_ranges(rolling: bool):
+    return [(X.ROLLING_FROM, X.AS_OF)] if rolling else month_ranges(X.BRIEF_YEARS, X.BRIEF_MONTH)
+
+
+def brief_store_sector(spark, d, rolling: bool = False):
+    """(store fact, sector fact) of the briefing period, tickets included, from one pass over the lines:
+    the store-sector rows are written once and both facts are sums of them."""
+    rows = materialize(with_first_sector(X.lines(spark, d, _brief_ranges(rolling)), packaging=X.PACKAGING),
+                       name="store-sector")
+    facts = (measures_of(rows, STORE_KEYS, "_store_tickets"), measures_of(rows, GRAINS["sector"], "_tickets"))
+    return tuple(_lower_measure(_brief_scope(f, rolling)) for f in facts)
+
+
+def brief_family(spark, d, rolling: bool = False):
+    """Units by product leaf of the briefing period."""
+    leaf = to_measures(X.lines(spark, d, _brief_ranges(rolling)), packaging=X.PACKAGING)
+    return _lower_measure(_brief_scope(leaf.filter(F.col("measure") == L.UNITS), rolling))
+
+
 def brief_inputs(spark, d, rolling: bool = False):
-    """(store fact, sector fact, units-by-family fact) of the briefing period.
-
-    The store-sector rows, tickets included, come from one pass over the lines;
-    store sales and units are rolled up from them, store tickets are the second pass.
-    """
-    rng = [(X.ROLLING_FROM, X.AS_OF)] if rolling else month_ranges(X.BRIEF_YEARS, X.BRIEF_MONTH)
-    lines, tickets = X.lines(spark, d, rng), X.tickets(spark, d, ranges=rng)
-    sector = to_measures(lines, keys=GRAINS["sector"], packaging=X.PACKAGING, ticket_key="order_key")
-    counts = tickets.select(*STORE_KEYS, F.lit(L.TICKETS).alias("measure"),
-                            F.col("tickets").cast("decimal(38,6)").alias("value"))
-    store = rolled_up(sector, STORE_KEYS).unionByName(counts)
-    leaf = to_measures(lines, packaging=X.PACKAGING)
-    family = leaf.filter(F.col("measure") == L.UNITS)
-    return tuple(_lower_measure(_brief_scope(f, rolling)) for f in (store, sector, family))
+    """(store fact, sector fact, units-by-family fact) of the briefing period."""
+    return *brief_store_sector(spark, d, rolling), brief_family(spark, d, rolling)
 
 
 def _axis(rolling):
@@ -353,11 +368,10 @@ def _brief(kind: str, comparable: bool = True, rolling: bool = False):
     def fn(spark, d):
         from comparo.plans import briefing as B
         reg = X.register(spark, d)
-        store, sector, family = brief_inputs(spark, d, rolling)
-        if comparable:
-            store = B.comparable_slice(store, reg, X.BRIEF_MONTH)
-            sector = B.comparable_slice(sector, reg, X.BRIEF_MONTH)
-            family = B.comparable_slice(family, reg, X.BRIEF_MONTH)
+        keep = (lambda f: B.comparable_slice(f, reg, X.BRIEF_MONTH)) if comparable else (lambda f: f)
+        if kind == "family":
+            return B.family_contribution(keep(brief_family(spark, d, rolling)), *_axis(rolling))
+        store, sector = map(keep, brief_store_sector(spark, d, rolling))
         axis, labels = _axis(rolling)
         if kind == "store":
             return B.store_growth(store, axis, labels, sort=True)
@@ -371,8 +385,6 @@ def _brief(kind: str, comparable: bool = True, rolling: bool = False):
             return B.store_sector_matrix(sector, store, X.SECTORS, axis, labels)
         if kind == "consolidated":
             return B.consolidated_matrix(sector, store, X.SECTORS, axis, labels)
-        if kind == "family":
-            return B.family_contribution(family, axis, labels)
         if kind == "four_levels":
             return B.four_levels(store, sector, axis, labels)
         raise KeyError(kind)
@@ -481,7 +493,7 @@ def q_hours_wide(spark, d):
 def q_extended_hours_report(spark, d):
     """The whole report as presented, with its row numbers."""
     from comparo.plans import hours as H
-    return _numbered(H.extended_hours(X.slot_sales_wide(spark, d), X.staff_cost_wide(spark, d),
+    return numbered(H.extended_hours(X.slot_sales_wide(spark, d), X.staff_cost_wide(spark, d),
                                       X.authorised_hours_wide(spark, d), X.margin_long(spark, d)))
 
 
@@ -685,7 +697,7 @@ def q_overwrite_table(spark, d):
 
 for _k in ("yoy_store", "yoy_family", "yoy_store_family", "comparison_union",
            "briefing_store_comparable", "briefing_family_contribution"):
-    query(f"order_{_k}")(lambda spark, d, k=_k: _numbered(QUERIES[k](spark, d)))
+    query(f"order_{_k}")(lambda spark, d, k=_k: numbered(QUERIES[k](spark, d)))
 
 
 # -- report files: written, read back, parsed ----------------------------------------------------

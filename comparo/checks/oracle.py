@@ -125,6 +125,7 @@ for _g, _keys in _GS:
     _branches.append(f"SELECT '{_g}' AS grain, {sel}, year, measure, "
                      f"CAST(sum(value) AS DOUBLE) AS value FROM cube WHERE {where} GROUP BY {by}")
 ORACLE["report_grouping_sets"] = with_(*BASE, YTD_CUBE) + "\nUNION ALL\n".join(_branches)
+ORACLE["report_rollup"] = ORACLE["report_grouping_sets"]
 
 # -- growth policies -----------------------------------------------------------------
 from comparo.checks.sqlparts import growth as _g  # noqa: E402

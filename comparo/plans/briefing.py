@@ -29,6 +29,7 @@ from comparo.operators.joins import attach, with_register
 from comparo.operators.pivots import pivot_years
 from comparo.operators.sets import union_levels
 from comparo.operators.sorts import order_by
+from comparo.session import materialize
 
 STORE = ["format", "store_id", "store"]
 TOTAL = "Total"
@@ -124,6 +125,8 @@ def family_contribution(units_fact: DataFrame, axis: str = "year", labels=(2000,
     agg = src.groupBy(*dims).agg(
         F.sum(F.when(F.col(axis) == labels[0], F.col("value"))).alias("_b"),
         F.sum(F.when(F.col(axis) == labels[1], F.col("value"))).alias("_c"))
+    # written once: the format totals are sums of these rows, not of the lines again
+    agg = materialize(agg, name="family-units")
     # the format total is summed exactly (DECIMAL) before the division
     agg = agg.withColumn("_b", F.coalesce(F.col("_b"), F.lit(0).cast("decimal(38,6)")))
     agg = agg.withColumn("_gap", F.col("_c").cast("double") - F.col("_b").cast("double"))

@@ -9,7 +9,7 @@ products, so product reports leave them out).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from comparo.functions import labels as L
@@ -62,6 +62,39 @@ def to_measures(lines: DataFrame, tickets: DataFrame | None = None, *,
     return agg.unionByName(t)
 
 
+def with_first_sector(lines: DataFrame, *, order_key: str = "order_key", sector: str = "sector",
+                      packaging=None, packaging_token: str | None = None, sales: str = "sales",
+                      units: str = "units") -> DataFrame:
+    """Store x sector rows (_sales, _units, _tickets, _store_tickets) whose ticket counts both add up.
+
+    A ticket with lines of several sectors counts once in each (_tickets), so those counts do not add up to the
+    store's. It is therefore also counted in the first of its sectors alone (_store_tickets): the sum of
+    that column over any sectors of a store is the store's count of distinct tickets there, exactly, from one pass over
+    the lines. (A bitmap of tickets for each store and sector would add up too, but with ticket numbers spread over
+    all stores it holds 4 KB for nearly every ticket.) A ticket has few sectors, so the row numbers run
+    over short groups; lines are summed by (store, sector, ticket) before any shuffle.
+    """
+    src = drop_null_keys(lines, STORE_KEYS)
+    units_kept = F.when(~is_packaging("family", packaging, packaging_token), F.col(units))
+    per_order = src.groupBy(*STORE_KEYS, sector, order_key).agg(
+        F.sum(F.col(sales).cast(ROW_TYPE)).alias("_sales"), F.sum(units_kept.cast(ROW_TYPE)).alias("_units"))
+    first = F.row_number().over(Window.partitionBy(*STORE_KEYS, order_key).orderBy(F.col(sector).asc_nulls_last())) == 1
+    ticket = F.col(order_key).isNotNull()
+    marked = per_order.withColumn("_first", F.when(ticket & first, F.lit(1)).otherwise(F.lit(0)))
+    return marked.groupBy(*STORE_KEYS, sector).agg(
+        F.sum("_sales").alias("_sales"), F.sum("_units").alias("_units"),
+        F.count(F.col(order_key)).cast(ROW_TYPE).alias("_tickets"),
+        F.sum("_first").cast(ROW_TYPE).alias("_store_tickets"))
+
+
+def measures_of(rows: DataFrame, keys, tickets: str) -> DataFrame:
+    """The long fact at the grain of `keys` from the rows of :func:`with_first_sector`: `tickets` is the
+    column that adds up at that grain (a ticket count of 0 makes no row, as no line did)."""
+    wide = rows.groupBy(*keys).agg(*[F.sum(c).cast(VALUE_TYPE).alias(c) for c in ("_sales", "_units", tickets)])
+    long = stack_measures(wide, keys, {L.SALES: "_sales", L.UNITS: "_units", L.TICKETS: tickets})
+    return long.filter(F.col("value").isNotNull())
+
+
 def register_for_month(register: DataFrame, month, *, case_sensitive: bool = False,
                        cols=("province",), required=("name", "open_date")) -> DataFrame:
     """Register rows that are like-for-like in ``month`` (STR-11 + FLT-4).

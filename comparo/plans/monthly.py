@@ -64,11 +64,10 @@ def leaf_pivot(cube: DataFrame, years) -> DataFrame:
 
 
 def monthly_reports(measures: DataFrame, register: DataFrame, years, month: int, *,
-                    one_pass: bool = True, reuse: str = "cache", sort: bool = True) -> dict:
+                    one_pass: bool = True, reuse: str = "table", sort: bool = True) -> dict:
     """The twelve monthly tables. With ``one_pass`` every growth table comes
-    from one GROUPING SETS aggregation; the cube is materialised once
-    (``reuse``: 'cache', 'checkpoint' or 'none') because the leaf table reads
-    it as well."""
+    from one roll-up of the cube (``plans.reports``); the cube is materialised once
+    (``reuse``, see ``session.materialize``) because the leaf table reads it as well."""
     cube = materialize(month_cube(measures, register, years, month), reuse)
     if one_pass:
         out = run_specs_one_pass(cube, SPECS, years, sort=sort, reuse=reuse)

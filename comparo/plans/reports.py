@@ -2,8 +2,7 @@
 
 A report is one grain of the comparable cube with its own NULL policy
 (see ``operators.growth``). Specs are data; ``run_spec`` turns one into a
-DataFrame, ``run_specs_one_pass`` computes many from a single GROUPING SETS
-aggregation of the cube.
+DataFrame, ``run_specs_one_pass`` computes many from one roll-up of the cube.
 """
 
 from __future__ import annotations
@@ -14,11 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comparo.functions import labels as L
-from comparo.operators.aggregate import grouping_sets_sum
 from comparo.operators.growth import growth_table
+from comparo.operators.lattice import Hubs
 from comparo.plans.measures import LEAF_KEYS
 from comparo.operators.sorts import order_by_growth
-from comparo.session import materialize
 
 
 @dataclass(frozen=True)
@@ -53,29 +51,28 @@ def order_spec(df: DataFrame, spec: Spec) -> DataFrame:
                            ties=[c for c in spec.dims if c not in spec.lead])
 
 
+#: What the tables of one closed month or year to date are summed from: one row per store and product level.
+HUBS = (("format", "province", "store", "sector"), ("format", "province", "store", "section"),
+        ("format", "province", "store", "family"), ("format", "province", "store"))
+
+
 def run_specs_one_pass(cube: DataFrame, specs, years, *, sort: bool = True,
-                       reuse: str = "cache") -> dict:
-    """All specs from one GROUPING SETS aggregation of the cube.
+                       reuse: str = "table", hubs=HUBS) -> dict:
+    """All specs from one roll-up of the cube (``operators.lattice``).
 
-    The cube is scanned and shuffled once; the multi-grain result (already
-    aggregated) is materialised (``reuse``: 'cache' or 'checkpoint') and each
-    report reads it. Product grains leave tickets out; grains with
-    ``require`` sum only rows whose leaf keys are all present.
+    The cube is read once for each product level; store tables and all coarser ones come from the
+    hub rows. Grains with ``require`` sum only rows whose leaf keys are all present.
     """
-    grains = {s.name: list(s.dims) for s in specs}
-    exclude = {s.name: [m for m in L.MEASURES if m not in s.measures] for s in specs}
     leaf_ok = None
     for k in LEAF_KEYS:
         c = F.col(k).isNotNull()
         leaf_ok = c if leaf_ok is None else leaf_ok & c
     src = cube.filter(F.col("year").isin(*years)).withColumn(
         "value_leaf", F.when(leaf_ok, F.col("value")))
-    multi = grouping_sets_sum(src, grains, value="value", exclude=exclude,
-                              extra={"value_leaf": F.sum("value_leaf")})
-    multi = materialize(multi, reuse)
+    lattice = Hubs(src, hubs, values=("value", "value_leaf"), reuse=reuse)
     out = {}
     for s in specs:
-        part = multi.filter(F.col("grain") == s.name)
+        part = lattice.covering(s.dims)
         value = "value"
         if s.require:
             part = part.filter(F.col("value_leaf").isNotNull())

@@ -71,7 +71,7 @@ def leaf_detail(measures: DataFrame, register: DataFrame, years, month_limit: in
 
 
 def ytd_reports(measures: DataFrame, register: DataFrame, years, month_limit: int, *,
-                single_format: bool = False, one_pass: bool = True, reuse: str = "cache",
+                single_format: bool = False, one_pass: bool = True, reuse: str = "table",
                 sort: bool = True) -> dict:
     cube = materialize(ytd_cube(measures, register, years, month_limit), reuse)
     specs = list(SPECS)

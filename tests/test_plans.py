@@ -67,10 +67,28 @@ def _optimized(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_date_ranges_reach_the_scan(spark, sf_small):
-    scans = [x for x in _plan(QUERIES["ytd_store"](spark, sf_small)).splitlines()
-             if "FileScan" in x and "orders.parquet" in x]
-    assert scans and all("GreaterThanOrEqual(o_orderdate" in x for x in scans)
+def test_reports_read_the_folders_of_their_months(spark, sf_small):
+    """The fact is landed by year and month; every yoy_ and ytd_ plan has its period as partition filters, and a
+    year-to-date plan reads fewer files than there are."""
+    keys = [k for k in QUERIES if k.startswith(("yoy_", "ytd_"))]
+    assert len(keys) > 20
+    for key in keys:
+        scans = [x for x in _plan(QUERIES[key](spark, sf_small)).splitlines() if "FileScan" in x and "/fact-" in x]
+        assert scans, key
+        for x in scans:
+            filters = x.split("PartitionFilters: [")[1].split("]")[0]
+            assert "year" in filters and "month" in filters, (key, x)
+            assert "sales" in x or "order_key" in x
+    all_files = X.lines(spark, sf_small)
+    part = X.lines(spark, sf_small, [("2001-01-01", "2001-08-01")])
+    assert 0 < len(part.inputFiles())
+    read = part._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in read and part.count() < all_files.count() / 4
+
+
+def test_tickets_and_totals_do_not_read_product_columns(spark, sf_small):
+    tickets = _plan(X.tickets(spark, sf_small))
+    assert "sector" not in tickets and "sales" not in tickets
 
 
 def test_comparable_stores_join_below_the_aggregate(spark, sf_small):
@@ -199,18 +217,95 @@ def test_report_set_with_checkpoint(spark, sf_small):
     assert spark.sparkContext.getCheckpointDir()
 
 
+def _scans(df, folder="/fact-"):
+    return sum("FileScan" in x and folder in x for x in _plan(df).splitlines())
+
+
 def test_few_passes_over_the_lines(spark, sf_small):
-    """Scans of the line items with shuffle joins only, reused shuffles counted once."""
+    """Scans of the fact with shuffle joins only. Plans over a table written on the way read the fact in the job that
+    writes it, once: the rows of the briefing are one plan with one scan."""
+    from comparo.catalog import brief_family, brief_store_sector
+    from comparo.plans.measures import with_first_sector
     conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     before = {k: spark.conf.get(k) for k in conf}
     try:
         for k, v in conf.items():
             spark.conf.set(k, v)
-        for key, most in {"briefing_consolidated_matrix": 2, "comparison_union": 2, "briefing_family_contribution": 2,
-                          "briefing_four_levels": 4, "ytd_store": 2}.items():
-            plan = _plan(QUERIES[key](spark, sf_small))
-            scans = sum("FileScan" in x and "lineitem.parquet" in x for x in plan.splitlines())
-            assert 1 <= scans <= most, (key, scans)
+        assert _scans(with_first_sector(X.lines(spark, sf_small), packaging=X.PACKAGING)) == 1
+        assert all(_scans(f) == 0 for f in brief_store_sector(spark, sf_small))
+        assert _scans(brief_family(spark, sf_small)) == 1
+        for key, scans in {"briefing_consolidated_matrix": 0, "briefing_four_levels": 0, "briefing_family_contribution": 0,
+                           "comparison_union": 1, "ytd_store": 1, "history_growth_comparable": 1}.items():
+            assert _scans(QUERIES[key](spark, sf_small)) == scans, key
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_store_tickets_add_up_over_sectors(spark):
+    """A ticket with lines of several sectors counts once in the store, once in each sector."""
+    from comparo.plans.measures import STORE_KEYS, measures_of, with_first_sector
+    lines = spark.createDataFrame(
+        [(2001, 7, "f", 1, "s", sector, "fam", 1.0, 2.0, order) for sector, order in
+         [("a", 1), ("b", 1), ("a", 1), ("b", 2), (None, 3), ("a", 3), ("a", None), (None, 4)]]
+        + [(2001, 7, "f", 2, "t", "a", "fam", None, None, None)],
+        "year int, month int, format string, store_id long, store string, sector string, family string, "
+        "sales double, units double, order_key long")
+    rows = with_first_sector(lines)
+    of = lambda f, *keys: {tuple(r[k] for k in keys): float(r.value) for r in f.collect()}
+    store = of(measures_of(rows, STORE_KEYS, "_store_tickets"), "store_id", "measure")
+    assert store == {(1, "DEB"): 4.0, (1, "VCT"): 8.0, (1, "VOL"): 16.0, (2, "DEB"): 0.0}
+    sector = of(measures_of(rows, STORE_KEYS + ["sector"], "_tickets"), "store_id", "sector", "measure")
+    assert {k: v for k, v in sector.items() if k[2] == "DEB"} == {
+        (1, "a", "DEB"): 2.0, (1, "b", "DEB"): 2.0, (1, None, "DEB"): 2.0, (2, "a", "DEB"): 0.0}
+
+
+def test_one_ticket_number_holds_a_third_of_the_lines(spark):
+    """Lines of one ticket are summed before they are shuffled."""
+    from comparo.plans.measures import with_first_sector
+    n = 3000
+    lines = spark.range(n).selectExpr(
+        "2001 as year", "7 as month", "'f' as format", "1L as store_id", "'s' as store", "concat('x', id % 3) as sector",
+        "'fam' as family", "1.0D as sales", "1.0D as units", "if(id % 3 = 0, 1L, id) as order_key")
+    rows = with_first_sector(lines)
+    assert {(r.sector, int(r._tickets), int(r._store_tickets)) for r in rows.collect()} == {
+        ("x0", 1, 1), ("x1", n // 3, n // 3 - 1), ("x2", n // 3, n // 3)}
+    plan = _plan(rows)
+    assert "partial_sum" in plan
+
+
+def test_rollup_reads_the_smallest_table(spark):
+    from comparo.operators.lattice import Hubs
+    df = spark.createDataFrame([("f", "p", "s", k, m, "u", 1) for k in ("a", None) for m in ("x", "y")],
+                               "format string, province string, store string, sector string, family string, measure string, value long")
+    hubs = Hubs(df, [("format", "province", "store", "sector"), ("format", "province", "store")], always=("measure",))
+    assert hubs.covering(["family"]) is df
+    assert set(hubs.covering(["sector"]).columns) == {"format", "province", "store", "sector", "measure", "value"}
+    assert set(hubs.covering([]).columns) == {"format", "province", "store", "measure", "value"}
+    assert hubs.covering([]).first().value == 4 and hubs.covering(["sector"]).count() == 2
+    import pytest
+    with pytest.raises(ValueError):
+        hubs.covering(["other"])
+
+
+def test_row_numbers_follow_the_order_without_one_task(spark):
+    from comparo.operators.sorts import numbered
+    conf = {"spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(10_000).selectExpr("id * 7919 % 10007 as k").repartition(5).orderBy("k")
+        out = numbered(df)
+        rows = sorted((r.row_no, r.k) for r in out.collect())
+        assert [n for n, _ in rows] == list(range(1, 10_001)) and [k for _, k in rows] == sorted(k for _, k in rows)
+        assert "SinglePartition" not in _plan(out) and "Window" not in _plan(out)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert numbered(spark.range(0).orderBy("id")).count() == 0
+
+
+def test_no_single_task_in_ordered_reports(spark, sf_small):
+    for key in [k for k in QUERIES if k.startswith("order_")] + ["extended_hours_report"]:
+        assert "SinglePartition" not in _plan(QUERIES[key](spark, sf_small)), key
