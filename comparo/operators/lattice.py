@@ -20,7 +20,8 @@ from comparo.session import materialize
 
 
 class Hubs:
-    """The hubs of an input, finest first, and what to read for a grain."""
+    """The hubs of an input, finest first, and what to read for a grain. The input's rows and all hubs are written by
+    one job, to one table with a folder for each; where a hub is summed from another, both read the same shuffle."""
 
     def __init__(self, df: DataFrame, hubs, *, always=("year", "measure"), values=("value",), reuse: str = "table"):
         self.always, self.values = tuple(always), tuple(values)
@@ -28,7 +29,17 @@ class Hubs:
         for keys in hubs:
             rows = self.covering(keys).groupBy(*keys, *self.always).agg(*[F.sum(v).alias(v) for v in self.values])
             rows = rows.select(*keys, *self.always, *[F.col(v).cast(df.schema[v].dataType).alias(v) for v in self.values])
-            self.tables.append((frozenset(keys) | set(self.always), materialize(rows, reuse, name="hub")))
+            self.tables.append((frozenset(keys) | set(self.always), rows))
+        if reuse == "none":
+            return
+        tagged = [rows.withColumn("_hub", F.lit(k)) for k, (_, rows) in enumerate(self.tables)]
+        written = materialize(union_all(*tagged), reuse, name="hubs", **({"partition_by": ["_hub"]} if reuse == "table" else {}))
+        self.tables = [(own, written.filter(F.col("_hub") == k).select(*rows.columns))
+                       for k, (own, rows) in enumerate(self.tables)]
+
+    @property
+    def input(self) -> DataFrame:
+        return self.tables[0][1]
 
     def covering(self, keys) -> DataFrame:
         """The table with the fewest keys that has all of `keys`."""

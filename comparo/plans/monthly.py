@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from comparo.functions import labels as L
 from comparo.operators.pivots import pivot_years
 from comparo.plans.measures import LEAF_KEYS, comparable_cube
-from comparo.plans.reports import Spec, run_spec, run_specs_one_pass
+from comparo.plans.reports import Spec, report_hubs, run_spec, run_specs_one_pass
 from comparo.session import materialize
 
 P = tuple(L.PRODUCT_MEASURES)
@@ -66,12 +66,14 @@ def leaf_pivot(cube: DataFrame, years) -> DataFrame:
 def monthly_reports(measures: DataFrame, register: DataFrame, years, month: int, *,
                     one_pass: bool = True, reuse: str = "table", sort: bool = True) -> dict:
     """The twelve monthly tables. With ``one_pass`` every growth table comes
-    from one roll-up of the cube (``plans.reports``); the cube is materialised once
-    (``reuse``, see ``session.materialize``) because the leaf table reads it as well."""
-    cube = materialize(month_cube(measures, register, years, month), reuse)
+    from one roll-up of the cube (``plans.reports``), which is written by one job together with
+    the cube's own rows for the leaf table (``reuse``, see ``session.materialize``)."""
+    cube = month_cube(measures, register, years, month)
     if one_pass:
-        out = run_specs_one_pass(cube, SPECS, years, sort=sort, reuse=reuse)
+        lattice = report_hubs(cube, years, reuse=reuse)
+        cube, out = lattice.input, run_specs_one_pass(lattice, SPECS, years, sort=sort)
     else:
+        cube = materialize(cube, reuse)
         out = {s.name: run_spec(cube, s, years, sort=sort) for s in SPECS}
     out["leaf"] = leaf_pivot(cube, years)
     return out

@@ -56,20 +56,20 @@ HUBS = (("format", "province", "store", "sector"), ("format", "province", "store
         ("format", "province", "store", "family"), ("format", "province", "store"))
 
 
-def run_specs_one_pass(cube: DataFrame, specs, years, *, sort: bool = True,
-                       reuse: str = "table", hubs=HUBS) -> dict:
-    """All specs from one roll-up of the cube (``operators.lattice``).
-
-    The cube is read once for each product level; store tables and all coarser ones come from the
-    hub rows. Grains with ``require`` sum only rows whose leaf keys are all present.
-    """
+def report_hubs(cube: DataFrame, years, *, reuse: str = "table", hubs=HUBS) -> Hubs:
+    """The cube's rows of `years` and its hubs; `value_leaf` sums only rows whose leaf keys are all present."""
     leaf_ok = None
     for k in LEAF_KEYS:
         c = F.col(k).isNotNull()
         leaf_ok = c if leaf_ok is None else leaf_ok & c
     src = cube.filter(F.col("year").isin(*years)).withColumn(
         "value_leaf", F.when(leaf_ok, F.col("value")))
-    lattice = Hubs(src, hubs, values=("value", "value_leaf"), reuse=reuse)
+    return Hubs(src, hubs, values=("value", "value_leaf"), reuse=reuse)
+
+
+def run_specs_one_pass(lattice: Hubs, specs, years, *, sort: bool = True) -> dict:
+    """All specs from one roll-up of the cube (:func:`report_hubs`): store tables and all coarser ones read hub rows.
+    Grains with ``require`` sum only rows whose leaf keys are all present."""
     out = {}
     for s in specs:
         part = lattice.covering(s.dims)

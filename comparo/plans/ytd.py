@@ -16,7 +16,7 @@ from comparo.functions import labels as L
 from comparo.operators.aggregate import cube_sum
 from comparo.operators.filters import ytd
 from comparo.plans.measures import comparable_cube
-from comparo.plans.reports import Spec, run_spec, run_specs_one_pass
+from comparo.plans.reports import Spec, report_hubs, run_spec, run_specs_one_pass
 from comparo.session import materialize
 
 P = tuple(L.PRODUCT_MEASURES)
@@ -73,13 +73,12 @@ def leaf_detail(measures: DataFrame, register: DataFrame, years, month_limit: in
 def ytd_reports(measures: DataFrame, register: DataFrame, years, month_limit: int, *,
                 single_format: bool = False, one_pass: bool = True, reuse: str = "table",
                 sort: bool = True) -> dict:
-    cube = materialize(ytd_cube(measures, register, years, month_limit), reuse)
+    cube = ytd_cube(measures, register, years, month_limit)
     specs = list(SPECS)
     if single_format:
         specs = [SINGLE_FORMAT_SPEC] + [s for s in specs
                                         if s.name not in ("total", "format", "province_format")]
     if one_pass:
-        out = run_specs_one_pass(cube, specs, years, sort=sort, reuse=reuse)
-    else:
-        out = {s.name: run_spec(cube, s, years, sort=sort) for s in specs}
-    return out
+        return run_specs_one_pass(report_hubs(cube, years, reuse=reuse), specs, years, sort=sort)
+    cube = materialize(cube, reuse)
+    return {s.name: run_spec(cube, s, years, sort=sort) for s in specs}

@@ -66,18 +66,18 @@ def freed_shuffles(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, how: str = "table", name: str = "table") -> DataFrame:
+def materialize(df: DataFrame, how: str = "table", name: str = "table", partition_by=()) -> DataFrame:
     """Cut lineage of a DataFrame that several reports reuse.
 
     ``table`` writes Parquet to the shared folder and reads it back: a lost executor loses
     nothing, no executor memory is held, and the planner knows its size. :func:`discard` deletes
-    it. ``checkpoint`` writes rows to the checkpoint folder; ``cache`` keeps them in executor
+    it; ``partition_by`` gives it a folder per value. ``checkpoint`` writes rows to the checkpoint folder; ``cache`` keeps them in executor
     memory until the caller unpersists the result; ``none`` returns the plan as it is.
     """
     if how == "table":
         path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         with freed_shuffles(df.sparkSession):
-            df.write.parquet(path)
+            (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
     if how == "checkpoint":
         checkpoint_dir(df.sparkSession)

@@ -279,7 +279,7 @@ def test_rollup_reads_the_smallest_table(spark):
     df = spark.createDataFrame([("f", "p", "s", k, m, "u", 1) for k in ("a", None) for m in ("x", "y")],
                                "format string, province string, store string, sector string, family string, measure string, value long")
     hubs = Hubs(df, [("format", "province", "store", "sector"), ("format", "province", "store")], always=("measure",))
-    assert hubs.covering(["family"]) is df
+    assert set(hubs.covering(["family"]).columns) == set(df.columns) and hubs.input.count() == 4
     assert set(hubs.covering(["sector"]).columns) == {"format", "province", "store", "sector", "measure", "value"}
     assert set(hubs.covering([]).columns) == {"format", "province", "store", "measure", "value"}
     assert hubs.covering([]).first().value == 4 and hubs.covering(["sector"]).count() == 2
