@@ -356,12 +356,13 @@ ORACLE["history_growth_comparable"] = _history_sql(True)
 ORACLE["history_growth_all"] = _history_sql(False)
 
 # -- Sunday extended hours -----------------------------------------------------------
-_N = X.N_SLOT_STORES
+_N = "(SELECT count(*) FROM supplier)"
+_DAY = f"CAST(CAST(ts AS DATE) + CAST(event_id % {X.SLOT_WEEKS} * 7 AS INTEGER) AS DATE)"
 _SLOTS = f"""slots AS (
   SELECT user_id % {_N} AS store_id,
          CAST(user_id % {_N} AS VARCHAR) || ' Supplier#' || lpad(CAST(user_id % {_N} AS VARCHAR), 9, '0')
            AS store_label,
-         CAST(ts AS DATE) AS date, CAST(((hour(ts) * 60 + minute(ts)) // 30) * 30 AS INTEGER) AS slot_start,
+         {_DAY} AS date, CAST(((hour(ts) * 60 + minute(ts)) // 30) * 30 AS INTEGER) AS slot_start,
          sum(CAST(value AS DECIMAL(12,2))) AS vct
   FROM events WHERE event_type = 'purchase' GROUP BY ALL)"""
 _SPM = """spm AS (SELECT lower(monthname(date)) AS month, count(DISTINCT date) AS cantidad_domingos
@@ -408,7 +409,7 @@ _EXT = """ext AS (SELECT s.store_id AS no, lower(monthname(s.date)) AS month,
   WHERE dayofweek(s.date) = 0 AND o.open_min IS NOT NULL
     AND (s.slot_start < o.open_min OR s.slot_start >= o.close_min)
   GROUP BY 1, 2)"""
-_MARGIN = f"""mg0 AS (SELECT strftime(ts, '%Y%m') AS Periodo, user_id % {_N} AS Tienda,
+_MARGIN = f"""mg0 AS (SELECT strftime({_DAY}, '%Y%m') AS Periodo, user_id % {_N} AS Tienda,
   CAST(sum(CAST(value AS DECIMAL(12,2))) AS DOUBLE) AS sales,
   CAST(sum(CAST(value AS DECIMAL(12,2))) FILTER (WHERE event_type = 'purchase') AS DOUBLE) AS margin
   FROM events GROUP BY 1, 2),

@@ -1,21 +1,21 @@
 """Phrase collocations by relational mining of occurrence relations (SETM), level by level.
 
-Level 1 is the relation of all word occurrences: (block, lang, slot, group), sorted by slot, where the slot of a
-word is its place in a block of texts and pieces are an empty slot apart, so piece and position are one number; its
-groups are the distinct words. A level has three steps:
+Level 1 is the relation of all word occurrences, sorted by slot: the slot of a word is its place in a block of
+texts, pieces are an empty slot apart, so piece and position are one number. Its groups are the distinct words. A
+level has three steps:
 
-* group-count: the groups of all blocks, (block, group, occurrences) rows, are summed by Spark over their keys;
-* semi-join: groups that are frequent in their language come back to the blocks that hold them, the others'
-  occurrences go;
+* group-count: the groups of all blocks, (row, group, id, n) rows, are summed by Spark by id;
+* semi-join: groups that are frequent in their language come back, as rows, to the blocks that hold them, the
+  others' occurrences go;
 * merge-join: what is left is joined with itself at the adjacent slot of the same piece, which gives the
   next level's occurrences; their groups are pairs of frequent phrases that share all but the outer words.
 
-Each level's relation is written, sorted, to the shared folder, one row a block and language, its columns arrays;
-the merge-join runs inside a block, the counts and the semi-join are Spark's. A block is about ``BLOCK_BYTES`` of text, so a row
-stays small; a phrase comes once a block into a count, summed again before the shuffle.
+Each level's relation is written, sorted, to the shared folder, one row a block and language, its columns packed; the
+merge-join runs inside a block, the counts and the semi-join are Spark's. A block is about ``BLOCK_BYTES``
+of text, so a row stays small; a phrase comes once a block into a count, summed again before the shuffle.
 
 Scores come from the counts of the frequent phrases alone, as every part of a frequent phrase is frequent.
-Phrases are held by 64-bit hash until they are named.
+Words and phrases of a language have 64-bit hashes as ids until the frequent ones are named.
 
 Defined results: a null text is empty; a null language is `und`, which is the same as a language of that name; a text
 of many blocks' size makes one large block; repeated rows count as often as they come; ties in the report
@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,6 +45,7 @@ TOP = 2000
 SCALE = 1_000_000
 NO_LANG = "und"
 BLOCK_BYTES = 16 << 20  # text of a block, all languages together
+BATCH = 1 << 16         # rows of a batch that go to Spark at once
 SALTS = 64
 
 #: Bytes that end a piece, and bytes of words `[^\x20\x09]+` within it.
@@ -68,6 +70,29 @@ def occurrences(data: np.ndarray, bounds: np.ndarray) -> tuple[W.Words, np.ndarr
     return words, np.arange(len(piece)) + parts
 
 
+def packed(values: np.ndarray | bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(values if isinstance(values, bytes) else values.tobytes())
+
+
+def unpacked(raw: pa.BinaryScalar, kind=None):
+    out = zstandard.ZstdDecompressor().decompress(raw.as_buffer())
+    return out if kind is None else np.frombuffer(out, kind)
+
+
+def word_ids(words: list[bytes], lang: str) -> np.ndarray:
+    """64-bit ids of the distinct words of a language."""
+    def hashes(parts: list[bytes]) -> np.ndarray:
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        ends = np.cumsum([len(p) for p in parts], dtype=np.int64)
+        starts = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+        return W.Words(data, ends, starts, ends, ends).hashes()
+    return W.mix(hashes(words) + W.mix(hashes([lang.encode() + b"."])))
+
+
+def pair_ids(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return W.mix(W.mix(left.copy()) * np.uint64(3) + right)
+
+
 class Gathered:
     """Word occurrences of one language, chunk after chunk."""
 
@@ -87,24 +112,34 @@ class Gathered:
         self.next = int(self.slots[-1][-1]) + 2
 
 
-def _list(values: np.ndarray | pa.Array) -> pa.ListArray:
-    values = values if isinstance(values, pa.Array) else pa.array(values)
-    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+#: A level's relation: counts of the groups; slot steps and groups of the occurrences, sorted. What groups are: on level 1
+#: words, with their ids; later `left` and `right`, places among the frequent groups of the level before, which are
+#: told in `told_ids` and, for their names, `told_words` or `told_left` and `told_right` (ids).
+_RELATION = ["row long", "lang string", "size long", "counts binary", "steps binary", "groups binary", "ids binary",
+             "words binary", "left binary", "right binary", "told_ids binary", "told_words binary", "told_left binary",
+             "told_right binary"]
+_NAMES = [c.split()[0] for c in _RELATION]
+
+
+def _row(row: int, lang: str, size: int, **columns) -> pa.RecordBatch:
+    kind = {"row": pa.int64(), "lang": pa.string(), "size": pa.int64()}
+    values = {"row": row, "lang": lang, "size": size} | {c: packed(v) for c, v in columns.items() if v is not None}
+    return pa.RecordBatch.from_arrays([pa.array([values.get(c)], kind.get(c, pa.binary())) for c in _NAMES], names=_NAMES)
 
 
 def word_occurrences(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """(block, lang, words, counts, slot, groups): the relation of level 1."""
+    """The relation of level 1; `size` is its number of occurrences."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, held, size = TaskContext.get().partitionId() << 32, {}, 0
+        row, held, size = TaskContext.get().partitionId() << 32, {}, 0
 
         def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal row
             for lang, own in held.items():
-                groups = np.concatenate(own.groups)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([number], pa.int64()), pa.array([lang], pa.string()),
-                     _list(pa.array([w.decode() for w in own.words], pa.string())),
-                     _list(np.bincount(groups, minlength=len(own.words))), _list(np.concatenate(own.slots)), _list(groups)],
-                    names=["block", "lang", "words", "counts", "slot", "groups"])
+                groups, slots, words = np.concatenate(own.groups), np.concatenate(own.slots), list(own.words)
+                yield _row(row, lang, len(groups), ids=word_ids(words, lang), words=b"\n".join(words),
+                           counts=np.bincount(groups, minlength=len(words)).astype(np.int32),
+                           steps=np.diff(slots, prepend=np.int32(0)), groups=groups)
+                row += 1
 
         for batch in batches:
             for i, j, data, bounds in chunks_of(batch.column("text")):
@@ -122,80 +157,125 @@ def word_occurrences(docs: DataFrame, block_bytes: int) -> DataFrame:
                 size += len(data)
                 if size >= block_bytes:
                     yield from closed()
-                    number, held, size = number + 1, {}, 0
+                    held, size = {}, 0
         yield from closed()
 
-    return docs.mapInArrow(run, "block long, lang string, words array<string>, counts array<long>, slot array<int>, groups array<int>")
+    return docs.mapInArrow(run, ", ".join(_RELATION))
+
 
+def _of(table, column: str, kind=None, at: int = 0):
+    """A packed value of a row; None if the level has none."""
+    value = table.column(column)[at]
+    return unpacked(value, kind) if value.is_valid else None
 
-def extended(relation: DataFrame) -> DataFrame:
-    """The next level's relation (block, lang, left, right, counts, slot, groups) of `relation` (block, lang, slot, groups,
-    ids: (group, id) of the frequent groups): left and right are the ids of the two phrases that a group joins."""
+
+def _ids(table, at: int = 0) -> np.ndarray:
+    """The ids of a row's groups."""
+    own = _of(table, "ids", np.uint64, at)
+    if own is not None:
+        return own
+    told = _of(table, "told_ids", np.uint64, at)
+    return pair_ids(told[_of(table, "left", np.int32, at)], told[_of(table, "right", np.int32, at)])
+
+
+def groups_of(relation: DataFrame) -> DataFrame:
+    """(row, group, id, n) of every group of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(len(batch)):
-                own = lambda c: batch.column(c)[r].values  # noqa: E731, B023
-                slots, groups = own("slot").to_numpy(), own("groups").to_numpy()
-                frequent, ids = (own("ids").field(k).to_numpy() for k in (0, 1))
-                dense = np.full(int(groups.max()) + 1, -1, np.int64)
-                dense[frequent] = np.arange(len(frequent))
-                kept = dense[groups] >= 0
-                slots, groups = slots[kept], dense[groups[kept]]
-                at = adjacent(slots)
-                if len(at):
-                    keys, joined, counts = np.unique(groups[at] * len(ids) + groups[at + 1], return_inverse=True, return_counts=True)
+            for at, row in enumerate(batch.column("row").to_pylist()):
+                ids, counts = _ids(batch, at).view(np.int64), _of(batch, "counts", np.int32, at)
+                for i in range(0, len(ids), BATCH):
+                    n = len(ids[i:i + BATCH])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("block")[r:r + 1], batch.column("lang")[r:r + 1], _list(ids[keys // len(ids)]),
-                         _list(ids[keys % len(ids)]), _list(counts), _list(slots[at]), _list(joined.astype(np.int32))],
-                        names=["block", "lang", "left", "right", "counts", "slot", "groups"])
-
-    return relation.mapInArrow(run, "block long, lang string, left array<long>, right array<long>, counts array<long>, "
-                                    "slot array<int>, groups array<int>")
+                        [pa.array(np.full(n, row)), pa.array(np.arange(i, i + n, dtype=np.int32)),
+                         pa.array(ids[i:i + n]), pa.array(counts[i:i + n])], names=["row", "group", "id", "n"])
+
+    return relation.select("row", "ids", "told_ids", "left", "right", "counts").mapInArrow(
+        run, "row long, group int, id long, n int")
+
+
+def extended(relation: DataFrame, frequent: DataFrame, last: bool = False) -> DataFrame:
+    """The next level's relation, from the occurrences of the `frequent` groups (row, group) of `relation`; after the
+    last level, no occurrences but the frequent groups alone."""
+    def run(own: pa.Table, groups: pa.Table) -> pa.Table:
+        if not own.num_rows or not groups.num_rows:
+            return pa.Table.from_batches([], schema=_row(0, "", 0).schema)
+        kept = np.sort(groups.column("group").to_numpy())
+        ids, all_groups, words = _ids(own), _of(own, "groups", np.int32), _of(own, "words")
+        told = {"told_ids": ids[kept]}
+        if words is not None:
+            words = words.split(b"\n")
+            told["told_words"] = b"\n".join([words[k] for k in kept])
+        else:
+            before = _of(own, "told_ids", np.uint64)
+            told |= {f"told_{side}": before[_of(own, side, np.int32)[kept]] for side in ("left", "right")}
+        dense = np.full(len(ids), -1, np.int64)
+        dense[kept] = np.arange(len(kept))
+        inside = dense[all_groups] >= 0
+        slots, at_groups = np.cumsum(_of(own, "steps", np.int32))[inside], dense[all_groups[inside]]
+        at = adjacent(slots[:0] if last else slots)
+        keys, joined, counts = np.unique(at_groups[at] * len(kept) + at_groups[at + 1], return_inverse=True, return_counts=True)
+        return pa.Table.from_batches([_row(
+            own.column("row")[0].as_py(), own.column("lang")[0].as_py(), len(at), counts=counts.astype(np.int32),
+            steps=np.diff(slots[at], prepend=0).astype(np.int32), groups=joined.astype(np.int32),
+            left=(keys // len(kept)).astype(np.int32), right=(keys % len(kept)).astype(np.int32), **told)])
+
+    mine = relation.select("row", "lang", "steps", "groups", "ids", "words", "told_ids", "left", "right")
+    return mine.groupBy("row").cogroup(frequent.groupBy("row")).applyInArrow(run, ", ".join(_RELATION))
+
+
+def told_words(relation: DataFrame) -> DataFrame:
+    """(id, lang, word) of the frequent words, from the relation of level 2."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lang, ids, words in zip(*batch.columns):
+                ids, words = unpacked(ids, np.int64), unpacked(words).split(b"\n")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), pa.array([lang.as_py()] * len(ids)), pa.array([w.decode() for w in words], pa.string())],
+                    names=["id", "lang", "word"])
 
+    return relation.select("lang", "told_ids", "told_words").mapInArrow(run, "id long, lang string, word string").distinct()
 
-# ---- levels ----
 
-def _grouped(relation: DataFrame, keys: list[str], arrays: list[str]) -> DataFrame:
-    """(block, lang, group, *keys, n) of every group of every block."""
-    zipped = F.posexplode(F.arrays_zip(*arrays, "counts")).alias("group", "x")
-    return relation.select("block", "lang", zipped).select(
-        "block", "lang", "group", *[F.col(f"x.{a}").alias(k) for a, k in zip(arrays, keys)], F.col("x.counts").alias("n"))
+def told_pairs(relation: DataFrame) -> DataFrame:
+    """(id, left, right) of the frequent phrases, from the relation of the level after theirs."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns in zip(*batch.columns):
+                yield pa.RecordBatch.from_arrays([pa.array(unpacked(c, np.int64)) for c in columns], names=["id", "left", "right"])
 
+    return relation.select("told_ids", "told_left", "told_right").mapInArrow(run, "id long, left long, right long").distinct()
 
-def _returned(relation: DataFrame, rows: DataFrame, frequent: DataFrame, keys: list[str]) -> DataFrame:
-    """`relation` with `ids`, the (group, id) of its frequent groups; blocks without any go."""
-    ids = rows.select("block", "lang", "group", *keys).join(frequent.select(*keys, "id"), keys).groupBy("block", "lang").agg(
-        F.collect_list(F.struct("group", "id")).alias("ids"))
-    return relation.select("block", "lang", "slot", "groups").join(ids, ["block", "lang"])
 
+# ---- levels ----
 
 def frequent_phrases(docs: DataFrame, *, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT,
                      block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, a) of the phrases of up to `max_words` words that come `min_count` times, (lang, n) word counts)."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string"))
-    relation = materialize(word_occurrences(docs, block_bytes), "level-1")
-    sizes = relation.select("lang", F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy(
-        "lang").agg(F.sum("n").alias("n"))
-    sizes = materialize(sizes, "words")
-    rows = _grouped(relation, ["word"], ["words"])
-    level = materialize(rows.groupBy("lang", "word").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count).select(
-        "lang", "word", "a", F.xxhash64("lang", "word").alias("id"), F.col("word").alias("phrase")), "frequent")
-    keys, levels = ["lang", "word"], [level]
-    for _ in range(1, max_words):
-        before, relation = relation, materialize(extended(_returned(relation, rows, level, keys)), "level")
+    relation = materialize(word_occurrences(docs, block_bytes), "level-1", "uncompressed")
+    sizes = materialize(relation.groupBy("lang").agg(F.sum("size").alias("n")), "words")
+    level, levels = None, []
+    for k in range(1, max_words + 1):
+        counts = materialize(groups_of(relation).groupBy("id").agg(F.sum("n").alias("a")).where(
+            F.col("a") >= min_count), "counts")
+        frequent = groups_of(relation).select("row", "group", "id").join(counts.select("id"), "id").select("row", "group")
+        before, relation = relation, materialize(
+            extended(relation, frequent, k == max_words), "level", "uncompressed")
         drop(before.sparkSession, before)
-        rows = _grouped(relation, ["left", "right"], ["left", "right"])
-        keys = ["left", "right"]
-        counts = rows.groupBy(*keys).agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
-        first = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"))
-        last = level.select(F.col("id").alias("right"), F.substring_index("phrase", " ", -1).alias("word"))
-        level = materialize(counts.join(first, "left").join(last, "right").select(
-            "lang", *keys, "a", F.xxhash64(*keys).alias("id"), F.concat_ws(" ", "head", "word").alias("phrase")), "frequent")
-        levels.append(level)
+        if k == 1:
+            named = told_words(relation).withColumn("phrase", F.col("word"))
+        else:
+            heads = level.select(F.col("id").alias("left"), "lang", F.col("phrase").alias("head"))
+            last = level.select(F.col("id").alias("right"), "word")
+            named = told_pairs(relation).join(heads, "left").join(last, "right").withColumn(
+                "phrase", F.concat_ws(" ", "head", "word"))
+        level = materialize(named.join(counts, "id").select("id", "lang", "word", "phrase", "a"), "frequent")
+        levels.append(level.select("lang", "phrase", F.lit(k).alias("words"), "a"))
     drop(relation.sparkSession, relation)
-    out = levels[0].select("lang", "phrase", F.lit(1).alias("words"), "a")
-    for k, level in enumerate(levels[1:], 2):
-        out = out.unionByName(level.select("lang", "phrase", F.lit(k).alias("words"), "a"))
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
     return out, sizes
 
 

@@ -48,9 +48,12 @@ def pivot_years(df: DataFrame, dims, years, value: str = "value", year: str = "y
 def unpivot(df: DataFrame, ids, values, var: str, value: str,
             drop_nulls: bool = False) -> DataFrame:
     """Wide -> long (UNP-1..4). ``unpivot`` keeps NULL cells; ``drop_nulls``
-    removes them."""
-    out = df.unpivot(list(ids), list(values), var, value)
-    return out.filter(F.col(value).isNotNull()) if drop_nulls else out
+    removes them: a row's cells are filtered before they become rows, so a sheet of a thousand mostly
+    empty columns is not copied a thousand times."""
+    if not drop_nulls:
+        return df.unpivot(list(ids), list(values), var, value)
+    cells = F.array(*[F.struct(F.lit(v).alias(var), F.col(f"`{v}`").alias(value)) for v in values])
+    return df.select(*[F.col(f"`{i}`") for i in ids], F.inline(F.filter(cells, lambda c: c[value].isNotNull())))
 
 
 def stack_measures(df: DataFrame, keys, measures: dict) -> DataFrame:

@@ -23,6 +23,7 @@ from comparo.operators.columns import rename_month_headers
 from comparo.operators.filters import drop_null_columns, drop_totals, on_weekday, outside_hours
 from comparo.operators.joins import attach, distinct_pairs
 from comparo.operators.pivots import pivot_values, unpivot
+from comparo.session import materialize
 
 # FIXED VALUES: id columns and metrics of the report, in its order.
 IDS = ["no", "nombre", "localidad", "zona", "gerente regional", "domingos", "horario_anterior"]
@@ -64,6 +65,11 @@ def sundays(slots: DataFrame) -> DataFrame:
     return on_weekday(slots, "date", "Sunday")
 
 
+def sunday_slots(wide: DataFrame) -> DataFrame:
+    """The Sunday slots of the wide report, unpivoted once and written: counts, sales and the last month read them."""
+    return materialize(sundays(slot_sales(wide)), name="sundays")
+
+
 def sundays_per_month(sunday_slots: DataFrame) -> DataFrame:
     """Distinct Sundays per month (AGG-3)."""
     return count_distinct_by(sunday_slots, "date", "month", out="cantidad_domingos")
@@ -145,11 +151,12 @@ def outside_hours_sales(sunday_slots: DataFrame, opening_df: DataFrame) -> DataF
 
 def operating_result(wide_slots: DataFrame, staff_wide: DataFrame, hours_wide: DataFrame,
                      margin_export: DataFrame, *, vat_rate: str = L.VAT_RATE,
-                     variable_rate: str = L.VARIABLE_COST_RATE) -> DataFrame:
-    """Per (store, month): the 15 metrics, rounded (MET-2/3/6)."""
-    slots = sundays(slot_sales(wide_slots))
+                     variable_rate: str = L.VARIABLE_COST_RATE, slots: DataFrame | None = None) -> DataFrame:
+    """Per (store, month): the 15 metrics, rounded (MET-2/3/6). ``slots``: the Sunday slots, if
+    the caller has them (:func:`sunday_slots`)."""
+    slots = sunday_slots(wide_slots) if slots is None else slots
     n_sun = sundays_per_month(slots)
-    hours_long = monthly_long(hours_wide, "horas")
+    hours_long = materialize(monthly_long(hours_wide, "horas"), name="hours")     # read for hours, baseline and openings
     h = hours_metrics(hours_long, n_sun)
     ext = outside_hours_sales(slots, opening(hours_long)).withColumnRenamed("month", "mes")
     h = attach(h, ext, on=["no", "mes"]).withColumn("vct", F.coalesce("vct", F.lit(0.0)))
@@ -205,6 +212,7 @@ def extended_hours(wide_slots: DataFrame, staff_wide: DataFrame, hours_wide_shee
                    margin_export: DataFrame, months=REPORT_MONTHS) -> DataFrame:
     """The whole report (RPT-10): one row per store, 15 metrics x month,
     ordered by the ROC of the last month with sales, Spanish headers."""
-    result = operating_result(wide_slots, staff_wide, hours_wide_sheet, margin_export)
-    last = last_sales_month(sundays(slot_sales(wide_slots)), months)
+    slots = sunday_slots(wide_slots)
+    result = operating_result(wide_slots, staff_wide, hours_wide_sheet, margin_export, slots=slots)
+    last = last_sales_month(slots, months)
     return presented(order_by_last_month(hours_wide(result, months), last), months)

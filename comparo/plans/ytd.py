@@ -59,14 +59,21 @@ def ytd_report(measures: DataFrame, register: DataFrame, name: str, years, month
     return run_spec(cube, spec, years, sort=sort)
 
 
+def first_format(cube: DataFrame) -> str | None:
+    """The format of the cube's first row by year, month and store (one row to the driver)."""
+    return cube.agg(F.min_by("format", F.struct("year", "month", "store_id", "format"))).first()[0]
+
+
 def leaf_detail(measures: DataFrame, register: DataFrame, years, month_limit: int,
                 *, skip_format: str | None = None) -> DataFrame:
-    """Long table at the leaf grain (AGG-6). ``skip_format`` reproduces the
-    rule that the table is not produced for a given format."""
+    """Long table at the leaf grain (AGG-6). With ``skip_format`` the table is not produced, for any
+    row, when the first format of the input is that one, as single-format report sets leave it out."""
     cube = ytd_cube(measures, register, years, month_limit)
-    cube = cube.filter(F.col("measure").isin(*L.PRODUCT_MEASURES))
     if skip_format is not None:
-        cube = cube.filter(F.upper("format") != F.lit(skip_format.upper()))
+        found = first_format(cube)
+        if found is not None and found.upper() == skip_format.upper():
+            cube = cube.limit(0)
+    cube = cube.filter(F.col("measure").isin(*L.PRODUCT_MEASURES))
     return cube_sum(cube, LEAF_DETAIL_KEYS).withColumn("value", F.col("value").cast("double"))
 
 

@@ -41,9 +41,9 @@ ORGS = ["Hipermercado", "Maxi", "Market", "Express"]
 # Proxy packaging families (exact list) and substring.
 PACKAGING = ["HOT RING", "COLD RING"]
 PACKAGING_TOKEN = "RING"
-# Half-hour sales: stores are user_id % N_SLOT_STORES.
-N_SLOT_STORES = 16
-SLOT_YEAR, SLOT_MONTH = 2024, 1
+# Half-hour sales: the events' days are moved on by whole weeks (event_id % SLOT_WEEKS of them), so that
+# they spread over the year and keep their weekday; the store is user_id % (number of stores).
+SLOT_WEEKS = 48
 
 
 #: Per session, the schemas of driver tables by path and state, so that plans need no footer job.
@@ -194,14 +194,27 @@ BRIEF_PAIRS = ((1999, 2000), (2000, 2001))
 ROLLING_FROM = "2000-08-01"
 PERIOD_OLD, PERIOD_NEW = "periodo viejo", "periodo nuevo"
 
-# Extended hours: stores of the half-hour report are user_id % N_SLOT_STORES;
+# Extended hours: the half-hour report has a column for every store of the supplier table;
 # staff cost / authorised hours / opening hours per supplier; 2024 months.
 HOURS_YEAR = 2024
 HOURS_IDS = ["no", "nombre", "localidad", "zona", "gerente regional", "domingos", "horario_anterior"]
 
 
-def slot_store_label(key: Column) -> Column:
-    return store_label(key, sep=" ")
+def slot_store_name(key: int) -> str:
+    return f"{key} Supplier#{key:09d}"
+
+
+def store_keys(spark: SparkSession, d: str) -> list[int]:
+    """The stores of the chain: the header of its half-hour report."""
+    return sorted(r[0] for r in table(spark, d, "supplier").select("s_suppkey").collect())
+
+
+def _slot_events(spark: SparkSession, d: str, n_stores: int) -> DataFrame:
+    return table(spark, d, "events").select(
+        F.date_add(F.to_date("ts"), (F.col("event_id") % SLOT_WEEKS * 7).cast("int")).alias("date"),
+        ((F.hour("ts") * 60 + F.minute("ts")) / 30).cast("int").alias("slot"),
+        (F.col("user_id") % n_stores).alias("store"), "event_type",
+        F.col("value").cast("decimal(12,2)").alias("v"))
 
 
 def slot_sales_wide(spark: SparkSession, d: str) -> DataFrame:
@@ -209,16 +222,16 @@ def slot_sales_wide(spark: SparkSession, d: str) -> DataFrame:
     slot_text ('Desde 07:30 Hasta 08:00') and one locale-text column per store;
     one 'Total' row per day."""
     from comparo.functions.text import format_locale_decimal
-    from comparo.operators.pivots import pivot_values
 
-    ev = table(spark, d, "events").filter(F.col("event_type") == "purchase")
-    ev = ev.select(F.to_date("ts").alias("date"),
-                   ((F.hour("ts") * 60 + F.minute("ts")) / 30).cast("int").alias("slot"),
-                   (F.col("user_id") % N_SLOT_STORES).alias("store"),
-                   F.col("value").cast("decimal(12,2)").alias("v"))
+    stores = store_keys(spark, d)
+    ev = _slot_events(spark, d, len(stores)).filter(F.col("event_type") == "purchase")
     agg = ev.groupBy("date", "slot", "store").agg(F.sum("v").alias("v"))
-    names = [f"{i} Supplier#{i:09d}" for i in range(N_SLOT_STORES)]
-    wide = pivot_values(agg, ["date", "slot"], "store", list(range(N_SLOT_STORES)), "v", names=names)
+    names = [slot_store_name(i) for i in stores]
+    # a row's cells as a map first: a chain has more stores than one conditional sum each could carry
+    cells = agg.filter(F.col("v").isNotNull()).groupBy("date", "slot").agg(
+        F.map_from_entries(F.collect_list(F.struct("store", "v"))).alias("_cells"))
+    wide = agg.select("date", "slot").distinct().join(cells, ["date", "slot"], "left").select(
+        "date", "slot", *[F.try_element_at("_cells", F.lit(i)).alias(n) for i, n in zip(stores, names)])
     totals = agg.groupBy("date").agg(F.sum("v").alias("total"))
 
     def hhmm(minutes):
@@ -277,12 +290,9 @@ def authorised_hours_wide(spark: SparkSession, d: str) -> DataFrame:
 
 def margin_long(spark: SparkSession, d: str) -> DataFrame:
     """Margin export: Periodo 'YYYYMM', Tienda, heading, amount with decimal comma."""
-    ev = table(spark, d, "events")
-    g = ev.groupBy(F.date_format("ts", "yyyyMM").alias("Periodo"),
-                   (F.col("user_id") % N_SLOT_STORES).alias("Tienda")).agg(
-        F.sum(F.col("value").cast("decimal(12,2)")).alias("sales"),
-        F.sum(F.when(F.col("event_type") == "purchase", F.col("value").cast("decimal(12,2)")))
-        .alias("margin"))
+    ev = _slot_events(spark, d, len(store_keys(spark, d)))
+    g = ev.groupBy(F.date_format("date", "yyyyMM").alias("Periodo"), F.col("store").alias("Tienda")).agg(
+        F.sum("v").alias("sales"), F.sum(F.when(F.col("event_type") == "purchase", F.col("v"))).alias("margin"))
     rows = g.select("Periodo", F.col("Tienda").cast("string").alias("Tienda"),
                     F.inline(F.array(
                         F.struct(F.lit("VENTA SIN TASA").alias("rubro"),

@@ -120,11 +120,35 @@ def test_ytd_limit_total_switch(spark, sf_small):
     assert any(whole[k] > limited[k] for k in limited)        # Aug 2001 exists in the data
 
 
-def test_leaf_detail_skip_format(spark, sf_small):
+def test_leaf_detail_is_left_out_by_the_first_format(spark, sf_small):
+    """One mixed input, both branches: the first format of the input decides for the whole table."""
     m, reg = measures(spark, sf_small), X.register(spark, sf_small)
-    out = ytd.leaf_detail(m, reg, YEARS, MONTH, skip_format="proximidad")
-    assert out.filter(F.upper("format") == "PROXIMIDAD").count() == 0
-    assert out.count() > 0
+    cube = ytd.ytd_cube(m, reg, YEARS, MONTH)
+    first = ytd.first_format(cube)
+    rows = sorted((r.year, r.month, r.store_id, r.format) for r in cube.select("year", "month", "store_id", "format").collect())
+    assert first == rows[0][3] and len({r[3] for r in rows}) > 1
+    other = next(f for f in X.FORMATS if f != first)
+    whole = ytd.leaf_detail(m, reg, YEARS, MONTH)
+    assert ytd.leaf_detail(m, reg, YEARS, MONTH, skip_format=first.lower()).count() == 0
+    assert ytd.leaf_detail(m, reg, YEARS, MONTH, skip_format=other).count() == whole.count() > 0
+    assert ytd.first_format(cube.limit(0)) is None
+
+
+def test_extended_hours_have_sales_all_year(spark, sf_small):
+    """Sales in several months of the report, and an order that is not the order of the store ids."""
+    from comparo.plans.hours import REPORT_MONTHS
+    wide = QUERIES["hours_wide"](spark, "/root/testdata/sf0.01").toPandas()
+    rocs = [m for m in REPORT_MONTHS if wide[f"roc_{m}"].dropna().nunique() > 1]
+    sold = [m for m in REPORT_MONTHS if (wide[f"vct_{m}"].fillna(0) > 0).any()]
+    assert len(rocs) >= 6 and len(sold) >= 6
+    report = QUERIES["extended_hours_report"](spark, "/root/testdata/sf0.01").toPandas().sort_values("row_no")
+    assert list(report["No"]) != sorted(report["No"]) and report["Roc Diciembre"].is_monotonic_increasing
+    assert len(X.slot_sales_wide(spark, sf_small).columns) == 3 + X.table(spark, sf_small, "supplier").count()
+
+
+def test_events_are_read_once_for_the_operating_result(spark, sf_small):
+    plan = _plan(QUERIES["operating_result"](spark, sf_small))
+    assert sum("FileScan" in x and "events.parquet" in x for x in plan.splitlines()) == 1      # the margins; the slots are written
 
 
 def test_unknown_month_raises():
