@@ -652,7 +652,7 @@ def q_csv_utf16_roundtrip(spark, d):
     from comparo.sources.writers import write_locale_csv
     rep = QUERIES["ytd_format"](spark, d)
     path = write_locale_csv(rep, _scratch(spark, "csv"), title="Acumulado por formato")
-    back = read_report_csv(spark, path, rep.columns)
+    back = read_report_csv(spark, path, rep.columns, parts=True)
     return back.select("format", "measure",
                        *[parse_locale_decimal(c, dtype="double").alias(c)
                          for c in ("base", "current", "growth")])
@@ -706,15 +706,16 @@ for _k in ("yoy_store", "yoy_family", "yoy_store_family", "comparison_union",
 def q_report_file_ingest(spark, d):
     """UTF-16 report files (title line with a comma, empty cells) back into the long fact."""
     from comparo.plans.ingest import SALES_REPORT, TICKETS_REPORT, lines_from_report, tickets_from_report
-    from comparo.sources.readers import land, read_report_csv
+    from comparo.sources.readers import land, read_any, read_report_csv
     from comparo.sources.writers import write_locale_csv
     paths = [write_locale_csv(rep.select(*[F.col(f"`{c}`") for c in cols]), _scratch(spark, name), title=f"Informe, {name}")
              for rep, cols, name in ((X.sales_report_text(spark, d), SALES_REPORT, "ventas"),
                                      (X.tickets_report_text(spark, d), TICKETS_REPORT, "tickets"))]
-    sales = land(read_report_csv(spark, paths[0], SALES_REPORT).toDF(
+    sales = land(read_report_csv(spark, paths[0], SALES_REPORT, parts=True).toDF(
         *[c.replace(" ", "_") for c in SALES_REPORT]), _scratch(spark, "landed"))
     lines = lines_from_report(sales.toDF(*SALES_REPORT))
-    tickets = tickets_from_report(read_report_csv(spark, paths[1], TICKETS_REPORT))
+    used = [c for c in TICKETS_REPORT if c != "Indicadores"]
+    tickets = tickets_from_report(read_any(spark, paths[1], "csv", columns=TICKETS_REPORT, usecols=used, parts=True))
     return _double(to_measures(lines, tickets, packaging=X.PACKAGING))
 
 
@@ -727,12 +728,76 @@ def q_register_file_ingest(spark, d):
     header = ["GSX", "NOMBRE", "ENE", "FEB", "ENE", "FEB"]
     path = write_locale_csv(sheet, _scratch(spark, "padron"), encoding="UTF-8", title="Padron, tiendas",
                             header=header)
-    back = read_register(spark, path, header)
+    back = read_register(spark, path, header, parts=True)
     return back.select(F.col("GSX").try_cast("double").cast("bigint").alias("store_id"),
                        F.col("NOMBRE").alias("name"), F.col("ENE").alias("ene"), F.col("FEB").alias("feb"),
                        F.col("`ENE.1`").alias("ene_1"), F.col("`FEB.1`").alias("feb_1"))
 
 
+def _sheet_file(spark, df: DataFrame, name: str, headers: dict | None = None, **kw) -> str:
+    """`df` written as a sheet of text below a title; `headers` gives columns the header they have in the file."""
+    from comparo.sources.writers import write_locale_csv
+    return write_locale_csv(df, _scratch(spark, name), title=f"Planilla {name}, exportada",
+                            header=[(headers or {}).get(c, c) for c in df.columns], encoding="UTF-8", **kw)
+
+
+def _month_headers(df: DataFrame, write) -> dict:
+    from comparo.sources.readers import header_month
+    return {c: write(m) for c in df.columns if (m := header_month(c))}
+
+
+@query("share_file_ingest")
+def q_share_file_ingest(spark, d):
+    """The market-share panel as a sheet file with dates for headers, read by its header row."""
+    from comparo.plans.share import share_long
+    from comparo.sources.readers import read_sheet
+    panel = X.share_panel(spark, d)
+    area, region, subregion, size, store = [k.upper() for k in L.SHARE_HEADERS]
+    path = _sheet_file(spark, panel, "share", _month_headers(panel, lambda m: f"{m:%d/%m/%Y}"))
+    back = read_sheet(spark, path, [area, region, subregion, size, store], parts=True)
+    return share_long(back.withColumn(store, F.replace(F.col(store), F.lit(","), F.lit(".")).cast("double")), X.OWN_BRAND)
+
+
+@query("hours_file_ingest")
+def q_hours_file_ingest(spark, d):
+    """Half-hour sales, staff cost, authorised hours and margins from files to the operating result."""
+    from comparo.plans import hours as H
+    from comparo.sources.readers import read_any, read_delimited, read_sheet
+    from comparo.sources.writers import write_locale_csv
+    slots = X.slot_sales_wide(spark, d)
+    slot_path = write_locale_csv(slots, _scratch(spark, "slots"), title="Ventas por media hora, tiendas")
+    sheets = []
+    for df, name in ((X.staff_cost_wide(spark, d), "costo"), (X.authorised_hours_wide(spark, d), "horas")):
+        headers = _month_headers(df, lambda m: f"{L.MONTHS_ES[m.month - 1]} {m.year}")
+        sheet = read_sheet(spark, _sheet_file(spark, df, name, headers), ["no", "nombre", "horario_anterior"], parts=True)
+        sheets.append(sheet.withColumn("no", F.col("no").cast("bigint")))
+    margin = X.margin_long(spark, d)
+    margin_path = _scratch(spark, "margen")
+    margin.write.option("sep", ";").option("header", True).csv(margin_path)
+    return H.operating_result(
+        read_any(spark, slot_path, "csv", columns=slots.columns, parts=True), *sheets,
+        read_delimited(spark, margin_path, "Periodo string, Tienda string, rubro string, importe string"))
+
+
+@query("report_bad_rows")
+def q_report_bad_rows(spark, d):
+    """A report in which every 50th line has a surplus cell: good rows by month, and the quarantined ones."""
+    from comparo.plans.ingest import SALES_REPORT, lines_from_report
+    from comparo.sources.readers import read_report_csv
+    from comparo.sources.writers import write_locale_csv
+    text = X.sales_report_text(spark, d, key=True)
+    surplus = F.when(F.col("_order") % 50 == 0, F.lit("sobra"))
+    path = write_locale_csv(text.select(*[F.col(f"`{c}`") for c in SALES_REPORT], surplus.alias("_extra")),
+                            _scratch(spark, "ragged"), title="Informe", header=[*SALES_REPORT, None])
+    read = read_report_csv(spark, path, SALES_REPORT, parts=True, bad_rows="keep")
+    quarantine = _scratch(spark, "quarantine")
+    read.quarantine(quarantine)
+    good = lines_from_report(read.rows).groupBy("year", "month").agg(F.count(F.lit(1)).alias("n_good"))
+    bad = spark.read.parquet(quarantine).select(F.regexp_extract("text", "([0-9]{4})", 1).cast("int").alias("year"), "cells")
+    bad = bad.groupBy("year").agg(F.count(F.lit(1)).alias("n_bad"), F.max("cells").cast("bigint").alias("cells"))
+    return good.groupBy("year").agg(F.sum("n_good").alias("n_good")).join(bad, "year", "left").select("year", "n_good", "n_bad", "cells")
+
+
 # -- text reports -> long fact ------------------------------------------------------------------
 
 @query("report_ingest")

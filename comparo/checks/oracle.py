@@ -640,3 +640,11 @@ for _k, _by in {
 }.items():
     ORACLE[f"order_{_k}"] = f"""SELECT *, row_number() OVER (ORDER BY {_by}) AS row_no
   FROM ({ORACLE[_k]})"""
+
+# -- files written and read back ---------------------------------------------------------
+ORACLE["share_file_ingest"] = ORACLE["share_long"]
+ORACLE["hours_file_ingest"] = ORACLE["operating_result"]
+ORACLE["report_bad_rows"] = with_(LINES) + """SELECT year, count(*) FILTER (WHERE order_key % 50 <> 0) AS n_good,
+  nullif(count(*) FILTER (WHERE order_key % 50 = 0), 0) AS n_bad,
+  CASE WHEN count(*) FILTER (WHERE order_key % 50 = 0) > 0 THEN 10 END::BIGINT AS cells
+  FROM lines GROUP BY year"""

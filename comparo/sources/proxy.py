@@ -401,8 +401,8 @@ def register_full(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def sales_report_text(spark: SparkSession, d: str) -> DataFrame:
-    """The product lines written as the exported text report."""
+def sales_report_text(spark: SparkSession, d: str, key: bool = False) -> DataFrame:
+    """The product lines written as the exported text report (``key``: with the ticket number as ``_order``)."""
     from comparo.functions.text import format_locale_decimal
 
     month_es = F.get(F.array(*[F.lit(m) for m in L.MONTHS_ES]), F.col("month") - 1)
@@ -413,7 +413,8 @@ def sales_report_text(spark: SparkSession, d: str) -> DataFrame:
         F.col("sector").alias("Sector"), F.col("section").alias("Seccion"),
         F.col("family").alias("Grupo de Familia"),
         format_locale_decimal(F.col("sales"), 6).alias("Ventas c/impuesto"),
-        format_locale_decimal(F.col("units"), 2).alias("Venta en Unidades"))
+        format_locale_decimal(F.col("units"), 2).alias("Venta en Unidades"),
+        *([F.col("order_key").alias("_order")] if key else []))
 
 
 def tickets_report_text(spark: SparkSession, d: str) -> DataFrame:

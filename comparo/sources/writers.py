@@ -42,8 +42,10 @@ def write_locale_csv(df: DataFrame, path: str, encoding: str = "UTF-16",
                      mode: str = "overwrite") -> str:
     """CSV with a decimal comma (SNK-2). With ``title`` the first part file
     starts with the title line and the header line, as in the exported
-    reports (``header``: its names, which may repeat); otherwise every part
-    file has a plain header."""
+    reports (``header``: its names, which may repeat), the others hold rows alone: read them as ``parts``
+    of one report. (Spark keeps the order of a union's children in its partitions, and numbers part files by partition;
+    an unsorted report may hold its rows in any order, but they all follow the first file's header.)
+    Otherwise every part file has a plain header."""
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
