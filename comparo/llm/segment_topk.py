@@ -7,13 +7,14 @@ parts, <x, y> <= sum L (m_x m_y + s_x s_y), which is the lower bound of the squa
 rise from coarse to fine; a candidate goes on only while its bound reaches the k-th best exact
 score already seen for the query, and exact scores are computed for what is left.
 
-Vectors are dealt to blocks of bounded size by the hash of their id; the query blocks meet every
+Vectors are dealt to blocks of bounded size by a hash of the row; the query blocks meet every
 candidate block in an equi-join on the block number, one row for a pair of blocks, and each pair
 returns at most k rows for a query. A last ranking keeps k of those.
 
 Defined results: vectors that are null, hold a null or non-finite component or have no id take no
 part; vectors are compared with those of as many components; rows with the query's own id are the
-query's own row; ties go to the smaller id; repeated rows are candidates of their own; a query
+query's own row; ties go to the smaller id; repeated rows are candidates of their own, as queries they count
+once; an id with several vectors has k rows for each of them; a query
 without candidates has no rows; scores beyond 64 bits count as the nearest long; other columns pass by unread.
 """
 
@@ -35,37 +36,41 @@ SPARSE = 0.25          # below this share of survivors, pairs are evaluated one
 
 
 def _pack(rows: pa.Table) -> pa.Table:
-    """A block as one row: ids in order and the values, 32-bit integers if they fit."""
-    rows = rows.sort_by("vec_id")
-    ids = rows["vec_id"].to_numpy()
+    """A block as one row: ids in order, the hash that tells the vectors of an id apart, and the values, 32-bit
+    integers if they fit."""
+    rows = rows.sort_by([("vec_id", "ascending"), ("key", "ascending")])
+    ids, keys = rows["vec_id"].to_numpy(), rows["key"].to_numpy()
     flat = rows["value"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
     small = not len(flat) or np.abs(flat).max() < 2 ** 31
-    return pa.table({"ids": pa.array([ids.tobytes()], pa.binary()),
+    return pa.table({"ids": pa.array([ids.tobytes()], pa.binary()), "keys": pa.array([keys.tobytes()], pa.binary()),
                      "small": pa.array([small]),
                      "data": pa.array([flat.astype(np.int32 if small else np.float64).tobytes()], pa.binary())})
 
 
 def blocks(vectors: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
-    """(dim, block, ids, small, data) blocks of about `size` vectors, and how many numbers there are."""
+    """(dim, block, ids, keys, small, data) blocks of about `size` vectors, and how many numbers there are."""
     n = max(1, -(-vectors.count() // size))
 
     def pack(rows: pa.Table) -> pa.Table:
         out = _pack(rows)
         return pa.table({"dim": rows["dim"][:1], "block": rows["block"][:1], **{c: out[c] for c in out.column_names}})
 
-    cut = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+    # by row, so that an id or a vector that comes very often is spread over the blocks
+    cut = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id", "key", F.monotonically_increasing_id()), F.lit(n)).cast("int"))
     packed = cut.groupBy("dim", "block").applyInArrow(
-        pack, "dim int, block int, ids binary, small boolean, data binary")
+        pack, "dim int, block int, ids binary, keys binary, small boolean, data binary")
     return materialize(packed, name, "none"), n
 
 
 def integers(embeddings: DataFrame, scale: int = 64) -> DataFrame:
-    """(vec_id, dim, value) with floor(scale * component) of the vectors that take part."""
+    """(vec_id, dim, value, key) with floor(scale * component) of the vectors that take part; key tells the vectors of
+    an id apart."""
     whole = ("vec_id is not null and embedding is not null and forall(embedding, x -> x is not null "
              "and not isnan(x) and abs(x) < double('infinity'))")
     return embeddings.where(whole).select(
         F.col("vec_id").cast("long"), F.size("embedding").cast("int").alias("dim"),
-        F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("value"))
+        F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("value")).withColumn(
+        "key", F.xxhash64("value"))
 
 
 def _statistics(x: np.ndarray, segments: int) -> np.ndarray:
@@ -135,29 +140,29 @@ def best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
 
 
 def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best rows of `embeddings` for every row of `queries`."""
+    """(query_id, rank, vec_id, score): the k best rows of `embeddings` for every distinct row of `queries`."""
     candidates, n = blocks(integers(embeddings), CANDIDATES, "candidates")
-    asked, _ = blocks(integers(queries), QUERIES, "queries")
+    asked, _ = blocks(integers(queries).distinct(), QUERIES, "queries")
     asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"),
-                         *[F.col(x).alias(f"q_{x}") for x in ("ids", "small", "data")])
+                         *[F.col(x).alias(f"q_{x}") for x in ("ids", "keys", "small", "data")])
 
     def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             for r in batch.to_pylist():
-                qid, cid = (np.frombuffer(r[x], np.int64) for x in ("q_ids", "ids"))
+                qid, key, cid = (np.frombuffer(r[x], np.int64) for x in ("q_ids", "q_keys", "ids"))
                 q, c = (np.frombuffer(r[x], np.int32 if s else np.float64).astype(np.float64).reshape(
                     -1, r["dim"]) if r["dim"] else np.zeros((m, 0))
                     for x, s, m in (("q_data", r["q_small"], len(qid)), ("data", r["small"], len(cid))))
                 for a in range(0, len(qid), QUERIES):
                     i, j, score = best(qid[a:a + QUERIES], q[a:a + QUERIES], cid, c, k)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(qid[a:a + QUERIES][i]), pa.array(cid[j]),
-                         pa.array([int(s) for s in score], pa.int64())], names=["query_id", "vec_id", "score"])
+                        [pa.array(qid[a:a + QUERIES][i]), pa.array(key[a:a + QUERIES][i]), pa.array(cid[j]),
+                         pa.array([int(s) for s in score], pa.int64())], names=["query_id", "key", "vec_id", "score"])
 
-    pairs = candidates.join(asked, ["dim", "block"])
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    pairs = candidates.drop("keys").join(asked, ["dim", "block"])
+    found = pairs.mapInArrow(search, "query_id long, key long, vec_id long, score long")
     return found.withColumn("rank", F.expr(
-        "row_number() over (partition by query_id order by score desc, vec_id)")).where(
+        "row_number() over (partition by query_id, key order by score desc, vec_id)")).where(
         F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -174,10 +179,10 @@ with v as (
   where vec_id is not null and embedding is not null
     and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e::double[], c.e::double[])::bigint as score
-  from v q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 20 = 0),
+  select q.vec_id as query_id, q.e as query, c.vec_id, list_inner_product(q.e::double[], c.e::double[])::bigint as score
+  from (select distinct * from v) q join v c on c.vec_id <> q.vec_id and len(c.e) = len(q.e) where q.vec_id % 20 = 0),
 r as (
-  select query_id, row_number() over (partition by query_id order by score desc, vec_id)::int as rank,
+  select query_id, row_number() over (partition by query_id, query order by score desc, vec_id)::int as rank,
          vec_id, score from s)
 select query_id, rank, vec_id, score from r where rank <= 20
 """
