@@ -10,12 +10,12 @@ Spark sums up the patterns; the network (at most ``MAX_ARCS`` arcs) is solved on
 A pattern that owes F words takes each document F // T times (T: its words) and, once more,
 documents in seeded order: histograms of words over the seeded hash, summed by Spark for all
 patterns together, close in on the document that no longer fits; behind it the search goes on among
-documents that are small enough, until the gap is closed or no document fits it. The rows of a
+documents that are small enough, until the gap is closed or no document is left. The rows of a
 pattern stay spread over all tasks throughout.
 
 Defined results: a null text has no words; a null source is a source of its own, last in order; a
-document without any source is never taken; rows that agree in doc_id and size are taken together;
-documents without words have nothing to take; empty table: no rows.
+document without any source is never taken; rows that agree in doc_id and size are neighbours in the
+seeded order, and where not all of them fit as many are taken as do; documents without words have nothing to take; empty table: no rows.
 """
 
 from __future__ import annotations
@@ -34,7 +34,6 @@ REPEATS = 2        # most copies of a document
 SEED = 20
 MAX_ARCS = 1_000_000
 MAX_BINS = 1 << 17
-PASSES = 16
 CLOSE = 0.0002     # a gap below this part of the goal is closed
 _TOP = 1 << 62
 
@@ -126,46 +125,63 @@ def _longs(names: str) -> StructType:
     return StructType([StructField(n, LongType(), False) for n in names.split()])
 
 
-def seeded_choice(rows: DataFrame, goals: dict[int, int]) -> dict[int, list[tuple[int, int, int]]]:
-    """For each pattern stretches (from, to, largest) of the seeded hash: rows with `from <= h < to` and
-    `size <= largest` are chosen. Their sizes add up to the pattern's goal, or fall a little short."""
+def _filled(rows: DataFrame, open_: dict[int, dict], value: str, where: str) -> dict[int, tuple[int, int, int, int]]:
+    """For each pattern, whose rows from `lo` on are taken in order of `value` while their sizes fit into `gap`: (the value that does
+    not fit, or _TOP, the words taken before it, its rows, their words). A histogram of the rest at each step
+    finds the bin that does not fit, down to a single value."""
+    ends = {}
+    open_ = {p: o | {"sum": 0} for p, o in open_.items()}
+    while open_:
+        bins = max(16, min(4096, MAX_BINS // len(open_)))
+        given = []
+        for p, o in open_.items():
+            o["step"] = -(-(o["hi"] - o["lo"] + 1) // bins)
+            given.append((p, o["lo"], o["hi"], o["step"], o["gap"], o.get("at", 0)))
+        held: dict[int, list] = {p: [] for p in open_}
+        for r in (rows.join(_small(rows, given, _longs("pattern lo hi step most at")), "pattern")
+                  .where(f"size > 0 and size <= most and {value} between lo and hi and {where}")
+                  .groupBy("pattern", F.expr(f"({value} - lo) div step").alias("bin"))
+                  .agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"), F.min(value).alias("least")).collect()):
+            held[r["pattern"]].append((r["bin"], r["words"], r["n"], r["least"]))
+        for p, o in list(open_.items()):
+            for b, words, n, least in sorted(held[p]):
+                if o["sum"] + words > o["gap"]:
+                    lo = o["lo"] + b * o["step"]
+                    if n == 1 or o["step"] == 1:
+                        ends[p] = (least, o["sum"], n, words)
+                    else:
+                        o |= {"hi": min(o["hi"], lo + o["step"] - 1), "lo": lo}
+                    break
+                o["sum"] += words
+            else:
+                ends[p] = (_TOP, o["sum"], 0, 0)
+            if p in ends:
+                del open_[p]
+    return ends
+
+
+def seeded_choice(rows: DataFrame, goals: dict[int, int]) -> dict[int, list[tuple[int, int, int, int, int]]]:
+    """For each pattern stretches (from, to, largest, tie, tie_to): rows with `from <= h < to` and `size <= largest`
+    are chosen, and of the rows with `h = tie` those of a row number below `tie_to`. Their sizes add up to the pattern's
+    goal, or fall a little short.
+
+    Documents are taken in order of the hash up to the first value whose rows do not all fit. If rows share it (copies),
+    as many of them as fit are taken, in order of their row number. What is left goes on behind that value, among
+    the documents that still fit, until the gap is closed or no document is left.
+    """
     chosen: dict[int, list] = {p: [] for p in goals}
     gap, at = dict(goals), dict.fromkeys(goals, 0)
     active = {p for p, g in goals.items() if g > 0}
-    for _ in range(PASSES):
-        if not active:
-            break
-        open_ = {p: {"lo": at[p], "hi": _TOP - 1, "sum": 0} for p in active}
-        ends = {}
-        while open_:
-            bins = max(16, min(4096, MAX_BINS // len(open_)))
-            given = []
-            for p, o in open_.items():
-                o["step"] = -(-(o["hi"] - o["lo"] + 1) // bins)
-                given.append((p, o["lo"], o["hi"], o["step"], gap[p]))
-            held: dict[int, list] = {p: [] for p in open_}
-            for r in (rows.join(_small(rows, given, _longs("pattern lo hi step most")), "pattern")
-                      .where("size > 0 and size <= most and h between lo and hi")
-                      .groupBy("pattern", F.expr("(h - lo) div step").alias("bin"))
-                      .agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")).collect()):
-                held[r["pattern"]].append((r["bin"], r["words"], r["n"]))
-            for p, o in list(open_.items()):
-                for b, words, n in sorted(held[p]):
-                    if o["sum"] + words > gap[p]:
-                        lo = o["lo"] + b * o["step"]
-                        if n == 1 or o["step"] == 1:
-                            ends[p] = (lo, o["sum"])
-                        else:
-                            o |= {"hi": min(o["hi"], lo + o["step"] - 1), "lo": lo}
-                        break
-                    o["sum"] += words
-                else:
-                    ends[p] = (_TOP, o["sum"])
-                if p in ends:
-                    del open_[p]
-        for p, (end, words) in ends.items():
-            chosen[p].append((at[p], end, gap[p]))
-            at[p], gap[p] = end, gap[p] - words
+    while active:
+        ends = _filled(rows, {p: {"lo": at[p], "hi": _TOP - 1, "gap": gap[p]} for p in active}, "h", "true")
+        shared = {p: {"lo": 0, "hi": _TOP - 1, "gap": gap[p] - words, "at": end}
+                  for p, (end, words, n, _) in ends.items() if n > 1}
+        ties = _filled(rows, shared, "row", "h = at") if shared else {}
+        for p, (end, words, n, _) in ends.items():
+            tie = ties.get(p, (0, 0, 0, 0))
+            chosen[p].append((at[p], end, gap[p], end if tie[1] else -1, tie[0]))
+            gap[p] -= words + tie[1]
+            at[p] = end + 1         # past the value that does not fit
             if end >= _TOP or gap[p] <= CLOSE * goals[p]:
                 active.discard(p)
     return chosen
@@ -181,16 +197,17 @@ def mixed(docs: DataFrame, members: Column, *, weights: tuple[int, ...] = WEIGHT
     """
     kept = [F.struct(*docs.columns).alias("kept")] if keep else []
     rows = docs.select("doc_id", words_of(F.col("text")).alias("size"), members.alias("members"), *kept)
-    rows = materialize(rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 2)), "rows")
+    rows = materialize(rows.withColumns({"h": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "size"), 2),
+                                         "row": F.monotonically_increasing_id()}), "rows")
     sizes = (rows.select("size", F.explode(F.array_distinct("members")).alias("source"))
-             .groupBy("source").agg(F.sum("size").alias("size")).collect())
+             .groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_ARCS + 1).collect())
     sizes = sorted(((r["source"], r["size"]) for r in sizes), key=lambda x: (x[0] is None, x[0] or ""))
     goal = targets([n for _, n in sizes], weights, share, repeats)
     number = {s: i for i, (s, _) in enumerate(sizes)}
     found = (rows.groupBy(F.array_sort(F.array_distinct("members")).alias("members"))
-             .agg(F.sum("size").alias("size")).collect())
+             .agg(F.sum("size").alias("size")).limit(MAX_ARCS + 1).collect())
     patterns = [(tuple(sorted(number[s] for s in set(r["members"] or ()))), r["size"]) for r in found]
-    if sum(len(m) for m, _ in patterns) > MAX_ARCS:
+    if max(len(sizes), len(patterns), sum(len(m) for m, _ in patterns)) > MAX_ARCS:
         raise ValueError("the flow network of these sources is too large for the driver; use coarser sources")
     sent = cheapest_flow(patterns, [round(g) for g in goal], repeats)
     key = F.array_sort(F.array_distinct("members"))
@@ -202,11 +219,11 @@ def mixed(docs: DataFrame, members: Column, *, weights: tuple[int, ...] = WEIGHT
     rows = rows.withColumn("members", key).join(names.withColumnRenamed("members", "m"),
                                                 F.col("members").eqNullSafe(F.col("m"))).drop("m")
     chosen = seeded_choice(rows, {p: sent[p] % n for p, (_, n) in enumerate(patterns) if n})
-    stretch = ArrayType(StructType([StructField(x, LongType(), False) for x in ("lo", "hi", "most")]))
+    stretch = ArrayType(StructType([StructField(x, LongType(), False) for x in ("lo", "hi", "most", "tie", "tie_to")]))
     cuts = _small(rows, list(chosen.items()) or [(-1, [])], StructType(
         [StructField("pattern", LongType(), False), StructField("cuts", stretch)]))
-    again = F.coalesce(F.exists("cuts", lambda c: (F.col("h") >= c["lo"]) & (F.col("h") < c["hi"]) & (
-        F.col("size") <= c["most"])), F.lit(False))
+    again = F.coalesce(F.exists("cuts", lambda c: (F.col("size") <= c["most"]) & (
+        ((F.col("h") >= c["lo"]) & (F.col("h") < c["hi"])) | ((F.col("h") == c["tie"]) & (F.col("row") < c["tie_to"])))), F.lit(False))
     rows = rows.join(cuts, "pattern", "left").withColumn("copies", F.when(
         F.col("size") == 0, F.lit(0)).otherwise(F.col("full") + again.cast("long")).cast("long"))
     return rows.select("doc_id", "size", "sources", "sizes", "targets", "copies",
