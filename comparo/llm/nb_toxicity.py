@@ -5,9 +5,10 @@ hashed into ``1 << BITS`` buckets. With smoothed counts p (toxic) and q (other)
 r = log(p / |p|) - log(q / |q|); a document's value in a bucket is its count there divided by the
 root of its number of n-grams, times r. A logistic regression is fitted on these values.
 
-The fit uses a bounded sample, ``SAMPLE_ROWS`` labelled rows (chosen by the hash of doc_id, about
-that many; all if there are fewer), never rows whose CRC-32 of doc_id falls in the held-out fold.
-The sampled ids are broadcast (the parameter bounds them), the sampled texts meet in one task.
+The fit uses a bounded sample, ``SAMPLE_ROWS`` labelled rows of ``SAMPLE_BYTES`` bytes at most (chosen by hash, about
+that many; all if there are fewer; one row for each doc_id and text), never rows whose CRC-32 of doc_id falls in
+the held-out fold. The sampled ids are broadcast (the parameter bounds them); their n-grams are counted where
+the rows are, and the counts meet in one task.
 Scoring covers every whole text, one pass without a shuffle; the broadcast weights have a fixed
 size.
 
@@ -30,6 +31,7 @@ from comparo.llm import words as W
 from comparo.llm.tables import materialize, table
 
 SAMPLE_ROWS = 8_000   # labelled rows of the fit
+SAMPLE_BYTES = 64 << 20   # bytes of their texts; longer texts are scored, but not learned from
 ORDERS = (5,)         # lengths of the n-grams
 BITS = 19             # hashed buckets: 1 << BITS
 STEPS = 100           # steps of the fit
@@ -58,28 +60,39 @@ def grams(data: np.ndarray, bounds: np.ndarray, orders: tuple[int, ...], bits: i
     return out
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, orders: tuple[int, ...], bits: int) -> np.ndarray:
-    """Weight of each bucket (log-count ratio included), then the intercept."""
+def counted(sample: DataFrame, orders: tuple[int, ...], bits: int) -> DataFrame:
+    """(doc_id, h, toxic, columns, counts, total) of the sampled rows: their n-gram buckets and counts, packed."""
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            data, bounds = W.text_column(batch.column("text"))
+            for i, j in W.chunks(bounds):
+                parts = grams(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i], orders, bits)
+                made = [np.unique(np.concatenate([h[first[d]:last[d]] for h, first, last in parts]), return_counts=True)
+                        for d in range(j - i)]
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(c)[i:j] for c in ("doc_id", "h", "toxic")],
+                     pa.array([own.astype(np.int32).tobytes() for own, _ in made], pa.binary()),
+                     pa.array([n.astype(np.int32).tobytes() for _, n in made], pa.binary()),
+                     pa.array([int(n.sum()) for _, n in made], pa.int64())],
+                    names=["doc_id", "h", "toxic", "columns", "counts", "total"])
+
+    return sample.select("doc_id", "h", "toxic", "text").mapInArrow(
+        run, "doc_id long, h long, toxic int, columns binary, counts binary, total long")
+
+
+def fit(columns: list[np.ndarray], counts: list[np.ndarray], total: np.ndarray, toxic: np.ndarray, bits: int) -> np.ndarray:
+    """Weight of each bucket (log-count ratio included), then the intercept; `columns` and `counts` are the buckets
+    of each document, `total` its number of n-grams."""
     size = 1 << bits
     prior = (toxic.sum() + 1) / (len(toxic) + 2)
     weights = np.zeros(size + 1)
     weights[size] = np.log(prior / (1 - prior))
     if toxic.all() or not toxic.any():
         return weights
-    columns, counts, total = [], [], np.zeros(len(toxic))
-    data, bounds = W.text_column(texts)
-    for i, j in W.chunks(bounds):
-        parts = grams(data[bounds[i]:bounds[j]], bounds[i:j + 1] - bounds[i], orders, bits)
-        for d in range(j - i):
-            own, n = np.unique(np.concatenate([h[first[d]:last[d]] for h, first, last in parts]),
-                               return_counts=True)
-            columns.append(own)
-            counts.append(n.astype(np.float32))
-            total[i + d] = n.sum()
     # entries of the documents one after the other, worked on in stretches of documents
     length = np.array([len(c) for c in columns])
     begin = np.concatenate([[0], np.cumsum(length)])
-    columns, value = np.concatenate(columns), np.concatenate(counts)
+    columns, value = np.concatenate(columns), np.concatenate(counts).astype(np.float32)
     stretches = [(i, j, slice(begin[i], begin[j])) for i, j in W.chunks(begin, STRETCH)]
     p, q = np.ones(size), np.ones(size)
     for i, j, own in stretches:
@@ -119,27 +132,38 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
+def _share(rows: DataFrame, key: str, part: float) -> DataFrame:
+    """The rows whose hash lies in the first `part` of its range, so that the choice is the same each time."""
+    return rows if part >= 1 else rows.where(F.xxhash64(key) < int(-(1 << 63) + (1 << 64) * part))
+
+
+def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, sample_bytes: int = SAMPLE_BYTES,
           orders: tuple[int, ...] = ORDERS, bits: int = BITS) -> np.ndarray:
     """Weights fitted on a bounded sample of the labelled documents outside the held-out fold."""
     known = (labels.select(F.col("doc_id").alias("labelled"), F.col("toxic").cast("int").alias("toxic"))
              .where("labelled is not null and toxic is not null").where(~held_out(F.col("labelled")))
              .groupBy("labelled").agg(F.max("toxic").alias("toxic")))
     n = known.count()
-    if n > sample_rows:  # a share of the hash range, so that the sample is the same each time
-        cut = int(-(1 << 63) + (1 << 64) * sample_rows / n)
-        known = known.where(F.xxhash64("labelled") < cut)
-    sample = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("labelled"))
+    known = _share(known, "labelled", sample_rows / max(1, n))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = texts.join(F.broadcast(known), F.col("doc_id") == F.col("labelled")).withColumn("h", F.xxhash64("text"))
+    # a labelled id that comes in many rows gives each of its texts once
+    sample = materialize(texts.dropDuplicates(["doc_id", "h"]).select("doc_id", "h", "toxic", "text"), "sample")
+    size = sample.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    sample = sample.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= sample_bytes).withColumn("key", F.xxhash64("doc_id", "h"))
+    part = min(sample_rows / max(1, size["n"]), sample_bytes / max(1, size["bytes"] or 0))
+    entries = counted(_share(sample, "key", part), orders, bits)
 
     def train(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+        rows = rows.sort_by([("doc_id", "ascending"), ("h", "ascending")])
         toxic = rows["toxic"].to_numpy() == 1
-        return pa.table({"weights": pa.array([fit(rows["text"], toxic, orders, bits).tobytes()], pa.binary())})
+        columns, counts = ([np.frombuffer(x.as_buffer(), np.int32) for x in rows[c]] for c in ("columns", "counts"))
+        weights = fit(columns, counts, rows["total"].to_numpy().astype(float), toxic, bits)
+        return pa.table({"weights": pa.array([weights.tobytes()], pa.binary())})
 
-    one = (sample.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), "toxic", F.lit(0).alias("all"))
-           .groupBy("all").applyInArrow(train, "weights binary"))
+    one = entries.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(train, "weights binary")
     got = materialize(one, "weights", "none").first()
-    return fit(pa.array([], pa.string()), np.zeros(0, bool), orders, bits) if got is None else np.frombuffer(
+    return fit([], [], np.zeros(0), np.zeros(0, bool), bits) if got is None else np.frombuffer(
         got["weights"], np.float64)
 
 
