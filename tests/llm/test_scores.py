@@ -70,7 +70,7 @@ def test_least_positions(n, span):
 
 # 1 LM scoring
 
-def brute_backoff(rows, corpus_rows):
+def brute_backoff(rows, corpus_rows, min_count=1):
     grams = {n: {} for n in (1, 2, 3)}
     total = 0
     for _, t in corpus_rows:
@@ -88,7 +88,7 @@ def brute_backoff(rows, corpus_rows):
                 if k >= n - 1:
                     own = tuple(w[k - n + 1:k + 1])
                     c = grams[n].get(own, 0)
-                    s = c / grams[n - 1][own[:-1]] if c >= 2 else 0.4 * s
+                    s = c / grams[n - 1][own[:-1]] if c >= min_count else 0.4 * s
             sum_ += int(np.rint(np.log10(s) * 1e6))
         out.append((d, len(w), sum_))
     return sorted(out, key=str)
@@ -132,6 +132,29 @@ def test_top_k_with_ties_and_broken_vectors(llm, monkeypatch, n, dim):
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out.collect()) == brute_top(vectors, 7)
 
 
+def test_top_k_with_repeated_rows(llm, monkeypatch):
+    """A repeated query ranks its candidates once; a repeated candidate is one of its own; an id with two vectors has two
+    rankings, and an id that comes in most rows is spread over the blocks."""
+    monkeypatch.setattr(segment_topk, "CANDIDATES", 20)
+    monkeypatch.setattr(segment_topk, "QUERIES", 8)
+    rng = np.random.default_rng(8)
+    plain = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(60)]
+    vectors = plain + [plain[20]] * 3 + [plain[7]] * 2 + [plain[33]] * 80
+    df = llm.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    out = segment_topk.top_k(df, df.where("vec_id % 20 = 0"), 5)
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out.collect()) == brute_top(vectors, 5)
+    two = llm.createDataFrame(plain + [(20, [1.0] * 6)], "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id) for r in segment_topk.top_k(two, two.where("vec_id = 20"), 5).collect()]
+    assert sorted(r for r, _ in got) == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5] and all(v != 20 for _, v in got)
+    packed, n = segment_topk.blocks(segment_topk.integers(df), 20, "c")
+    assert max(len(r.ids) // 8 for r in packed.collect()) < 60 and n > 5
+
+
+def test_top_k_of_an_empty_table(llm):
+    df = llm.createDataFrame([], "vec_id long, embedding array<double>")
+    assert segment_topk.top_k(df, df).collect() == []
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(4)
     q, c = rng.integers(-40, 40, (30, 24)).astype(float), rng.integers(-40, 40, (50, 24)).astype(float)
@@ -195,6 +218,31 @@ def test_mix_of_overlapping_sources(llm):
     assert sum(r.taken for r in out) == 1000     # 600 words of a, 400 of b: each its target
 
 
+def test_mix_of_repeated_rows(frame):
+    """A third of all rows are copies of one that together exceed what their source still needs: as many of them as fit are
+    taken, and the search goes on behind them."""
+    rows = [(5, "w " * 3, "a")] * 400 + [(100 + i, "w " * (2 + i % 7), "a") for i in range(300)] + [(1000 + i, "w " * 4, "b") for i in range(500)]
+    rows += [(None, "w " * 9, "a")] * 40
+    for share in (0.5, 1.5):
+        out = source_mix.mixed(frame(rows), F.array("source"), share=share).collect()
+        taken, goal = {}, {}
+        for r in out:
+            taken[r.sources[0]] = taken.get(r.sources[0], 0) + r.taken
+            goal[r.sources[0]] = r.targets[0]
+            assert r.taken <= 2 * r["size"]
+        assert all(goal[s] - 9 <= taken[s] <= goal[s] + 1 for s in goal), (taken, goal)
+        copies = [r.copies for r in out if r.doc_id == 5]
+        assert max(copies) - min(copies) <= 1
+    behind = [r.copies for r in source_mix.mixed(frame(rows), F.array("source"), share=0.5).collect() if (r.doc_id or 0) >= 100]
+    assert any(behind)
+
+
+def test_mix_network_is_bounded(frame, monkeypatch):
+    monkeypatch.setattr(source_mix, "MAX_ARCS", 5)
+    with pytest.raises(ValueError):
+        source_mix.mixed(frame([(i, "w", f"s{i}") for i in range(9)]), F.array("source"))
+
+
 # 5 decontamination
 
 def brute_contamination(rows, items, n=10):
@@ -288,6 +336,23 @@ def test_toxicity_learns_from_the_other_folds_only(llm, sf_small):
     assert len(out) == docs.count()
 
 
+def test_toxicity_sample_is_bounded(frame, llm):
+    """A labelled id in most rows gives each of its texts once; the texts of the fit stay within their bytes, one
+    that is longer is left out whole."""
+    clean, rude = "a calm and quiet text number ", "vile rotten insult number "
+    rows = [(i, (rude if i % 2 else clean) + str(i)) for i in range(200)]
+    labels = llm.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    once = nb_toxicity.learn(frame(rows), labels)
+    assert np.allclose(nb_toxicity.learn(frame(rows + [rows[3]] * 300 + [rows[4]] * 30, extra=True), labels), once)
+    long_ = [(1000, rude * 4000)]
+    more = labels.unionByName(llm.createDataFrame([(1000, 0)], "doc_id long, toxic int"))
+    assert np.allclose(nb_toxicity.learn(frame(rows + long_), more, sample_bytes=100_000), once)
+    small = nb_toxicity.learn(frame(rows), labels, sample_bytes=3_000)
+    assert not np.allclose(small, once) and np.array_equal(small, nb_toxicity.learn(frame(rows, partitions=5), labels, sample_bytes=3_000))
+    scored = {r.doc_id: r.score for r in nb_toxicity.score(frame(rows + long_), once).collect()}
+    assert scored[1000] > 0.5 > scored[0]
+
+
 def test_toxicity_on_held_out_rows(llm):
     sf = "/root/testdata/sf0.1"
     out = QUERIES["op9_nb_toxicity"](llm, sf).join(llm.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
