@@ -424,6 +424,21 @@ def _history(comparable: bool):
     return fn
 
 
+@query("history_incremental")
+def q_history_incremental(spark, d):
+    """The comparable history from stored monthly sums: all months but the last loaded before, the last one added."""
+    from comparo.plans import briefing as B
+    from comparo.streaming.monthly_store import load_months, stored_sums
+    (start, end), last = (f"{X.BRIEF_HISTORY_YEARS[0]}-01-01", month_ranges([X.CURRENT_YEAR], X.BRIEF_MONTH)[0][1]), \
+        month_ranges([X.CURRENT_YEAR], X.BRIEF_MONTH)[0]
+    root = _scratch(spark, "monthly")
+    load_months(X.lines(spark, d, [(start, last[0])]), root, packaging=X.PACKAGING)
+    load_months(X.lines(spark, d, [last]), root, packaging=X.PACKAGING)        # the new month, read by itself
+    hist = _lower_measure(stored_sums(spark, root, [(start, end)]))
+    return B.history_growth(hist, X.BRIEF_HISTORY_YEARS, X.BRIEF_PAIRS, X.CURRENT_YEAR, X.BRIEF_MONTH,
+                            register=X.register(spark, d), month=X.BRIEF_MONTH)
+
+
 query("history_growth_comparable")(_history(True))
 query("history_growth_all")(_history(False))
 
@@ -668,6 +683,42 @@ def q_report_set_roundtrip(spark, d):
     return spark.read.parquet(paths["store"])
 
 
+def _partitioned(spark, reports: dict, name: str) -> DataFrame:
+    """A report set written with a folder per format, one of its tables read back."""
+    from comparo.sources.writers import write_report_set
+    paths = write_report_set(reports, _scratch(spark, "by-format"), partition_by=["format"])
+    return spark.read.parquet(paths[name]).select(*reports[name].columns)
+
+
+@query("report_set_by_format")
+def q_report_set_by_format(spark, d):
+    reps = monthly.monthly_reports(measures(spark, d, ranges=MONTH_RANGES, comparable=MONTH),
+                                   X.register(spark, d), YEARS, MONTH, sort=False)
+    return _partitioned(spark, reps, "store_family")
+
+
+@query("briefing_set_by_format")
+def q_briefing_set_by_format(spark, d):
+    from comparo.plans.briefing import briefing_reports
+    store, sector, family = brief_inputs(spark, d)
+    reps = briefing_reports(store, sector, family, X.register(spark, d), X.BRIEF_MONTH, X.SECTORS, labels=X.BRIEF_YEARS)
+    return _partitioned(spark, reps, "consolidated_matrix")
+
+
+@query("swap_table")
+def q_swap_table(spark, d):
+    """The cleaned register published twice to a versioned table, read as it is now."""
+    from comparo.plans.register import clean_register
+    from comparo.sources import versions
+    reg = clean_register(X.register_full(spark, d), X.AS_OF)
+    safe = reg.toDF(*[c.replace(" ", "_") for c in reg.columns])
+    path = _scratch(spark, "versioned")
+    versions.publish(safe.limit(3), path)
+    versions.publish(safe, path)
+    versions.vacuum(spark, path)
+    return versions.read(spark, path).toDF(*reg.columns)
+
+
 @query("append_month_idempotent")
 def q_append_month_idempotent(spark, d):
     from comparo.plans.share import share_last_closed_month

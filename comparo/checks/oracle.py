@@ -648,3 +648,7 @@ ORACLE["report_bad_rows"] = with_(LINES) + """SELECT year, count(*) FILTER (WHER
   nullif(count(*) FILTER (WHERE order_key % 50 = 0), 0) AS n_bad,
   CASE WHEN count(*) FILTER (WHERE order_key % 50 = 0) > 0 THEN 10 END::BIGINT AS cells
   FROM lines GROUP BY year"""
+ORACLE["history_incremental"] = ORACLE["history_growth_comparable"]
+ORACLE["report_set_by_format"] = ORACLE["yoy_store_family"]
+ORACLE["briefing_set_by_format"] = ORACLE["briefing_consolidated_matrix"]
+ORACLE["swap_table"] = ORACLE["overwrite_table"]

@@ -131,3 +131,60 @@ def test_landing_happens_once_for_a_state(spark, tmp_path):
     assert len(made) == 1
     spark.range(5).write.mode("overwrite").parquet(path)
     assert fact.landed(spark, "t", [path], make).count() == 5 and len(made) == 2
+
+
+def test_monthly_sums_follow_a_full_run(spark, root):
+    """A month loaded again after corrections, months in any order, one month read at a time."""
+    from comparo.plans.measures import STORE_KEYS, to_measures
+    from comparo.streaming.monthly_store import load_months, stored_sums
+    columns = ("year int, month int, format string, store_id long, store string, sector string, section string, family string, "
+               "sales decimal(24,6), units decimal(24,6), order_key long")
+    make = lambda rows: spark.createDataFrame([(y, m, "f", s, f"s{s}", "a", "b", "c", v, v, o) for y, m, s, v, o in rows], columns)
+    from decimal import Decimal as D
+    old = [(2000, m, s, D(m * s), m * 10 + o) for m in (11, 12) for s in (1, 2) for o in (0, 1, 1)] + [(2001, 1, 1, D(5), 7)]
+    new = [(2001, 1, 1, D(6), 7), (2001, 1, 1, D(6), 8), (2001, 1, 3, D(9), 9)]
+    load_months(make(old), root)
+    _, before = versions.current(spark, root)
+    load_months(make(new), root)
+    load_months(make(new), root)
+    _, after = versions.current(spark, root)
+    assert {k for k in after if after[k] == before.get(k)} == {"2000-11", "2000-12"}
+    whole = to_measures(make([r for r in old if r[0] == 2000] + new), keys=STORE_KEYS, ticket_key="order_key")
+    stored = stored_sums(spark, root, [("2000-11-01", "2001-02-01")])
+    assert rows(stored.select(*whole.columns)) == rows(whole)
+    january = stored_sums(spark, root, [("2001-01-01", "2001-02-01")])
+    assert len({f.rsplit("/", 1)[0] for f in january.inputFiles()}) == 1
+    assert {(r.store_id, float(r.value)) for r in january.where("measure = 'DEB'").collect()} == {(1, 2.0), (3, 1.0)}
+
+
+def test_loading_a_month_reads_its_folder_alone(spark, sf_small):
+    from comparo.catalog import month_ranges
+    from comparo.sources import proxy as X
+    from comparo.streaming.monthly_store import monthly_sums
+    (last,) = month_ranges([2001], 7)
+    plan = monthly_sums(X.lines(spark, sf_small, [last]))._jdf.queryExecution().executedPlan().toString()
+    scan = [x for x in plan.splitlines() if "FileScan" in x]
+    assert len(scan) == 1 and "(year#" in scan[0] and "= 2001" in scan[0] and "PartitionFilters" in scan[0]
+
+
+def test_every_report_of_a_set_by_format(spark, sf_small):
+    """All tables of the monthly and year-to-date sets written with a folder per format and read back."""
+    from comparo.catalog import MONTH, MONTH_RANGES, YEARS, YTD_RANGES, measures
+    from comparo.plans import monthly, ytd
+    from comparo.sources import proxy as X
+    from comparo.sources.writers import write_report_set
+    reg = X.register(spark, sf_small)
+    sets = {"monthly": monthly.monthly_reports(measures(spark, sf_small, ranges=MONTH_RANGES), reg, YEARS, MONTH, sort=False),
+            "ytd": ytd.ytd_reports(measures(spark, sf_small, ranges=YTD_RANGES), reg, YEARS, MONTH, sort=False),
+            "ytd-single": ytd.ytd_reports(measures(spark, sf_small, ranges=YTD_RANGES), reg, YEARS, MONTH, sort=False, single_format=True)}
+    parted = 0
+    for name, reports in sets.items():
+        paths = write_report_set(reports, f"{checkpoint_dir(spark)}/sets-{uuid.uuid4().hex}/{name}", partition_by=["format"])
+        assert len(paths) == len(reports) >= 9
+        for table, df in reports.items():
+            back = spark.read.parquet(paths[table])
+            assert back.select(*df.columns).exceptAll(df).isEmpty() and df.exceptAll(back.select(*df.columns)).isEmpty(), (name, table)
+            folders = {f.split("/format=")[1].split("/")[0] for f in back.inputFiles() if "/format=" in f}
+            assert bool(folders) == ("format" in df.columns), (name, table)
+            parted += bool(folders)
+    assert parted >= 8
