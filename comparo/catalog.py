@@ -321,6 +321,17 @@ def q_register_first_per_key(spark, d):
     return first_per_key(raw, "store_id", "row_order").na.drop(subset=["store_id", "name"])
 
 
+@query("bucketed_store_totals")
+def q_bucketed_store_totals(spark, d):
+    """Sales and units of the comparable stores by year, from a fact and a register stored by store."""
+    from comparo.sources.bucketed import store_by_key, sums_by_store
+    fact = X.lines(spark, d).select("store_id", "year", "sales", "units")
+    stored = store_by_key(fact, X.register(spark, d).select("store_id", "province", F.col("jul").alias("flag")), buckets=8)
+    rows = stored.joined(spark, where=F.upper("flag") == "SC")
+    out = sums_by_store(rows, stored, ["year", "province"], {"sales": "sales", "units": "units"})
+    return _double(_double(out, "sales"), "units").select("store_id", "province", "year", "sales", "units")
+
+
 # -- briefing (RPT-8) and rolling-period briefing (RPT-9) --------------------------------
 
 def _lower_measure(df):
@@ -439,6 +450,25 @@ def q_history_incremental(spark, d):
                             register=X.register(spark, d), month=X.BRIEF_MONTH)
 
 
+@query("history_file_ingest")
+def q_history_file_ingest(spark, d):
+    """The comparable history from three text reports: sales, units, tickets by store and month."""
+    from comparo.plans import briefing as B
+    from comparo.plans.ingest import history_from_reports
+    from comparo.sources.readers import read_report_csv
+    from comparo.sources.writers import write_locale_csv
+    rng = [(f"{X.BRIEF_HISTORY_YEARS[0]}-01-01", month_ranges([X.CURRENT_YEAR], X.BRIEF_MONTH)[0][1])]
+    facts = measures(spark, d, grain="store", ranges=rng)
+    read = []
+    for measure, header in ((L.SALES, "Ventas c/impuesto"), (L.UNITS, "VOLUMEN"), (L.TICKETS, "Cant. Tickets por Local")):
+        text = X.history_report_text(facts, measure, header)
+        path = write_locale_csv(text, _scratch(spark, "historia"), title=f"Historia, {header}")
+        read.append(read_report_csv(spark, path, text.columns, parts=True))
+    hist = history_from_reports(*read)
+    return B.history_growth(hist, X.BRIEF_HISTORY_YEARS, X.BRIEF_PAIRS, X.CURRENT_YEAR, X.BRIEF_MONTH,
+                            register=X.register(spark, d), month=X.BRIEF_MONTH)
+
+
 query("history_growth_comparable")(_history(True))
 query("history_growth_all")(_history(False))
 
@@ -550,6 +580,14 @@ def q_register_clean(spark, d):
     return clean_register(X.register_full(spark, d), X.AS_OF)
 
 
+@query("register_presented")
+def q_register_presented(spark, d):
+    """The register's columns normalised, then presented."""
+    from comparo.operators.columns import normalize_columns, present_columns
+    sheet = X.register_full(spark, d).select("GSX", "NOMBRE", "Fecha apertura", "SUB REGION", "M² SALÓN", "M² PGC", "PROVINCIA")
+    return present_columns(normalize_columns(sheet))
+
+
 # -- scalar functions over the tables --------------------------------------------------------
 
 @query("parse_locale_decimal")
@@ -697,6 +735,13 @@ def q_report_set_by_format(spark, d):
     return _partitioned(spark, reps, "store_family")
 
 
+@query("ytd_set_by_format")
+def q_ytd_set_by_format(spark, d):
+    reps = ytd.ytd_reports(measures(spark, d, ranges=YTD_RANGES, comparable=MONTH), X.register(spark, d), YEARS, MONTH,
+                           sort=False)
+    return _partitioned(spark, reps, "format")
+
+
 @query("briefing_set_by_format")
 def q_briefing_set_by_format(spark, d):
     from comparo.plans.briefing import briefing_reports

@@ -652,3 +652,15 @@ ORACLE["history_incremental"] = ORACLE["history_growth_comparable"]
 ORACLE["report_set_by_format"] = ORACLE["yoy_store_family"]
 ORACLE["briefing_set_by_format"] = ORACLE["briefing_consolidated_matrix"]
 ORACLE["swap_table"] = ORACLE["overwrite_table"]
+ORACLE["ytd_set_by_format"] = ORACLE["ytd_format"]
+ORACLE["history_file_ingest"] = ORACLE["history_growth_comparable"]
+ORACLE["bucketed_store_totals"] = with_(LINES, REGISTER) + """SELECT l.store_id, r.province, l.year,
+  CAST(sum(l.sales) AS DOUBLE) AS sales, CAST(sum(l.units) AS DOUBLE) AS units
+  FROM lines l JOIN register r ON l.store_id = r.store_id WHERE upper(r.jul) = 'SC' GROUP BY ALL"""
+ORACLE["register_presented"] = with_(REGISTER) + f"""SELECT s.s_suppkey AS "Gsx", s.s_name AS "Nombre",
+  g.open_date AS "Fecha apertura", r.r_name AS "Sub region", g.m_salon AS "M salón",
+  CASE WHEN s.s_suppkey % 6 = 0 THEN '-' WHEN s.s_suppkey % 6 = 1 THEN 'sd' WHEN s.s_suppkey % 6 = 2 THEN 'SD'
+       WHEN s.s_suppkey % 6 = 3 THEN '' WHEN s.s_suppkey % 6 = 5 THEN CAST(s.s_suppkey * 10 AS VARCHAR) END AS "M pgc",
+  CASE WHEN s.s_suppkey % 9 = 0 THEN ' Neuquén ' ELSE n.n_name END AS "Provincia"
+  FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey
+  JOIN register g ON s.s_suppkey = g.store_id"""

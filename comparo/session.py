@@ -30,6 +30,8 @@ def get_spark(master: str = "local[*]", shuffle_partitions: int = 8,
         # no Python call-site capture per Column call (plan building cost)
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
+    if master.startswith("local"):      # tables of tests leave nothing in the working folder
+        builder = builder.config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="comparo-warehouse-"))
     for k, v in (extra or {}).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()

@@ -429,6 +429,21 @@ def tickets_report_text(spark: SparkSession, d: str) -> DataFrame:
         F.translate(F.format_number(F.col("tickets"), 0), ",", ".").alias("Cant. Tickets por Local"))
 
 
+def history_report_text(facts: DataFrame, measure: str, header: str) -> DataFrame:
+    """One measure of the store-grain fact written as a monthly history report."""
+    from comparo.functions.text import format_locale_decimal
+
+    month_es = F.get(F.array(*[F.lit(m) for m in L.MONTHS_ES]), F.col("month") - 1)
+    value = (F.translate(F.format_number(F.col("value").cast("bigint"), 0), ",", ".") if measure == L.TICKETS
+             else format_locale_decimal(F.col("value"), 6))
+    return facts.filter(F.col("measure") == measure).select(
+        F.col("year").cast("string").alias("Año"),
+        F.concat_ws(" ", month_es, F.col("year").cast("string")).alias("Mes"),
+        F.col("format").alias("Direccion"),
+        F.concat(F.col("store_id").cast("string"), F.lit(" "), F.col("store")).alias("Punto Operacional"),
+        value.alias(header))
+
+
 def register_sheet(spark: SparkSession, d: str) -> DataFrame:
     """The register as a sheet export: every cell text, ids as '13.0' for every second
     store, two blocks of month flags under the same headers, some rows nearly empty."""
