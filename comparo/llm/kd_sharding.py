@@ -7,14 +7,16 @@ Splitting ends when every leaf holds the target bytes.
 
 Medians are found for all nodes of a level together: a histogram of bytes by (node, interval of
 the coordinate) is summed by Spark, the driver keeps the interval that holds each node's cut and
-the next histogram divides that interval. Rows with equal coordinates are told apart by a tie key
-(CRC-32 of the text, then a hash of doc_id), so equal texts stay together but where a cut falls
-among them and no value, however frequent, has to go to one side as a whole. The driver holds at
-most ``MAX_BINS`` histogram rows; no row of the table reaches it.
+the next histogram divides that interval. Equal texts are a group: they have the coordinates of the group (the
+least of its rows in each dimension), so no cut along a dimension parts them. Groups with equal coordinates are told apart by a
+tie key (a hash of the text, then one of doc_id). A cut among ties falls between two groups, unless the group it falls into
+holds more than ``GROUP`` of a leaf's bytes: such a group is divided like any other rows, so no text, however
+frequent, has to go to one side as a whole. The driver holds at most ``MAX_BINS`` histogram rows; no row of the
+table reaches it.
 
 Defined results: a null text has 0 bytes of its own; a null in a dimension is its smallest
-value; an empty table gives an empty result; rows that agree in text and doc_id cannot be told
-apart and share a shard (they still get slots of their own); other columns pass by unread.
+value; an empty table gives an empty result; rows that agree in text and doc_id cannot be told apart and share a
+shard (they still get slots of their own); other columns pass by unread.
 """
 
 from __future__ import annotations
@@ -24,11 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from comparo.llm.tables import drop, materialize
+from comparo.operators.skew import spread_join
 
 MAX_BINS = 1 << 18      # histogram rows that the driver reads at once
 ROWS_PER_CHUNK = 50_000  # rows that one task numbers
 TOLERANCE = 0.0002      # part of a leaf's bytes that a cut may miss
+GROUP = 0.01            # part of a leaf's bytes from which on a group of equal texts may be divided
 OVERHEAD = 8            # bytes of a record besides its text
+_TIES = 31              # bits of a tie that tell the rows of a group apart
 
 
 def _coordinate(df: DataFrame, name: str) -> Column:
@@ -44,13 +49,19 @@ def _coordinate(df: DataFrame, name: str) -> Column:
 def measured(docs: DataFrame, dims: tuple[str, ...]) -> DataFrame:
     """(doc_id, size, text_crc32, coords, tie) of every document."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    out = docs.select("doc_id", (F.length(raw) + OVERHEAD).cast("long").alias("size"),
-                      F.crc32(raw).alias("text_crc32"),
-                      *[F.col(d).alias(f"d_{d}") for d in dims if d in docs.columns and d != "doc_id"])
-    coords = [(F.log2(F.col("size")) * 4096).cast("long")]
-    coords += [_coordinate(out, "doc_id" if d == "doc_id" else f"d_{d}") for d in dims if d in docs.columns]
-    tie = F.shiftleft(F.col("text_crc32"), 29) + F.shiftrightunsigned(F.xxhash64("doc_id"), 35)
-    return out.select("doc_id", "size", "text_crc32", F.array(*coords).alias("coords"), tie.alias("tie"))
+    named = [d for d in dims if d in docs.columns]
+    out = docs.select("doc_id", (F.length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
+                      F.xxhash64(raw, F.crc32(raw)).alias("group"),
+                      *[_coordinate(docs, d).alias(f"c{k}") for k, d in enumerate(named)])
+    rows = materialize(out, "measured")
+    # the least coordinates of a group, back to its rows; a text that comes very often is split in that join
+    own = [f"c{k}" for k in range(len(named))]
+    if own:
+        groups = rows.groupBy("group").agg(*[F.min(c).alias(c) for c in own])
+        rows = spread_join(rows.drop(*own), groups, "group")
+    tie = F.shiftleft(F.shiftrightunsigned(F.xxhash64("group"), 2 + _TIES), _TIES) + F.shiftrightunsigned(F.xxhash64("doc_id"), 64 - _TIES)
+    size = (F.log2(F.col("size")) * 4096).cast("long")
+    return rows.select("doc_id", "size", "text_crc32", F.array(size, *own).alias("coords"), tie.alias("tie"))
 
 
 def _small(df: DataFrame, rows: list[tuple], names: str) -> DataFrame:
@@ -71,12 +82,14 @@ def _cuts(df: DataFrame, spans: dict[int, list[tuple[int, int]]], nodes: dict[in
         left = nodes[n]["leaves"] // 2
         open_[n] = {"dim": dim, "lo": lo, "hi": hi, "value": None, "below": 0,
                     "goal": total[n] * left / nodes[n]["leaves"],
-                    "near": TOLERANCE * total[n] / nodes[n]["leaves"]}
+                    "near": TOLERANCE * total[n] / nodes[n]["leaves"], "group": GROUP * total[n] / nodes[n]["leaves"]}
     while open_:
         bins = max(16, min(4096, MAX_BINS // len(open_)))
         rows = []
         for n, o in open_.items():
             o["step"] = -(-(o["hi"] - o["lo"] + 1) // bins)
+            if o["value"] is not None and o["hi"] - o["lo"] >= 1 << _TIES:     # whole groups first
+                o["step"] = -(-o["step"] >> _TIES) << _TIES
             rows.append((n, o["dim"], o["lo"], o["hi"], o["step"],
                          -1 if o["value"] is None else o["value"]))
         at = F.element_at("coords", (F.col("dim") + 1).cast("int"))
@@ -96,7 +109,8 @@ def _cuts(df: DataFrame, spans: dict[int, list[tuple[int, int]]], nodes: dict[in
                     break
                 below += weight
             lo = o["lo"] + chosen * o["step"]
-            if weight <= o["near"] or (o["step"] == 1 and o["value"] is not None):
+            whole_group = o["value"] is not None and o["step"] == 1 << _TIES and weight <= o["group"]
+            if weight <= o["near"] or whole_group or (o["step"] == 1 and o["value"] is not None):
                 cut = lo + o["step"] if below + weight - o["goal"] < o["goal"] - below else lo
                 found[n] = (o["dim"], cut, 0) if o["value"] is None else (o["dim"], o["value"], cut)
                 del open_[n]
