@@ -423,3 +423,72 @@ def test_markup_time_is_linear():
         warc_derive.plain_text(bad)
         warc_derive.page_metadata(bad)
         assert time.perf_counter() - began < 5
+
+
+def test_equal_texts_share_a_shard(frame):
+    """Groups of equal texts with ids, sources and null ids from everywhere; only one that a cut must divide is parted."""
+    rows = [(i, f"{i} " + "w" * (200 + i * 37 % 400), f"s{i % 4}") for i in range(4000)]
+    rows += [(i * 31 % 2000, f"copied text {i % 60} " * 9, f"s{i % 5}" if i % 7 else None) for i in range(300)] + [(None, "copied text 3 " * 9, "s1")] * 4
+    out = kd_shards(frame(rows), shards=7).collect()
+    shards = {}
+    for r in out:
+        shards.setdefault((r.text_crc32, r["size"]), set()).add(r.shard)
+    groups = [g for g in shards.values()]
+    assert sum(len(g) > 1 for g in groups) == 0
+    total = [sum(r["size"] for r in out if r.shard == s) for s in range(7)]
+    assert max(total) < 1.1 * min(total)
+
+
+def test_a_text_of_a_third_of_all_rows_is_divided(frame):
+    rows = [(i, "w" * (50 + i % 90), f"s{i % 4}") for i in range(600)] + [(5000 + i, "the same text " * 6, "s1") for i in range(300)]
+    out = kd_shards(frame(rows), shards=8).collect()
+    total = [sum(r["size"] for r in out if r.shard == s) for s in range(8)]
+    assert max(total) < 1.1 * min(total)
+    parted = {}
+    for r in out:
+        parted.setdefault(r.text_crc32, set()).add(r.shard)
+    assert max(map(len, parted.values())) >= 2
+
+
+def test_markup_as_browsers_read_it():
+    text, links = warc_derive.plain_text, lambda p: warc_derive.page_metadata(p)["Links"]
+    assert text("<svg/>after <math a='b' />it") == "after it"
+    assert text("<svg width=1><text>no</text></svg>yes") == "yes"
+    assert text('<a title="a > b" href="x">link</a>') == "link"
+    assert links('<a title="a > b" href="x">link</a><img alt=\'>\' src=q>') == [
+        {"path": "A@/href", "url": "x"}, {"path": "IMG@/src", "url": "q"}]
+    assert text("<object data=o>shown instead</object> rest") == "shown instead rest"
+    assert text('<p class="x>text</p> y') == "text\ny"
+    assert text("<script/>gone</script>here") == "here"
+
+
+def test_source_headers_are_kept():
+    head = b"HTTP/1.1 301 Moved\r\nSet-Cookie: a=1\r\nX:y\r\nset-cookie: b=2\r\nLong: one\r\n  two\r\nnonsense\r\n\r\n"
+    given = [("WARC-IP-Address", "10.0.0.1"), ("WARC-Warcinfo-ID", "<urn:uuid:w>"), ("WARC-Date", "2020-01-01T00:00:00Z"),
+             ("X-Own", "line\r\nbreak"), ("Empty", None)]
+    rows = warc_derive.derive("<urn:uuid:r>", "http://a", "2024-01-01T00:00:00Z", head + b"<p>x", given)
+    meta = json.loads(rows[0][8])["Envelope"]
+    http = meta["Payload-Metadata"]["HTTP-Response-Metadata"]
+    assert http["Headers"] == {"Set-Cookie": ["a=1", "b=2"], "X": "y", "Long": "one two"}
+    assert http["Response-Message"] == {"Version": "HTTP/1.1", "Status": "301", "Reason": "Moved"}
+    source = meta["WARC-Header-Metadata"]
+    assert source["WARC-IP-Address"] == "10.0.0.1" and source["X-Own"] == "line break" and source["WARC-Date"].startswith("2020")
+    assert "Empty" not in source and source["WARC-Record-ID"] == "<urn:uuid:r>"
+    for row in rows:
+        (headers, _), = warc_derive.parse_records(row[9])
+        assert headers["WARC-Warcinfo-ID"] == "<urn:uuid:w>" and "X-Own" not in headers
+
+
+def test_warc_files(llm, tmp_path):
+    pages = llm.createDataFrame([(1, "http://a", "<p>one\r\n\r\ntwo</p>"), (2, None, None), (3, "http://ü", "<p>" + "é" * 3000)],
+                                "page_id long, url string, html string").withColumn("record_id", F.lit("x")).withColumn("date", F.lit("y"))
+    records = warc_derive.responses(pages).withColumn(
+        "warc_headers", F.array(F.struct(F.lit("WARC-IP-Address").alias("name"), F.lit("10.1.1.1").alias("value"))))
+    out = warc_derive.derivatives(records)
+    warc_derive.write_warc(out, f"file://{tmp_path}/warc")
+    written = [r for f in (tmp_path / "warc").glob("part-*") for r in warc_derive.parse_records(f.read_bytes())]
+    want = [warc_derive.parse_records(bytes(r.record))[0] for r in out.collect()]
+    assert sorted(map(str, written)) == sorted(map(str, want)) and len(written) == 6
+    assert all(h["WARC-IP-Address"] == "10.1.1.1" for h, _ in written)
+    empty = warc_derive.derivatives(warc_derive.responses(pages.limit(0)))
+    assert empty.collect() == []
