@@ -231,8 +231,10 @@ def slot_sales_wide(spark: SparkSession, d: str) -> DataFrame:
     names = [slot_store_name(i) for i in stores]
     # a row's cells as a map first: a chain has more stores than one conditional sum each could carry
     cells = agg.filter(F.col("v").isNotNull()).groupBy("date", "slot").agg(
-        F.map_from_entries(F.collect_list(F.struct("store", "v"))).alias("_cells"))
-    wide = agg.select("date", "slot").distinct().join(cells, ["date", "slot"], "left").select(
+        F.map_from_entries(F.collect_list(F.struct("store", format_locale_decimal(F.col("v"))))).alias("_cells"))
+    rows = agg.select("date", "slot").distinct().join(cells, ["date", "slot"], "left")
+    # few bytes, but a cell for every store: spread the rows before they become wide
+    wide = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).select(
         "date", "slot", *[F.try_element_at("_cells", F.lit(i)).alias(n) for i, n in zip(stores, names)])
     totals = agg.groupBy("date").agg(F.sum("v").alias("total"))
 
@@ -247,7 +249,7 @@ def slot_sales_wide(spark: SparkSession, d: str) -> DataFrame:
                          hhmm(F.col("slot") * 30 + 30))
     body = wide.select(F.year("date").cast("string").alias("year"), date_text.alias("date_text"),
                        slot_text.alias("slot_text"),
-                       *[format_locale_decimal(F.col(f"`{n}`")).alias(n) for n in names])
+                       *[F.col(f"`{n}`") for n in names])
     tot = totals.select(F.lit("Total").alias("year"), date_text.alias("date_text"),
                         F.lit(None).cast("string").alias("slot_text"),
                         *[F.lit(None).cast("string").alias(n) for n in names])
