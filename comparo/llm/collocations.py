@@ -4,15 +4,15 @@ Level 1 is the relation of all word occurrences, sorted by slot: the slot of a w
 texts, pieces are an empty slot apart, so piece and position are one number. Its groups are the distinct words. A
 level has three steps:
 
-* group-count: the groups of all blocks, (row, group, id, n) rows, are summed by Spark by id;
-* semi-join: groups that are frequent in their language come back, as rows, to the blocks that hold them, the
+* group-count: the groups of all blocks, (row, id, n) rows, meet by id, where Spark sums them;
+* semi-join: groups that are frequent in their language go back, as rows, to the blocks that hold them, the
   others' occurrences go;
 * merge-join: what is left is joined with itself at the adjacent slot of the same piece, which gives the
   next level's occurrences; their groups are pairs of frequent phrases that share all but the outer words.
 
 Each level's relation is written, sorted, to the shared folder, one row a block and language, its columns packed; the
 merge-join runs inside a block, the counts and the semi-join are Spark's. A block is about ``BLOCK_BYTES``
-of text, so a row stays small; a phrase comes once a block into a count, summed again before the shuffle.
+of text, so a row stays small, and a phrase comes into a count once for each block that holds it.
 
 Scores come from the counts of the frequent phrases alone, as every part of a frequent phrase is frequent.
 Words and phrases of a language have 64-bit hashes as ids until the frequent ones are named.
@@ -25,6 +25,7 @@ read, whatever other columns there are. Empty table: no rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,8 @@ from pyspark.sql import functions as F
 
 from comparo.llm import words as W
 from comparo.llm.pieces import chunks_of
-from comparo.llm.tables import drop, materialize, table
+from comparo.llm.tables import drop, materialize, scratch_dir, table
+from comparo.session import freed_shuffles
 
 MIN_COUNT = 10
 MAX_WORDS = 3
@@ -71,12 +73,18 @@ def occurrences(data: np.ndarray, bounds: np.ndarray) -> tuple[W.Words, np.ndarr
 
 
 def packed(values: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values if isinstance(values, bytes) else values.tobytes())
+    """Compressed bytes; of integers byte by byte of all values, the lowest first, as the upper ones are much alike."""
+    if not isinstance(values, bytes):
+        values = np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(values)
 
 
 def unpacked(raw: pa.BinaryScalar, kind=None):
     out = zstandard.ZstdDecompressor().decompress(raw.as_buffer())
-    return out if kind is None else np.frombuffer(out, kind)
+    if kind is None:
+        return out
+    rows = np.frombuffer(out, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(rows.T).view(kind).ravel()
 
 
 def word_ids(words: list[bytes], lang: str) -> np.ndarray:
@@ -179,29 +187,35 @@ def _ids(table, at: int = 0) -> np.ndarray:
 
 
 def groups_of(relation: DataFrame) -> DataFrame:
-    """(row, group, id, n) of every group of every row."""
+    """(row, id, n) of every group of every row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, row in enumerate(batch.column("row").to_pylist()):
                 ids, counts = _ids(batch, at).view(np.int64), _of(batch, "counts", np.int32, at)
+                order = np.argsort(ids)     # neighbours are alike, so the shuffle packs them better
+                ids, counts = ids[order], counts[order]
                 for i in range(0, len(ids), BATCH):
                     n = len(ids[i:i + BATCH])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, row)), pa.array(np.arange(i, i + n, dtype=np.int32)),
-                         pa.array(ids[i:i + n]), pa.array(counts[i:i + n])], names=["row", "group", "id", "n"])
+                        [pa.array(np.full(n, row)), pa.array(ids[i:i + n]), pa.array(counts[i:i + n])], names=["row", "id", "n"])
 
-    return relation.select("row", "ids", "told_ids", "left", "right", "counts").mapInArrow(
-        run, "row long, group int, id long, n int")
+    return relation.select("row", "ids", "told_ids", "left", "right", "counts").mapInArrow(run, "row long, id long, n int")
+
+
+def frequent_groups(relation: DataFrame, min_count: int) -> DataFrame:
+    """(row, id, a) of the groups that come `min_count` times or more, a, in all rows."""
+    summed = groups_of(relation).withColumn("a", F.sum("n").over(Window.partitionBy("id")))
+    return summed.where(F.col("a") >= min_count).select("row", "id", "a")
 
 
 def extended(relation: DataFrame, frequent: DataFrame, last: bool = False) -> DataFrame:
-    """The next level's relation, from the occurrences of the `frequent` groups (row, group) of `relation`; after the
+    """The next level's relation, from the occurrences of the `frequent` groups (row, id) of `relation`; after the
     last level, no occurrences but the frequent groups alone."""
     def run(own: pa.Table, groups: pa.Table) -> pa.Table:
         if not own.num_rows or not groups.num_rows:
             return pa.Table.from_batches([], schema=_row(0, "", 0).schema)
-        kept = np.sort(groups.column("group").to_numpy())
         ids, all_groups, words = _ids(own), _of(own, "groups", np.int32), _of(own, "words")
+        kept = np.flatnonzero(np.isin(ids.view(np.int64), groups.column("id").to_numpy()))
         told = {"told_ids": ids[kept]}
         if words is not None:
             words = words.split(b"\n")
@@ -249,20 +263,33 @@ def told_pairs(relation: DataFrame) -> DataFrame:
 
 # ---- levels ----
 
+def stored(relation: DataFrame) -> tuple[DataFrame, str]:
+    """The relation written in buckets of its rows' numbers, so that only the frequent groups move to meet it; and
+    the name of its table."""
+    spark, name = relation.sparkSession, f"level_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with freed_shuffles(spark):
+        relation.write.bucketBy(buckets, "row").option("compression", "uncompressed").option(
+            "path", f"{scratch_dir(spark)}/llm-{name}/level").saveAsTable(name)
+    return spark.table(name), name
+
+
 def frequent_phrases(docs: DataFrame, *, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT,
                      block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, words, a) of the phrases of up to `max_words` words that come `min_count` times, (lang, n) word counts)."""
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("string"))
-    relation = materialize(word_occurrences(docs, block_bytes), "level-1", "uncompressed")
+    spark = docs.sparkSession
+    relation, name = stored(word_occurrences(docs, block_bytes))
     sizes = materialize(relation.groupBy("lang").agg(F.sum("size").alias("n")), "words")
     level, levels = None, []
     for k in range(1, max_words + 1):
-        counts = materialize(groups_of(relation).groupBy("id").agg(F.sum("n").alias("a")).where(
-            F.col("a") >= min_count), "counts")
-        frequent = groups_of(relation).select("row", "group", "id").join(counts.select("id"), "id").select("row", "group")
-        before, relation = relation, materialize(
-            extended(relation, frequent, k == max_words), "level", "uncompressed")
-        drop(before.sparkSession, before)
+        frequent = materialize(frequent_groups(relation, min_count), "groups")
+        counts = materialize(frequent.groupBy("id").agg(F.max("a").alias("a")), "counts")
+        before = relation, name
+        relation, name = stored(extended(relation, frequent.select("row", "id"), k == max_words))
+        for done in (before[0], frequent):
+            drop(spark, done)
+        spark.sql(f"DROP TABLE IF EXISTS {before[1]}")
         if k == 1:
             named = told_words(relation).withColumn("phrase", F.col("word"))
         else:
@@ -272,7 +299,8 @@ def frequent_phrases(docs: DataFrame, *, max_words: int = MAX_WORDS, min_count:
                 "phrase", F.concat_ws(" ", "head", "word"))
         level = materialize(named.join(counts, "id").select("id", "lang", "word", "phrase", "a"), "frequent")
         levels.append(level.select("lang", "phrase", F.lit(k).alias("words"), "a"))
-    drop(relation.sparkSession, relation)
+    drop(spark, relation)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)
