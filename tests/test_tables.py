@@ -188,3 +188,24 @@ def test_every_report_of_a_set_by_format(spark, sf_small):
             assert bool(folders) == ("format" in df.columns), (name, table)
             parted += bool(folders)
     assert parted >= 8
+
+
+def test_materialized_tables_free_their_shuffles_and_go_when_discarded(spark):
+    from comparo.session import discard, freed_shuffles, materialize
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    kept = materialize(df, name="kept")
+    assert rows(kept) == rows(df) and kept.schema == df.schema
+    assert spark.conf.get(key, "false") == before
+    with freed_shuffles(spark):
+        assert spark.conf.get(key) == "true"
+    parted = materialize(df, name="parted", partition_by=["k"])
+    assert rows(parted.select("k", "count")) == rows(df) and len(parted.where("k = 3").inputFiles()) >= 1
+    files = kept.inputFiles()
+    discard(kept)
+    assert not any(spark._jvm.java.io.File(f.removeprefix("file:")).exists() for f in files)
+    for how in ("cache", "none", "checkpoint"):
+        assert rows(materialize(df, how)) == rows(df)
+    with pytest.raises(ValueError):
+        materialize(df, "elsewhere")
