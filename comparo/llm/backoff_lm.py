@@ -31,10 +31,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comparo.llm import words as W
-from comparo.llm.tables import drop, materialize, release, table
+from comparo.llm.tables import drop, materialize, table
 
 ORDER = 3
-MIN_COUNT = 2          # n-grams of two words and more that come less often are backed off from
+MIN_COUNT = 1          # n-grams of two words and more that come less often are backed off from
 BACKOFF = 0.4
 BLOCK_BYTES = 8 << 20  # text of a block
 BUCKET_HASHES = 2_000_000  # hashes that one bucket adds up, about
@@ -217,11 +217,9 @@ def backoff_scores(docs: DataFrame, corpus: DataFrame | None = None, *, order: i
                       F.coalesce(F.sum(F.when(F.col("counted"), F.col("n_words"))), F.lit(0)).alias("corpus")).first()
     buckets = size["all"] * order // BUCKET_HASHES + 1
     answers = materialize(totals(sent(blocks, order, buckets), buckets), "totals", "none")
-    release(spark, 6)
     out = materialize(scores(blocks, answers, order, size["corpus"], min_count, backoff), "scores")
     drop(spark, blocks)
     drop(spark, answers)
-    release(spark)
     return out.withColumn("mean_log10", F.when(F.col("n_words") > 0, F.col("score_micro") / 1e6 / F.col("n_words")))
 
 
@@ -243,8 +241,8 @@ t as (select count(*) as n from g),
 s1 as (select g.*, u.n::double / t.n as s, v.n as n2, x.n as n1 from g cross join t join c1 u on u.a = g.w3
        left join c2 v on v.a = g.w2 and v.b = g.w3 left join c1 x on x.a = g.w2),
 s2 as (select r, i, w1, w2, w3, n2,
-              case when i = 1 then s when n2 >= 2 then n2::double / n1 else 0.4::double * s end as s from s1),
-s3 as (select s2.r, case when i <= 2 then s when x.n >= 2 then x.n::double / v.n else 0.4::double * s end as s
+              case when i = 1 then s when n2 >= 1 then n2::double / n1 else 0.4::double * s end as s from s1),
+s3 as (select s2.r, case when i <= 2 then s when x.n >= 1 then x.n::double / v.n else 0.4::double * s end as s
        from s2 left join c3 x on x.a = s2.w1 and x.b = s2.w2 and x.c = s2.w3
        left join c2 v on v.a = s2.w1 and v.b = s2.w2),
 p as (select r, sum(round_even(log10(s) * 1e6, 0)::bigint)::bigint as m from s3 group by 1)

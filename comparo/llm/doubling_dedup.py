@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comparo.llm import words as W
-from comparo.llm.tables import drop, materialize, release, table, texts_of
+from comparo.llm.tables import drop, materialize, table, texts_of
 from comparo.llm.winnow import least_positions
 
 MIN_WORDS = 50
@@ -147,16 +147,13 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, base: int = B
     stand = whole.join(classes.select("sha", F.col("first").alias("did"), "h"), ["sha", "did", "h"])
     rows = stand.dropDuplicates(["sha", "did"]).select("did", "sha", "h", F.explode("windows").alias("window"))
     kept = materialize(_survivors(rows, "h"), "level")
-    release(spark)
     alive = materialize(_same(texts_of(docs.withColumn("did", did), kept)), "alive")
-    release(spark)
     for length, longer in zip(lengths[:-1], lengths[1:]):
         found = extended(alive, length, longer, min_words)
         if longer < min_words:
             rows = found.select("did", "sha", F.explode("windows").alias("window")).distinct()
             before, alive = alive, materialize(alive.drop("windows").join(_survivors(rows), ["did", "sha"]), "alive")
             drop(spark, before)
-            release(spark)
     if len(lengths) == 1:   # a single level: its windows are the candidates
         found = extended(alive, min_words, min_words, min_words)
     rows = materialize(found.select("did", "sha", F.explode(F.arrays_zip("windows", "places")).alias("x")).select(
@@ -165,7 +162,6 @@ def remove_repeats(docs: DataFrame, *, min_words: int = MIN_WORDS, base: int = B
         F.collect_set("place").alias("places"))
     cut = materialize(_removed(alive.select("did", "sha", "text").join(again, ["did", "sha"]), min_words), "cut")
     drop(spark, rows)
-    release(spark)
     out = (whole.select("doc_id", "did", "sha", "n_words")
            .join(classes.drop("h"), "sha", "left").join(cut.dropDuplicates(["did", "sha"]), ["did", "sha"], "left"))
     copy = F.col("first") < F.col("did")

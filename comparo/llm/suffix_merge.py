@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from comparo.llm import words as W
-from comparo.llm.tables import drop, materialize, release, table, texts_of
+from comparo.llm.tables import drop, materialize, table, texts_of
 from comparo.llm.winnow import least_positions
 
 LENGTH = 400
@@ -392,10 +392,8 @@ def remove_repeated_bytes(docs: DataFrame, *, length: int = LENGTH, gram: int =
     rows = stand.select("rid", "did", "h", F.explode("grams").alias("gram"))
     repeated = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     kept = materialize(rows.join(repeated, "gram").groupBy("rid", "did", "h").agg(F.collect_set("gram").alias("grams")), "grams")
-    release(spark)
     alive = texts_of(docs.withColumn("did", did), kept).select("rid", "text", "grams")
     alive = materialize(_checked(alive), "alive")
-    release(spark)
     entries = materialize(contexts(alive, length, gram).distinct(), "entries")
     counts = materialize(entries.groupBy("context").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "at", "before", "after", "gram")).alias("x")), "contexts")
@@ -410,13 +408,11 @@ def remove_repeated_bytes(docs: DataFrame, *, length: int = LENGTH, gram: int =
     sample = sampled(listed, max(1, int(size) // (2 * length) // (SAMPLES * ranges))) if ranges > 1 else []
     shared = spark.sparkContext.broadcast(splitters_of(sample, ranges, gram))
     done = materialize(merged(sorted_runs(listed, shared), shared, length, gram, ranges), "merged")
-    release(spark)
     spans = covered.unionByName(done.where("rid is not null").select("rid", "low", "high")).unionByName(
         across(done.where("bucket is not null"), length))
     spans = spans.groupBy("rid").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     cut = materialize(_cut(alive.select("rid", "text").join(spans, "rid")).dropDuplicates(["rid"]), "cut")
     drop(spark, listed)
-    release(spark)
     out = whole.join(classes.drop("did"), "rid", "left").join(cut, "rid", "left")
     copied = F.coalesce(F.col("copies"), F.lit(0)) > 1
     return out.select(
