@@ -36,7 +36,7 @@ from comparo.llm.tables import drop, materialize, table
 ORDER = 3
 MIN_COUNT = 1          # n-grams of two words and more that come less often are backed off from
 BACKOFF = 0.4
-BLOCK_BYTES = 8 << 20  # text of a block
+BLOCK_BYTES = 6 << 20  # text of a block
 BUCKET_HASHES = 2_000_000  # hashes that one bucket adds up, about
 _BITS = 56
 
@@ -126,7 +126,7 @@ def sent(blocks: DataFrame, order: int, buckets: int) -> DataFrame:
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         borders = _borders(buckets)
         for batch in rows:
-            for r in batch.to_pylist():
+            for r in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):    # one block at a time
                 _, words = _words(r["payload"])
                 hashes = np.sort(np.concatenate([h for _, h in ngrams(words, order)]))
                 if not len(hashes):
