@@ -477,7 +477,7 @@ query("history_growth_all")(_history(False))
 
 def _slots(spark, d):
     from comparo.plans import hours as H
-    return H.slot_sales(X.slot_sales_wide(spark, d))
+    return H.slot_sales(X.slot_sales_sheet(spark, d))
 
 
 @query("unpivot_stores")
@@ -519,7 +519,7 @@ def q_margin_ratio(spark, d):
 
 def _operating(spark, d):
     from comparo.plans import hours as H
-    return H.operating_result(X.slot_sales_wide(spark, d), X.staff_cost_wide(spark, d),
+    return H.operating_result(X.slot_sales_sheet(spark, d), X.staff_cost_wide(spark, d),
                               X.authorised_hours_wide(spark, d), X.margin_long(spark, d))
 
 
@@ -538,7 +538,7 @@ def q_hours_wide(spark, d):
 def q_extended_hours_report(spark, d):
     """The whole report as presented, with its row numbers."""
     from comparo.plans import hours as H
-    return numbered(H.extended_hours(X.slot_sales_wide(spark, d), X.staff_cost_wide(spark, d),
+    return numbered(H.extended_hours(X.slot_sales_sheet(spark, d), X.staff_cost_wide(spark, d),
                                       X.authorised_hours_wide(spark, d), X.margin_long(spark, d)))
 
 
@@ -858,10 +858,11 @@ def q_share_file_ingest(spark, d):
 def q_hours_file_ingest(spark, d):
     """Half-hour sales, staff cost, authorised hours and margins from files to the operating result."""
     from comparo.plans import hours as H
-    from comparo.sources.readers import read_any, read_delimited, read_sheet
-    from comparo.sources.writers import write_locale_csv
-    slots = X.slot_sales_wide(spark, d)
-    slot_path = write_locale_csv(slots, _scratch(spark, "slots"), title="Ventas por media hora, tiendas")
+    from comparo.sources.readers import read_cells, read_delimited, read_sheet
+    from comparo.sources.writers import write_sheet_csv
+    ids = ["year", "date_text", "slot_text"]
+    slot_path = write_sheet_csv(X.slot_sales_sheet(spark, d), ids, X.store_header(spark, d),
+                                _scratch(spark, "slots"), title="Ventas por media hora, tiendas")
     sheets = []
     for df, name in ((X.staff_cost_wide(spark, d), "costo"), (X.authorised_hours_wide(spark, d), "horas")):
         headers = _month_headers(df, lambda m: f"{L.MONTHS_ES[m.month - 1]} {m.year}")
@@ -871,7 +872,7 @@ def q_hours_file_ingest(spark, d):
     margin_path = _scratch(spark, "margen")
     margin.write.option("sep", ";").option("header", True).csv(margin_path)
     return H.operating_result(
-        read_any(spark, slot_path, "csv", columns=slots.columns, parts=True), *sheets,
+        read_cells(spark, slot_path, ids), *sheets,
         read_delimited(spark, margin_path, "Periodo string, Tienda string, rubro string, importe string"))
 
 

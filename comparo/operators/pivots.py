@@ -49,7 +49,14 @@ def unpivot(df: DataFrame, ids, values, var: str, value: str,
             drop_nulls: bool = False) -> DataFrame:
     """Wide -> long (UNP-1..4). ``unpivot`` keeps NULL cells; ``drop_nulls``
     removes them: a row's cells are filtered before they become rows, so a sheet of a thousand mostly
-    empty columns is not copied a thousand times."""
+    empty columns is not copied a thousand times. ``values`` may also be the name of one map column that
+    holds a row's cells by their header (a sheet with more columns than a plan can carry); a header
+    that is not in the map is an empty cell, so such a sheet is unpivoted with ``drop_nulls`` alone."""
+    if isinstance(values, str):
+        if not drop_nulls:
+            raise ValueError("a sheet of cells has no empty cells to keep: drop_nulls=True")
+        long = df.select(*[F.col(f"`{i}`") for i in ids], F.explode(F.col(f"`{values}`")).alias(var, value))
+        return long.filter(F.col(value).isNotNull())
     if not drop_nulls:
         return df.unpivot(list(ids), list(values), var, value)
     cells = F.array(*[F.struct(F.lit(v).alias(var), F.col(f"`{v}`").alias(value)) for v in values])

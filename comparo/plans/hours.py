@@ -44,12 +44,13 @@ def _month_lower(date_col) -> F.Column:
 
 def slot_sales(wide: DataFrame, id_cols=("year", "date_text", "slot_text")) -> DataFrame:
     """Wide half-hour report -> one row per (date, slot, store) with sales
-    (FLT-8, UNP-2, STR-1/5/7/8, DAT-1/4)."""
+    (FLT-8, UNP-2, STR-1/5/7/8, DAT-1/4). The stores are columns, or one map column ``cells``."""
     ids = list(id_cols)
     stores = [c for c in wide.columns if c not in ids]
     body = drop_totals(wide, ["year"])                          # 'Total' rows (FLT-8)
     body = body.filter(F.col("year").rlike(r"^\d{4}$"))       # the sub-header row
-    long = unpivot(body.select(*ids, *[F.col(f"`{c}`").alias(c) for c in stores]), ids, stores,
+    values = "cells" if stores == ["cells"] else stores
+    long = unpivot(body.select(*ids, *[F.col(f"`{c}`").alias(c) for c in stores]), ids, values,
                    "store_label", "vct_text", drop_nulls=True)
     date = date_of(token("date_text", 4), month_from_name(token("date_text", 2)),
                    token("date_text", 0))

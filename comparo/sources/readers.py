@@ -17,7 +17,7 @@ import datetime as _dt
 import re
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -216,6 +216,52 @@ def read_sheet(spark: SparkSession, path: str, ids, *, encoding: str = "UTF-8",
     return Report(rows, out.bad) if isinstance(out, Report) else rows
 
 
+def read_cells(spark: SparkSession, path: str, ids, *, encoding: str = "UTF-16", sep: str = ",") -> DataFrame:
+    """A report with more columns than a plan can carry: `ids` as columns, its other cells in the map ``cells``, by header.
+
+    The header row is the first one that begins with `ids`; the rows above it are dropped, all rows below it and in the
+    other part files are kept. A line is taken as text and only its filled cells become rows, placed by the separators
+    before them. Empty cells are not in the map. A cell holds no line break. A row with a surplus cell that holds
+    something raises when it is met.
+    """
+    ids = list(ids)
+    raw = (spark.read.schema("line string").option("encoding", encoding).option("multiLine", True).option("sep", "\x01")
+           .option("quote", "").option("header", False).csv(path))
+    lines = materialize(raw.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.monotonically_increasing_id()}),
+                        name="report-lines")
+    s = re.escape(sep)
+    # separators and a cell: quoted text (quotes in it doubled), or all up to the next one; possessive, so one pass a line
+    tokens = F.regexp_extract_all("line", F.lit(f'{s}*+(?:"[^"]*+(?:""[^"]*+)*+"(?={s}|$)|[^{s}]++)'), F.lit(0))
+
+    def plain(c: Column) -> Column:
+        quoted = c.startswith('"') & c.endswith('"') & (F.length(c) > 1)
+        return F.when(quoted, F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c)
+
+    def placed(some: DataFrame) -> DataFrame:
+        cells = some.select("_row", "_file", F.posexplode_outer(tokens).alias("_i", "_token"))
+        cells = cells.withColumn("_cell", F.ltrim("_token", F.lit(sep)))
+        before = F.sum(F.length("_token") - F.length("_cell")).over(Window.partitionBy("_row").orderBy("_i"))
+        return cells.select("_row", "_file", before.alias("_place"), plain(F.col("_cell")).alias("_text"))
+
+    first = F.transform(F.slice(tokens, 1, len(ids)), lambda c: F.trim(plain(F.ltrim(c, F.lit(sep)))))
+    heads = (lines.filter(F.col("line").contains(ids[0])).filter(first == F.array(*[F.lit(i) for i in ids]))
+             .groupBy("_file").agg(F.min("_row").alias("_row")).limit(2).collect())
+    if not heads:
+        raise ValueError(f"no header row {ids!r} in {path}")
+    if len(heads) > 1:
+        raise ValueError(f"{path} holds several reports: {', '.join(sorted(h['_file'] for h in heads))}")
+    file, row = heads[0]
+    names = placed(lines.filter(F.col("_row") == row)).select("_place", F.trim("_text").alias("_name"))
+    cells = placed(lines.filter((F.col("_file") != file) | (F.col("_row") > row))).join(names, "_place", "left")
+    told = F.raise_error(F.concat(F.lit("more cells than the header: "), F.col("_file"), F.lit(": "), F.col("_text")))
+    filled = F.trim("_text") != ""
+    text = F.when(filled & F.col("_name").isNull(), told.cast("string")).otherwise(F.col("_text"))
+    entry = F.when(filled & (F.col("_place") >= len(ids)), F.struct(F.col("_name"), text))
+    return cells.groupBy("_row").agg(
+        *[F.max(F.when(filled & (F.col("_place") == i), F.col("_text"))).alias(c) for i, c in enumerate(ids)],
+        F.map_from_entries(F.collect_list(entry)).alias("cells")).drop("_row")
+
+
 def read_wide(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """A wide monthly sheet that is stored as a table already."""
     return spark.read.format(fmt).load(path)

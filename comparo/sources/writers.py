@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DecimalType, DoubleType, FloatType, NumericType, StringType,
                                StructField, StructType)
@@ -70,6 +70,44 @@ def write_locale_csv(df: DataFrame, path: str, encoding: str = "UTF-16",
     return path
 
 
+def _quoted(c) -> F.Column:
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def write_sheet_csv(sheet: DataFrame, ids, header: DataFrame, path: str, *, title: str, encoding: str = "UTF-16",
+                    mode: str = "overwrite") -> str:
+    """A sheet of ``ids`` and a map ``cells`` as the text report with a column for every row of `header` (store: its
+    place, header: its text), to be read by ``readers.read_cells``: title line, header line, rows.
+
+    A line has a cell for every column, an empty one where the map has none. A plan cannot carry that many columns, so
+    lines are made as text: the filled cells of a row by place, and commas for the gaps between them. Files hold few lines.
+    """
+    ids = list(ids)
+    spark = sheet.sparkSession
+    places = header.select(F.col("header").alias("_header"),
+                           F.row_number().over(Window.orderBy("store")).alias("_place"))    # the header is one line
+    n = header.count()
+    numbered = sheet.select(F.monotonically_increasing_id().alias("_line"), *ids, F.col("cells").alias("_cells"))
+    filled = numbered.select("_line", *ids, F.explode_outer("_cells").alias("_header", "_text"))
+    cell = F.when(F.col("_place").isNotNull() & F.col("_text").isNotNull(), F.struct("_place", "_text"))
+    rows = filled.join(places, "_header", "left").groupBy("_line", *ids).agg(
+        F.sort_array(F.collect_list(cell)).alias("_filled"))
+    # few bytes, but a cell for every column: spread the rows before they become wide
+    rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    before = lambda i: F.coalesce(F.get("_filled", i - 1)["_place"], F.lit(0))
+    texts = F.transform("_filled", lambda x, i: F.concat(F.repeat(F.lit(","), x["_place"] - before(i)), _quoted(x["_text"])))
+    line = F.concat(
+        F.array_join(F.array(*[F.coalesce(_quoted(F.col(i)), F.lit("")) for i in ids]), ","), F.array_join(texts, ""),
+        F.repeat(F.lit(","), F.lit(n) - before(F.size("_filled"))))
+    heads = header.agg(F.transform(F.sort_array(F.collect_list(F.struct("store", "header"))), lambda x: x["header"]).alias("h"))
+    named = F.concat(F.array(*[F.lit(i) for i in ids]), F.col("h"))
+    top = heads.select(F.explode(F.array(_quoted(F.lit(title)), F.array_join(F.transform(named, _quoted), ","))).alias("line"))
+    (top.coalesce(1).unionByName(rows.select(line.alias("line"))).write.mode(mode).option("encoding", encoding)
+     .option("header", False).option("quote", "").option("sep", "\x01").option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).option("maxRecordsPerFile", max(1, (64 << 20) // (2 * (n + 100)))).csv(path))
+    return path
+
+
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by=None) -> str:
     """Parquet export (SNK-3)."""
     w = df.write.mode(mode)
