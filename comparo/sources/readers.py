@@ -83,7 +83,7 @@ def _read_text(spark: SparkSession, path: str, header: list[str], *, encoding: s
         if names:
             raise ValueError(f"no header row {header!r} in {', '.join(names)} (parts=True if they are parts of one report)")
     below = F.col("_head").isNull() | (F.col("_row") > F.col("_head"))
-    kept = tagged.join(heads, "_file", "left").filter(below)
+    kept = tagged.join(F.broadcast(heads), "_file", "left").filter(below)      # a row a file: no file becomes one task
     bad = F.coalesce(_surplus(F.col(RAW), n, sep), F.lit(False))
     # the cells depend on the join, so that no later predicate is tried on the rows above
     rows = kept.withColumn("_bad", bad).select(
@@ -230,8 +230,9 @@ def read_cells(spark: SparkSession, path: str, ids, *, encoding: str = "UTF-16",
     lines = materialize(raw.withColumns({"_file": F.col("_metadata.file_path"), "_row": F.monotonically_increasing_id()}),
                         name="report-lines")
     s = re.escape(sep)
-    # separators and a cell: quoted text (quotes in it doubled), or all up to the next one; possessive, so one pass a line
-    tokens = F.regexp_extract_all("line", F.lit(f'{s}*+(?:"[^"]*+(?:""[^"]*+)*+"(?={s}|$)|[^{s}]++)'), F.lit(0))
+    # separators and a cell: quoted text (quotes in it doubled), or all up to the next one; possessive and without the empty
+    # cells at the end, so one pass a line
+    tokens = F.regexp_extract_all(F.rtrim("line", F.lit(sep)), F.lit(f'{s}*+(?:"[^"]*+(?:""[^"]*+)*+"(?={s}|$)|[^{s}]++)'), F.lit(0))
 
     def plain(c: Column) -> Column:
         quoted = c.startswith('"') & c.endswith('"') & (F.length(c) > 1)

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (DecimalType, DoubleType, FloatType, NumericType, StringType,
                                StructField, StructType)
 
+FILE_BYTES = 64 << 20      # of a text file, which one task reads
+CELL_CHARS = 24            # of a cell, with quotes and separator, as a rule
+
 
 def write_report_set(reports: dict, path: str, fmt: str = "parquet",
                      partition_by=None, mode: str = "overwrite") -> dict:
@@ -45,7 +48,8 @@ def write_locale_csv(df: DataFrame, path: str, encoding: str = "UTF-16",
     reports (``header``: its names, which may repeat), the others hold rows alone: read them as ``parts``
     of one report. (Spark keeps the order of a union's children in its partitions, and numbers part files by partition;
     an unsorted report may hold its rows in any order, but they all follow the first file's header.)
-    Otherwise every part file has a plain header."""
+    Otherwise every part file has a plain header. Such a file is read by one task, so none holds more than some 64 MB."""
+    most = max(1000, FILE_BYTES // (2 * CELL_CHARS * max(1, len(df.columns))))
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
@@ -63,10 +67,10 @@ def write_locale_csv(df: DataFrame, path: str, encoding: str = "UTF-16",
         # first part file, the report rows keep their partitioning (no sort, no shuffle)
         text = top.coalesce(1).unionByName(text)
         (text.write.mode(mode).option("encoding", encoding).option("header", False)
-         .option("quoteAll", True).csv(path))
+         .option("quoteAll", True).option("maxRecordsPerFile", most).csv(path))
     else:
         (text.write.mode(mode).option("encoding", encoding).option("header", True)
-         .option("quoteAll", True).csv(path))
+         .option("quoteAll", True).option("maxRecordsPerFile", most).csv(path))
     return path
 
 
@@ -104,7 +108,7 @@ def write_sheet_csv(sheet: DataFrame, ids, header: DataFrame, path: str, *, titl
     top = heads.select(F.explode(F.array(_quoted(F.lit(title)), F.array_join(F.transform(named, _quoted), ","))).alias("line"))
     (top.coalesce(1).unionByName(rows.select(line.alias("line"))).write.mode(mode).option("encoding", encoding)
      .option("header", False).option("quote", "").option("sep", "\x01").option("ignoreLeadingWhiteSpace", False)
-     .option("ignoreTrailingWhiteSpace", False).option("maxRecordsPerFile", max(1, (64 << 20) // (2 * (n + 100)))).csv(path))
+     .option("ignoreTrailingWhiteSpace", False).option("maxRecordsPerFile", max(1, FILE_BYTES // (2 * (n + 100)))).csv(path))
     return path
 
 
