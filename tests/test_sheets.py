@@ -83,3 +83,27 @@ def test_cells_reader_wants_one_header_and_no_surplus(spark, tmp_path):
     path = write("b.csv", "year,k,1 x\n2024,a,1,surplus\n")
     with pytest.raises(Exception, match="more cells than the header"):
         read_cells(spark, path, ["year", "k"]).collect()
+
+
+def test_report_files_stay_small_and_no_file_is_one_task(spark, path, monkeypatch):
+    from comparo.sources import writers
+    from comparo.sources.readers import read_report_csv
+    monkeypatch.setattr(writers, "FILE_BYTES", 1)          # the fewest rows a file that are allowed: 1000
+    df = spark.range(0, 4500, 1, 1).select(F.col("id").cast("string").alias("a"), F.lit("x").alias("b"))
+    writers.write_locale_csv(df, path, title="Informe, grande")
+    files = {r[0]: r[1] for r in spark.read.option("encoding", "UTF-16").option("multiLine", True).csv(path)
+             .groupBy(F.col("_metadata.file_path")).count().collect()}
+    assert len(files) >= 5 and max(files.values()) == 1000
+    back = read_report_csv(spark, path, ["a", "b"], parts=True)
+    assert sorted(int(r.a) for r in back.collect()) == list(range(4500))
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan                      # the header rows go to the rows, not rows to their file's task
+
+
+def test_heavy_products_are_found_without_the_join_to_orders(spark, sf_small, monkeypatch):
+    seen = []
+    real = X.heavy_keys
+    monkeypatch.setattr(X, "heavy_keys", lambda df, key, **kw: seen.append(df) or real(df, key, **kw))
+    n = X.derived_lines(spark, sf_small).count()
+    assert n == X.table(spark, sf_small, "lineitem").count()
+    assert len(seen) == 1 and "Join" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
