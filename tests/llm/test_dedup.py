@@ -222,3 +222,45 @@ def test_open_lists_whose_comparisons_are_known_are_answered(frame, monkeypatch)
     monkeypatch.setattr(jaccard_skip, "level_pairs", level_pairs)
     assert got(jaccard_components(frame(rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
     assert left == [False, False]
+
+
+def test_lists_with_equal_members_give_their_pairs_once(spark):
+    """Forty shingles that the same three members share outside their centre are one list, and a pair must still reach
+    its overlap after the shingle that it is found by."""
+    shared, n = list(range(100, 140)), 100
+    members = spark.createDataFrame(
+        [(0, y, n, 60, [y, *shared] if y < 3 else [*shared, y], y) for y in (1, 2, 3)],
+        "x long, y long, n long, o long, own array<long>, component long")
+    lists = jaccard_skip.outside_lists(members)
+    assert sorted(map(tuple, lists.select("token", "sid", "p", "m").collect())) == [(100, 1, 1, 3), (100, 2, 1, 3), (100, 3, 0, 3)]
+    assert sorted(map(tuple, jaccard_skip.sharing_pairs(lists, 75).collect())) == [(1, 2), (1, 3), (2, 3)]
+    late = lists.withColumn("p", F.col("p") + 20)        # 60 + 100 - 60 - 21 shingles do not reach 86
+    assert jaccard_skip.sharing_pairs(late, 75).isEmpty()
+
+
+@pytest.mark.parametrize("open_", [0, 1000])
+def test_open_lists_at_every_depth(frame, monkeypatch, open_):
+    """Chains of texts that change a little from one to the next, with a common beginning: the components do not depend
+    on how soon open lists give all their pairs; sets are read from the texts once."""
+    rnd = random.Random(11)
+    word = lambda: f"w{rnd.randrange(10**6)}"
+    rows, common = [], [word() for _ in range(60)]
+    for chain in range(4):
+        words = [word() for _ in range(60)]
+        for _ in range(9):
+            at = rnd.randrange(60)
+            words = words[:at] + [word()] + words[at + 1:]
+            rows.append((len(rows), " ".join(common + words)))
+    read, whole = [], jaccard_skip.whole_sets
+    monkeypatch.setattr(jaccard_skip, "OPEN", open_)
+    monkeypatch.setattr(jaccard_skip, "whole_sets", lambda *a: read.append(1) or whole(*a))
+    assert got(jaccard_components(frame(rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert len(read) == 1
+
+
+def test_components_take_in_further_links(spark):
+    comps = spark.createDataFrame([(2, 1), (3, 1), (8, 7)], "id long, component long")
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    assert jaccard_skip.merged(comps, links([(2, 3), (7, 8)])) is None
+    assert sorted(map(tuple, jaccard_skip.merged(comps, links([(3, 8), (9, 10)])).collect())) == [
+        (2, 1), (3, 1), (7, 1), (8, 1), (10, 9)]
