@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,6 +239,28 @@ def test_lists_with_equal_members_give_their_pairs_once(spark):
     assert jaccard_skip.sharing_pairs(late, 75).isEmpty()
 
 
+def test_packed_lists_are_the_plain_ones(spark):
+    """Lists outside a centre travel packed; those of a centre with more entries than a task takes as rows. Both ways agree."""
+    rnd = random.Random(3)
+    rows = [(x, 100 * x + y, 60, 20 + y % 7, sorted(rnd.sample(range(40), rnd.randint(0, 12))), 100 * x + y % 3)
+            for x in range(9) for y in range(rnd.randint(1, 9))]
+    members = spark.createDataFrame(rows, "x long, y long, n long, o long, own array<long>, component long")
+    plain = sorted(map(tuple, jaccard_skip.plain_lists(members).collect()))
+    assert plain and plain == sorted(map(tuple, jaccard_skip.packed_lists(members, 4).collect()))
+    for entries in (1, 40, 10**6):     # all, some and no centres are wide
+        assert sorted(map(tuple, jaccard_skip.outside_lists(members, entries).collect())) == plain
+    # a member's place comes once for each of its shingles, packed: no row for each of them is exchanged
+    assert "explode" not in jaccard_skip.outside_lists(members)._jdf.queryExecution().toString().lower()
+
+
+def test_sets_are_packed_and_unpacked():
+    rnd = random.Random(4)
+    for n in (0, 1, 7, 700):
+        own = np.array(sorted({rnd.randrange(1 << 64) for _ in range(n)} | ({0, (1 << 64) - 1} if n == 7 else set())), np.uint64)
+        packed = jaccard_skip.packed_set(own)
+        assert len(packed) == 8 * len(own) and np.array_equal(jaccard_skip.unpacked_set(packed), own)
+
+
 @pytest.mark.parametrize("open_", [0, 1000])
 def test_open_lists_at_every_depth(frame, monkeypatch, open_):
     """Chains of texts that change a little from one to the next, with a common beginning: the components do not depend
