@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ ORDERS = (5,)         # lengths of the n-grams
 BITS = 19             # hashed buckets: 1 << BITS
 STEPS = 100           # steps of the fit
 RATE, PENALTY = 1.0, 1e-5
-STRETCH = 2_000_000   # entries that a step of the fit works on at once
+STRETCH = 500_000     # entries that a step of the fit works on at once
 FOLDS = 5
 
 
@@ -92,7 +93,7 @@ def fit(columns: list[np.ndarray], counts: list[np.ndarray], total: np.ndarray,
     # entries of the documents one after the other, worked on in stretches of documents
     length = np.array([len(c) for c in columns])
     begin = np.concatenate([[0], np.cumsum(length)])
-    columns, value = np.concatenate(columns), np.concatenate(counts).astype(np.float32)
+    columns, value = np.concatenate(columns), np.concatenate(counts, dtype=np.float32, casting="unsafe")
     stretches = [(i, j, slice(begin[i], begin[j])) for i, j in W.chunks(begin, STRETCH)]
     p, q = np.ones(size), np.ones(size)
     for i, j, own in stretches:
@@ -155,10 +156,11 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
     entries = counted(_share(sample, "key", part), orders, bits)
 
     def train(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("doc_id", "ascending"), ("h", "ascending")])
-        toxic = rows["toxic"].to_numpy() == 1
-        columns, counts = ([np.frombuffer(x.as_buffer(), np.int32) for x in rows[c]] for c in ("columns", "counts"))
-        weights = fit(columns, counts, rows["total"].to_numpy().astype(float), toxic, bits)
+        # the order of the rows alone: a sorted copy would hold all counts a second time
+        order = pc.sort_indices(rows.select(["doc_id", "h"]), [("doc_id", "ascending"), ("h", "ascending")]).to_numpy()
+        packed = ([np.frombuffer(x.as_buffer(), np.int32) for x in rows[c]] for c in ("columns", "counts"))
+        columns, counts = ([own[k] for k in order] for own in packed)
+        weights = fit(columns, counts, rows["total"].to_numpy()[order].astype(float), rows["toxic"].to_numpy()[order] == 1, bits)
         return pa.table({"weights": pa.array([weights.tobytes()], pa.binary())})
 
     one = entries.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(train, "weights binary")

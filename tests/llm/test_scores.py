@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import tracemalloc
 import zlib
 
 import duckdb
@@ -492,3 +493,17 @@ def test_warc_files(llm, tmp_path):
     assert all(h["WARC-IP-Address"] == "10.1.1.1" for h, _ in written)
     empty = warc_derive.derivatives(warc_derive.responses(pages.limit(0)))
     assert empty.collect() == []
+
+
+def test_the_fit_needs_little_more_than_its_entries():
+    """The fit runs in one task: it works on stretches of the entries and makes no second copy of them."""
+    rng = np.random.default_rng(6)
+    columns = [np.sort(rng.integers(0, 1 << 12, 50_000)).astype(np.int32) for _ in range(40)]
+    counts = [np.ones(50_000, np.int32) for _ in columns]
+    tracemalloc.start()
+    try:
+        weights = nb_toxicity.fit(columns, counts, np.full(40, 50_000.0), np.arange(40) % 2 == 0, 12)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert np.isfinite(weights).all() and peak < 24 * 40 * 50_000
