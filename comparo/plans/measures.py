@@ -42,6 +42,11 @@ def to_measures(lines: DataFrame, tickets: DataFrame | None = None, *,
         tickets = None if tickets is None else tickets.join(stores, "store_id", "left_semi")
     src = drop_null_keys(lines, store_keys)
     units_kept = F.when(~is_packaging("family", packaging, packaging_token), F.col(units))
+    if set(keys) >= set(PRODUCT_KEYS):
+        # at product grain nearly every line is a group of its own: a sum before the shuffle would hold all lines of a
+        # task's files and send rows wider than the lines, so the lines are dealt out by their keys and summed there
+        named = dict.fromkeys([*keys, "family", sales, units, *([ticket_key] if ticket_key else [])])
+        src = src.select(*named).repartition(*keys)
     # both measures summed in the same row (half the rows through the hash
     # aggregation), stacked afterwards; a measure with no value forms no row
     wide = src.groupBy(*keys).agg(

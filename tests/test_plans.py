@@ -337,6 +337,23 @@ def test_no_single_task_in_ordered_reports(spark, sf_small):
         assert "SinglePartition" not in _plan(QUERIES[key](spark, sf_small)), key
 
 
+def test_lines_at_product_grain_are_summed_after_one_exchange(spark, sf_small):
+    """Nearly every line is a group there: a sum before the shuffle would hold all lines of a task's files."""
+    from comparo.plans.measures import to_measures
+    m = to_measures(X.lines(spark, sf_small), packaging=X.PACKAGING)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "ENSURE_REQUIREMENTS" not in plan
+    below = plan.split("Exchange")[-1]
+    assert "HashAggregate" not in below
+    rows = spark.createDataFrame(
+        [(2000, 1, "MAXI", 1, "1-S", "A", None, "F", 2, 3), (2000, 1, "MAXI", 1, "1-S", "A", None, "F", 5, None),
+         (2000, 1, "MAXI", 1, "1-S", None, None, "HOT RING", 1, 9), (None, 1, "MAXI", 1, "1-S", "A", "B", "F", 7, 7)],
+        "year int, month int, format string, store_id long, store string, sector string, section string, family string, "
+        "sales int, units int")
+    got = to_measures(rows, packaging=X.PACKAGING).collect()
+    assert sorted((r.family, r.measure, int(r.value)) for r in got) == [("F", "VCT", 7), ("F", "VOL", 3), ("HOT RING", "VCT", 1)]
+
+
 def test_labels_of_a_store_are_neither_landed_nor_shuffled(spark, sf_small):
     """Format and store follow from the store's key: lines and tickets carry the key alone through their exchanges."""
     plan = X.tickets(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
