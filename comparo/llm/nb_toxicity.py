@@ -29,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from comparo.llm import words as W
-from comparo.llm.tables import materialize, table
+from comparo.llm.tables import BATCH_BYTES, materialize, table
+from comparo.session import small_batches
 
 SAMPLE_ROWS = 8_000   # labelled rows of the fit
 SAMPLE_BYTES = 64 << 20   # bytes of their texts; longer texts are scored, but not learned from
@@ -61,6 +62,16 @@ def grams(data: np.ndarray, bounds: np.ndarray, orders: tuple[int, ...], bits: i
     return out
 
 
+def packed_counts(counts: np.ndarray) -> bytes:
+    """Counts as bytes, one each where all are below 256."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.int32).tobytes()
+
+
+def unpacked_counts(packed, n: int) -> np.ndarray:
+    """The n counts of :func:`packed_counts`."""
+    return np.frombuffer(packed, np.uint8 if len(packed) == n else np.int32)
+
+
 def counted(sample: DataFrame, orders: tuple[int, ...], bits: int) -> DataFrame:
     """(doc_id, h, toxic, columns, counts, total) of the sampled rows: their n-gram buckets and counts, packed."""
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +84,7 @@ def counted(sample: DataFrame, orders: tuple[int, ...], bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [*[batch.column(c)[i:j] for c in ("doc_id", "h", "toxic")],
                      pa.array([own.astype(np.int32).tobytes() for own, _ in made], pa.binary()),
-                     pa.array([n.astype(np.int32).tobytes() for _, n in made], pa.binary()),
+                     pa.array([packed_counts(n) for _, n in made], pa.binary()),
                      pa.array([int(n.sum()) for _, n in made], pa.int64())],
                     names=["doc_id", "h", "toxic", "columns", "counts", "total"])
 
@@ -83,7 +94,7 @@ def counted(sample: DataFrame, orders: tuple[int, ...], bits: int) -> DataFrame:
 
 def fit(columns: list[np.ndarray], counts: list[np.ndarray], total: np.ndarray, toxic: np.ndarray, bits: int) -> np.ndarray:
     """Weight of each bucket (log-count ratio included), then the intercept; `columns` and `counts` are the buckets
-    of each document, `total` its number of n-grams."""
+    of each document, `total` its number of n-grams. The two lists are emptied, so that what they held can go."""
     size = 1 << bits
     prior = (toxic.sum() + 1) / (len(toxic) + 2)
     weights = np.zeros(size + 1)
@@ -93,7 +104,10 @@ def fit(columns: list[np.ndarray], counts: list[np.ndarray], total: np.ndarray,
     # entries of the documents one after the other, worked on in stretches of documents
     length = np.array([len(c) for c in columns])
     begin = np.concatenate([[0], np.cumsum(length)])
-    columns, value = np.concatenate(columns), np.concatenate(counts, dtype=np.float32, casting="unsafe")
+    parts, columns = columns, np.concatenate(columns)
+    parts.clear()
+    value = np.concatenate(counts, dtype=np.float32, casting="unsafe")
+    counts.clear()
     stretches = [(i, j, slice(begin[i], begin[j])) for i, j in W.chunks(begin, STRETCH)]
     p, q = np.ones(size), np.ones(size)
     for i, j, own in stretches:
@@ -155,16 +169,21 @@ def learn(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS,
     part = min(sample_rows / max(1, size["n"]), sample_bytes / max(1, size["bytes"] or 0))
     entries = counted(_share(sample, "key", part), orders, bits)
 
-    def train(rows: pa.Table) -> pa.Table:
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
         # the order of the rows alone: a sorted copy would hold all counts a second time
         order = pc.sort_indices(rows.select(["doc_id", "h"]), [("doc_id", "ascending"), ("h", "ascending")]).to_numpy()
-        packed = ([np.frombuffer(x.as_buffer(), np.int32) for x in rows[c]] for c in ("columns", "counts"))
-        columns, counts = ([own[k] for k in order] for own in packed)
-        weights = fit(columns, counts, rows["total"].to_numpy()[order].astype(float), rows["toxic"].to_numpy()[order] == 1, bits)
-        return pa.table({"weights": pa.array([weights.tobytes()], pa.binary())})
+        columns = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["columns"]]
+        counts = [unpacked_counts(x.as_buffer(), len(own)) for x, own in zip(rows["counts"], columns)]
+        total, toxic = rows["total"].to_numpy()[order].astype(float), rows["toxic"].to_numpy()[order] == 1
+        columns, counts = ([own[k] for k in order] for own in (columns, counts))
+        del rows        # the lists alone hold it, and `fit` empties them
+        weights = fit(columns, counts, total, toxic, bits)
+        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary())], names=["weights"])
 
     one = entries.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(train, "weights binary")
-    got = materialize(one, "weights", "none").first()
+    with small_batches(docs.sparkSession, BATCH_BYTES):     # the entries of all rows go to one task
+        got = materialize(one, "weights", "none").first()
     return fit([], [], np.zeros(0), np.zeros(0, bool), bits) if got is None else np.frombuffer(
         got["weights"], np.float64)
 

@@ -287,3 +287,17 @@ def test_components_take_in_further_links(spark):
     assert jaccard_skip.merged(comps, links([(2, 3), (7, 8)])) is None
     assert sorted(map(tuple, jaccard_skip.merged(comps, links([(3, 8), (9, 10)])).collect())) == [
         (2, 1), (3, 1), (7, 1), (8, 1), (10, 9)]
+
+
+def test_pairs_with_whole_sets_travel_in_small_batches(llm, frame, monkeypatch):
+    """A pair carries two sets: a task's Arrow batch of pairs is bounded in bytes, and the session keeps its own bound."""
+    key, held = "spark.sql.execution.arrow.maxBytesPerBatch", []
+    before, write = llm.conf.get(key), jaccard_skip.materialize
+
+    def watched(df, name, *codec):
+        held.append((name, int(llm.conf.get(key).rstrip("b"))))
+        return write(df, name, *codec)
+
+    monkeypatch.setattr(jaccard_skip, "materialize", watched)
+    jaccard_skip.jaccard_components(frame(corpus())).collect()
+    assert {x for name, x in held if name == "known"} == {jaccard_skip.BATCH_BYTES} and llm.conf.get(key) == before

@@ -507,3 +507,14 @@ def test_the_fit_needs_little_more_than_its_entries():
     finally:
         tracemalloc.stop()
     assert np.isfinite(weights).all() and peak < 24 * 40 * 50_000
+
+
+def test_the_fit_lets_go_of_its_entries():
+    """Counts travel in a byte where they can, and the fit empties the lists that hold them."""
+    for counts in ([], [1, 255], [1, 256], [70_000]):
+        packed = nb_toxicity.packed_counts(np.array(counts, np.int64))
+        assert nb_toxicity.unpacked_counts(packed, len(counts)).tolist() == counts
+    assert len(nb_toxicity.packed_counts(np.array([1, 255]))) == 2
+    columns, counts = [np.array([1, 2], np.int32), np.array([2], np.int32)], [np.array([1, 1], np.uint8), np.array([3], np.uint8)]
+    weights = nb_toxicity.fit(columns, counts, np.array([2.0, 3.0]), np.array([True, False]), 4)
+    assert np.isfinite(weights).all() and columns == [] and counts == []
