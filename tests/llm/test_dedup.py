@@ -1,6 +1,7 @@
 """Operators 4, 7 and 8 against brute force."""
 
 import hashlib
+import itertools
 import random
 
 import numpy as np
@@ -301,3 +302,55 @@ def test_pairs_with_whole_sets_travel_in_small_batches(llm, frame, monkeypatch):
     monkeypatch.setattr(jaccard_skip, "materialize", watched)
     jaccard_skip.jaccard_components(frame(corpus())).collect()
     assert {x for name, x in held if name == "known"} == {jaccard_skip.BATCH_BYTES} and llm.conf.get(key) == before
+
+
+def test_pairs_by_cells_are_those_by_joins(llm):
+    """Few sets with many pairs: dealt to cells, a set travels to each cell once, and every pair has the same overlap."""
+    rnd = random.Random(8)
+    sets = {k: np.array(sorted(rnd.sample(range(1, 60), rnd.randint(1, 40))), np.uint64) for k in range(1, 13)}
+    stored = llm.createDataFrame([(k, bytearray(jaccard_skip.packed_set(v))) for k, v in sets.items()], "sid long, tokens binary")
+    chosen = [(a, b, (a + b) % 3 == 0) for a in sets for b in sets if a != b and rnd.random() < 0.7]
+    pairs = llm.createDataFrame(chosen, "a long, b long, star boolean")
+    often = np.arange(1, 20).astype(np.uint64)
+    keys = jaccard_skip.keys_of(often)
+    ranks = llm.sparkContext.broadcast(jaccard_skip.Ranks(keys.view(np.int64), often.view(np.int64)))
+    joined, dealt = (sorted(map(tuple, jaccard_skip.overlaps(pairs, stored, ranks, 75, g).collect())) for g in (0, 3))
+    assert joined == dealt and len(dealt) == len(chosen)
+    assert {(a, b): o for a, b, _, _, _, o, _ in dealt} == {(a, b): len(set(sets[a]) & set(sets[b])) for a, b, _ in chosen}
+    assert jaccard_skip.cell_groups(pairs, stored) == 0        # 12 sets in 4 groups would travel 96 times
+    assert jaccard_skip.cell_groups(pairs, stored.limit(3)) == jaccard_skip.CELLS
+
+
+def test_a_depth_reads_the_sets_of_the_depth_before(frame, monkeypatch):
+    """All sets are read for the first depth's pairs and once more; what follows goes on with the sets that are left."""
+    rnd = random.Random(11)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(30))
+    parts = [[text() for _ in range(3)] for _ in range(4)]
+    texts = [" ".join(x) for x in itertools.product(*parts)]
+    rows = list(enumerate(texts + [f"{x} again" for x in texts[::7]]))
+    read, write = [], jaccard_skip.materialize
+
+    def watched(df, name, *codec):
+        if name == "wanted":
+            read.append({f.rsplit("/", 2)[1] for f in df.inputFiles()})
+        return write(df, name, *codec)
+    monkeypatch.setattr(jaccard_skip, "OPEN", 0)
+    monkeypatch.setattr(jaccard_skip, "SHORT", 1)
+    monkeypatch.setattr(jaccard_skip, "materialize", watched)
+    assert got(jaccard_components(frame(rows)), "doc_id", "n_shingles", "component_id") == brute_components(rows)
+    assert len(read) > 1 and "sets" in read[0] and not any("sets" in x for x in read[1:])
+
+
+def test_index_entries_are_packed_by_key():
+    """Ints lose their high bytes, keys go as gaps in the order of buckets, and agree with shingles that agree."""
+    rnd = random.Random(6)
+    values = np.array([rnd.randrange(5000) for _ in range(900)], np.int32)
+    assert np.array_equal(jaccard_skip.unpacked(jaccard_skip.packed(values), np.int32), values)
+    assert set(jaccard_skip.packed(values)[1800:]) == {0}
+    keys = np.sort(jaccard_skip.keys_of(np.array([rnd.randrange(1 << 64) for _ in range(900)], np.uint64)))
+    assert int(keys[-1]) < 1 << jaccard_skip.KEY_BITS
+    full, where = jaccard_skip._by_key(keys, 7)
+    assert full == list(range(7)) and [(w.start, w.stop) for w in where][0][0] == 0 and where[-1].stop == len(keys)
+    assert all(int(k) * 7 >> jaccard_skip.KEY_BITS == b for b, w in zip(full, where) for k in keys[w].tolist())
+    raw, gaps = keys[where[0]].tobytes(), jaccard_skip.packed_set(keys[where[0]])
+    assert np.array_equal(jaccard_skip.unpacked_set(gaps), keys[where[0]]) and gaps.count(0) > raw.count(0)
