@@ -11,8 +11,9 @@ product of the incidences token of A x group and group x token of B gives the sh
 counted in documents, and what that says about each document. Pieces between blanks (see `pieces`) have
 boundaries of both tokenizers at both ends, so the products of each distinct piece are computed once a
 task and added up by document. Documents go in blocks: a block is one row with its documents and its distinct id
-pairs; pair counts are summed by Spark over (block, pair) rows, and joined back to the blocks they come
-from, so no task or driver holds the counts of the corpus.
+pairs. These are dealt out as packed arrays, by a hash of the id of A into buckets whose number follows their total: a bucket
+has all pairs of its ids, counts them and answers every block it has pairs of. So no task or driver holds the counts of the corpus,
+and no pair becomes a row or an object of the JVM.
 
 Defined results: a text that is null or empty, or that the tokens of A or B do not spell byte for byte (such as one
 with U+2581, which B reads as a blank), has no tokens: zeros, and '' for its groups. Repeated rows count as
@@ -34,7 +35,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from comparo.llm import pieces as P
-from comparo.llm.tables import materialize, table
+from comparo.llm import words as W
+from comparo.llm.tables import BATCH_BYTES, WIDE_ROWS, drop, materialize, table
+from comparo.session import small_batches
 
 VOCABULARY_A = "byte_bpe_50k.json"
 VOCABULARY_B = "piece_bpe_32k.model"
@@ -42,6 +45,7 @@ BLOCK_BYTES = 8 << 20       # text of a block
 BLOCK_ROWS = 1 << 14        # documents of a block
 KNOWN = 1 << 18             # distinct pieces that a task remembers at most
 LEARNT = 1 << 13            # pieces whose matrices are multiplied at once
+COUNTED = 1 << 20           # pairs of blocks that one task counts, about
 
 
 # ---- sparse matrices ----
@@ -306,7 +310,8 @@ _BLOCK = pa.schema([
     ("block", pa.int64()), ("doc_id", pa.list_(pa.int64())),
     *[(c, pa.list_(pa.int64())) for c in ("n_a", "n_b", "n_groups", "n_links")],
     ("groups", pa.list_(pa.string())), ("first", pa.list_(pa.int32())), ("held", pa.list_(pa.int32())),
-    ("often", pa.list_(pa.int32())), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int32()))])
+    ("often", pa.list_(pa.int32())), ("pairs", pa.list_(pa.int64())), ("docs", pa.list_(pa.int32())),
+    ("n_pairs", pa.int64())])
 
 
 def _block(number: int, names: list[pa.Array], docs: list[Docs]) -> pa.RecordBatch:
@@ -320,8 +325,8 @@ def _block(number: int, names: list[pa.Array], docs: list[Docs]) -> pa.RecordBat
                pa.array(held.astype(np.int32)), pa.array(np.concatenate([d.often for d in docs]).astype(np.int32)),
                pa.array(pairs), pa.array(n.astype(np.int32))]
     return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int64()), *[pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]],
-        schema=_BLOCK)
+        [pa.array([number], pa.int64()), *[pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns],
+         pa.array([len(pairs)], pa.int64())], schema=_BLOCK)
 
 
 def _blocks(docs: DataFrame, a: str, b: str, block_bytes: int) -> DataFrame:
@@ -342,28 +347,58 @@ def _blocks(docs: DataFrame, a: str, b: str, block_bytes: int) -> DataFrame:
 
     return docs.mapInArrow(
         run, "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
-             "groups array<string>, first array<int>, held array<int>, often array<int>, pairs array<long>, docs array<int>")
+             "groups array<string>, first array<int>, held array<int>, often array<int>, pairs array<long>, docs array<int>, n_pairs long")
 
 
-def pair_counts(blocks: DataFrame, size_b: int) -> tuple[DataFrame, DataFrame]:
-    """((block, pair), (pair, count, best)): documents that hold the pair linked, and whether no pair of its id of A has more."""
-    rows = blocks.select("block", F.explode(F.arrays_zip("pairs", "docs")).alias("x")).select(
-        "block", F.col("x.pairs").alias("pair"), F.col("x.docs").alias("docs"))
-    counts = rows.groupBy("pair").agg(F.sum("docs").alias("count")).withColumn("a", F.expr(f"pair div {size_b}"))
-    most = counts.groupBy("a").agg(F.max("count").alias("most"))
-    return rows.select("block", "pair"), counts.join(most, "a").select(
-        "pair", "count", (F.col("count") == F.col("most")).alias("best"))
+def _by_bucket(pairs: np.ndarray, size_b: int, buckets: int) -> tuple[np.ndarray, list[int], list[slice]]:
+    """Some pairs' order by bucket of their id of A, the buckets that have some of them, and where those are in that order."""
+    bucket = (W.mix((pairs // size_b).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    full, first = np.unique(bucket[order], return_index=True)
+    cut = [*first.tolist(), len(pairs)]
+    return order, full.tolist(), [slice(i, j) for i, j in zip(cut, cut[1:])]
+
+
+def pair_values(blocks: DataFrame, size_b: int, buckets: int) -> DataFrame:
+    """(block, bucket, told): for each of a block's pairs in a bucket, packed, twice the number of documents that hold the
+    pair linked, and one more if no pair of its id of A has more."""
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(len(batch)):
+                pairs, docs = (batch.column(c)[r].values.to_numpy() for c in ("pairs", "docs"))
+                order, full, where = _by_bucket(pairs, size_b, buckets)
+                pairs, docs = pairs[order], docs[order]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full, pa.int64()), pa.array([batch.column("block")[r].as_py()] * len(full), pa.int64()),
+                     pa.array([W.packed(np.diff(pairs[at], prepend=0)) for at in where], pa.binary()),
+                     pa.array([W.packed(docs[at]) for at in where], pa.binary())], names=["bucket", "block", "pairs", "docs"])
+
+    def count(rows: pa.Table) -> pa.Table:
+        own = [np.cumsum(W.unpacked(x.as_buffer(), np.int64)) for x in rows["pairs"]]
+        docs = np.concatenate([W.unpacked(x.as_buffer(), np.int32) for x in rows["docs"]])
+        pairs, at = np.unique(np.concatenate(own), return_inverse=True)
+        counts = np.zeros(len(pairs), np.int64)
+        np.add.at(counts, at, docs)
+        a = pairs // size_b
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), a[1:] != a[:-1]]))
+        most = np.repeat(np.maximum.reduceat(counts, first), np.diff(np.append(first, len(a))))
+        value, cut = (2 * counts + (counts == most))[at], np.cumsum([0, *map(len, own)]).tolist()
+        return pa.table({"block": rows["block"], "bucket": rows["bucket"],
+                         "told": pa.array([W.packed(value[i:j]) for i, j in zip(cut, cut[1:])], pa.binary())})
+
+    dealt = blocks.select("block", "pairs", "docs").mapInArrow(deal, "bucket long, block long, pairs binary, docs binary")
+    return dealt.groupBy("bucket").applyInArrow(count, "block long, bucket long, told binary")
 
 
 def alignment(docs: DataFrame, *, a: str = VOCABULARY_A, b: str = VOCABULARY_B,
               block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every row of `docs`."""
+    spark, size_b = docs.sparkSession, vocabulary_b(b).size
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = materialize(_blocks(docs, a, b, block_bytes), "blocks")
-    rows, counts = pair_counts(blocks, vocabulary_b(b).size)
-    counts = materialize(counts, "pair-counts")
-    told = rows.join(counts, "pair").groupBy("block").agg(
-        F.collect_list(F.struct("pair", (2 * F.col("count") + F.col("best").cast("long")).alias("value"))).alias("told"))
+    with small_batches(spark, BATCH_BYTES):     # a block is a row of some MB
+        blocks = materialize(_blocks(docs, a, b, block_bytes), "blocks", **WIDE_ROWS)
+    buckets = (blocks.agg(F.sum("n_pairs")).first()[0] or 0) // COUNTED + 1
+    told = pair_values(blocks, size_b, buckets).groupBy("block").agg(F.collect_list(F.struct("bucket", "told")).alias("told"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -371,8 +406,11 @@ def alignment(docs: DataFrame, *, a: str = VOCABULARY_A, b: str = VOCABULARY_B,
                 own = lambda c: batch.column(c)[r].values  # noqa: E731, B023
                 first, often, held = (own(c).to_numpy().astype(np.int64) for c in ("first", "often", "held"))
                 if batch.column("told")[r].is_valid:
-                    pairs, value = (own("told").field(k).to_numpy() for k in (0, 1))
-                    value = value[np.argsort(pairs)][held]
+                    order, _, _ = _by_bucket(own("pairs").to_numpy(), size_b, buckets)
+                    parts = sorted(zip(own("told").field(0).to_pylist(), own("told").field(1)), key=lambda x: x[0])
+                    value = np.zeros(len(order), np.int64)
+                    value[order] = np.concatenate([W.unpacked(x.as_buffer(), np.int64) for _, x in parts])
+                    value = value[held]
                 else:
                     value = held
                 sums = [np.concatenate([np.zeros(1, np.int64), np.cumsum(x)]) for x in (often * (value & 1), often * (value >> 1))]
@@ -381,8 +419,12 @@ def alignment(docs: DataFrame, *, a: str = VOCABULARY_A, b: str = VOCABULARY_B,
                      *[pa.array(np.diff(x[first])) for x in sums], own("groups")],
                     names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
-    return blocks.drop("pairs", "docs").join(told, "block", "left").mapInArrow(
+    out = blocks.drop("docs", "n_pairs").join(told, "block", "left").mapInArrow(
         run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    with small_batches(spark, BATCH_BYTES):
+        out = materialize(out, "aligned")
+    drop(spark, blocks)
+    return out
 
 
 def token_links(docs: DataFrame, *, a: str = VOCABULARY_A, b: str = VOCABULARY_B) -> DataFrame:

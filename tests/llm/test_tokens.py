@@ -1,10 +1,12 @@
 """Operators 11 and 13 against the tokenizers themselves."""
 
+import glob
 import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +14,7 @@ from hypothesis import strategies as st
 from comparo.llm import pieces as P
 from comparo.llm import token_files as T
 from comparo.llm import token_links as L
+from comparo.llm.tables import WIDE_ROWS, write
 from comparo.llm.words import text_column
 
 from .corpus import corpus
@@ -189,6 +192,27 @@ def test_alignment(frame):
     assert sorted((tuple(r[c] for c in COLUMNS) for r in got.collect()), key=str) == sorted(brute_alignment(LINKED), key=str)
 
 
+def test_pairs_are_counted_packed_in_buckets(frame, monkeypatch):
+    """Every bucket has all pairs of its ids of A; no pair becomes a row, so no task holds an object for each of a block's pairs."""
+    monkeypatch.setattr(L, "COUNTED", 40)
+    used, values = [], L.pair_values
+    monkeypatch.setattr(L, "pair_values", lambda blocks, size_b, buckets: used.append((buckets, out := values(blocks, size_b, buckets))) or out)
+    got = L.alignment(frame(LINKED), block_bytes=3000)
+    assert sorted((tuple(r[c] for c in COLUMNS) for r in got.collect()), key=str) == sorted(brute_alignment(LINKED), key=str)
+    (buckets, out), = used
+    assert buckets > 5 and "Generate" not in out._jdf.queryExecution().toString()
+
+
+def test_rows_of_some_mb_are_not_gathered_by_the_writer(llm):
+    """Parquet would look at what it holds after a hundred rows."""
+    wide = llm.range(24, numPartitions=1).selectExpr("id", "transform(sequence(1, 200000), x -> x * 7919 + id * 104729 * x) as many")
+    files = {k: write(wide, "wide", **k_options) for k, k_options in (("plain", {}), ("wide", WIDE_ROWS))}
+    groups = {k: [pq.ParquetFile(f).num_row_groups for f in glob.glob(f"{path.removeprefix('file://')}/*.parquet")]
+              for k, path in files.items()}
+    assert groups["plain"] == [1] and groups["wide"][0] > 1
+    assert llm.read.parquet(files["wide"]).exceptAll(wide).isEmpty()
+
+
 def test_alignment_of_long_texts(frame):
     rows = [(1, "b" * 3000), (2, "it is a text of some words, " * 45_000), (3, "the end"), (4, "a ▁ " * 50 + "the end")]
     got = {r.doc_id: r for r in L.alignment(frame(rows)).collect()}
