@@ -7,9 +7,10 @@ parts, <x, y> <= sum L (m_x m_y + s_x s_y), which is the lower bound of the squa
 rise from coarse to fine; a candidate goes on only while its bound reaches the k-th best exact
 score already seen for the query, and exact scores are computed for what is left.
 
-Vectors are dealt to blocks of bounded size by a hash of the row; the query blocks meet every
-candidate block in an equi-join on the block number, one row for a pair of blocks, and each pair
-returns at most k rows for a query. A last ranking keeps k of those.
+Vectors are dealt to blocks of bounded size by a hash of the row. Blocks are dealt to parts of some blocks each, and every part of
+the candidates meets every part of the queries in one task: a block travels once for each part of the other side, not once for each of its
+blocks, and nothing is broadcast. Such a task returns at most k rows for a query; a last ranking keeps k of those. What is compared,
+sent and returned grows with the product of the two sides, as the job does, and a task's memory does not grow.
 
 Defined results: vectors that are null, hold a null or non-finite component or have no id take no
 part; vectors are compared with those of as many components; rows with the query's own id are the
@@ -32,6 +33,8 @@ from comparo.llm.tables import materialize, table
 LEVELS = (1, 4, 16)    # segments, coarse to fine
 CANDIDATES = 4096      # vectors of a candidate block
 QUERIES = 512          # vectors of a query block
+TOGETHER = 16          # blocks of a part, at most
+CELL_BYTES = 32 << 20  # of the candidates of a part, about
 SPARSE = 0.25          # below this share of survivors, pairs are evaluated one by one
 
 
@@ -142,25 +145,39 @@ def best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int)
 def top_k(embeddings: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best rows of `embeddings` for every distinct row of `queries`."""
     candidates, n = blocks(integers(embeddings), CANDIDATES, "candidates")
-    asked, _ = blocks(integers(queries).distinct(), QUERIES, "queries")
-    asked = asked.select("dim", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"),
-                         *[F.col(x).alias(f"q_{x}") for x in ("ids", "keys", "small", "data")])
-
-    def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            for r in batch.to_pylist():
-                qid, key, cid = (np.frombuffer(r[x], np.int64) for x in ("q_ids", "q_keys", "ids"))
-                q, c = (np.frombuffer(r[x], np.int32 if s else np.float64).astype(np.float64).reshape(
-                    -1, r["dim"]) if r["dim"] else np.zeros((m, 0))
-                    for x, s, m in (("q_data", r["q_small"], len(qid)), ("data", r["small"], len(cid))))
-                for a in range(0, len(qid), QUERIES):
-                    i, j, score = best(qid[a:a + QUERIES], q[a:a + QUERIES], cid, c, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(qid[a:a + QUERIES][i]), pa.array(key[a:a + QUERIES][i]), pa.array(cid[j]),
-                         pa.array([int(s) for s in score], pa.int64())], names=["query_id", "key", "vec_id", "score"])
-
-    pairs = candidates.drop("keys").join(asked, ["dim", "block"])
-    found = pairs.mapInArrow(search, "query_id long, key long, vec_id long, score long")
+    asked, m = blocks(integers(queries).distinct(), QUERIES, "queries")
+    largest = candidates.agg(F.max(F.octet_length("data"))).first()[0] or 1
+    some = max(1, min(TOGETHER, CELL_BYTES // largest, n // embeddings.sparkSession.sparkContext.defaultParallelism))
+    n_parts, m_parts = -(-n // some), -(-m // TOGETHER)
+    number = lambda parts: F.pmod("block", F.lit(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    left = candidates.select("dim", number(n_parts).alias("part"), every(m_parts).alias("asking"), "ids", "small", "data")
+    right = asked.select("dim", every(n_parts).alias("part"), number(m_parts).alias("asking"), "ids", "keys", "small", "data")
+
+    def read(rows: pa.Table, more: str = "ids") -> Iterator[tuple[np.ndarray, ...]]:
+        for r in rows.to_pylist():
+            ids, keys = (np.frombuffer(r[x], np.int64) for x in ("ids", more))
+            yield ids, keys, (np.frombuffer(r["data"], np.int32 if r["small"] else np.float64).astype(np.float64).reshape(
+                -1, r["dim"]) if r["dim"] else np.zeros((len(ids), 0)))
+
+    def search(of: pa.Table, asking: pa.Table) -> pa.Table:
+        held, found = list(read(of)), [(np.zeros(0, np.int64),) * 4]
+        for ids, keys, values in read(asking, "keys"):
+            for a in range(0, len(ids), QUERIES):
+                qid, key, q = ids[a:a + QUERIES], keys[a:a + QUERIES], values[a:a + QUERIES]
+                row, cid, score = (np.zeros(0, np.int64) for _ in range(3))
+                for own, _, c in held:      # the best of the blocks so far and of the next one
+                    i, j, more = best(qid, q, own, c, k)
+                    row, cid, score = (np.concatenate(x) for x in ((row, i), (cid, own[j]), (score, more.astype(np.int64))))
+                    order = np.lexsort((cid, ~score, row))
+                    row, cid, score = row[order], cid[order], score[order]
+                    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                    row, cid, score = row[keep], cid[keep], score[keep]
+                found.append((qid[row], key[row], cid, score))
+        return pa.table([np.concatenate(x) for x in zip(*found)], names=["query_id", "key", "vec_id", "score"])
+
+    cell = ("dim", "part", "asking")
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(search, "query_id long, key long, vec_id long, score long")
     return found.withColumn("rank", F.expr(
         "row_number() over (partition by query_id, key order by score desc, vec_id)")).where(
         F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

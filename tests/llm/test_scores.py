@@ -151,6 +151,20 @@ def test_top_k_with_repeated_rows(llm, monkeypatch):
     assert max(len(r.ids) // 8 for r in packed.collect()) < 60 and n > 5
 
 
+def test_blocks_of_vectors_meet_in_parts_and_are_not_broadcast(llm, monkeypatch):
+    """However small the tables look, no side's blocks are gathered for a broadcast; a block meets all blocks of a part, and each
+    task returns a query's k best of them."""
+    monkeypatch.setattr(segment_topk, "CANDIDATES", 6)
+    monkeypatch.setattr(segment_topk, "QUERIES", 4)
+    monkeypatch.setattr(segment_topk, "TOGETHER", 3)
+    rng = np.random.default_rng(12)
+    vectors = [(i, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(400)]
+    df = llm.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    out = segment_topk.top_k(df, df.where("vec_id % 20 = 0"), 6)
+    assert "Broadcast" not in out._jdf.queryExecution().toString()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in out.collect()) == brute_top(vectors, 6)
+
+
 def test_top_k_of_an_empty_table(llm):
     df = llm.createDataFrame([], "vec_id long, embedding array<double>")
     assert segment_topk.top_k(df, df).collect() == []
