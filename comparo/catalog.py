@@ -804,7 +804,8 @@ def q_report_file_ingest(spark, d):
     from comparo.plans.ingest import SALES_REPORT, TICKETS_REPORT, lines_from_report, tickets_from_report
     from comparo.sources.readers import land, read_any, read_report_csv
     from comparo.sources.writers import write_locale_csv
-    paths = [write_locale_csv(rep.select(*[F.col(f"`{c}`") for c in cols]), _scratch(spark, name), title=f"Informe, {name}")
+    paths = [write_locale_csv(rep.select(*[F.col(f"`{c}`") for c in cols]), _scratch(spark, name), title=f"Informe, {name}",
+                              compression="gzip")
              for rep, cols, name in ((X.sales_report_text(spark, d), SALES_REPORT, "ventas"),
                                      (X.tickets_report_text(spark, d), TICKETS_REPORT, "tickets"))]
     sales = land(read_report_csv(spark, paths[0], SALES_REPORT, parts=True).toDF(
@@ -885,7 +886,7 @@ def q_report_bad_rows(spark, d):
     text = X.sales_report_text(spark, d, key=True)
     surplus = F.when(F.col("_order") % 50 == 0, F.lit("sobra"))
     path = write_locale_csv(text.select(*[F.col(f"`{c}`") for c in SALES_REPORT], surplus.alias("_extra")),
-                            _scratch(spark, "ragged"), title="Informe", header=[*SALES_REPORT, None])
+                            _scratch(spark, "ragged"), title="Informe", header=[*SALES_REPORT, None], compression="gzip")
     read = read_report_csv(spark, path, SALES_REPORT, parts=True, bad_rows="keep")
     quarantine = _scratch(spark, "quarantine")
     read.quarantine(quarantine)

@@ -42,13 +42,15 @@ def locale_text(c, dtype) -> F.Column:
 
 def write_locale_csv(df: DataFrame, path: str, encoding: str = "UTF-16",
                      title: str | None = None, header=None,
-                     mode: str = "overwrite") -> str:
+                     mode: str = "overwrite", compression: str = "none") -> str:
     """CSV with a decimal comma (SNK-2). With ``title`` the first part file
     starts with the title line and the header line, as in the exported
     reports (``header``: its names, which may repeat), the others hold rows alone: read them as ``parts``
     of one report. (Spark keeps the order of a union's children in its partitions, and numbers part files by partition;
     an unsorted report may hold its rows in any order, but they all follow the first file's header.)
-    Otherwise every part file has a plain header. Such a file is read by one task, so none holds more than some 64 MB."""
+    Otherwise every part file has a plain header. Such a file is read by one task, so none holds more than some 64 MB of text.
+    ``compression``: 'gzip' for files (``.csv.gz``) that the readers take as they are; UTF-16 text has two bytes a sign and repeats
+    the labels in every row, so it shrinks to a fraction, and such files could not be split in any case."""
     most = max(1000, FILE_BYTES // (2 * CELL_CHARS * max(1, len(df.columns))))
     cols = []
     for f in df.schema.fields:
@@ -66,10 +68,10 @@ def write_locale_csv(df: DataFrame, path: str, encoding: str = "UTF-16",
         # a union keeps the partition order: the one-partition header lands in the
         # first part file, the report rows keep their partitioning (no sort, no shuffle)
         text = top.coalesce(1).unionByName(text)
-        (text.write.mode(mode).option("encoding", encoding).option("header", False)
+        (text.write.mode(mode).option("encoding", encoding).option("header", False).option("compression", compression)
          .option("quoteAll", True).option("maxRecordsPerFile", most).csv(path))
     else:
-        (text.write.mode(mode).option("encoding", encoding).option("header", True)
+        (text.write.mode(mode).option("encoding", encoding).option("header", True).option("compression", compression)
          .option("quoteAll", True).option("maxRecordsPerFile", most).csv(path))
     return path
 

@@ -100,6 +100,28 @@ def test_report_files_stay_small_and_no_file_is_one_task(spark, path, monkeypatc
     assert "strategy=broadcast" in plan                      # the header rows go to the rows, not rows to their file's task
 
 
+def test_report_files_are_written_packed(spark, path, sf_small, monkeypatch):
+    """A packed report holds the same text; the queries that write all lines as a report write it so."""
+    from comparo import catalog
+    from comparo.sources import writers
+    from comparo.sources.readers import read_report_csv
+    rows = [(f"{i}", 'norte, sur\no este' if i % 3 else None, "MARKET, SUR") for i in range(900)]
+    df = spark.createDataFrame(rows, "a string, b string, c string")
+    sizes = {}
+    for kind in ("none", "gzip"):
+        writers.write_locale_csv(df, f"{path}-{kind}", title="Informe, todo", compression=kind)
+        assert sorted(map(tuple, read_report_csv(spark, f"{path}-{kind}", ["a", "b", "c"], parts=True).collect()), key=str) == sorted(rows, key=str)
+        files = spark.read.format("binaryFile").load(f"{path}-{kind}").select("path", "length").collect()
+        assert all(r.path.endswith(".csv.gz") == (kind == "gzip") for r in files)
+        sizes[kind] = sum(r.length for r in files)
+    assert sizes["gzip"] * 4 < sizes["none"]
+    asked, write = [], writers.write_locale_csv
+    monkeypatch.setattr(writers, "write_locale_csv", lambda *a, **kw: asked.append(kw.get("compression")) or write(*a, **kw))
+    for name in ("report_file_ingest", "report_bad_rows"):
+        catalog.QUERIES[name](spark, sf_small)
+    assert asked == ["gzip"] * 3
+
+
 def test_heavy_products_are_found_without_the_join_to_orders(spark, sf_small, monkeypatch):
     seen = []
     real = X.heavy_keys
