@@ -304,7 +304,7 @@ def test_pairs_with_whole_sets_travel_in_small_batches(llm, frame, monkeypatch):
     assert {x for name, x in held if name == "known"} == {jaccard_skip.BATCH_BYTES} and llm.conf.get(key) == before
 
 
-def test_pairs_by_cells_are_those_by_joins(llm):
+def test_pairs_by_cells_are_those_by_joins(llm, monkeypatch):
     """Few sets with many pairs: dealt to cells, a set travels to each cell once, and every pair has the same overlap."""
     rnd = random.Random(8)
     sets = {k: np.array(sorted(rnd.sample(range(1, 60), rnd.randint(1, 40))), np.uint64) for k in range(1, 13)}
@@ -317,8 +317,9 @@ def test_pairs_by_cells_are_those_by_joins(llm):
     joined, dealt = (sorted(map(tuple, jaccard_skip.overlaps(pairs, stored, ranks, 75, g).collect())) for g in (0, 3))
     assert joined == dealt and len(dealt) == len(chosen)
     assert {(a, b): o for a, b, _, _, _, o, _ in dealt} == {(a, b): len(set(sets[a]) & set(sets[b])) for a, b, _ in chosen}
-    assert jaccard_skip.cell_groups(pairs, stored) == 0        # 12 sets in 4 groups would travel 96 times
-    assert jaccard_skip.cell_groups(pairs, stored.limit(3)) == jaccard_skip.CELLS
+    monkeypatch.setattr(jaccard_skip, "FEW_PAIRS", 50)
+    assert jaccard_skip.cell_groups(90, stored) == 0            # 12 sets in 4 groups would travel 96 times
+    assert jaccard_skip.cell_groups(90, stored.limit(3)) == jaccard_skip.CELLS and jaccard_skip.cell_groups(49, stored.limit(3)) == 0
 
 
 def test_a_depth_reads_the_sets_of_the_depth_before(frame, monkeypatch):
